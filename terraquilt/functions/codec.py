@@ -9,13 +9,13 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from terraquilt.functions.geom import normalize
 from terraquilt.functions.kernel import TOLERANCE, intersect
 from terraquilt.functions.packed import pack, unpack
 from terraquilt.model import RINGS
 
-_RINGS = RINGS.simpleString()
 _WKB_POLYGON, _WKB_MULTIPOLYGON = 3, 6  # fixed values of the WKB format
 
 
@@ -86,12 +86,12 @@ def _rows(rings: pa.Array) -> list:
     return out
 
 
-@F.arrow_udf(_RINGS)
+@F.arrow_udf(RINGS)
 def _wkb_to_rings(blobs: pa.Array) -> pa.Array:
     return pack([None if b is None else _read_wkb(b) for b in blobs.to_pylist()])
 
 
-@F.arrow_udf("binary")
+@F.arrow_udf(T.BinaryType())
 def _rings_to_wkb(rings: pa.Array) -> pa.Array:
     return pa.array([None if r is None else _write_wkb(r) for r in _rows(rings)], pa.binary())
 
@@ -152,7 +152,7 @@ def _simplify_ring(xy: np.ndarray, tol: float) -> np.ndarray:
 def simplify(rings: Column, tolerance: float = 0.001) -> Column:
     """Fewer points, none further than ``tolerance`` degrees from the old line.
     A ring that would collapse or cross itself is left as it was."""
-    @F.arrow_udf(_RINGS)
+    @F.arrow_udf(RINGS)
     def run(shapes: pa.Array) -> pa.Array:
         return pack([
             None if r is None else [(p, h, _simplify_ring(xy, tolerance)) for p, h, xy in r]
@@ -166,8 +166,11 @@ def simplify(rings: Column, tolerance: float = 0.001) -> Column:
 
 def clip(left: Column, right: Column, with_geometry: bool = False, tolerance: float = TOLERANCE) -> Column:
     """struct(hit, area_ha, area_deg, residual[, rings]) of an intersection."""
-    result = "struct<hit:boolean,area_ha:double,area_deg:double,residual:double"
-    result += f",rings:{_RINGS}>" if with_geometry else ">"
+    result = T.StructType().add("hit", T.BooleanType())
+    for name in ("area_ha", "area_deg", "residual"):
+        result = result.add(name, T.DoubleType())
+    if with_geometry:
+        result = result.add("rings", RINGS)
 
     @F.arrow_udf(result)
     def run(a: pa.Array, b: pa.Array) -> pa.Array:

@@ -15,11 +15,12 @@ DISPLAY_TOLERANCE = 0.001  # degrees
 def layer_features(layer: DataFrame, row_id: str, value: str | Column, tolerance: float = DISPLAY_TOLERANCE) -> DataFrame:
     """Id, class value and simplified GeoJSON of every shape."""
     value = F.col(f"`{value}`") if isinstance(value, str) else value
-    return layer.select(
+    thin = layer.select(
         F.col(f"`{row_id}`").alias("id"),
         value.alias("value"),
-        to_geojson(simplify(F.col("rings"), tolerance)).alias("geometry"),
+        simplify(F.col("rings"), tolerance).alias("rings"),
     )
+    return thin.select("id", "value", to_geojson(F.col("rings")).alias("geometry"))
 
 
 def point_features(df: DataFrame, lat: str, lon: str, prefix: str, text: str, row_id: str = "row_id") -> DataFrame:
@@ -34,11 +35,12 @@ def point_features(df: DataFrame, lat: str, lon: str, prefix: str, text: str, ro
 
 def fire_season_map(fires: DataFrame, label: str, tolerance: float = DISPLAY_TOLERANCE) -> DataFrame:
     """Simplified shapes of one season and type with popup text."""
-    return fires.where(F.col("Label") == label).select(
+    thin = fires.where(F.col("Label") == label).select(
         "fire_id",
         label_popup(F.col("FireName"), F.col("AreaHa")).alias("popup"),
-        to_geojson(simplify(F.col("rings"), tolerance)).alias("geometry"),
+        simplify(F.col("rings"), tolerance).alias("rings"),
     )
+    return thin.select("fire_id", "popup", to_geojson(F.col("rings")).alias("geometry"))
 
 
 def join_features_to_values(layer: DataFrame, values: DataFrame, key: str, value: str) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import os
+import shutil
 import tempfile
 import uuid
 
@@ -31,3 +33,15 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     that names no such folder (local tests) falls back to a temporary one."""
     base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="terraquilt-")
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Send this package's code to the Python workers, once per session, so that
+    Arrow functions can be imported wherever they run."""
+    if getattr(spark.sparkContext, "_terraquilt_shipped", False):
+        return
+    here = os.path.dirname(os.path.abspath(__file__))
+    target = os.path.join(tempfile.mkdtemp(prefix="terraquilt-code-"), "terraquilt")
+    archive = shutil.make_archive(target, "zip", os.path.dirname(here), os.path.basename(here))
+    spark.sparkContext.addPyFile(archive)
+    spark.sparkContext._terraquilt_shipped = True
