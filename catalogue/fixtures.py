@@ -12,10 +12,16 @@ from pyspark.sql import functions as F
 
 from terraquilt.functions.geom import box, polygon, rectangle
 from terraquilt.operators.prep import split_label
+from terraquilt.sources.scan import balanced, scan_parquet
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return scan_parquet(spark, f"{sf_dir}/{name}.parquet")
+
+
+def wide_table(spark: SparkSession, sf_dir: str, name: str, columns: list[str]) -> DataFrame:
+    """A table whose rows grow into shapes: spread out first if it is one file."""
+    return balanced(table(spark, sf_dir, name).select(*columns))
 
 
 def _num(text: str) -> Column:
@@ -51,7 +57,8 @@ def fires_raw(spark, sf_dir) -> DataFrame:
     """Fires before label splitting, dates still text."""
     k = F.col("fire_id")
     label = F.concat(_season(), F.lit(" "), F.col("o_orderpriority"))
-    df = table(spark, sf_dir, "orders").withColumn("fire_id", F.col("o_orderkey"))
+    columns = ["o_orderkey", "o_orderdate", "o_orderpriority", "o_totalprice"]
+    df = wide_table(spark, sf_dir, "orders", columns).withColumn("fire_id", F.col("o_orderkey"))
     df = df.select(
         "fire_id",
         F.when(k % 50 != 0, k).alias("FireNo"),
@@ -83,7 +90,7 @@ def triangles(spark, sf_dir) -> DataFrame:
 
 
 def landuse(spark, sf_dir) -> DataFrame:
-    df = table(spark, sf_dir, "part").select(
+    df = wide_table(spark, sf_dir, "part", ["p_partkey", "p_type"]).select(
         F.col("p_partkey").alias("landuse_id"),
         F.when(F.col("p_partkey") % 71 != 0, F.col("p_type")).alias("Secondary"),
     )

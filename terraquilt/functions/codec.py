@@ -13,7 +13,8 @@ from pyspark.sql import types as T
 
 from terraquilt.functions.geom import normalize
 from terraquilt.functions.kernel import TOLERANCE, intersect
-from terraquilt.functions.packed import pack, unpack
+from terraquilt.functions.packed import pack, to_arrow, unpack
+from terraquilt.functions.thin import simplified
 from terraquilt.model import RINGS
 
 _WKB_POLYGON, _WKB_MULTIPOLYGON = 3, 6  # fixed values of the WKB format
@@ -106,58 +107,13 @@ def to_wkb(rings: Column) -> Column:
 
 # --- simplification ----------------------------------------------------------
 
-def _thin(xy: np.ndarray, tol: float) -> np.ndarray:
-    """Douglas-Peucker on a closed ring; its first point stays."""
-    keep = np.zeros(len(xy), bool)
-    keep[[0, -1]] = True
-    todo = [(0, len(xy) - 1)]
-    while todo:
-        lo, hi = todo.pop()
-        if hi - lo < 2:
-            continue
-        base, mid = xy[hi] - xy[lo], xy[lo + 1:hi] - xy[lo]
-        length2 = float(base @ base)
-        along = np.clip(mid @ base / length2, 0, 1) if length2 else np.zeros(len(mid))
-        off = np.hypot(*(mid - along[:, None] * base).T)
-        k = int(np.argmax(off))
-        if off[k] > tol:
-            keep[lo + 1 + k] = True
-            todo += [(lo, lo + 1 + k), (lo + 1 + k, hi)]
-    return xy[keep]
-
-
-def _crosses_itself(xy: np.ndarray) -> bool:
-    """Any two edges of the ring that do not follow each other meet."""
-    p, r = xy[:-1], np.diff(xy, axis=0)
-    n = len(p)
-    for i in range(n - 2):
-        j = np.arange(i + 2, n - (i == 0))
-        if not len(j):
-            continue
-        w = p[j] - p[i]
-        a0 = r[i, 0] * w[:, 1] - r[i, 1] * w[:, 0]
-        a1 = a0 + r[i, 0] * r[j, 1] - r[i, 1] * r[j, 0]
-        b0 = r[j, 1] * w[:, 0] - r[j, 0] * w[:, 1]
-        b1 = b0 + r[j, 0] * r[i, 1] - r[j, 1] * r[i, 0]
-        if np.any((a0 * a1 <= 0) & (b0 * b1 <= 0) & ((a0 != 0) | (a1 != 0))):
-            return True
-    return False
-
-
-def _simplify_ring(xy: np.ndarray, tol: float) -> np.ndarray:
-    thin = _thin(xy, tol)
-    return xy if len(thin) < 4 or _crosses_itself(thin) else thin
-
-
 def simplify(rings: Column, tolerance: float = 0.001) -> Column:
     """Fewer points, none further than ``tolerance`` degrees from the old line.
     A ring that would collapse or cross itself is left as it was."""
     @F.arrow_udf(RINGS)
     def run(shapes: pa.Array) -> pa.Array:
-        return pack([
-            None if r is None else [(p, h, _simplify_ring(xy, tolerance)) for p, h, xy in r]
-            for r in _rows(shapes)
-        ])
+        null = shapes.is_null().to_numpy(zero_copy_only=False)
+        return to_arrow(simplified(unpack(shapes), tolerance), null)
 
     return run(rings)
 
@@ -165,7 +121,8 @@ def simplify(rings: Column, tolerance: float = 0.001) -> Column:
 # --- overlay of a pair -------------------------------------------------------
 
 def clip(left: Column, right: Column, with_geometry: bool = False, tolerance: float = TOLERANCE) -> Column:
-    """struct(hit, area_ha, area_deg, residual[, rings]) of an intersection."""
+    """struct(hit, area_ha, area_deg, residual[, rings]) of the intersection of
+    two packed shapes (``geom.pack_shape``)."""
     result = T.StructType().add("hit", T.BooleanType())
     for name in ("area_ha", "area_deg", "residual"):
         result = result.add(name, T.DoubleType())

@@ -56,6 +56,19 @@ def n_points(rings: Column) -> Column:
     return F.aggregate(rings, F.lit(0), lambda n, r: n + F.size(r["pts"]))
 
 
+def pack_shape(rings: Column) -> Column:
+    """Rings as one ``array<double>``: number of rings, then size and hole flag of
+    each, then x and y of every point. Joins copy and send this form, which is
+    contiguous, rather than nested structs."""
+    head = F.flatten(
+        F.transform(
+            rings, lambda r: F.array(F.size(r["pts"]).cast("double"), r["hole"].cast("double"))
+        )
+    )
+    xy = F.flatten(F.transform(all_points(rings), lambda p: F.array(p["x"], p["y"])))
+    return F.concat(F.array(F.size(rings).cast("double")), head, xy)
+
+
 def rectangle(x0: Column, y0: Column, x1: Column, y1: Column) -> Column:
     """One counter-clockwise rectangular ring."""
     return polygon([(x0, y0), (x1, y0), (x1, y1), (x0, y1)])

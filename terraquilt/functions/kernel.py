@@ -16,11 +16,20 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 
-from terraquilt.functions.packed import Shapes, pack, unpack
+from terraquilt.functions.packed import (
+    Shapes,
+    combinations,
+    from_rows,
+    offsets,
+    ranges,
+    signed_areas,
+    stack,
+    to_arrow,
+    unpack_shapes,
+)
 from terraquilt.model import EARTH_RADIUS_M, ECC, ECC2, SQM_PER_HA
 
 TOLERANCE = 1e-9  # degrees; about a tenth of a millimetre
-_CHUNK = 2_000_000  # edge combinations examined at once
 
 
 def cea_y(lat: np.ndarray) -> np.ndarray:
@@ -42,28 +51,16 @@ class Edges:
         return Edges(*(getattr(self, f)[keep] for f in ("row", "ring", "x0", "y0", "x1", "y1")))
 
 
-def _signed_areas(s: Shapes) -> np.ndarray:
-    sizes = np.diff(s.ring_at)
-    ring = np.repeat(np.arange(len(sizes)), sizes)
-    first = s.ring_at[:-1][ring]
-    x, y = s.x - s.x[first], s.y - s.y[first]
-    cross = np.zeros(len(x))
-    cross[:-1] = x[:-1] * y[1:] - x[1:] * y[:-1]
-    cross[s.ring_at[1:][sizes > 0] - 1] = 0.0
-    return np.bincount(ring, cross, len(sizes)) / 2
-
-
 def _edges(s: Shapes, ox: np.ndarray, oy: np.ndarray) -> Edges:
     """Directed edges relative to each pair's origin, exteriors running
     counter-clockwise and holes clockwise whatever the input did."""
-    sizes = np.diff(s.ring_at)
-    n = np.maximum(sizes - 1, 0)
+    n = np.maximum(s.sizes - 1, 0)
     ring = np.repeat(np.arange(len(n)), n)
-    pos = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-    wrong = (_signed_areas(s) > 0) == s.ring_hole
+    pos = ranges(n)
+    wrong = (signed_areas(s) > 0) == s.ring_hole
     back = wrong[ring]
     start = s.ring_at[:-1][ring]
-    last = sizes[ring] - 1
+    last = s.sizes[ring] - 1
     i = start + np.where(back, last - pos, pos)
     j = start + np.where(back, last - pos - 1, pos + 1)
     row = s.ring_row[ring]
@@ -72,34 +69,20 @@ def _edges(s: Shapes, ox: np.ndarray, oy: np.ndarray) -> Edges:
 
 
 def _row_bounds(s: Shapes):
-    row = s.ring_row[np.repeat(np.arange(len(s.ring_at) - 1), np.diff(s.ring_at))]
+    """Bounding box of each row; an empty row gets an inverted, infinite box."""
+    points = np.bincount(s.ring_row, s.sizes, s.rows).astype(np.int64)
+    full = points > 0
+    first = offsets(points)[:-1][full]
     out = []
     for v, f, empty in ((s.x, np.minimum, np.inf), (s.y, np.minimum, np.inf),
                         (s.x, np.maximum, -np.inf), (s.y, np.maximum, -np.inf)):
-        acc = np.full(s.rows, empty)
-        f.at(acc, row, v)
-        out.append(acc)
+        box = np.full(s.rows, empty)
+        if len(first):
+            box[full] = f.reduceat(v, first)
+        out.append(box)
     return out
 
 
-def _combinations(rows_a: np.ndarray, rows_b: np.ndarray, n_rows: int):
-    """Index pairs (i, j) with rows_a[i] == rows_b[j], in bounded chunks.
-    ``rows_b`` is ascending."""
-    count = np.bincount(rows_b, minlength=n_rows)
-    first = np.cumsum(count) - count
-    per_a = count[rows_a]
-    upto = np.cumsum(per_a)
-    lo = 0
-    while lo < len(rows_a):
-        base = upto[lo - 1] if lo else 0
-        hi = max(int(np.searchsorted(upto, base + _CHUNK, side="right")), lo + 1)
-        reps = per_a[lo:hi]
-        i = np.repeat(np.arange(lo, hi), reps)
-        inner = np.arange(reps.sum()) - np.repeat(np.cumsum(reps) - reps, reps)
-        yield i, first[rows_a[i]] + inner
-        lo = hi
-
-
 def _near_boxes(e: Edges, lo_x, lo_y, hi_x, hi_y, tol: float) -> np.ndarray:
     return (
         (np.maximum(e.x0, e.x1) >= lo_x[e.row] - tol)
@@ -124,14 +107,14 @@ def _meet(a: Edges, b: Edges, n_rows: int, tol: float):
         cut = (iq[inner], (along / length)[inner], p.x0[ip[inner]], p.y0[ip[inner]])
         return ip[hit], cut
 
-    for i, j in _combinations(a.row, b.row, n_rows):
-        near = (
-            (np.minimum(a.x0[i], a.x1[i]) <= np.maximum(b.x0[j], b.x1[j]) + tol)
-            & (np.minimum(b.x0[j], b.x1[j]) <= np.maximum(a.x0[i], a.x1[i]) + tol)
-            & (np.minimum(a.y0[i], a.y1[i]) <= np.maximum(b.y0[j], b.y1[j]) + tol)
-            & (np.minimum(b.y0[j], b.y1[j]) <= np.maximum(a.y0[i], a.y1[i]) + tol)
-        )
-        i, j = i[near], j[near]
+    ax0, ax1 = np.minimum(a.x0, a.x1) - tol, np.maximum(a.x0, a.x1) + tol
+    ay0, ay1 = np.minimum(a.y0, a.y1) - tol, np.maximum(a.y0, a.y1) + tol
+    bx0, bx1 = np.minimum(b.x0, b.x1), np.maximum(b.x0, b.x1)
+    by0, by1 = np.minimum(b.y0, b.y1), np.maximum(b.y0, b.y1)
+    for i, j in combinations(a.row, b.row, n_rows):
+        for lo, hi, other_lo, other_hi in ((ax0, ax1, bx0, bx1), (ay0, ay1, by0, by1)):
+            near = (lo[i] <= other_hi[j]) & (other_lo[j] <= hi[i])
+            i, j = i[near], j[near]
         rx, ry = a.x1[i] - a.x0[i], a.y1[i] - a.y0[i]
         sx, sy = b.x1[j] - b.x0[j], b.y1[j] - b.y0[j]
         la, lb = np.hypot(rx, ry), np.hypot(sx, sy)
@@ -175,6 +158,7 @@ class Pieces:
     x1: np.ndarray
     y1: np.ndarray
     run: np.ndarray  # pieces of one run lie on the same side of the other shape
+    met: np.ndarray  # the start point lies on the other boundary
 
 
 def _split(e: Edges, cuts: list, touches: np.ndarray, tol: float) -> Pieces:
@@ -202,19 +186,42 @@ def _split(e: Edges, cuts: list, touches: np.ndarray, tol: float) -> Pieces:
         & ~touches[1:]
     )
     run = np.cumsum(~(first & follows[index]))
+    met = ~first | touches[index]
     keep = np.hypot(x1 - x, y1 - y) > tol
-    return Pieces(e.row[index][keep], x[keep], y[keep], x1[keep], y1[keep], run[keep])
+    return Pieces(e.row[index][keep], x[keep], y[keep], x1[keep], y1[keep], run[keep], met[keep])
 
 
-def _key(row, x0, y0, x1, y1, tol: float) -> np.ndarray:
-    """64-bit mix of a pair number and two grid-rounded end points."""
+def _mix(row: np.ndarray, *coordinates: np.ndarray, tol: float) -> np.ndarray:
+    """64-bit mix of pair numbers and grid-rounded coordinates."""
     h = row.astype(np.uint64)
-    for v in (x0, y0, x1, y1):
+    for v in coordinates:
         h = (h ^ np.rint(v / tol).astype(np.int64).astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
         h ^= h >> np.uint64(29)
     return h
 
 
+def _among(values: np.ndarray, table: np.ndarray) -> np.ndarray:
+    if not len(table):
+        return np.zeros(len(values), bool)
+    table = np.sort(table)
+    at = np.searchsorted(table, values)
+    return table[np.minimum(at, len(table) - 1)] == values
+
+
+def _shared(a: Pieces, b: Pieces, tol: float):
+    """Pieces lying on both boundaries: of A running the same way as one of B, of
+    A running against one, and of B either way. Such a piece starts at a point
+    on both boundaries, which leaves few to compare."""
+    ma, mb = a.met, b.met
+    fa = _mix(a.row[ma], a.x0[ma], a.y0[ma], a.x1[ma], a.y1[ma], tol=tol)
+    fb = _mix(b.row[mb], b.x0[mb], b.y0[mb], b.x1[mb], b.y1[mb], tol=tol)
+    rb = _mix(b.row[mb], b.x1[mb], b.y1[mb], b.x0[mb], b.y0[mb], tol=tol)
+    same, against, of_b = np.zeros(len(a.row), bool), np.zeros(len(a.row), bool), np.zeros(len(b.row), bool)
+    same[ma], against[ma] = _among(fa, fb), _among(fa, rb)
+    of_b[mb] = _among(fb, fa) | _among(rb, fa)
+    return same, against, of_b
+
+
 def _inside(p: Pieces, other: Edges, n_rows: int) -> np.ndarray:
     """Even-odd test of one midpoint per run against the other shape."""
     if len(p.row) == 0:
@@ -227,7 +234,7 @@ def _inside(p: Pieces, other: Edges, n_rows: int) -> np.ndarray:
     rep = order[head]
     mx, my, row = (p.x0[rep] + p.x1[rep]) / 2, (p.y0[rep] + p.y1[rep]) / 2, p.row[rep]
     odd = np.zeros(len(rep), np.int64)
-    for i, j in _combinations(row, other.row, n_rows):
+    for i, j in combinations(row, other.row, n_rows):
         across = (other.y0[j] <= my[i]) != (other.y1[j] <= my[i])
         i, j = i[across], j[across]
         at = other.x0[j] + (my[i] - other.y0[j]) * (other.x1[j] - other.x0[j]) / (other.y1[j] - other.y0[j])
@@ -239,11 +246,7 @@ def _inside(p: Pieces, other: Edges, n_rows: int) -> np.ndarray:
 def _kept(a: Edges, b: Edges, full_a: Edges, full_b: Edges, n_rows: int, tol: float):
     cuts_a, cuts_b, on_a, on_b, touched = _meet(a, b, n_rows, tol)
     pa_, pb = _split(a, cuts_a, on_a, tol), _split(b, cuts_b, on_b, tol)
-    fwd_a = _key(pa_.row, pa_.x0, pa_.y0, pa_.x1, pa_.y1, tol)
-    fwd_b = _key(pb.row, pb.x0, pb.y0, pb.x1, pb.y1, tol)
-    rev_b = _key(pb.row, pb.x1, pb.y1, pb.x0, pb.y0, tol)
-    same_a, against_a = np.isin(fwd_a, fwd_b), np.isin(fwd_a, rev_b)
-    shared_b = np.isin(fwd_b, fwd_a) | np.isin(rev_b, fwd_a)
+    same_a, against_a, shared_b = _shared(pa_, pb, tol)
     keep_a = same_a | (~against_a & _own_run(pa_, same_a | against_a, full_b, n_rows))
     keep_b = ~shared_b & _own_run(pb, shared_b, full_a, n_rows)
     out = [np.concatenate([getattr(pa_, f)[keep_a], getattr(pb, f)[keep_b]])
@@ -255,7 +258,7 @@ def _own_run(p: Pieces, shared: np.ndarray, other: Edges, n_rows: int) -> np.nda
     """Side of each piece that is not shared; shared pieces stay out of it."""
     free = ~shared
     side = np.zeros(len(p.row), bool)
-    rest = Pieces(*(getattr(p, f)[free] for f in ("row", "x0", "y0", "x1", "y1", "run")))
+    rest = Pieces(*(getattr(p, f)[free] for f in ("row", "x0", "y0", "x1", "y1", "run", "met")))
     side[free] = _inside(rest, other, n_rows)
     return side
 
@@ -316,13 +319,91 @@ def _as_rings(loops: list) -> list:
     return [ring for part in out for ring in part]
 
 
+def _cycles(nxt: np.ndarray):
+    """Smallest member of each piece's cycle, and steps to the cycle's last piece.
+    Both by pointer doubling, so a ring of n pieces takes log n rounds."""
+    label, jump = np.arange(len(nxt)), nxt
+    while True:
+        lower = np.minimum(label, label[jump])
+        if np.array_equal(lower, label):
+            break
+        label, jump = lower, jump[jump]
+    last = nxt == label
+    jump = np.where(last, np.arange(len(nxt)), nxt)
+    steps = np.where(last, 0, 1)
+    while not last[jump].all():
+        steps = steps + steps[jump]
+        jump = jump[jump]
+    return label, steps
+
+
+def _link(row, x0, y0, x1, y1, n_rows: int, tol: float):
+    """Next piece of every piece, and the rows where that is not one to one
+    because the boundary touches itself."""
+    start, end = _mix(row, x0, y0, tol=tol), _mix(row, x1, y1, tol=tol)
+    tangled = np.zeros(n_rows, bool)
+    order = np.argsort(start, kind="stable")
+    ranked = start[order]
+    tangled[row[order[1:]][ranked[1:] == ranked[:-1]]] = True
+    by_end = np.argsort(end, kind="stable")
+    tangled[row[by_end[1:]][end[by_end][1:] == end[by_end][:-1]]] = True
+    at = np.minimum(np.searchsorted(ranked, end), max(len(ranked) - 1, 0))
+    tangled[row[ranked[at] != end]] = True
+    return order[at], tangled
+
+
+def _stitch(row, x0, y0, x1, y1, n_rows: int, tol: float) -> Shapes:
+    """Kept pieces of all pairs to closed rings."""
+    order = np.argsort(row, kind="stable")
+    row, x0, y0, x1, y1 = (v[order] for v in (row, x0, y0, x1, y1))
+    nxt, tangled = _link(row, x0, y0, x1, y1, n_rows, tol)
+    plain = np.flatnonzero(~tangled[row])
+    number = np.zeros(len(row), np.int64)
+    number[plain] = np.arange(len(plain))
+    label, steps = _cycles(number[nxt[plain]])
+    walk = np.lexsort((-steps, label))
+    piece, label = plain[walk], label[walk]
+    head = np.ones(len(label), bool)
+    head[1:] = label[1:] != label[:-1]
+    count = np.diff(np.append(np.flatnonzero(head), len(label)))
+    first = np.cumsum(count) - count
+    long = count > 2
+    count, first = count[long], first[long]
+    take = piece[np.repeat(first, count + 1) + ranges(count + 1) % np.repeat(np.maximum(count, 1), count + 1)]
+    ring_row = row[piece[first]]
+    rings = Shapes(n_rows, ring_row, np.zeros(len(count), np.int32), np.zeros(len(count), bool),
+                   offsets(count + 1), x0[take], y0[take])
+    per_row = np.bincount(ring_row, minlength=n_rows)
+    rings.ring_part = ranges(per_row[per_row > 0]).astype(np.int32)
+    # Boundaries that touch themselves and shapes with holes need the slow walk.
+    slow = tangled.copy()
+    slow[ring_row[signed_areas(rings) < 0]] = True
+    if not slow.any():
+        return rings
+    rings = _without(rings, slow)
+    at = np.searchsorted(row, np.arange(n_rows + 1))
+    shapes: list = [None] * n_rows
+    for i in np.flatnonzero(slow):
+        k = slice(at[i], at[i + 1])
+        shapes[i] = _as_rings(_assemble(x0[k], y0[k], x1[k], y1[k], tol))
+    return stack(rings, from_rows(shapes)[0])
+
+
+def _without(s: Shapes, rows: np.ndarray) -> Shapes:
+    keep = ~rows[s.ring_row]
+    points = np.repeat(keep, s.sizes)
+    return Shapes(s.rows, s.ring_row[keep], s.ring_part[keep], s.ring_hole[keep],
+                  offsets(s.sizes[keep]), s.x[points], s.y[points])
+
+
 def intersect(left: pa.Array, right: pa.Array, with_geometry: bool, tol: float = TOLERANCE) -> pa.StructArray:
-    """struct(hit, area_ha, area_deg, residual[, rings]) for each pair.
+    """struct(hit, area_ha, area_deg, residual[, rings]) for each pair of packed
+    shapes.
 
     ``hit`` is the closed intersects test, ``residual`` the closure error of the
     kept boundary in degrees: clearly above ``tol`` only for invalid input.
     """
-    sa, sb = unpack(left), unpack(right)
+    sa, sb = unpack_shapes(left), unpack_shapes(right)
     n = sa.rows
     xa0, ya0, xa1, ya1 = _row_bounds(sa)
     xb0, yb0, xb1, yb1 = _row_bounds(sb)
@@ -349,12 +430,8 @@ def intersect(left: pa.Array, right: pa.Array, with_geometry: bool, tol: float =
         "residual": pa.array(gap),
     }
     if with_geometry:
-        order = np.argsort(row, kind="stable")
-        at = np.searchsorted(row[order], np.arange(n + 1))
-        shapes = []
-        for i in range(n):
-            k = order[at[i]:at[i + 1]]
-            loops = _assemble(x0[k], y0[k], x1[k], y1[k], tol) if len(k) else []
-            shapes.append(_as_rings([xy + (ox[i], oy[i]) for xy in loops]))
-        columns["rings"] = pack(shapes)
+        rings = _stitch(row, x0, y0, x1, y1, n, tol)
+        at = np.repeat(rings.ring_row, rings.sizes)
+        rings.x, rings.y = rings.x + ox[at], rings.y + oy[at]
+        columns["rings"] = to_arrow(rings)
     return pa.StructArray.from_arrays(list(columns.values()), names=list(columns))

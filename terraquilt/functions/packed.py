@@ -1,4 +1,10 @@
-"""Arrow ``rings`` arrays to and from flat numpy arrays, for use inside tasks."""
+"""Geometry batches as flat numpy arrays, for use inside tasks.
+
+Two Arrow forms are read: the nested ``rings`` type and the packed form that
+joins carry, one ``array<double>`` per shape holding the number of rings, then
+size and hole flag of each ring, then x and y of every point. The packed form is
+made by Columns (``geom.pack_shape``) and costs a plain memory copy per row.
+"""
 
 from __future__ import annotations
 
@@ -7,17 +13,17 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 
+CHUNK = 200_000  # index pairs looked at together; small enough to stay in cache
 ARROW_POINT = pa.struct([("x", pa.float64()), ("y", pa.float64())])
 ARROW_RING = pa.struct(
     [("part", pa.int32()), ("hole", pa.bool_()), ("pts", pa.list_(ARROW_POINT))]
 )
-ARROW_RINGS = pa.list_(ARROW_RING)
 
 
 @dataclass
 class Shapes:
-    """One batch of geometries. Ring ``i`` belongs to row ``ring_row[i]`` and
-    owns points ``ring_at[i]:ring_at[i + 1]``."""
+    """One batch of geometries. Ring ``i`` belongs to row ``ring_row[i]``
+    (ascending) and owns points ``ring_at[i]:ring_at[i + 1]``."""
 
     rows: int
     ring_row: np.ndarray
@@ -27,45 +33,139 @@ class Shapes:
     x: np.ndarray
     y: np.ndarray
 
+    @property
+    def sizes(self) -> np.ndarray:
+        return np.diff(self.ring_at)
+
+
+def ranges(counts: np.ndarray) -> np.ndarray:
+    """0..count-1 for every count, one after the other."""
+    return np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
+
+
+def offsets(counts: np.ndarray) -> np.ndarray:
+    return np.concatenate([[0], np.cumsum(counts)]).astype(np.int64)
+
+
+def combinations(rows_a: np.ndarray, rows_b: np.ndarray, n_rows: int):
+    """Index pairs (i, j) with rows_a[i] == rows_b[j], in bounded chunks.
+    ``rows_b`` is ascending."""
+    count = np.bincount(rows_b, minlength=n_rows)
+    first = np.cumsum(count) - count
+    per_a = count[rows_a]
+    upto = np.cumsum(per_a)
+    lo = 0
+    while lo < len(rows_a):
+        base = upto[lo - 1] if lo else 0
+        hi = max(int(np.searchsorted(upto, base + CHUNK, side="right")), lo + 1)
+        reps = per_a[lo:hi]
+        i = np.repeat(np.arange(lo, hi), reps)
+        yield i, first[rows_a[i]] + ranges(reps)
+        lo = hi
+
+
+def signed_areas(s: Shapes) -> np.ndarray:
+    """Planar area of each ring, positive when it runs counter-clockwise."""
+    ring = np.repeat(np.arange(len(s.sizes)), s.sizes)
+    first = s.ring_at[:-1][ring]
+    x, y = s.x - s.x[first], s.y - s.y[first]
+    cross = np.zeros(len(x))
+    cross[:-1] = x[:-1] * y[1:] - x[1:] * y[:-1]
+    cross[s.ring_at[1:][s.sizes > 0] - 1] = 0.0
+    return np.bincount(ring, cross, len(s.sizes)) / 2
+
 
 def unpack(rings: pa.Array) -> Shapes:
-    if isinstance(rings, pa.ChunkedArray):
-        rings = rings.combine_chunks()
+    """Nested ``rings`` to flat arrays; null rows have no rings."""
     counts = rings.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
     flat = rings.flatten()
     pts = flat.field("pts")
-    sizes = pts.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
     xy = pts.flatten()
     return Shapes(
         rows=len(rings),
         ring_row=np.repeat(np.arange(len(rings)), counts),
         ring_part=flat.field("part").to_numpy(zero_copy_only=False),
         ring_hole=flat.field("hole").to_numpy(zero_copy_only=False).astype(bool),
-        ring_at=np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64),
+        ring_at=offsets(pts.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)),
         x=xy.field("x").to_numpy(zero_copy_only=False),
         y=xy.field("y").to_numpy(zero_copy_only=False),
     )
 
 
-def pack(rows: list) -> pa.Array:
-    """Rows of ``None`` or ``[(part, hole, xy-array), ...]`` to an Arrow array."""
-    counts = [0 if r is None else len(r) for r in rows]
-    rings = [ring for r in rows if r is not None for ring in r]
-    pts = [xy for _, _, xy in rings]
-    xy = np.concatenate(pts) if pts else np.empty((0, 2))
+def unpack_shapes(shapes: pa.Array) -> Shapes:
+    """Packed ``array<double>`` shapes to flat arrays."""
+    length = shapes.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+    flat = shapes.flatten().to_numpy(zero_copy_only=False)
+    at = offsets(length)[:-1]
+    rings = np.zeros(len(length), np.int64)
+    full = length > 0
+    rings[full] = flat[at[full]]
+    ring_row = np.repeat(np.arange(len(length)), rings)
+    head = at[ring_row] + 1 + 2 * ranges(rings)
+    points = (length - 1 - 2 * rings) // 2
+    points[~full] = 0
+    xy = np.repeat(at + 1 + 2 * rings, points) + 2 * ranges(points)
+    return Shapes(
+        rows=len(length),
+        ring_row=ring_row,
+        ring_part=np.zeros(len(ring_row), np.int32),
+        ring_hole=flat[head + 1] > 0,
+        ring_at=offsets(flat[head].astype(np.int64)),
+        x=flat[xy],
+        y=flat[xy + 1],
+    )
+
+
+def to_arrow(s: Shapes, null: np.ndarray | None = None) -> pa.Array:
+    """Flat arrays to the nested ``rings`` type."""
     points = pa.StructArray.from_arrays(
-        [pa.array(np.ascontiguousarray(xy[:, i])) for i in (0, 1)], fields=list(ARROW_POINT)
+        [pa.array(np.ascontiguousarray(v, dtype=np.float64)) for v in (s.x, s.y)], fields=list(ARROW_POINT)
     )
-    ring_at = np.concatenate([[0], np.cumsum([len(p) for p in pts])]).astype(np.int32)
     ring = pa.StructArray.from_arrays(
         [
-            pa.array([p for p, _, _ in rings], pa.int32()),
-            pa.array([h for _, h, _ in rings], pa.bool_()),
-            pa.ListArray.from_arrays(pa.array(ring_at), points),
+            pa.array(s.ring_part.astype(np.int32)),
+            pa.array(s.ring_hole.astype(bool)),
+            pa.ListArray.from_arrays(pa.array(s.ring_at.astype(np.int32)), points),
         ],
         fields=list(ARROW_RING),
     )
-    row_at = np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)
-    return pa.ListArray.from_arrays(
-        pa.array(row_at), ring, mask=pa.array([r is None for r in rows], pa.bool_())
+    at = offsets(np.bincount(s.ring_row, minlength=s.rows)).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(at), ring, mask=None if null is None else pa.array(null))
+
+
+def from_rows(rows: list) -> tuple[Shapes, np.ndarray]:
+    """Rows of ``None`` or ``[(part, hole, xy), ...]`` as shapes and null flags."""
+    rings = [(i, *ring) for i, r in enumerate(rows) if r is not None for ring in r]
+    xy = np.concatenate([r[3] for r in rings]) if rings else np.empty((0, 2))
+    shapes = Shapes(
+        rows=len(rows),
+        ring_row=np.array([r[0] for r in rings], np.int64),
+        ring_part=np.array([r[1] for r in rings], np.int32),
+        ring_hole=np.array([r[2] for r in rings], bool),
+        ring_at=offsets(np.array([len(r[3]) for r in rings], np.int64)),
+        x=xy[:, 0],
+        y=xy[:, 1],
+    )
+    return shapes, np.array([r is None for r in rows], bool)
+
+
+def pack(rows: list) -> pa.Array:
+    return to_arrow(*from_rows(rows))
+
+
+def stack(a: Shapes, b: Shapes) -> Shapes:
+    """Rings of two batches over the same rows, in row order."""
+    row = np.concatenate([a.ring_row, b.ring_row])
+    order = np.argsort(row, kind="stable")
+    size = np.concatenate([a.sizes, b.sizes])[order]
+    start = np.concatenate([a.ring_at[:-1], b.ring_at[:-1] + len(a.x)])[order]
+    take = np.repeat(start, size) + ranges(size)
+    return Shapes(
+        a.rows,
+        row[order],
+        np.concatenate([a.ring_part, b.ring_part])[order],
+        np.concatenate([a.ring_hole, b.ring_hole])[order],
+        offsets(size),
+        np.concatenate([a.x, b.x])[take],
+        np.concatenate([a.y, b.y])[take],
     )

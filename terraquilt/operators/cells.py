@@ -11,8 +11,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from terraquilt.functions.geom import n_points
-
 BROADCAST_BYTES = 128 * 1024 * 1024
 # A cell is hot when it holds more than this share of a side's cell rows, so
 # there are at most HOT_SHARES hot cells per side, however large the layer is.
@@ -49,13 +47,13 @@ def suggest_cell(left: DataFrame, right: DataFrame) -> float:
     return max(max(widths), 1e-6)
 
 
-def fits_broadcast(df: DataFrame, rings: str = "rings", limit: int = BROADCAST_BYTES) -> bool:
-    """Measure a layer (one aggregate over it): true when its rows and points,
-    as Spark holds them, stay under ``limit`` bytes."""
+def fits_broadcast(df: DataFrame, shape: str, limit: int = BROADCAST_BYTES) -> bool:
+    """Measure a side (one aggregate over it): true when its rows and packed
+    shapes stay under ``limit`` bytes."""
     row = df.agg(
-        F.count(F.lit(1)).alias("rows"), F.sum(n_points(F.col(rings))).alias("points")
+        F.count(F.lit(1)).alias("rows"), F.sum(F.size(shape)).alias("numbers")
     ).first()
-    return 200 * row["rows"] + 32 * (row["points"] or 0) <= limit
+    return 200 * row["rows"] + 8 * (row["numbers"] or 0) <= limit
 
 
 def _hot_cells(df: DataFrame, shares: str) -> DataFrame:

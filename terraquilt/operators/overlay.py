@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from terraquilt.functions.codec import clip
-from terraquilt.functions.geom import bbox_of, contains_point
+from terraquilt.functions.geom import bbox_of, contains_point, pack_shape
 from terraquilt.functions.kernel import TOLERANCE
 from terraquilt.operators.cells import candidate_pairs, fits_broadcast, with_cells
 
@@ -19,13 +19,21 @@ def _attributes(df: DataFrame) -> list:
 
 
 def _sides(left: DataFrame, right: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Rename geometry to l_*/r_*; attribute names that differ at most in case
-    get the suffixes _1 and _2, since Spark cannot tell them apart."""
+    """Geometry packed and named l_*/r_*; attribute names that differ at most in
+    case get the suffixes _1 and _2, since Spark cannot tell them apart."""
     shared = {c.lower() for c in _attributes(left)} & {c.lower() for c in _attributes(right)}
     out = []
     for df, side, suffix in ((left, "l", "_1"), (right, "r", "_2")):
-        names = {c: c + suffix for c in _attributes(df) if c.lower() in shared}
-        out.append(df.withColumnsRenamed({**names, "rings": f"{side}_rings", "bbox": f"{side}_bbox"}))
+        out.append(
+            df.select(
+                *[
+                    F.col(f"`{c}`").alias(c + suffix if c.lower() in shared else c)
+                    for c in _attributes(df)
+                ],
+                pack_shape(F.col("rings")).alias(f"{side}_shape"),
+                F.col("bbox").alias(f"{side}_bbox"),
+            )
+        )
     return out[0], out[1]
 
 
@@ -34,7 +42,7 @@ def _pairs(left: DataFrame, right: DataFrame, cell: float, broadcast_left: bool
     caller decides, its cell rows are measured and broadcast only if they fit."""
     l, r = _sides(left, right)
     if broadcast_left is None:
-        broadcast_left = fits_broadcast(with_cells(l, "l_bbox", cell), "l_rings")
+        broadcast_left = fits_broadcast(with_cells(l, "l_bbox", cell), "l_shape")
     return candidate_pairs(l, r, cell, broadcast_left)
 
 
@@ -57,12 +65,12 @@ def overlay_intersection(
     """
     pairs = _pairs(left, right, cell, broadcast_left)
     clipped = pairs.withColumn(
-        "clip", clip(F.col("l_rings"), F.col("r_rings"), with_geometry, tolerance)
+        "clip", clip(F.col("l_shape"), F.col("r_shape"), with_geometry, tolerance)
     )
     keep = F.col("clip.hit")
     if keep_geom_type:
         keep = keep & (F.col("clip.area_deg") > 0)
-    out = clipped.where(keep).drop("l_rings", "r_rings", "l_bbox", "r_bbox")
+    out = clipped.where(keep).drop("l_shape", "r_shape", "l_bbox", "r_bbox")
     out = out.select(*[F.col(f"`{c}`") for c in out.columns if c != "clip"], "clip.*").drop("hit")
     return out.withColumn("bbox", bbox_of(F.col("rings"))) if with_geometry else out
 
@@ -91,7 +99,7 @@ def points_within_place(points: DataFrame, place: DataFrame, lon: str = "x", lat
     shapes = place.select(F.col("rings").alias("l_rings"), F.col("bbox").alias("l_bbox"))
     cells = with_cells(shapes, "l_bbox", cell)
     if broadcast_left is None:
-        broadcast_left = fits_broadcast(cells, "l_rings")
+        broadcast_left = fits_broadcast(cells.select(pack_shape(F.col("l_rings")).alias("l_shape")), "l_shape")
     x, y = F.col(f"`{lon}`"), F.col(f"`{lat}`")
     if broadcast_left:
         cells = F.broadcast(cells)

@@ -28,6 +28,15 @@ def scan_parquet(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
+def balanced(df: DataFrame) -> DataFrame:
+    """A scan with fewer partitions than the cluster has cores (one small file,
+    say) spread over all of them, while its rows are still narrow. A scan that
+    is already wide enough is left alone. Meant for plain scans: looking at the
+    partitions of a query with shuffles would run it."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+
+
 def scan_external(spark: SparkSession, fmt: str, options: dict, table: str | None = None) -> DataFrame:
     """Any installed connector; credentials come in with ``options``."""
     reader = spark.read.format(fmt).options(**options)
