@@ -242,36 +242,45 @@ def snap(rings: Column, decimals: int = 9) -> Column:
     )
 
 
-def contains_point(rings: Column, x: Column, y: Column) -> Column:
-    """True when the point is inside the polygon or on its boundary."""
-    start = F.struct(
-        F.lit(False).alias("odd"),
-        F.lit(False).alias("edge"),
-        F.lit(None).cast("double").alias("x"),
-        F.lit(None).cast("double").alias("y"),
+def edges_of(shape: Column) -> Column:
+    """Edges of a packed shape: array<struct<k, x0, y0, x1, y1>>. The point after
+    the last one of a ring starts the next ring, so no edge leads to it."""
+    rings = shape[0].cast("int")
+
+    def number(k: Column) -> Column:
+        return F.get(shape, k.cast("int"))
+
+    sizes = F.transform(F.sequence(F.lit(1), rings), lambda i: number(2 * i - 1).cast("int"))
+    starts = F.transform(
+        F.sequence(F.lit(0), rings - 1),
+        lambda i: F.aggregate(F.slice(sizes, F.lit(1), i), F.lit(0), lambda a, n: a + n),
     )
+    first = 1 + 2 * rings
+    points = ((F.size(shape) - first) / 2).cast("int")
 
-    def step(acc: Column, p: Column) -> Column:
-        x0, y0, x1, y1 = acc["x"], acc["y"], p["x"], p["y"]
-        side = (x1 - x0) * (y - y0) - (x - x0) * (y1 - y0)
+    def edge(k: Column) -> Column:
+        corner = {"x0": 0, "y0": 1, "x1": 2, "y1": 3}
+        return F.struct((k + 1).alias("k"), *[number(first + 2 * k + i).alias(n) for n, i in corner.items()])
+
+    every = F.transform(F.sequence(F.lit(0), points - 2), edge)
+    return F.filter(every, lambda e: ~F.array_contains(starts, e["k"]))
+
+
+def contains_point(edges: Column, x: Column, y: Column) -> Column:
+    """True when the point is inside the shape with these edges or on one."""
+    def step(acc: Column, e: Column) -> Column:
+        side = (e["x1"] - e["x0"]) * (y - e["y0"]) - (x - e["x0"]) * (e["y1"] - e["y0"])
         on_edge = (
             (side == 0)
-            & x.between(F.least(x0, x1), F.greatest(x0, x1))
-            & y.between(F.least(y0, y1), F.greatest(y0, y1))
+            & x.between(F.least(e["x0"], e["x1"]), F.greatest(e["x0"], e["x1"]))
+            & y.between(F.least(e["y0"], e["y1"]), F.greatest(e["y0"], e["y1"]))
         )
         # The ray to the right meets the edge when the point lies left of it.
-        straddles = (y0 <= y) != (y1 <= y)
-        hits = straddles & ((side > 0) == (y1 > y0))
-        return F.struct(
-            (acc["odd"] != F.coalesce(hits, F.lit(False))).alias("odd"),
-            (acc["edge"] | F.coalesce(on_edge, F.lit(False))).alias("edge"),
-            x1.alias("x"),
-            y1.alias("y"),
-        )
+        hits = ((e["y0"] <= y) != (e["y1"] <= y)) & ((side > 0) == (e["y1"] > e["y0"]))
+        return F.struct((acc["odd"] != hits).alias("odd"), (acc["edge"] | on_edge).alias("edge"))
 
-    per_ring = F.transform(rings, lambda r: F.aggregate(r["pts"], start, step))
-    inside = F.aggregate(per_ring, F.lit(False), lambda odd, s: odd != s["odd"])
-    return inside | F.exists(per_ring, lambda s: s["edge"])
+    start = F.struct(F.lit(False).alias("odd"), F.lit(False).alias("edge"))
+    return F.aggregate(edges, start, step, lambda acc: acc["odd"] | acc["edge"])
 
 
 # --- nested coordinates <-> rings --------------------------------------------

@@ -11,7 +11,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-BROADCAST_BYTES = 128 * 1024 * 1024
 # A cell is hot when it holds more than this share of a side's cell rows, so
 # there are at most HOT_SHARES hot cells per side, however large the layer is.
 HOT_SHARES = 1024
@@ -47,15 +46,6 @@ def suggest_cell(left: DataFrame, right: DataFrame) -> float:
     return max(max(widths), 1e-6)
 
 
-def fits_broadcast(df: DataFrame, shape: str, limit: int = BROADCAST_BYTES) -> bool:
-    """Measure a side (one aggregate over it): true when its rows and packed
-    shapes stay under ``limit`` bytes."""
-    row = df.agg(
-        F.count(F.lit(1)).alias("rows"), F.sum(F.size(shape)).alias("numbers")
-    ).first()
-    return 200 * row["rows"] + 8 * (row["numbers"] or 0) <= limit
-
-
 def _hot_cells(df: DataFrame, shares: str) -> DataFrame:
     """Cells of one side that hold too many rows, with the number of shares to
     split them into. Lazy, over the box columns only."""
@@ -68,13 +58,13 @@ def _hot_cells(df: DataFrame, shares: str) -> DataFrame:
     )
 
 
-def _spread(df: DataFrame, hot: DataFrame, own: str, other: str, bbox: str, hash_cols: list) -> DataFrame:
+def _spread(df: DataFrame, hot: DataFrame, own: str, other: str) -> DataFrame:
     """Put each row of a hot cell in one share of its own side and copy it to
     every share of the other side. The share comes from a hash of the row, so a
     recomputed task makes the same choice."""
     spread = df.join(F.broadcast(hot), ["cx", "cy"], "left")
     n_own, n_other = F.coalesce(F.col(own), F.lit(1)), F.coalesce(F.col(other), F.lit(1))
-    mine = F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in hash_cols], F.col(bbox)), n_own).cast("int")
+    mine = F.pmod(F.xxhash64(*_telling(df)), n_own).cast("int")
     return (
         spread.withColumn(f"{own}_at", mine)
         .withColumn(f"{other}_at", F.explode(F.sequence(F.lit(0), n_other - 1)))
@@ -82,27 +72,26 @@ def _spread(df: DataFrame, hot: DataFrame, own: str, other: str, bbox: str, hash
     )
 
 
-def candidate_pairs(
-    left: DataFrame, right: DataFrame, cell: float, broadcast_left: bool
-) -> DataFrame:
-    """Pairs whose closed boxes overlap. ``left`` carries ``l_bbox`` and
-    ``right`` carries ``r_bbox``; the other column names must not collide.
-
-    With ``broadcast_left`` the (measured) left layer goes to every task and the
-    right one is not shuffled at all. Otherwise both are shuffled by cell, and
-    cells holding a large share of a side are split over many tasks.
-    """
-    lc, rc = with_cells(left, "l_bbox", cell), with_cells(right, "r_bbox", cell)
-    keys = ["cx", "cy"]
-    if broadcast_left:
-        lc = F.broadcast(lc)
+def spread_hot(left: DataFrame, right: DataFrame, split_left: bool = True) -> tuple[DataFrame, DataFrame, list]:
+    """Both sides of a join on cells with hot cells split, and the join keys.
+    Without ``split_left`` a right row stays single and left rows are copied."""
+    hot = _hot_cells(right.select("cx", "cy"), "r_share")
+    if split_left:
+        hot = hot.join(_hot_cells(left.select("cx", "cy"), "l_share"), ["cx", "cy"], "full")
     else:
-        hot = _hot_cells(lc.select("cx", "cy"), "l_share").join(
-            _hot_cells(rc.select("cx", "cy"), "r_share"), ["cx", "cy"], "full"
-        )
-        lc = _spread(lc, hot, "l_share", "r_share", "l_bbox", _plain(left))
-        rc = _spread(rc, hot, "r_share", "l_share", "r_bbox", _plain(right))
-        keys += ["l_share_at", "r_share_at"]
+        hot = hot.withColumn("l_share", F.lit(1))
+    return (
+        _spread(left, hot, "l_share", "r_share"),
+        _spread(right, hot, "r_share", "l_share"),
+        ["cx", "cy", "l_share_at", "r_share_at"],
+    )
+
+
+def cell_pairs(left: DataFrame, right: DataFrame, cell: float) -> DataFrame:
+    """Pairs whose closed boxes overlap, both sides shuffled by cell. ``left``
+    carries ``l_bbox`` and ``right`` carries ``r_bbox``; the other column names
+    must not collide."""
+    lc, rc, keys = spread_hot(with_cells(left, "l_bbox", cell), with_cells(right, "r_bbox", cell))
     rc = rc.withColumnsRenamed({k: f"r_{k}" for k in keys})
     lb, rb = F.col("l_bbox"), F.col("r_bbox")
     corner_x = F.greatest(lb["xmin"], rb["xmin"])
@@ -118,6 +107,7 @@ def candidate_pairs(
     return lc.join(rc, on).drop(*keys, *[f"r_{k}" for k in keys])
 
 
-def _plain(df: DataFrame) -> list:
-    """Columns that tell rows apart without touching their geometry."""
-    return [f.name for f in df.schema if f.dataType.typeName() not in ("array", "struct", "map")]
+def _telling(df: DataFrame) -> list:
+    """Columns that tell rows apart without hashing their geometry."""
+    heavy = ("array", "map")
+    return [F.col(f"`{f.name}`") for f in df.schema if f.dataType.typeName() not in heavy]

@@ -6,9 +6,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from terraquilt.functions.codec import clip
-from terraquilt.functions.geom import bbox_of, contains_point, pack_shape
+from terraquilt.functions.geom import bbox_of, contains_point, edges_of, pack_shape
 from terraquilt.functions.kernel import TOLERANCE
-from terraquilt.operators.cells import candidate_pairs, fits_broadcast, with_cells
+from terraquilt.operators.cells import cell_pairs, spread_hot
+from terraquilt.operators.windows import (
+    BROADCAST_BYTES,
+    levels_for,
+    measure,
+    window_pairs,
+    window_rows,
+)
 
 DEFAULT_CELL = 0.5
 GEOMETRY = ("rings", "bbox")
@@ -38,12 +45,16 @@ def _sides(left: DataFrame, right: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def _pairs(left: DataFrame, right: DataFrame, cell: float, broadcast_left: bool | None) -> DataFrame:
-    """Candidate pairs. The left layer is the one that may be small: unless the
-    caller decides, its cell rows are measured and broadcast only if they fit."""
+    """Candidate pairs. The left layer is the one that may be small: it is
+    measured, and broadcast only if its windows fit. Otherwise, or when the caller
+    knows that both sides are large, both are shuffled by cell."""
     l, r = _sides(left, right)
-    if broadcast_left is None:
-        broadcast_left = fits_broadcast(with_cells(l, "l_bbox", cell), "l_shape")
-    return candidate_pairs(l, r, cell, broadcast_left)
+    if broadcast_left is not False:
+        levels = levels_for(r, cell)
+        district = measure(l, cell, levels)
+        if broadcast_left or district.bytes <= BROADCAST_BYTES:
+            return window_pairs(l, r, cell, levels, district.cut)
+    return cell_pairs(l, r, cell)
 
 
 def overlay_intersection(
@@ -93,25 +104,36 @@ def points_within_place(points: DataFrame, place: DataFrame, lon: str = "x", lat
                         cell: float = DEFAULT_CELL, broadcast_left: bool | None = None) -> DataFrame:
     """Semi-join: points inside or on the boundary of any polygon in ``place``.
 
-    Points fall in one cell each, so the equi-join on cells meets every place
-    polygon whose box holds the point exactly once; no pair is repeated.
+    A point falls in one cell, and place polygons are cut to cells, so each point
+    is tested against the few vertices near it.
     """
-    shapes = place.select(F.col("rings").alias("l_rings"), F.col("bbox").alias("l_bbox"))
-    cells = with_cells(shapes, "l_bbox", cell)
-    if broadcast_left is None:
-        broadcast_left = fits_broadcast(cells.select(pack_shape(F.col("l_rings")).alias("l_shape")), "l_shape")
+    shapes = place.select(pack_shape(F.col("rings")).alias("l_shape"), F.col("bbox").alias("l_bbox"))
+    area = measure(shapes, cell, 1, 1)
+    rows = window_rows(shapes, cell, 1, area.cut, 1).select(
+        "cx", "cy", "l_bbox", edges_of(F.col("l_shape")).alias("l_edges")
+    )
     x, y = F.col(f"`{lon}`"), F.col(f"`{lat}`")
+    keys = ["cx", "cy"]
+    if broadcast_left is None:
+        broadcast_left = area.bytes <= BROADCAST_BYTES
     if broadcast_left:
-        cells = F.broadcast(cells)
+        rows = F.broadcast(rows)
+        spots = points.withColumns({"p_cx": F.floor(x / cell), "p_cy": F.floor(y / cell)})
+    else:
+        spots = points.withColumns({"cx": F.floor(x / cell), "cy": F.floor(y / cell)})
+        # Only the points of a hot cell are split; a point must stay in one share
+        # for the semi-join to return it once.
+        rows, spots, keys = spread_hot(rows, spots, split_left=False)
+        spots = spots.withColumnsRenamed({k: f"p_{k}" for k in keys})
     box = F.col("l_bbox")
     on = (
-        (F.floor(x / cell) == F.col("cx"))
-        & (F.floor(y / cell) == F.col("cy"))
-        & x.between(box["xmin"], box["xmax"])
+        x.between(box["xmin"], box["xmax"])
         & y.between(box["ymin"], box["ymax"])
-        & contains_point(F.col("l_rings"), x, y)
+        & contains_point(F.col("l_edges"), x, y)
     )
-    return points.join(cells, on, "left_semi")
+    for k in keys:
+        on = (F.col(k) == F.col(f"p_{k}")) & on
+    return spots.join(rows, on, "left_semi").drop(*[f"p_{k}" for k in keys])
 
 
 def polygons_within_place(layer: DataFrame, place: DataFrame, row_id: str,
