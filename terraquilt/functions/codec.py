@@ -11,9 +11,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from terraquilt.functions.geom import normalize
 from terraquilt.functions.kernel import TOLERANCE, intersect
-from terraquilt.functions.packed import pack, to_arrow, unpack
+from terraquilt.functions.packed import from_rows, oriented, to_arrow, unpack
 from terraquilt.functions.thin import simplified
 from terraquilt.model import RINGS
 
@@ -89,7 +88,9 @@ def _rows(rings: pa.Array) -> list:
 
 @F.arrow_udf(RINGS)
 def _wkb_to_rings(blobs: pa.Array) -> pa.Array:
-    return pack([None if b is None else _read_wkb(b) for b in blobs.to_pylist()])
+    rows = [None if b is None else _read_wkb(b) for b in blobs.to_pylist()]
+    shapes, null = from_rows(rows)
+    return to_arrow(oriented(shapes), null)
 
 
 @F.arrow_udf(T.BinaryType())
@@ -98,7 +99,8 @@ def _rings_to_wkb(rings: pa.Array) -> pa.Array:
 
 
 def rings_from_wkb(wkb: Column) -> Column:
-    return normalize(_wkb_to_rings(wkb))
+    """Polygon and multi-polygon WKB to normalised rings."""
+    return _wkb_to_rings(wkb)
 
 
 def to_wkb(rings: Column) -> Column:

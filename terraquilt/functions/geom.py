@@ -125,36 +125,38 @@ def reproject_points(lon: Column, lat: Column, crs: int | str, lon0: float = DEF
 
 # --- areas and centres -------------------------------------------------------
 
+# Python functions cannot be fed from an inner lambda that uses a variable of an
+# outer one (Spark then fails to run them), so no lambda below reaches outwards:
+# what an edge walk needs to remember travels in its accumulator.
+
 def _fold_edges(pts: Column, project: Callable, term: Callable) -> Column:
-    """Sum ``term(p, q)`` over the edges of a closed ring. Points are projected
+    """Sum ``term(p, q)`` over the edges of a closed ring. Points are taken
     relative to the first one, which keeps the products small."""
-    first = pts[0]
-    start = F.struct(F.lit(0.0).alias("s"), F.lit(0.0).alias("x"), F.lit(0.0).alias("y"))
+    ox, oy = project(pts[0])
+
+    def state(s, x, y, ox, oy) -> Column:
+        named = zip(("s", "x", "y", "ox", "oy"), (s, x, y, ox, oy))
+        return F.struct(*[c.alias(n) for n, c in named])
 
     def step(acc: Column, p: Column) -> Column:
-        x, y = project(p, first)
-        return F.struct(
-            (acc["s"] + term((acc["x"], acc["y"]), (x, y))).alias("s"),
-            x.alias("x"),
-            y.alias("y"),
-        )
+        x, y = project(p)
+        x, y = x - acc["ox"], y - acc["oy"]
+        return state(acc["s"] + term((acc["x"], acc["y"]), (x, y)), x, y, acc["ox"], acc["oy"])
 
-    return F.aggregate(pts, start, step, lambda acc: acc["s"])
+    zero = F.lit(0.0)
+    return F.aggregate(pts, state(zero, zero, zero, ox, oy), step, lambda acc: acc["s"])
 
 
 def _cross(p, q):
     return (p[0] * q[1] - q[0] * p[1]) / 2
 
 
-def _degrees(p: Column, first: Column):
-    return p["x"] - first["x"], p["y"] - first["y"]
-
+def _degrees(p: Column):
+    return p["x"], p["y"]
 
-def _cea_from(lon0: float | Column):
-    def project(p: Column, first: Column):
-        return cea_x(p["x"], lon0) - cea_x(first["x"], lon0), cea_y(p["y"]) - cea_y(first["y"])
 
-    return project
+def _cea(lon0: float | Column):
+    return lambda p: (cea_x(p["x"], lon0), cea_y(p["y"]))
 
 
 def _signed_sum(rings: Column, per_ring: Callable[[Column], Column]) -> Column:
@@ -165,7 +167,7 @@ def area_ha(rings: Column, lon0: float | Column = DEFAULT_LON0) -> Column:
     """Equal-area hectares; holes subtract. ``lon0`` shifts x only, so the
     result does not depend on it beyond rounding."""
     def one(r: Column) -> Column:
-        a = F.abs(_fold_edges(r["pts"], _cea_from(lon0), _cross))
+        a = F.abs(_fold_edges(r["pts"], _cea(lon0), _cross))
         return F.when(r["hole"], -a).otherwise(a)
 
     return _signed_sum(rings, one) / SQM_PER_HA
@@ -287,20 +289,22 @@ def contains_point(edges: Column, x: Column, y: Column) -> Column:
 
 def rings_from_parts(parts: Column) -> Column:
     """array<polygon<ring<[x, y]>>> to normalised rings."""
-    nested = F.transform(
-        parts,
-        lambda poly, i: F.transform(
-            poly,
-            lambda ring, j: F.struct(
-                i.cast("int").alias("part"),
-                (j > 0).alias("hole"),
-                F.transform(
-                    ring, lambda p: F.struct(p[0].alias("x"), p[1].alias("y"))
-                ).alias("pts"),
+    def numbered(poly: Column, i: Column) -> Column:
+        no = F.transform(poly, lambda ring, j: j)
+        return F.arrays_zip(poly, F.array_repeat(i, F.size(poly)), no).cast(
+            "array<struct<ring:array<array<double>>,part:int,no:int>>"
+        )
+
+    return normalize(
+        F.transform(
+            F.flatten(F.transform(parts, numbered)),
+            lambda z: F.struct(
+                z["part"].alias("part"),
+                (z["no"] > 0).alias("hole"),
+                F.transform(z["ring"], lambda p: F.struct(p[0].alias("x"), p[1].alias("y"))).alias("pts"),
             ),
-        ),
+        )
     )
-    return normalize(F.flatten(nested))
 
 
 def rings_from_wkt(wkt: Column) -> Column:

@@ -75,6 +75,14 @@ def signed_areas(s: Shapes) -> np.ndarray:
     return np.bincount(ring, cross, len(s.sizes)) / 2
 
 
+def oriented(s: Shapes) -> Shapes:
+    """The same rings, exteriors counter-clockwise and holes clockwise."""
+    back = np.repeat((signed_areas(s) > 0) == s.ring_hole, s.sizes)
+    start, pos = np.repeat(s.ring_at[:-1], s.sizes), ranges(s.sizes)
+    take = start + np.where(back, np.repeat(s.sizes, s.sizes) - 1 - pos, pos)
+    return Shapes(s.rows, s.ring_row, s.ring_part, s.ring_hole, s.ring_at, s.x[take], s.y[take])
+
+
 def unpack(rings: pa.Array) -> Shapes:
     """Nested ``rings`` to flat arrays; null rows have no rings."""
     counts = rings.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
