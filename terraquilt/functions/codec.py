@@ -19,6 +19,10 @@ from terraquilt.model import RINGS
 _WKB_POLYGON, _WKB_MULTIPOLYGON = 3, 6  # fixed values of the WKB format
 
 
+# The functions below are marked non-deterministic. They are not, but Spark would
+# otherwise push a filter on their result beneath them and run them twice.
+
+
 # --- WKB ---------------------------------------------------------------------
 
 def _read_wkb(blob: bytes) -> list:
@@ -100,11 +104,11 @@ def _rings_to_wkb(rings: pa.Array) -> pa.Array:
 
 def rings_from_wkb(wkb: Column) -> Column:
     """Polygon and multi-polygon WKB to normalised rings."""
-    return _wkb_to_rings(wkb)
+    return _wkb_to_rings.asNondeterministic()(wkb)
 
 
 def to_wkb(rings: Column) -> Column:
-    return _rings_to_wkb(rings)
+    return _rings_to_wkb.asNondeterministic()(rings)
 
 
 # --- simplification ----------------------------------------------------------
@@ -117,7 +121,7 @@ def simplify(rings: Column, tolerance: float = 0.001) -> Column:
         null = shapes.is_null().to_numpy(zero_copy_only=False)
         return to_arrow(simplified(unpack(shapes), tolerance), null)
 
-    return run(rings)
+    return run.asNondeterministic()(rings)
 
 
 # --- overlay of a pair -------------------------------------------------------
@@ -135,4 +139,4 @@ def clip(left: Column, right: Column, with_geometry: bool = False, tolerance: fl
     def run(a: pa.Array, b: pa.Array) -> pa.Array:
         return intersect(a, b, with_geometry, tolerance)
 
-    return run(left, right)
+    return run.asNondeterministic()(left, right)
