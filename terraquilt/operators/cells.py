@@ -12,9 +12,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # A cell is hot when it holds more than this share of a side's cell rows, so
-# there are at most HOT_SHARES hot cells per side, however large the layer is.
+# there are fewer than HOT_SHARES hot cells per side, however large the layer is,
+# and the table of hot cells can always be broadcast.
 HOT_SHARES = 1024
-HOT_MIN_ROWS = 100_000
+HOT_MIN_ROWS = 20_000
+FINEST = 32  # most parts a hot cell is divided into, each way
 
 
 def cover_cells(bbox: Column, cell: float) -> tuple[Column, Column]:
@@ -46,44 +48,78 @@ def suggest_cell(left: DataFrame, right: DataFrame) -> float:
     return max(max(widths), 1e-6)
 
 
-def _hot_cells(df: DataFrame, shares: str) -> DataFrame:
-    """Cells of one side that hold too many rows, with the number of shares to
-    split them into. Lazy, over the box columns only."""
-    counts = df.groupBy("cx", "cy").agg(F.count(F.lit(1)).alias("n"))
-    share = F.greatest(
-        F.ceil(df.agg(F.count(F.lit(1)).alias("n")).scalar() / HOT_SHARES), F.lit(HOT_MIN_ROWS)
-    )
-    return counts.where(F.col("n") > share).select(
-        "cx", "cy", F.ceil(F.col("n") / share).cast("int").alias(shares)
-    )
+def _hot(df: DataFrame, keys: list, *measures: Column) -> DataFrame:
+    """Cells of one side that hold too many rows, with ``n``, ``share`` (the row
+    count they should be cut down to) and further measures. Lazy, and over keys
+    and boxes only."""
+    total = df.agg(F.count(F.lit(1)).alias("n")).scalar()
+    share = F.greatest(F.ceil(total / HOT_SHARES), F.lit(HOT_MIN_ROWS))
+    counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), *measures)
+    return counts.withColumn("share", share).where(F.col("n") > F.col("share"))
+
+
+def refine(left: DataFrame, right: DataFrame, cell: float) -> tuple[DataFrame, DataFrame, list]:
+    """A finer grid inside hot cells whose shapes are much smaller than the cell.
+
+    Adds ``fine`` (parts each way, a power of two; 1 in all other cells) and the
+    part (``sx``, ``sy``); a row is listed under each part its box covers.
+    """
+    def crowded(df: DataFrame, side: str) -> DataFrame:
+        b = F.col(f"{side}_bbox")
+        width = F.avg(F.greatest(b["xmax"] - b["xmin"], b["ymax"] - b["ymin"])).alias(f"{side}_width")
+        return _hot(df.select("cx", "cy", b), ["cx", "cy"], width).select("cx", "cy", f"{side}_width")
+
+    hot = crowded(left, "l").join(crowded(right, "r"), ["cx", "cy"], "full")
+    width = F.greatest("l_width", "r_width", F.lit(cell / FINEST))
+    parts = F.pow(F.lit(2.0), F.greatest(F.floor(F.log2(cell / width)), F.lit(0)))
+    hot = hot.select("cx", "cy", parts.cast("bigint").alias("fine"))
 
+    def divided(df: DataFrame, bbox: Column) -> DataFrame:
+        df = df.join(F.broadcast(hot), ["cx", "cy"], "left")
+        fine = F.coalesce(F.col("fine"), F.lit(1).cast("bigint"))
+        df = df.withColumn("fine", fine)
 
-def _spread(df: DataFrame, hot: DataFrame, own: str, other: str) -> DataFrame:
+        def run(axis: str, at: str) -> Column:
+            first = F.floor(bbox[f"{axis}min"] * F.col("fine") / cell) - F.col(at) * F.col("fine")
+            last = F.floor(bbox[f"{axis}max"] * F.col("fine") / cell) - F.col(at) * F.col("fine")
+            zero = F.lit(0).cast("bigint")
+            return F.sequence(F.greatest(first, zero), F.least(last, F.col("fine") - 1))
+
+        return df.withColumn("sx", F.explode(run("x", "cx"))).withColumn("sy", F.explode(run("y", "cy")))
+
+    return divided(left, F.col("l_bbox")), divided(right, F.col("r_bbox")), ["cx", "cy", "sx", "sy"]
+
+
+def _spread(df: DataFrame, hot: DataFrame, keys: list, own: str, other: str) -> DataFrame:
     """Put each row of a hot cell in one share of its own side and copy it to
     every share of the other side. The share comes from a hash of the row, so a
     recomputed task makes the same choice."""
-    spread = df.join(F.broadcast(hot), ["cx", "cy"], "left")
+    mine = F.xxhash64(*_telling(df))
+    spread = df.join(F.broadcast(hot), keys, "left")
     n_own, n_other = F.coalesce(F.col(own), F.lit(1)), F.coalesce(F.col(other), F.lit(1))
-    mine = F.pmod(F.xxhash64(*_telling(df)), n_own).cast("int")
     return (
-        spread.withColumn(f"{own}_at", mine)
+        spread.withColumn(f"{own}_at", F.pmod(mine, n_own).cast("int"))
         .withColumn(f"{other}_at", F.explode(F.sequence(F.lit(0), n_other - 1)))
         .drop(own, other)
     )
 
 
-def spread_hot(left: DataFrame, right: DataFrame, split_left: bool = True) -> tuple[DataFrame, DataFrame, list]:
+def spread_hot(left: DataFrame, right: DataFrame, keys: list, split_left: bool = True) -> tuple[DataFrame, DataFrame, list]:
     """Both sides of a join on cells with hot cells split, and the join keys.
     Without ``split_left`` a right row stays single and left rows are copied."""
-    hot = _hot_cells(right.select("cx", "cy"), "r_share")
+    def shares(df: DataFrame, name: str) -> DataFrame:
+        parts = F.ceil(F.col("n") / F.col("share")).cast("int")
+        return _hot(df.select(*keys), keys).select(*keys, parts.alias(name))
+
+    hot = shares(right, "r_share")
     if split_left:
-        hot = hot.join(_hot_cells(left.select("cx", "cy"), "l_share"), ["cx", "cy"], "full")
+        hot = hot.join(shares(left, "l_share"), keys, "full")
     else:
         hot = hot.withColumn("l_share", F.lit(1))
     return (
-        _spread(left, hot, "l_share", "r_share"),
-        _spread(right, hot, "r_share", "l_share"),
-        ["cx", "cy", "l_share_at", "r_share_at"],
+        _spread(left, hot, keys, "l_share", "r_share"),
+        _spread(right, hot, keys, "r_share", "l_share"),
+        [*keys, "l_share_at", "r_share_at"],
     )
 
 
@@ -91,20 +127,18 @@ def cell_pairs(left: DataFrame, right: DataFrame, cell: float) -> DataFrame:
     """Pairs whose closed boxes overlap, both sides shuffled by cell. ``left``
     carries ``l_bbox`` and ``right`` carries ``r_bbox``; the other column names
     must not collide."""
-    lc, rc, keys = spread_hot(with_cells(left, "l_bbox", cell), with_cells(right, "r_bbox", cell))
+    lc, rc, keys = refine(with_cells(left, "l_bbox", cell), with_cells(right, "r_bbox", cell), cell)
+    lc, rc, keys = spread_hot(lc, rc.drop("fine"), keys)
     rc = rc.withColumnsRenamed({k: f"r_{k}" for k in keys})
     lb, rb = F.col("l_bbox"), F.col("r_bbox")
-    corner_x = F.greatest(lb["xmin"], rb["xmin"])
-    corner_y = F.greatest(lb["ymin"], rb["ymin"])
-    on = (
-        (corner_x <= F.least(lb["xmax"], rb["xmax"]))
-        & (corner_y <= F.least(lb["ymax"], rb["ymax"]))
-        & (F.floor(corner_x / cell) == F.col("cx"))
-        & (F.floor(corner_y / cell) == F.col("cy"))
-    )
+    on = F.lit(True)
+    for axis in ("x", "y"):
+        corner = F.greatest(lb[f"{axis}min"], rb[f"{axis}min"])
+        part = F.floor(corner * F.col("fine") / cell) - F.col(f"c{axis}") * F.col("fine")
+        on = on & (corner <= F.least(lb[f"{axis}max"], rb[f"{axis}max"])) & (part == F.col(f"s{axis}"))
     for k in keys:
         on = (F.col(k) == F.col(f"r_{k}")) & on
-    return lc.join(rc, on).drop(*keys, *[f"r_{k}" for k in keys])
+    return lc.join(rc, on).drop("fine", *keys, *[f"r_{k}" for k in keys])
 
 
 def _telling(df: DataFrame) -> list:

@@ -123,7 +123,7 @@ def points_within_place(points: DataFrame, place: DataFrame, lon: str = "x", lat
         spots = points.withColumns({"cx": F.floor(x / cell), "cy": F.floor(y / cell)})
         # Only the points of a hot cell are split; a point must stay in one share
         # for the semi-join to return it once.
-        rows, spots, keys = spread_hot(rows, spots, split_left=False)
+        rows, spots, keys = spread_hot(rows, spots, keys, split_left=False)
         spots = spots.withColumnsRenamed({k: f"p_{k}" for k in keys})
     box = F.col("l_bbox")
     on = (

@@ -7,7 +7,7 @@ import shutil
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
@@ -35,6 +35,15 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def materialized(df: DataFrame, name: str) -> DataFrame:
+    """Write an intermediate result to the scratch folder and read it back, where
+    several steps need it and computing it again would cost more. The files stay
+    until the folder is cleaned."""
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
 def ship_package(spark: SparkSession) -> None:
     """Send this package's code to the Python workers, once per session, so that
     Arrow functions can be imported wherever they run."""

@@ -88,26 +88,40 @@ def test_too_large_to_broadcast_is_shuffled(spark, shapes, expected, monkeypatch
     assert found(out).keys() == expected.keys()
 
 
-def test_hot_cells_are_split_and_nothing_is_lost(spark, shapes, expected, monkeypatch):
-    monkeypatch.setattr(cells, "HOT_MIN_ROWS", 3)
+@pytest.mark.parametrize("hot_rows, finest", [(3, 32), (3, 1), (40, 4)])
+def test_hot_cells_are_divided_and_nothing_is_lost(spark, shapes, expected, monkeypatch, hot_rows, finest):
+    monkeypatch.setattr(cells, "HOT_MIN_ROWS", hot_rows)
+    monkeypatch.setattr(cells, "FINEST", finest)
     left, right = layer(spark, shapes[0], "a"), layer(spark, shapes[1], "b")
     got = found(overlay.overlay_intersection(left, right, False, cell=2.0, broadcast_left=False))
     assert got.keys() == expected.keys()
     assert got == pytest.approx(expected, abs=1e-9)
 
 
-def test_hot_cell_rows_spread(spark, monkeypatch):
+def boxes(spark, shapes, name, side):
+    return layer(spark, shapes, name).withColumnsRenamed({"bbox": f"{side}_bbox"}).drop("rings")
+
+
+def test_copies_in_one_cell_spread_over_shares(spark, monkeypatch):
     monkeypatch.setattr(cells, "HOT_MIN_ROWS", 50)
-    same = [[square(0.1, 0.1, 0.2, 0.2)]] * 1000
-    right = layer(spark, same, "b").withColumnsRenamed({"bbox": "r_bbox"}).drop("rings")
-    left = layer(spark, [[square(0, 0, 0.9, 0.9)]], "a").withColumnsRenamed({"bbox": "l_bbox"}).drop("rings")
-    lc, rc, keys = cells.spread_hot(with_cells(left, "l_bbox", 1.0), with_cells(right, "r_bbox", 1.0))
+    right = boxes(spark, [[square(0.1, 0.1, 0.2, 0.2)]] * 1000, "b", "r")
+    left = boxes(spark, [[square(0, 0, 0.9, 0.9)]], "a", "l")
+    lc, rc, keys = cells.spread_hot(with_cells(left, "l_bbox", 1.0), with_cells(right, "r_bbox", 1.0), ["cx", "cy"])
     sizes = [r["count"] for r in rc.groupBy(*keys).count().collect()]
     assert len(sizes) == 20 and max(sizes) < 100 and sum(sizes) == 1000
     assert lc.count() == 20
     assert cell_pairs(left, right, 1.0).count() == 1000
 
 
+def test_small_shapes_in_one_cell_get_a_finer_grid(spark, monkeypatch):
+    monkeypatch.setattr(cells, "HOT_MIN_ROWS", 50)
+    right = boxes(spark, [[square(i / 40, j / 40, i / 40 + 0.02, j / 40 + 0.02)] for i in range(38) for j in range(38)], "b", "r")
+    left = boxes(spark, [[square(i / 10, 0.3, i / 10 + 0.04, 0.35)] for i in range(9)], "a", "l")
+    _, rc, keys = cells.refine(with_cells(left, "l_bbox", 1.0), with_cells(right, "r_bbox", 1.0), 1.0)
+    assert rc.agg(F.max("fine")).first()[0] == 32
+    assert rc.groupBy(*keys).count().agg(F.max("count")).first()[0] <= 9
+
+
 def test_polygon_only_drops_touching_pairs(spark):
     left, right = layer(spark, [[square(0, 0, 1, 1)]], "a"), layer(
         spark, [[square(1, 0, 2, 1)], [square(1, 1, 2, 2)], [square(0.5, 0.5, 2, 2)]], "b"
