@@ -144,7 +144,14 @@ def code_tables(spark, sf_dir) -> list[DataFrame]:
         F.col("r_regionkey").cast("bigint").alias("MNC"),
         F.concat(F.lit("Op "), F.col("r_name")).alias("Operator or brand name"),
     )
-    return [nation, region]
+    s = F.col("s_suppkey")
+    supplier = table(spark, sf_dir, "supplier").select(
+        (600 + F.col("s_nationkey")).cast("bigint").alias("MCC"),
+        s.alias("MNC"),
+        F.when(s % 4 != 0, F.col("s_name")).alias("Network"),
+        F.concat(F.lit("Op "), F.col("s_name")).alias("Operator or brand name"),
+    )
+    return [nation, region, supplier]
 
 
 def occurrences(spark, sf_dir) -> DataFrame:

@@ -80,7 +80,9 @@ CTES = {
     " FROM (SELECT o_orderkey AS k, date_trunc('day', o_orderdate)::TIMESTAMP AS od FROM orders) o",
     "codes": "SELECT (500 + n_regionkey)::BIGINT AS MCC, n_nationkey::BIGINT AS MNC,"
     " CASE WHEN n_nationkey % 3 <> 0 THEN n_name ELSE 'Op ' || n_name END AS Description FROM nation"
-    " UNION ALL SELECT (500 + r_regionkey)::BIGINT, r_regionkey::BIGINT, 'Op ' || r_name FROM region",
+    " UNION ALL SELECT (500 + r_regionkey)::BIGINT, r_regionkey::BIGINT, 'Op ' || r_name FROM region"
+    " UNION ALL SELECT (600 + s_nationkey)::BIGINT, s_suppkey,"
+    " CASE WHEN s_suppkey % 4 <> 0 THEN s_name ELSE 'Op ' || s_name END FROM supplier",
     "codes_numbered": "SELECT *, (dense_rank() OVER (ORDER BY Description) - 1)::INTEGER AS Description_code FROM codes",
     "towers_prepared": "SELECT *, radians(lon) * 6378137.0::DOUBLE AS x_3857,"
     " ln(tan(radians(lat) / 2 + pi() / 4)) * 6378137.0::DOUBLE AS y_3857,"
@@ -211,7 +213,9 @@ ORACLE = {
         "SELECT fire_id, count(*) AS LGAS, round(sum(AreaHa), 4) AS STATEDHA, round(sum(ha), 2) AS CLIPPEDHA"
         " FROM lga_fire_pairs GROUP BY 1",
     ),
-    "lga_area": sql("lga", "SELECT lga_id, round(" + hectares("x0", "x1", "y0", "y1") + ", 2) AS AREAHA FROM lga"),
+    "landuse_area": sql(
+        "landuse", "SELECT landuse_id, round(" + hectares("x0", "x1", "y0", "y1") + ", 2) AS AREAHA FROM landuse"
+    ),
     "polygon_area": sql(
         "fires", "SELECT fire_id, round(" + hectares("x0", "x1", "y0", "y1") + ", 2) AS AREAHA FROM fires"
     ),

@@ -86,8 +86,8 @@ def area_blowout(spark, sf):
     return rounded(out, STATEDHA=4, CLIPPEDHA=2)
 
 
-def lga_area(spark, sf):
-    return fx.lga(spark, sf).select("lga_id", F.round(geom.area_ha(F.col("rings")), 2).alias("AREAHA"))
+def landuse_area(spark, sf):
+    return fx.landuse(spark, sf).select("landuse_id", F.round(geom.area_ha(F.col("rings")), 2).alias("AREAHA"))
 
 
 def polygon_area(spark, sf):
@@ -371,7 +371,7 @@ QUERIES = {
     for f in (
         lga_fire_stats, lga_fire_stats_state, lga_fire_stats_polygon_only, lga_fire_stats_shuffled,
         lga_fire_grouped, intersection_by_lga, lga_landuse_stats, landuse_burnt, landuse_compare,
-        season_type_area, fire_count_per_lga, area_blowout, lga_area, polygon_area, clipped_fires,
+        season_type_area, fire_count_per_lga, area_blowout, landuse_area, polygon_area, clipped_fires,
         planar_conservation, label_split, fires_filtered, fire_popups, fires_by_union,
         towers_prepared, towers_projected, network_codes, towers_enriched, towers_preview, towers_head,
         table_info, selected_rows, selection_count, table_page, distinct_lga, year_range,
