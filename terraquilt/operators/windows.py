@@ -146,7 +146,9 @@ def window_pairs(left: DataFrame, right: DataFrame, cell: float, levels: int, cu
     lb, rb = F.col("l_bbox"), F.col("r_bbox")
     level = F.lit(0)
     if levels > 1:
-        level = F.greatest(F.lit(0), F.ceil(F.log2(extent(rb) / cell))).cast("int")
+        # Rounding in the logarithm must not name a level that was not listed.
+        level = F.ceil(F.log2(extent(rb) / cell)).cast("int")
+        level = F.least(F.greatest(level, F.lit(0)), F.lit(levels - 1))
         level = F.when(extent(rb) > 0, level).otherwise(0)
     size = _size(level, cell)
     on = (

@@ -71,6 +71,15 @@ def test_cutting_changes_nothing(spark, shapes, expected, monkeypatch):
     assert got == pytest.approx(expected, abs=1e-9)
 
 
+def test_shapes_of_many_sizes_find_their_level(spark):
+    """Widths at and around powers of two of the cell, over one district."""
+    sizes = [0.1 * 2**k * f for k in range(7) for f in (0.999, 1.0, 1.001)]
+    right = [[square(0.3, 0.3, 0.3 + s, 0.3 + s)] for s in sizes]
+    left = [[square(0, 0, 0.35, 0.35)], [square(6, 6, 7, 7)]]
+    out = overlay.overlay_intersection(layer(spark, left, "a"), layer(spark, right, "b"), False, cell=0.1, broadcast_left=True)
+    assert found(out).keys() == brute(left, right).keys()
+
+
 def test_measured_size_bounds_what_is_sent(spark, shapes):
     left = layer(spark, shapes[0], "a").select("a", geom.pack_shape(F.col("rings")).alias("l_shape"), F.col("bbox").alias("l_bbox"))
     for cell, levels in ((0.25, 1), (0.25, 4), (1.0, 1)):
