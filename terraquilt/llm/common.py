@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from terraquilt.session import materialized, ship_package
 
-__all__ = ["components", "materialized", "ready", "table", "text_key", "unused"]
+__all__ = ["components", "materialized", "ready", "spread_join", "table", "text_key", "unused"]
 
 
 def ready(spark: SparkSession) -> SparkSession:
@@ -33,6 +33,34 @@ def unused(df: DataFrame, name: str) -> str:
     return name
 
 
+#: Rows of one key that are left to one task; a key of more is spread over shares.
+HOT_ROWS, SHARES = 5_000, 64
+#: Hot keys, of up to 64 bytes, that are broadcast; more of them are joined by shuffle.
+BROADCAST_KEYS = 100_000
+
+
+def spread_join(
+    rows: DataFrame, small: DataFrame, key: str, sizes: DataFrame, salt: Column, how: str = "inner"
+) -> DataFrame:
+    """rows joined with `small`, which has at most a few rows for each key, on `key`. Keys
+    with over HOT_ROWS rows (sizes: key, n) meet their copy of `small` in SHARES shares,
+    chosen by `salt` of the row; no key's rows gather in one task. At most 1 in HOT_ROWS
+    rows is a hot key, so the copies are few. how: inner or left."""
+    shares = F.sequence(F.lit(0), F.lit(SHARES - 1))
+    hot = materialized(sizes.where(F.col("n") > HOT_ROWS).select(key).distinct(), "hot-keys")
+    count = hot.count()
+    if not count:
+        return rows.join(small, key, how)
+    hot = hot.withColumn("hot_", F.lit(True))
+    marked = small.join(hot, key, "left")
+    copied = marked.withColumn("share_", F.explode(F.when(F.col("hot_"), shares).otherwise(F.array(F.lit(-1)))))
+    hot = hot.withColumn("share_", F.explode(shares))
+    hot = F.broadcast(hot) if count <= BROADCAST_KEYS else hot
+    dealt = rows.withColumn("share_", F.pmod(salt, F.lit(SHARES)).cast("int")).join(hot, [key, "share_"], "left")
+    dealt = dealt.withColumn("share_", F.when(F.col("hot_"), F.col("share_")).otherwise(F.lit(-1))).drop("hot_")
+    return dealt.join(copied.drop("hot_"), [key, "share_"], how).drop("share_")
+
+
 def components(links: DataFrame) -> DataFrame:
     """Connected components of links (a long, b long): one row (id, root) for each end of
     a link, root being the least id it is connected with.

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from terraquilt.llm import packing, quality, topk
+from terraquilt.llm import near_dedup, packing, quality, topk
 from terraquilt.llm.common import table
 
 
@@ -24,7 +24,11 @@ def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
-QUERIES = {f.__name__: f for f in (op4_exact_top_k, op6_quality_classifier, op7_best_fit_packing)}
+def op8_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op4_exact_top_k, op6_quality_classifier, op7_best_fit_packing, op8_minhash_near_dedup)}
 
 ORACLE = {
     "op4_exact_top_k": """

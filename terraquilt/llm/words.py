@@ -102,9 +102,9 @@ def shingle_hashes(words: np.ndarray, bounds: np.ndarray, k: int = SHINGLE_WORDS
     return mix(rolling[places]), out_bounds
 
 
-def chunks(texts: pa.Array, limit: int = CHUNK_BYTES) -> Iterator[tuple[int, int]]:
-    """Row ranges of about `limit` bytes; a longer text is a range of its own."""
-    sizes = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False))
+def chunks(*columns: pa.Array, limit: int = CHUNK_BYTES) -> Iterator[tuple[int, int]]:
+    """Row ranges of about `limit` bytes over all columns; a longer row is a range of its own."""
+    sizes = np.cumsum(sum(pc.binary_length(c).to_numpy(zero_copy_only=False) for c in columns))
     at = 0
     while at < len(sizes):
         before = sizes[at - 1] if at else 0
