@@ -6,10 +6,14 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from terraquilt.llm import near_dedup, packing, quality, topk
+from terraquilt.llm import near_dedup, packing, quality, secrets, topk
 from terraquilt.llm.common import table
 
 
+def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.secret_counts(table(spark, sf_dir, "documents"))
+
+
 def op4_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = topk.sparse(table(spark, sf_dir, "embeddings"), "vec_id", topk.quantized(F.col("embedding")))
     found = topk.top_k(vectors.where("id % 20 = 0"), vectors, 20)
@@ -28,9 +32,45 @@ def op8_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op4_exact_top_k, op6_quality_classifier, op7_best_fit_packing, op8_minhash_near_dedup)}
+def _secrets_sql() -> str:
+    """Split at the matches, add lengths up, for each rule; then collect."""
+    quoted = lambda x: "'" + x.replace("'", "''") + "'"
+    rules = secrets.BASE + secrets.MORE
+    parts = "\nUNION ALL\n".join(
+        f"""SELECT id, {rank} AS rank, {quoted(r.kind)} AS kind, {r.least} AS least,
+  string_split_regex(text, {quoted(r.pattern)}) AS b, regexp_extract_all(text, {quoted(r.pattern)}) AS w,
+  regexp_extract_all(text, {quoted(r.pattern)}, {r.group}) AS g FROM d"""
+        for rank, r in enumerate(rules)
+    )
+    counts = ", ".join(
+        f"count(*) FILTER (WHERE kind = {quoted(r.kind)}) AS n_{r.kind}" for r in secrets.BASE
+    )
+    return f"""
+WITH d AS (SELECT row_number() OVER () AS id, doc_id, coalesce(text, '') AS text FROM documents),
+m AS ({parts}),
+e AS (SELECT *, unnest(range(1, len(w) + 1)) AS i FROM m),
+s AS (
+  SELECT id, rank, kind, length(g[i]) AS size, least,
+    CAST(list_sum(list_transform(b[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(w[1:i-1], lambda x: length(x))), 0) AS BIGINT) AS start,
+    length(w[i]) AS n
+  FROM e
+), k AS (SELECT *, kind || ':' || start || ':' || (start + n) AS span FROM s WHERE size >= least),
+a AS (
+  SELECT id, {counts},
+    string_agg(span, ',' ORDER BY start, rank) FILTER (WHERE rank < {len(secrets.BASE)}) AS base,
+    string_agg(span, ',' ORDER BY start, rank) AS spans
+  FROM k GROUP BY id
+)
+SELECT doc_id, {", ".join(f"coalesce(n_{r.kind}, 0) AS n_{r.kind}" for r in secrets.BASE)},
+  sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+FROM d LEFT JOIN a USING (id)
+"""
+
+
+QUERIES = {f.__name__: f for f in (op3_secret_scan, op4_exact_top_k, op6_quality_classifier, op7_best_fit_packing, op8_minhash_near_dedup)}
 
 ORACLE = {
+    "op3_secret_scan": _secrets_sql(),
     "op4_exact_top_k": """
 WITH v AS (
   SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT)) AS e
