@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from terraquilt.llm import near_dedup, packing, quality, secrets, topk
+from terraquilt.llm import decontamination, near_dedup, packing, quality, secrets, topk
 from terraquilt.llm.common import table
 
 
@@ -20,6 +20,10 @@ def op4_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("query_id", "rank", F.col("id").alias("vec_id"), "score")
 
 
+def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -67,7 +71,9 @@ FROM d LEFT JOIN a USING (id)
 """
 
 
-QUERIES = {f.__name__: f for f in (op3_secret_scan, op4_exact_top_k, op6_quality_classifier, op7_best_fit_packing, op8_minhash_near_dedup)}
+QUERIES = {f.__name__: f for f in (
+    op3_secret_scan, op4_exact_top_k, op5_decontamination, op6_quality_classifier, op7_best_fit_packing, op8_minhash_near_dedup,
+)}
 
 ORACLE = {
     "op3_secret_scan": _secrets_sql(),
