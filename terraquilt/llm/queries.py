@@ -6,10 +6,15 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from terraquilt.llm import decontamination, near_dedup, packing, quality, secrets, topk
+from terraquilt.llm import decontamination, line_dedup, near_dedup, packing, quality, secrets, topk
 from terraquilt.llm.common import table
 
 
+def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = line_dedup.line_classes(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "line_no", "class_doc", "class_line", "links", "kept")
+
+
 def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.secret_counts(table(spark, sf_dir, "documents"))
 
@@ -72,7 +77,7 @@ FROM d LEFT JOIN a USING (id)
 
 
 QUERIES = {f.__name__: f for f in (
-    op3_secret_scan, op4_exact_top_k, op5_decontamination, op6_quality_classifier, op7_best_fit_packing, op8_minhash_near_dedup,
+    op2_line_dedup, op3_secret_scan, op4_exact_top_k, op5_decontamination, op6_quality_classifier, op7_best_fit_packing, op8_minhash_near_dedup,
 )}
 
 ORACLE = {
