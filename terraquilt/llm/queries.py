@@ -6,10 +6,15 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from terraquilt.llm import decontamination, line_dedup, near_dedup, packing, quality, secrets, topk
+from terraquilt.llm import decontamination, line_dedup, near_dedup, packing, quality, secrets, token_tree, topk, url_tree
 from terraquilt.llm.common import table
 
 
+def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = url_tree.judge(table(spark, sf_dir, "pages").select("page_id", "url"))
+    return judged.select("page_id", "host", "path", "rule", "verdict", "template", F.round("purity", 6).alias("purity"))
+
+
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = line_dedup.line_classes(table(spark, sf_dir, "documents"))
     return found.select("doc_id", "line_no", "class_doc", "class_line", "links", "kept")
@@ -76,8 +81,22 @@ FROM d LEFT JOIN a USING (id)
 """
 
 
+EMAIL = secrets.Rule("email", r"[A-Za-z0-9._%+-]{1,64}@[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63}){1,8}")
+
+
+def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts before and after every e-mail address is replaced by a mark."""
+    text = F.col("text")
+    found = F.when(F.contains(text, F.lit("@")), secrets.spans(text, EMAIL))
+    edits = F.transform(F.coalesce(found, F.array()), lambda s: F.struct(s["start"], s["end"], F.lit("<email>").alias("new")))
+    return token_tree.counts_under_edits(
+        table(spark, sf_dir, "documents"), edits, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
+    )
+
+
 QUERIES = {f.__name__: f for f in (
-    op2_line_dedup, op3_secret_scan, op4_exact_top_k, op5_decontamination, op6_quality_classifier, op7_best_fit_packing, op8_minhash_near_dedup,
+    op1_url_filter, op2_line_dedup, op3_secret_scan, op4_exact_top_k, op5_decontamination, op6_quality_classifier, op7_best_fit_packing, op8_minhash_near_dedup,
+    op9_token_counts,
 )}
 
 ORACLE = {
