@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from terraquilt.llm import decontamination, line_dedup, near_dedup, packing, quality, secrets, token_tree, topk, url_tree
+from terraquilt.llm import decontamination, licenses, line_dedup, near_dedup, packing, quality, secrets, token_tree, topk, url_tree
 from terraquilt.llm.common import table
 
 
@@ -94,9 +94,18 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as files source/lang/thousand/doc_id; one that opens with a notice stands for its
+    directory."""
+    thousand = F.floor(F.col("doc_id") / 1000)
+    path = F.concat_ws("/", "source", "lang", thousand.cast("string"), F.col("doc_id").cast("string"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", path.alias("path"), "text")
+    return licenses.scan(docs, first_line=True).drop("text")
+
+
 QUERIES = {f.__name__: f for f in (
     op1_url_filter, op2_line_dedup, op3_secret_scan, op4_exact_top_k, op5_decontamination, op6_quality_classifier, op7_best_fit_packing, op8_minhash_near_dedup,
-    op9_token_counts,
+    op9_token_counts, op10_license_scan,
 )}
 
 ORACLE = {
