@@ -6,6 +6,8 @@ import duckdb
 import pytest
 
 import __spark_entry__ as contract
+from catalogue.oracle import ORACLE
+from catalogue.queries import QUERIES
 
 SF = "/root/testdata/sf0.001"
 TABLES = (
@@ -28,7 +30,7 @@ def in_order(columns, rows):
     return sorted([tuple(r[i] for i in at) for r in rows], key=lambda r: tuple(map(str, r)))
 
 
-@pytest.mark.parametrize("name", contract.queries())
+@pytest.mark.parametrize("name", QUERIES)
 def test_matches_sql(spark, duck, name):
     df = contract.queries()[name](spark, SF)
     result = duck.execute(contract.oracle_sql()[name])
@@ -38,7 +40,8 @@ def test_matches_sql(spark, duck, name):
 
 
 def test_every_query_has_sql():
-    assert contract.queries().keys() == contract.oracle_sql().keys()
+    assert QUERIES.keys() == ORACLE.keys()
+    assert QUERIES.keys() <= contract.queries().keys()
 
 
 def test_entry(spark):
