@@ -9,7 +9,7 @@ packing is worked out on those counts and then dealt out to the pieces.
 2. Dominance reduction (Martello and Toth): the longest open length together with a set
    of at most two others is fixed for good where no other packing of it can be better:
    nothing fits beside it; a partner fills it to the brim; only one more fits
-   and the longest that fits is taken; or that partner is as long as any two that fit.
+   and the longest that fits is taken; or no three more fit and that partner is as long as any two.
    Each step fixes as many bins at once as the counts allow.
 3. What is left goes, longest first, into the open bin with the least room that
    still takes it (best fit), again many equal bins at a time.
@@ -170,28 +170,27 @@ def plan(counts: dict[int, int], capacity: int = CAPACITY, reduce: bool = True)
 
 
 def _reduced(left: dict[int, int], capacity: int) -> tuple[list[_Bins], dict[int, int]]:
-    """Bins that are fixed for good, and the counts that remain."""
+    """Bins that are fixed for good, and the counts that remain. What fits beside a length
+    is sought among all open lengths, also larger ones that stayed undecided."""
     fixed, left = [], dict(left)
-    kept: dict[int, int] = {}
     for j in sorted(left, reverse=True):
-        while left.get(j):
-            room, sizes = capacity - j, sorted(k for k, c in left.items() if c)
-            fits = [k for k in sizes if k <= room and (k != j or left[j] > 1)]
+        while left[j]:
+            room = capacity - j
+            fits = sorted(k for k, c in left.items() if k <= room and c > (k == j))
             if not fits:
                 inside, times = [(j, 1)], left[j]
             else:
                 k = fits[-1]
-                two = fits[0] + (fits[0] if left[fits[0]] - (fits[0] == j) > 1 else fits[1] if len(fits) > 1 else capacity)
-                if k == room or two > room or k >= _best_pair(fits, left, j, room):
-                    inside = [(j, 2)] if k == j else [(j, 1), (k, 1)]
-                    times = left[j] // 2 if k == j else min(left[j], left[k])
-                else:
-                    kept[j] = left.pop(j)  # undecided: for best fit
-                    break
+                few = [n for n in fits[:3] for _ in range(min(3, left[n] - (n == j)))][:3]
+                pairs, triples = len(few) > 1 and sum(few[:2]) <= room, len(few) > 2 and sum(few) <= room
+                if not (k == room or not pairs or (not triples and k >= _best_pair(fits, left, j, room))):
+                    break  # undecided: for best fit
+                inside = [(j, 2)] if k == j else [(j, 1), (k, 1)]
+                times = left[j] // 2 if k == j else min(left[j], left[k])
             for n, c in inside:
                 left[n] -= c * times
             fixed.append(_Bins(capacity - sum(n * c for n, c in inside), times, inside))
-    return [b for b in fixed if b.count], kept
+    return fixed, {n: c for n, c in left.items() if c}
 
 
 def _best_pair(fits: list[int], left: dict[int, int], j: int, room: int) -> int:
