@@ -47,21 +47,37 @@ def offsets(counts: np.ndarray) -> np.ndarray:
     return np.concatenate([[0], np.cumsum(counts)]).astype(np.int64)
 
 
-def combinations(rows_a: np.ndarray, rows_b: np.ndarray, n_rows: int):
-    """Index pairs (i, j) with rows_a[i] == rows_b[j], in bounded chunks.
-    ``rows_b`` is ascending."""
-    count = np.bincount(rows_b, minlength=n_rows)
-    first = np.cumsum(count) - count
-    per_a = count[rows_a]
-    upto = np.cumsum(per_a)
-    lo = 0
-    while lo < len(rows_a):
-        base = upto[lo - 1] if lo else 0
-        hi = max(int(np.searchsorted(upto, base + CHUNK, side="right")), lo + 1)
-        reps = per_a[lo:hi]
-        i = np.repeat(np.arange(lo, hi), reps)
-        yield i, first[rows_a[i]] + ranges(reps)
-        lo = hi
+def overlaps(row_a: np.ndarray, lo_a: np.ndarray, hi_a: np.ndarray,
+             row_b: np.ndarray, lo_b: np.ndarray, hi_b: np.ndarray):
+    """Index pairs (i, j) of equal rows whose closed intervals meet, in bounded chunks.
+    Sorted by where intervals begin, so only pairs that meet are looked at."""
+    na, nb = len(row_a), len(row_b)
+    value = np.concatenate([lo_a, hi_a, lo_b, hi_b])
+    row = np.concatenate([row_a, row_a, row_b, row_b])
+    order = np.lexsort((value, row))
+    new = np.zeros(len(order), np.int64)
+    new[1:] = (value[order][1:] != value[order][:-1]) | (row[order][1:] != row[order][:-1])
+    rank = np.empty(len(order), np.int64)
+    rank[order] = np.cumsum(new)
+    begin_a, end_a, begin_b, end_b = np.split(rank, [na, 2 * na, 2 * na + nb])
+    by_a, by_b = np.argsort(begin_a, kind="stable"), np.argsort(begin_b, kind="stable")
+    sorted_a, sorted_b = begin_a[by_a], begin_b[by_b]
+    # j begins inside i, then i begins inside j and after it: each pair once
+    sides = (
+        (np.searchsorted(sorted_b, begin_a, "left"), np.searchsorted(sorted_b, end_a, "right"), by_b, False),
+        (np.searchsorted(sorted_a, begin_b, "right"), np.searchsorted(sorted_a, end_b, "right"), by_a, True),
+    )
+    for first, last, by, turned in sides:
+        count = np.maximum(last - first, 0)
+        upto, lo = np.cumsum(count), 0
+        while lo < len(count):
+            base = upto[lo - 1] if lo else 0
+            hi = max(int(np.searchsorted(upto, base + CHUNK, side="right")), lo + 1)
+            reps = count[lo:hi]
+            own = np.repeat(np.arange(lo, hi), reps)
+            other = by[first[own] + ranges(reps)]
+            yield (other, own) if turned else (own, other)
+            lo = hi
 
 
 def signed_areas(s: Shapes) -> np.ndarray:

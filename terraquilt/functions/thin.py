@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 
-from terraquilt.functions.packed import Shapes, combinations, offsets, ranges
+from terraquilt.functions.packed import Shapes, offsets, overlaps, ranges
 
 
 def _kept_points(s: Shapes, tol: float) -> np.ndarray:
@@ -50,8 +50,11 @@ def _crossing_rings(s: Shapes, rings: np.ndarray) -> np.ndarray:
     p = s.ring_at[:-1][ring] + pos
     x, y, rx, ry = s.x[p], s.y[p], s.x[p + 1] - s.x[p], s.y[p + 1] - s.y[p]
     bad = np.zeros(len(n), bool)
-    for i, j in combinations(ring, ring, len(n)):
+    lo, hi = np.minimum(x, x + rx), np.maximum(x, x + rx)
+    low, high = np.minimum(y, y + ry), np.maximum(y, y + ry)
+    for i, j in overlaps(ring, lo, hi, ring, lo, hi):
         apart = (pos[j] > pos[i] + 1) & ~((pos[i] == 0) & (pos[j] == n[ring[j]] - 1))
+        apart &= (low[i] <= high[j]) & (low[j] <= high[i])
         i, j = i[apart], j[apart]
         wx, wy = x[j] - x[i], y[j] - y[i]
         a0 = rx[i] * wy - ry[i] * wx

@@ -47,10 +47,64 @@ def test_golden(name, swap):
     assert shoelace(rings) == pytest.approx(area, abs=1e-12)
 
 
-def test_bow_tie_leaves_a_residual_or_not_an_area():
+@pytest.mark.parametrize("swap", [False, True])
+def test_bow_tie_is_its_two_lobes(swap):
     bow = [ring((0, 0), (1, 1), (1, 0), (0, 1))]
-    got = clip([(bow, [square(-1, 0.25, 2, 0.5)])])[0]
-    assert got["residual"] > 1e-6 or got["area_deg"] < 0.25
+    band = [square(-1, 0.25, 2, 0.5)]
+    around = [square(-1, -1, 2, 2)]
+    for other, area in ((band, 0.1875), (around, 0.5)):
+        got = clip([(other, bow) if swap else (bow, other)], True)[0]
+        rings = [(r["part"], r["hole"], np.array([(p["x"], p["y"]) for p in r["pts"]])) for r in got["rings"]]
+        assert got["hit"] and got["residual"] == pytest.approx(0, abs=1e-12)
+        assert got["area_deg"] == pytest.approx(shoelace(rings)) == pytest.approx(area)
+
+
+def test_other_crossing_shapes_by_the_even_odd_rule():
+    box = [square(-9, -9, 9, 9)]
+    angle = np.pi / 2 + 4 * np.pi * np.arange(5) / 5
+    star5 = [ring(*zip(np.cos(angle), np.sin(angle)))]
+    r = np.cos(2 * np.pi / 5) / np.cos(np.pi / 5)  # inner pentagon, which the star winds round twice
+    pentagon = 2.5 * r * r * np.sin(2 * np.pi / 5)
+    points = 5 * r * np.sin(np.pi / 5) - pentagon
+    spike = [ring((0, 0), (4, 0), (4, 1), (6, 1), (4, 1), (4, 2), (0, 2))]
+    twice = [ring((0, 0), (2, 0), (2, 2), (0, 2), (0, 0), (2, 0), (2, 2), (0, 2))]
+    over = [square(0, 0, 2, 2), square(1, 1, 3, 3, part=1)]
+    for shape, area in ((star5, points), (spike, 8), (twice, 0), (over, 6)):
+        assert clip([(shape, box)])[0]["area_deg"] == pytest.approx(area, abs=1e-9)
+
+
+@pytest.mark.parametrize("noise", [1e-14, 1e-13, 1e-12, 1e-11, 1e-10, 3e-10, 7e-10, 1e-9, 1.5e-9, 2e-9, 3e-9, 1e-8, 1e-7])
+def test_near_equal_boundaries(noise):
+    """Copies and neighbours with noise on every vertex keep the area that they have."""
+    rng = np.random.default_rng(int(noise * 1e15))
+    pairs, want = [], []
+    for k in range(400):
+        x, y, w, h = *rng.uniform(-1, 1, 2), *rng.uniform(0.1, 1, 2)
+        x, y = x + 150, y - 33
+        corners = [(x, y), (x + w, y), (x + w, y + h), (x, y + h)]
+        if k % 2:  # more vertices on the sides
+            corners = [p for a, b in zip(corners, corners[1:] + corners[:1]) for p in (a, ((a[0] + b[0]) / 2, (a[1] + b[1]) / 2))]
+        kind = k % 3
+        moved = [(px + (w if kind == 1 else w / 2 if kind == 2 else 0), py) for px, py in corners]
+        jitter = rng.uniform(-noise, noise, (len(moved), 2))
+        pairs.append(([ring(*corners)], [ring(*[(px + dx, py + dy) for (px, py), (dx, dy) in zip(moved, jitter)])]))
+        want.append((1, 0, 0.5)[kind] * w * h)
+    for got, area in zip(clip(pairs, True), want):
+        assert got["area_deg"] == pytest.approx(area, abs=20 * noise + 2e-8)
+        assert got["residual"] < 1e-9
+        rings = [(r["part"], r["hole"], np.array([(p["x"], p["y"]) for p in r["pts"]])) for r in got["rings"]]
+        assert shoelace(rings) == pytest.approx(got["area_deg"], abs=1e-9)
+
+
+def test_large_pairs_are_quick():
+    import time
+
+    rng = np.random.default_rng(3)
+    a, b = (star(0, 0, 1 + 0.01 * rng.random(16_000)) for _ in range(2))
+    start = time.perf_counter()
+    got = clip([(a, b)])[0]
+    assert got["residual"] < 1e-9 and 3 < got["area_deg"] < 3.3
+    assert time.perf_counter() - start < 8
 
 
 def test_clipped_holes_and_parts_are_assembled():
