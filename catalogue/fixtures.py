@@ -167,11 +167,10 @@ def occurrences(spark, sf_dir) -> DataFrame:
 
 
 def selection(spark, sf_dir) -> DataFrame:
-    """Row ids picked on a map, every one of them twice."""
-    k = F.col("s_suppkey")
-    return table(spark, sf_dir, "supplier").select(
-        k.alias("pos"), F.expr("(17 * (s_suppkey div 2)) % 1000").alias("row_id")
-    )
+    """Row ids picked on a map, from anywhere in the table, every one of them twice."""
+    rows = table(spark, sf_dir, "events").where("event_id % 7 = 3").select("event_id", "user_id")
+    twice = rows.select("event_id", F.explode(F.array(F.lit(0), F.lit(1))).alias("again"))
+    return twice.select((2 * F.col("event_id") + F.col("again")).alias("pos"), F.col("event_id").alias("row_id"))
 
 
 def indicators(spark, sf_dir) -> DataFrame:

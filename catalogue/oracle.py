@@ -92,7 +92,8 @@ CTES = {
     " (148 + ((37 * event_id) % 320) / 64.0 + 1 / 128.0)::DOUBLE AS Longitude,"
     ' event_type AS "Scientific Name - original", \'LGA \' || (user_id % 25) AS "Local Government Areas 2011",'
     " CASE WHEN event_id % 40 <> 0 THEN strftime(ts, '%Y-%m-%d') END AS \"Event Date - parsed\" FROM events",
-    "selection": "SELECT s_suppkey AS pos, (17 * (s_suppkey // 2)) % 1000 AS row_id FROM supplier",
+    "selection": "SELECT 2 * event_id + again AS pos, event_id AS row_id FROM events, (VALUES (0), (1)) t(again)"
+    " WHERE event_id % 7 = 3",
     "indicators": 'SELECT n_name AS "Country Name", o_orderpriority AS "Indicator Name",'
     " year(o_orderdate)::INTEGER AS Year, round(sum(o_totalprice), 2) AS Value"
     " FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey GROUP BY 1, 2, 3",
@@ -182,12 +183,12 @@ ORACLE = {
     "lga_landuse_stats": sql("lga_landuse", LANDUSE_GROUPS),
     "landuse_burnt": sql(
         "lga_landuse fires",
-        "SELECT b.LANDUSETYPE, FIRESEASON, round(BURNTHA, 2) AS BURNTHA, round(TOTALHA, 2) AS TOTALHA,"
-        " round(100 * BURNTHA / TOTALHA, 4) AS BURNTPCT FROM (SELECT Secondary AS LANDUSETYPE,"
+        "SELECT t.LANDUSETYPE, FIRESEASON, round(coalesce(BURNTHA, 0), 2) AS BURNTHA, round(TOTALHA, 2) AS TOTALHA,"
+        " round(100 * coalesce(BURNTHA, 0) / TOTALHA, 4) AS BURNTPCT FROM (SELECT Secondary AS LANDUSETYPE,"
         " FireSeason AS FIRESEASON, sum(" + clipped("u", "f") + ") AS BURNTHA FROM lga_landuse u JOIN fires f ON "
         + overlap("u", "f", True) + " WHERE u.ha > 0 AND Secondary IS NOT NULL AND FireSeason IS NOT NULL"
-        " GROUP BY 1, 2) b JOIN (SELECT Secondary AS LANDUSETYPE, sum(ha) AS TOTALHA FROM lga_landuse"
-        " WHERE ha > 0 GROUP BY 1) t ON b.LANDUSETYPE = t.LANDUSETYPE",
+        " GROUP BY 1, 2) b RIGHT JOIN (SELECT Secondary AS LANDUSETYPE, sum(ha) AS TOTALHA FROM lga_landuse"
+        " WHERE ha > 0 AND Secondary IS NOT NULL GROUP BY 1) t ON b.LANDUSETYPE = t.LANDUSETYPE",
     ),
     "landuse_compare": sql(
         "lga_landuse",
@@ -239,7 +240,7 @@ ORACLE = {
     "fire_popups": sql(
         "fires",
         "SELECT fire_id, 'Fire name: ' || coalesce(FireName, 'None') || ' <br>Burnt Area (ha): ' ||"
-        " coalesce(round(AreaHa)::BIGINT::VARCHAR, 'None') AS popup FROM fires",
+        " coalesce(AreaHa::VARCHAR, 'None') AS popup FROM fires",
     ),
     "towers_prepared": sql("towers_prepared", f"SELECT {TOWER_OUT} FROM towers_prepared"),
     "towers_projected": sql(
@@ -357,7 +358,7 @@ ORACLE = {
     ),
     "fires_by_union": sql(
         "fires",
-        "SELECT FireType, count(*) AS n FROM fires WHERE FireType IN ('1-URGENT', '5-LOW') GROUP BY 1",
+        "SELECT FireType, count(*) AS n FROM fires WHERE FireType IS NOT NULL GROUP BY 1",
     ),
     "sink_table": sql("managed_land", PLAIN_LAND),
     "sink_external": sql("managed_land", PLAIN_LAND),

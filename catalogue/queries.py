@@ -82,7 +82,7 @@ def fire_count_per_lga(spark, sf):
 
 
 def area_blowout(spark, sf):
-    out = stats.layer_overlap_blowout(fx.lga(spark, sf), fx.fires(spark, sf), CELL)
+    out = stats.layer_overlap_blowout(fx.lga(spark, sf), fx.fires(spark, sf), CELL, "fire_id")
     return rounded(out, STATEDHA=4, CLIPPEDHA=2)
 
 
@@ -125,13 +125,14 @@ def fires_filtered(spark, sf):
 
 
 def fire_popups(spark, sf):
-    area = F.round(F.col("AreaHa")).cast("bigint")
-    return fx.fires(spark, sf).select("fire_id", label_popup(F.col("FireName"), area).alias("popup"))
+    return fx.fires(spark, sf).select("fire_id", label_popup(F.col("FireName"), F.col("AreaHa")).alias("popup"))
 
 
 def fires_by_union(spark, sf):
+    """The results of each fire type, whichever there are, one on top of the other."""
     fires = fx.fires(spark, sf).select("fire_id", "FireType")
-    parts = [prep.filter_eq(fires, "FireType", t) for t in ("1-URGENT", "5-LOW")]
+    kinds = stats.distinct_values(fires, "FireType", "fire_id").where("value is not null").collect()
+    parts = [prep.filter_eq(fires, "FireType", r["value"]) for r in kinds]
     return explore.union_all(parts).groupBy("FireType").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -310,7 +311,7 @@ def simplified_layer(spark, sf):
 
 
 def fire_season_map(spark, sf):
-    shapes = layers.fire_season_map(fx.fires(spark, sf), "1997-98 1-URGENT")
+    shapes = layers.fire_season_map(fx.fires(spark, sf), "1997-98 1-URGENT", fire_id="fire_id")
     shapes = _with_box(shapes, geom.rings_from_geojson(F.col("geometry")))
     return shapes.select("fire_id", F.split_part("popup", F.lit(" <br>"), F.lit(1)).alias("name"), "xmin", "ymax")
 

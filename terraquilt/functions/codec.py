@@ -16,7 +16,9 @@ from terraquilt.functions.packed import from_rows, oriented, to_arrow, unpack
 from terraquilt.functions.thin import simplified
 from terraquilt.model import RINGS
 
-_WKB_POLYGON, _WKB_MULTIPOLYGON = 3, 6  # fixed values of the WKB format
+# Fixed values of the WKB format.
+_WKB_POINT, _WKB_LINE, _WKB_POLYGON = 1, 2, 3
+_WKB_MULTIPOINT, _WKB_MULTILINE, _WKB_MULTIPOLYGON, _WKB_COLLECTION = 4, 5, 6, 7
 
 
 # The functions below are marked non-deterministic. They are not, but Spark would
@@ -26,11 +28,15 @@ _WKB_POLYGON, _WKB_MULTIPOLYGON = 3, 6  # fixed values of the WKB format
 # --- WKB ---------------------------------------------------------------------
 
 def _read_wkb(blob: bytes) -> list:
-    """Polygon or multi-polygon bytes to (part, hole, xy) rings. Extra
-    dimensions are dropped; other geometry types give no rings."""
+    """Bytes to (part, hole, xy) rings of all polygons in them. Extra dimensions are
+    dropped; points and lines give no rings; what isn't a geometry raises."""
     out: list = []
+    parts = 0
 
-    def polygon(at: int, part: int) -> int:
+    def shape(at: int) -> int:
+        nonlocal parts
+        if blob[at] > 1:
+            raise ValueError("not a geometry: its byte order is neither 0 nor 1")
         order = "<" if blob[at] else ">"
         (code,) = struct.unpack_from(order + "I", blob, at + 1)
         at += 5
@@ -41,25 +47,38 @@ def _read_wkb(blob: bytes) -> list:
         dims = 2 + bool(extra & 0x80000000) + bool(extra & 0x40000000)
         dims += {0: 0, 1: 1, 2: 1, 3: 2}[code // 1000]
         kind = code % 1000
-        if kind not in (_WKB_POLYGON, _WKB_MULTIPOLYGON):
-            return at
+        if kind == _WKB_POINT:
+            return at + 8 * dims
+        if not _WKB_LINE <= kind <= _WKB_COLLECTION:
+            raise ValueError(f"not a geometry: type {code}")
         (count,) = struct.unpack_from(order + "I", blob, at)
         at += 4
+        if kind == _WKB_LINE:
+            return at + 8 * count * dims
         for i in range(count):
-            if kind == _WKB_MULTIPOLYGON:
-                at = polygon(at, i)
+            if kind != _WKB_POLYGON:
+                at = shape(at)
                 continue
             (n,) = struct.unpack_from(order + "I", blob, at)
             xy = np.frombuffer(blob, order + "f8", n * dims, at + 4).reshape(n, dims)
             at += 4 + 8 * n * dims
             if n:
-                out.append((part, i > 0, xy[:, :2].astype(float)))
+                out.append((parts, i > 0, xy[:, :2].astype(float)))
+        parts += kind == _WKB_POLYGON and count > 0
         return at
 
-    polygon(0, 0)
+    if shape(0) > len(blob):
+        raise ValueError("not a geometry: its bytes end too soon")
     return out
 
 
+def _or_empty(blob: bytes) -> list:
+    try:
+        return _read_wkb(blob)
+    except (ValueError, IndexError, struct.error):
+        return []
+
+
 def _write_wkb(rings: list) -> bytes:
     """(part, hole, xy) rings to little-endian WKB; one part is a polygon."""
     parts: dict = {}
@@ -90,11 +109,19 @@ def _rows(rings: pa.Array) -> list:
     return out
 
 
+def _decoded(blobs: pa.Array, read) -> pa.Array:
+    shapes, null = from_rows([None if b is None else read(b) for b in blobs.to_pylist()])
+    return to_arrow(oriented(shapes), null)
+
+
 @F.arrow_udf(RINGS)
 def _wkb_to_rings(blobs: pa.Array) -> pa.Array:
-    rows = [None if b is None else _read_wkb(b) for b in blobs.to_pylist()]
-    shapes, null = from_rows(rows)
-    return to_arrow(oriented(shapes), null)
+    return _decoded(blobs, _read_wkb)
+
+
+@F.arrow_udf(RINGS)
+def _wkb_to_rings_or_empty(blobs: pa.Array) -> pa.Array:
+    return _decoded(blobs, _or_empty)
 
 
 @F.arrow_udf(T.BinaryType())
@@ -102,9 +129,10 @@ def _rings_to_wkb(rings: pa.Array) -> pa.Array:
     return pa.array([None if r is None else _write_wkb(r) for r in _rows(rings)], pa.binary())
 
 
-def rings_from_wkb(wkb: Column) -> Column:
-    """Polygon and multi-polygon WKB to normalised rings."""
-    return _wkb_to_rings.asNondeterministic()(wkb)
+def rings_from_wkb(wkb: Column, lenient: bool = False) -> Column:
+    """WKB to normalised rings of the polygons in it. What isn't a geometry raises, or with
+    ``lenient`` gives no rings."""
+    return (_wkb_to_rings_or_empty if lenient else _wkb_to_rings).asNondeterministic()(wkb)
 
 
 def to_wkb(rings: Column) -> Column:

@@ -43,13 +43,20 @@ def series_title(entity: Column, indicator: Column) -> Column:
 def label_popup(name: Column, area: Column) -> Column:
     """Popup text with a name and an area; missing values print as None."""
     def shown(c: Column) -> Column:
-        return F.coalesce(c.cast("string"), F.lit("None"))
+        return F.coalesce(c, F.lit("None"))
 
     return F.concat(
-        F.lit("Fire name: "), shown(name), F.lit(" <br>Burnt Area (ha): "), shown(area)
+        F.lit("Fire name: "), shown(name.cast("string")), F.lit(" <br>Burnt Area (ha): "), shown(plain_number(area))
     )
 
 
+def plain_number(number: Column) -> Column:
+    """A number's shortest text without an exponent, from 0.0001 up to below 1e16."""
+    text, size = number.cast("string"), F.abs(number.cast("double"))
+    digits = F.regexp_replace(number.cast("decimal(38,21)").cast("string"), r"(\.\d+?)0+$", "$1")
+    return F.when(F.contains(text, F.lit("E")) & (size >= 1e-4) & (size < 1e16), digits).otherwise(text)
+
+
 def axis_scale(value: Column, kind: str) -> Column:
     """Values as placed on a linear or logarithmic axis. A logarithmic axis
     cannot show zero or negative values, so those become null."""

@@ -12,6 +12,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from terraquilt.model import (
+    RINGS,
     DEFAULT_LON0,
     EARTH_RADIUS_M,
     ECC,
@@ -123,6 +124,17 @@ def reproject_points(lon: Column, lat: Column, crs: int | str, lon0: float = DEF
     raise ValueError(f"unsupported coordinate system: {crs}")
 
 
+def reproject_rings(rings: Column, crs: int | str, lon0: float = DEFAULT_LON0) -> Column:
+    """Rings in degrees with every vertex in the named system."""
+    return F.transform(
+        rings,
+        lambda r: F.struct(
+            r["part"].alias("part"), r["hole"].alias("hole"),
+            F.transform(r["pts"], lambda p: reproject_points(p["x"], p["y"], crs, lon0)).alias("pts"),
+        ),
+    )
+
+
 # --- areas and centres -------------------------------------------------------
 
 # Python functions cannot be fed from an inner lambda that uses a variable of an
@@ -307,43 +319,64 @@ def rings_from_parts(parts: Column) -> Column:
     )
 
 
-def rings_from_wkt(wkt: Column) -> Column:
-    """POLYGON and MULTIPOLYGON text to rings; other or empty shapes give an
-    empty array, null gives null. The text is rewritten to JSON, then parsed."""
-    body = F.upper(F.trim(wkt))
-    kind = F.regexp_extract(body, r"^([A-Z]+)", 1)
-    text = F.regexp_replace(body, r"^[A-Z]+\s*(Z\s*|M\s*|ZM\s*)?", "")
+def _or_raise(rings: Column, good: Column, source: Column, lenient: bool) -> Column:
+    """rings where the text was good; elsewhere an error that names it, or no rings."""
+    if lenient:
+        return F.when(source.isNull(), F.lit(None)).when(good, rings).otherwise(F.array())
+    said = F.concat(F.lit("not a geometry: "), F.substring(source.cast("string"), 1, 80))
+    failed = F.raise_error(said).cast(RINGS)
+    return F.when(source.isNull(), F.lit(None)).when(good, rings).otherwise(failed)
+
+
+_WKT_RINGS = r"\(\s*\([^()]*\)(?:\s*,\s*\([^()]*\))*\s*\)"  # the brackets of one polygon
+_OTHER_SHAPES = "^(POINT|LINESTRING|MULTIPOINT|MULTILINESTRING|LINEARRING)$"
+
+
+def rings_from_wkt(wkt: Column, lenient: bool = False) -> Column:
+    """POLYGON, MULTIPOLYGON and what a GEOMETRYCOLLECTION has of them to rings, with or
+    without Z, M and a leading SRID. Points and lines have no rings; empty shapes give an
+    empty array, null gives null; other text raises, or gives an empty array if ``lenient``.
+    The text is rewritten to JSON, then parsed."""
+    body = F.upper(F.trim(F.regexp_replace(wkt, r"(?i)^\s*SRID\s*=\s*\d+\s*;", "")))
+    kind = F.regexp_extract(body, r"^([A-Z]+?)\s*(?:ZM|Z|M)?\s*(?:\(|EMPTY$)", 1)
+    shape = F.regexp_replace(body, r"^[A-Z]+?\s*(?:ZM|Z|M)?\s*(?=\(|EMPTY$)", "")
+    bare = F.regexp_replace(body, r"MULTI(POINT|LINESTRING)\s*(?:ZM|Z|M)?\s*\((?:[^()]|\([^()]*\))*\)", "")
+    inside = F.concat(F.lit("("), F.array_join(F.regexp_extract_all(bare, F.lit(_WKT_RINGS), F.lit(0)), ","), F.lit(")"))
+    text = F.when(kind == "POLYGON", F.concat(F.lit("("), shape, F.lit(")"))).when(kind == "MULTIPOLYGON", shape)
+    text = text.when(kind == "GEOMETRYCOLLECTION", inside)
     # "x y" pairs first, then the brackets that are left; a third and fourth
     # coordinate are dropped.
     number = r"([-+0-9.E]+)"
     text = F.regexp_replace(text, number + r"\s+" + number + r"(\s+[-+0-9.E]+)*", "[$1,$2]")
     text = F.translate(text, "()", "[]")
-    as_poly = F.from_json(text, _POLY)
-    as_multi = F.from_json(text, _MULTI)
-    return (
-        F.when(wkt.isNull(), F.lit(None))
-        .when(kind == "POLYGON", F.coalesce(rings_from_parts(F.array(as_poly)), F.array()))
-        .when(kind == "MULTIPOLYGON", F.coalesce(rings_from_parts(as_multi), F.array()))
-        .otherwise(F.array())
-    )
-
-
-def rings_from_geojson(geometry: Column) -> Column:
-    """GeoJSON geometry text (Polygon or MultiPolygon) to rings."""
-    kind = F.get_json_object(geometry, "$.type")
-    coords = F.get_json_object(geometry, "$.coordinates")
-    return (
-        F.when(geometry.isNull(), F.lit(None))
-        .when(
-            kind == "Polygon",
-            F.coalesce(rings_from_parts(F.array(F.from_json(coords, _POLY))), F.array()),
-        )
-        .when(
-            kind == "MultiPolygon",
-            F.coalesce(rings_from_parts(F.from_json(coords, _MULTI)), F.array()),
+    empty = shape.isin("EMPTY", "()") | kind.rlike(_OTHER_SHAPES)
+    parts = F.from_json(F.when(~empty, text), _MULTI)
+    even = F.length(F.replace(body, F.lit("("), F.lit(""))) == F.length(F.replace(body, F.lit(")"), F.lit("")))
+    plain = ~F.exists(F.flatten(F.flatten(parts)), lambda p: p.isNull() | (F.size(p) < 2) | p[0].isNull() | p[1].isNull())
+    good = (kind != "") & even & (empty | F.coalesce(plain, F.lit(False)))
+    rings = F.when(empty, F.array().cast(RINGS)).otherwise(F.coalesce(rings_from_parts(parts), F.array()))
+    return _or_raise(rings, good, wkt, lenient)
+
+
+def rings_from_geojson(geometry: Column, lenient: bool = False) -> Column:
+    """GeoJSON geometry text (Polygon, MultiPolygon, or a GeometryCollection's) to rings. Points
+    and lines have no rings; other text raises, or gives an empty array if ``lenient``."""
+    shape = "type:string,coordinates:string"
+    parsed = F.from_json(geometry, f"struct<{shape},geometries:array<struct<{shape}>>>")
+    one = F.array(F.struct(parsed["type"].alias("type"), parsed["coordinates"].alias("coordinates")))
+    members = F.when(parsed["type"] == "GeometryCollection", F.coalesce(parsed["geometries"], F.array())).otherwise(one)
+
+    def parts(m: Column) -> Column:
+        return (
+            F.when(m["type"] == "Polygon", F.array(F.from_json(m["coordinates"], _POLY)))
+            .when(m["type"] == "MultiPolygon", F.from_json(m["coordinates"], _MULTI))
+            .when(m["type"].isin("Point", "LineString", "MultiPoint", "MultiLineString"), F.array().cast(_MULTI))
         )
-        .otherwise(F.array())
-    )
+
+    found = F.transform(members, parts)
+    good = parsed["type"].isNotNull() & ~F.exists(found, lambda p: p.isNull() | F.exists(p, lambda x: x.isNull()))
+    polygons = F.filter(F.flatten(found), lambda p: F.size(p) > 0)
+    return _or_raise(F.coalesce(rings_from_parts(polygons), F.array()), good, geometry, lenient)
 
 
 def _nested_text(rings: Column, pair: Callable, opening: str, closing: str, sep: str) -> Column:

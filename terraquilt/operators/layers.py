@@ -33,14 +33,14 @@ def point_features(df: DataFrame, lat: str, lon: str, prefix: str, text: str, ro
     )
 
 
-def fire_season_map(fires: DataFrame, label: str, tolerance: float = DISPLAY_TOLERANCE) -> DataFrame:
+def fire_season_map(fires: DataFrame, label: str, tolerance: float = DISPLAY_TOLERANCE, fire_id: str = "FireNo") -> DataFrame:
     """Simplified shapes of one season and type with popup text."""
     thin = fires.where(F.col("Label") == label).select(
-        "fire_id",
+        fire_id,
         label_popup(F.col("FireName"), F.col("AreaHa")).alias("popup"),
         simplify(F.col("rings"), tolerance).alias("rings"),
     )
-    return thin.select("fire_id", "popup", to_geojson(F.col("rings")).alias("geometry"))
+    return thin.select(fire_id, "popup", to_geojson(F.col("rings")).alias("geometry"))
 
 
 def join_features_to_values(layer: DataFrame, values: DataFrame, key: str, value: str) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from terraquilt.functions.codec import clip
 from terraquilt.functions.geom import bbox_of, contains_point, edges_of, pack_shape
 from terraquilt.functions.kernel import TOLERANCE
+from terraquilt.model import GDA94, WGS84
 from terraquilt.operators.cells import cell_pairs, spread_hot
 from terraquilt.operators.windows import (
     BROADCAST_BYTES,
@@ -25,6 +26,15 @@ def _attributes(df: DataFrame) -> list:
     return [c for c in df.columns if c not in GEOMETRY]
 
 
+def check_systems(left: DataFrame, right: DataFrame) -> None:
+    """Both layers have to be in one system, as far as they name it; the degrees of WGS84
+    and GDA94 are taken as equal."""
+    named = [layer.schema["rings"].metadata.get("srid") for layer in (left, right)]
+    same = [WGS84 if s == GDA94 else s for s in named if s is not None]
+    if len(set(same)) > 1:
+        raise ValueError(f"the layers' coordinate systems differ: {named[0]} and {named[1]}")
+
+
 def _sides(left: DataFrame, right: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Geometry packed and named l_*/r_*; attribute names that differ at most in
     case get the suffixes _1 and _2, since Spark cannot tell them apart."""
@@ -48,6 +58,7 @@ def _pairs(left: DataFrame, right: DataFrame, cell: float, broadcast_left: bool
     """Candidate pairs. The left layer is the one that may be small: it is
     measured, and broadcast only if its windows fit. Otherwise, or when the caller
     knows that both sides are large, both are shuffled by cell."""
+    check_systems(left, right)
     l, r = _sides(left, right)
     if broadcast_left is not False:
         levels = levels_for(r, cell)

@@ -7,8 +7,10 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from terraquilt.functions import columns as C
+from terraquilt.session import materialized
 
 DICTIONARY_ROWS = 100_000
 DICTIONARY_BYTES = 32 * 1024 * 1024
@@ -57,19 +59,38 @@ def epoch_to_ts(df: DataFrame, cols: list[str]) -> DataFrame:
     return df.withColumns({c: C.epoch_to_ts(F.col(f"`{c}`")) for c in cols})
 
 
-def category_codes(df: DataFrame, col: str) -> tuple[DataFrame, bool]:
-    """Distinct values of a column numbered in sort order, and whether the
-    dictionary was measured small enough to broadcast."""
-    values = df.select(F.col(f"`{col}`").alias("value")).where(F.col("value").isNotNull()).distinct()
-    size = values.agg(
-        F.count(F.lit(1)).alias("n"), F.sum(F.octet_length("value")).alias("bytes")
-    ).first()
-    if size["n"] <= DICTIONARY_ROWS and (size["bytes"] or 0) <= DICTIONARY_BYTES:
-        # Few enough to sort in one row; posexplode gives the ordinals.
-        packed = values.agg(F.array_sort(F.collect_list("value")).alias("v"))
-        return packed.select(F.posexplode("v").alias("code", "value")), True
-    numbered = values.sort("value").rdd.zipWithIndex().map(lambda r: (int(r[1]), r[0][0]))
-    return df.sparkSession.createDataFrame(numbered, "code int, value string"), False
+def _numbered(values: DataFrame) -> DataFrame:
+    """value and code, its ordinal in sort order, for more values than one task should sort:
+    ranges are numbered by themselves and shifted by the sizes of those before."""
+    ranged = values.repartitionByRange("value").select("value", F.spark_partition_id().alias("range_"))
+    ranged = materialized(ranged, "category-ranges")
+    sizes = ranged.groupBy("range_").agg(F.count(F.lit(1)).alias("n"))  # one row per partition
+    before = W.orderBy("range_").rowsBetween(W.unboundedPreceding, -1)
+    shift = sizes.select("range_", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("shift"))
+    own = F.row_number().over(W.partitionBy("range_").orderBy("value")) - 1
+    numbered = ranged.withColumn("own", own).join(F.broadcast(shift), "range_")
+    return numbered.select((F.col("own") + F.col("shift")).cast("int").alias("code"), "value")
+
+
+def category_codes(df: DataFrame, cols: list[str]) -> dict[str, tuple[DataFrame, bool]]:
+    """For each column its distinct values numbered in sort order, and whether the dictionary
+    was measured small enough to broadcast. One pass over the table for all columns."""
+    pairs = F.array(*[F.struct(F.lit(c).alias("name"), F.col(f"`{c}`").alias("value")) for c in cols])
+    values = df.select(F.explode(pairs).alias("p")).select("p.*").where(F.col("value").isNotNull()).distinct()
+    values = materialized(values, "categories")
+    size = values.groupBy("name").agg(F.count(F.lit(1)).alias("n"), F.sum(F.octet_length("value")).alias("bytes"))
+    measured = {r["name"]: (r["n"], r["bytes"]) for r in size.collect()}
+    out = {}
+    for col in cols:
+        n, size_bytes = measured.get(col, (0, 0))
+        own = values.where(F.col("name") == col).select("value")
+        if n <= DICTIONARY_ROWS and size_bytes <= DICTIONARY_BYTES:
+            # Few enough to sort in one row; posexplode gives the ordinals.
+            packed = own.agg(F.array_sort(F.collect_list("value")).alias("v"))
+            out[col] = packed.select(F.posexplode("v").alias("code", "value")), True
+        else:
+            out[col] = _numbered(own), False
+    return out
 
 
 def categorize(df: DataFrame, cols: list[str] | None = None, suffix: str = "_code") -> DataFrame:
@@ -78,18 +99,17 @@ def categorize(df: DataFrame, cols: list[str] | None = None, suffix: str = "_cod
     if cols is None:
         cols = [f.name for f in df.schema if f.dataType.typeName() == "string"]
     out = df
-    for col in cols:
-        codes, small = category_codes(df, col)
+    for col, (codes, small) in (category_codes(df, cols) if cols else {}).items():
         codes = codes.withColumnsRenamed({"value": "category_value", "code": "category_code"})
-        out = (
-            out.join(
-                F.broadcast(codes) if small else codes,
-                F.col(f"`{col}`") == F.col("category_value"),
-                "left",
-            )
-            .withColumn(col + suffix, F.coalesce("category_code", F.lit(-1)))
-            .drop("category_value", "category_code")
-        )
+        if small:
+            out = out.join(F.broadcast(codes), F.col(f"`{col}`") == F.col("category_value"), "left")
+        else:
+            # Nulls match nothing; apart, they don't meet in one task
+            known = out.where(F.col(f"`{col}`").isNotNull()).join(codes, F.col(f"`{col}`") == F.col("category_value"), "left")
+            null = out.where(F.col(f"`{col}`").isNull())
+            out = known.unionByName(null, allowMissingColumns=True)
+        out = out.withColumn(col + suffix, F.coalesce("category_code", F.lit(-1)))
+        out = out.drop("category_value", "category_code")
     return out
 
 

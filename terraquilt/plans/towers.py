@@ -11,7 +11,7 @@ from terraquilt.operators import prep
 from terraquilt.sources.scan import union_code_tables
 
 CUTOFF = "2003-01-01"
-CODES_ROWS = 1_000_000
+CODES_BYTES = 32 * 1024 * 1024  # of the lookup's text and numbers, for a broadcast
 
 
 def prepare_towers(towers: DataFrame, since: str = CUTOFF) -> DataFrame:
@@ -39,7 +39,8 @@ def enrich_left(towers: DataFrame, codes: DataFrame) -> DataFrame:
     a code stay, duplicate codes multiply rows. The lookup keys are renamed since
     Spark cannot write ``mcc`` next to ``MCC``."""
     codes = codes.withColumnsRenamed({"MCC": "code_mcc", "MNC": "code_mnc"})
-    if codes.count() <= CODES_ROWS:
+    widths = [F.coalesce(F.octet_length(F.col(f"`{c}`").cast("string")), F.lit(0)) + 16 for c in codes.columns]
+    if (codes.agg(F.sum(sum(widths[1:], widths[0])).alias("bytes")).first()["bytes"] or 0) <= CODES_BYTES:
         codes = F.broadcast(codes)
     return towers.join(
         codes,

@@ -29,9 +29,17 @@ def build_session(app: str = "terraquilt", master: str | None = None, **extra: s
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A fresh path under the cluster's shared checkpoint folder. Only a session
-    that names no such folder (local tests) falls back to a temporary one."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="terraquilt-")
+    """A fresh path under the cluster's shared checkpoint folder. Only a local session that
+    names no such folder (tests) falls back to a temporary one; elsewhere executors wouldn't
+    see each other's files, so that is an error."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        named = spark.sparkContext._jsc.sc().getCheckpointDir()
+        base = named.get() if named.isDefined() else None
+    if not base:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        base = tempfile.mkdtemp(prefix="terraquilt-")
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 

@@ -6,10 +6,18 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from terraquilt.functions.codec import rings_from_wkb
-from terraquilt.functions.geom import bbox_of, normalize, rings_from_geojson, rings_from_wkt, snap
-from terraquilt.model import GDA94
+from terraquilt.functions.geom import (
+    bbox_of,
+    normalize,
+    reproject_rings,
+    rings_from_geojson,
+    rings_from_wkt,
+    snap,
+)
+from terraquilt.model import DEFAULT_LON0, GDA94, WGS84
 from terraquilt.operators.overlay import within_place
 
 
@@ -18,9 +26,11 @@ def scan_table(spark: SparkSession, name: str) -> DataFrame:
 
 
 def scan_csv(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame:
-    """CSV with a header. Without a schema the types are inferred, which reads
-    the file one more time."""
-    reader = spark.read.option("header", True)
+    """CSV with a header, text quoted where needed and quotes doubled, so that a text may
+    hold line breaks. Without a schema the types are inferred, which reads the file one
+    more time. Nothing between two separators is null; an empty text is quoted."""
+    # nullValue is what the parser returns for nothing at all; an empty text must differ from it
+    reader = spark.read.options(header=True, multiLine=True, quote='"', escape='"', emptyValue="", nullValue="\x00")
     return (reader.schema(schema) if schema else reader.option("inferSchema", True)).csv(path)
 
 
@@ -63,15 +73,25 @@ def as_layer(df: DataFrame, rings: Column, srid: int = GDA94, decimals: int | No
     return out.withColumn("bbox", bbox_of(F.col("rings")))
 
 
+def reproject_layer(layer: DataFrame, crs: int | str, lon0: float = DEFAULT_LON0) -> DataFrame:
+    """A layer in degrees with rings, box and system of another: an EPSG number or "cea"."""
+    if srid_of(layer) not in (None, WGS84, GDA94):
+        raise ValueError(f"only layers in degrees can be projected, not {srid_of(layer)}")
+    out = layer.withColumn("rings", reproject_rings(F.col("rings"), crs, lon0))
+    out = out.withMetadata("rings", {"srid": crs if crs != "cea" else f"cea {lon0}"})
+    return out.withColumn("bbox", bbox_of(F.col("rings")))
+
+
 def srid_of(layer: DataFrame) -> int | None:
     return layer.schema["rings"].metadata.get("srid")
 
 
 def layer_from(df: DataFrame, column: str, encoding: str, srid: int = GDA94,
-               decimals: int | None = None) -> DataFrame:
-    """A table with a WKB, WKT or GeoJSON geometry column as a layer."""
+               decimals: int | None = None, lenient: bool = False) -> DataFrame:
+    """A table with a WKB, WKT or GeoJSON geometry column as a layer. What isn't a geometry
+    raises, or with ``lenient`` becomes an empty shape."""
     decode = {"wkb": rings_from_wkb, "wkt": rings_from_wkt, "geojson": rings_from_geojson}[encoding]
-    return as_layer(df, decode(F.col(f"`{column}`")), srid, decimals, (column,))
+    return as_layer(df, decode(F.col(f"`{column}`"), lenient), srid, decimals, (column,))
 
 
 def scan_layer(
@@ -82,22 +102,30 @@ def scan_layer(
     schema: str | None = None,
     column: str = "geometry",
     decimals: int | None = None,
+    lenient: bool = False,
 ) -> DataFrame:
-    """A vector layer from files: ``geojson`` (one feature per line; ``schema``
-    declares the properties), ``wkb`` (parquet) or ``wkt`` (CSV)."""
-    if fmt == "geojson":
+    """A vector layer from files: ``geojson`` (one feature per line) or ``collection`` (one
+    FeatureCollection per file; for both, ``schema`` declares the properties), ``wkb``
+    (parquet) or ``wkt`` (CSV)."""
+    if fmt in ("geojson", "collection"):
         if schema is None:
             raise ValueError("GeoJSON needs the schema of its properties")
-        lines = spark.read.text(path)
-        props = F.from_json(F.get_json_object("value", "$.properties"), schema)
-        table = lines.where(F.length(F.trim("value")) > 0).select(
-            props.alias("p"), F.get_json_object("value", "$.geometry").alias(column)
-        ).select("p.*", column)
-        return layer_from(table, column, "geojson", srid, decimals)
+        feature = T.StructType([
+            T.StructField("properties", T.StructType.fromDDL(schema)), T.StructField("geometry", T.StringType())
+        ])
+        if fmt == "geojson":
+            lines = spark.read.text(path).where(F.length(F.trim("value")) > 0)
+            found = lines.select(F.from_json("value", feature).alias("f"))
+        else:
+            whole = T.StructType([T.StructField("features", T.ArrayType(feature))])
+            documents = spark.read.text(path, wholetext=True)
+            found = documents.select(F.explode(F.from_json("value", whole)["features"]).alias("f"))
+        table = found.select("f.properties.*", F.col("f.geometry").alias(column))
+        return layer_from(table, column, "geojson", srid, decimals, lenient)
     if fmt == "wkb":
-        return layer_from(scan_parquet(spark, path), column, "wkb", srid, decimals)
+        return layer_from(scan_parquet(spark, path), column, "wkb", srid, decimals, lenient)
     if fmt == "wkt":
-        return layer_from(scan_csv(spark, path, schema), column, "wkt", srid, decimals)
+        return layer_from(scan_csv(spark, path, schema), column, "wkt", srid, decimals, lenient)
     raise ValueError(f"unsupported layer format: {fmt}")
 
 

@@ -33,7 +33,10 @@ def flat(df: DataFrame) -> DataFrame:
 
 
 def write_csv(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
-    flat(df).write.mode(mode).option("header", True).csv(path)
+    """Text with separators, quotes or line breaks is quoted and quotes are doubled; an
+    empty text is written as two quotes, so it doesn't come back as null."""
+    options = {"header": True, "quote": '"', "escape": '"', "emptyValue": '""'}
+    flat(df).write.mode(mode).options(**options).csv(path)
 
 
 def features(df: DataFrame) -> DataFrame:

@@ -158,3 +158,46 @@ def test_simplify_points_are_near(spark, radii):
         return best
 
     assert all(off(p) <= 0.05 + 1e-12 for p in shape[0][2])
+
+
+def test_unusual_text_is_read_and_bad_text_raises(spark):
+    ring = "(0 0 9 9, 1 0 9 9, 1 1 9 9, 0 0 9 9)"
+    texts = {
+        f"POLYGON ZM ({ring})": 0.5, f"polygon z({ring})": 0.5, f"SRID=4283;POLYGON({ring})": 0.5, f"MULTIPOLYGON M (({ring}), ({ring.replace('1', '2')}))": 2.5,
+        f"GEOMETRYCOLLECTION (POINT (3 4), POLYGON ({ring}), MULTIPOINT ((1 2), (3 4)), MULTIPOLYGON (({ring})))": 1.0,
+        "POLYGON EMPTY": 0, "POINT (1 2)": 0, "MULTILINESTRING ((0 0, 1 1), (2 2, 3 3))": 0, "GEOMETRYCOLLECTION EMPTY": 0,
+    }
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    got = {r["t"]: r["a"] for r in df.select("t", geom.area_degrees(geom.rings_from_wkt(F.col("t"))).alias("a")).collect()}
+    assert {t: a or 0 for t, a in got.items()} == pytest.approx(texts)
+    bad = ["POLYGON ((0 0, 1 0, 1 1", "garbage", "POLYGON", "POLYGON ((0 0, x 1, 1 1, 0 0))", ""]
+    for t in bad:
+        one = spark.createDataFrame([(t,)], "t string")
+        with pytest.raises(Exception, match="not a geometry"):
+            one.select(geom.rings_from_wkt(F.col("t"))).collect()
+        assert one.select(geom.rings_from_wkt(F.col("t"), lenient=True)).first()[0] == []
+    for t in ("{", '{"type": "Polygon"}', '{"type": "Circle", "coordinates": []}'):
+        one = spark.createDataFrame([(t,)], "t string")
+        with pytest.raises(Exception, match="not a geometry"):
+            one.select(geom.rings_from_geojson(F.col("t"))).collect()
+        assert one.select(geom.rings_from_geojson(F.col("t"), lenient=True)).first()[0] == []
+
+
+def test_unusual_binary_is_read_and_bad_binary_raises(spark):
+    import struct
+
+    def polygon(order="<"):
+        pts = [0.0, 0.0, 1.0, 0.0, 1.0, 1.0, 0.0, 0.0]
+        return struct.pack(order + "BIII", order == "<", 3, 1, 4) + struct.pack(order + "8d", *pts)
+
+    point = struct.pack("<BIdd", 1, 1, 5.0, 5.0)
+    line = struct.pack("<BII4d", 1, 2, 2, 0, 0, 1, 1)
+    blobs = [polygon(), polygon(">"), point, line, struct.pack("<BII", 1, 7, 4) + polygon() + point + line + polygon(">")]
+    df = spark.createDataFrame([(i, b) for i, b in enumerate(blobs)], "i int, b binary")
+    got = {r["i"]: r["a"] or 0 for r in df.select("i", geom.area_degrees(rings_from_wkb(F.col("b"))).alias("a")).collect()}
+    assert got == pytest.approx({0: 0.5, 1: 0.5, 2: 0, 3: 0, 4: 1.0})
+    for b in (polygon()[:-3], b"\x09abc", b"", struct.pack("<BI", 1, 99)):
+        one = spark.createDataFrame([(b,)], "b binary")
+        with pytest.raises(Exception):
+            one.select(rings_from_wkb(F.col("b"))).collect()
+        assert one.select(rings_from_wkb(F.col("b"), lenient=True)).first()[0] == []

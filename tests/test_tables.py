@@ -10,8 +10,9 @@ from shapes import row, square
 from terraquilt.functions import columns as C
 from terraquilt.functions import geom
 from terraquilt.functions.codec import to_wkb
+from terraquilt import model
 from terraquilt.model import GDA94, RINGS
-from terraquilt.operators import explore, layers, prep, stats
+from terraquilt.operators import explore, layers, overlay, prep, stats
 from terraquilt.plans import fire_history as fh
 from terraquilt.plans import towers as tw
 from terraquilt.sources import scan, sink
@@ -135,7 +136,7 @@ def test_state_filter_and_counts(lga, fires):
 
 
 def test_stated_area_overcounts(lga, fires):
-    got = {r["fire_id"]: r for r in stats.layer_overlap_blowout(lga, fires).collect()}
+    got = {r["fire_id"]: r for r in stats.layer_overlap_blowout(lga, fires, fire_id="fire_id").collect()}
     assert got[1]["LGAS"] == 2 and got[1]["STATEDHA"] == 200.0
     assert got[5]["STATEDHA"] is None
 
@@ -229,9 +230,52 @@ def test_layer_files(spark, land, tmp_path):
         assert json.loads(line["value"])["type"] == "Feature"
     sink.write_parquet(land.select("id", "N A", to_wkb(F.col("rings")).alias("geometry")), f"{tmp_path}/w")
     assert shapes_of(scan.scan_layer(spark, f"{tmp_path}/w", "wkb", srid=4326)) == shapes_of(land)
-    sink.write_csv(land.where("id < 3"), f"{tmp_path}/c")
+    odd = [(1, "line\nbreak, \"quoted\"", UNIT), (2, "", HOLED), (3, None, None), (4, "back\\slash", [])]
+    wide = layer(spark, odd, "id int, `N A` string")
+    sink.write_csv(wide, f"{tmp_path}/c")
     back = scan.scan_layer(spark, f"{tmp_path}/c", "wkt", schema="id int, `N A` string, geometry string")
-    assert {k: v[1] for k, v in shapes_of(back).items()} == {k: v[1] for k, v in shapes_of(land).items() if k < 3}
+    assert shapes_of(back) == shapes_of(wide)
+
+
+def test_collections_are_layers(spark, tmp_path):
+    square = {"type": "Polygon", "coordinates": [[[0, 0], [1, 0], [1, 1], [0, 1], [0, 0]]]}
+    mixed = {"type": "GeometryCollection", "geometries": [square, {"type": "Point", "coordinates": [5, 5]}]}
+    features = [{"type": "Feature", "properties": {"n": i}, "geometry": g} for i, g in enumerate([square, mixed, None])]
+    (tmp_path / "a.json").write_text(json.dumps({"type": "FeatureCollection", "features": features}, indent=1))
+    got = {r["n"]: r["rings"] for r in scan.scan_layer(spark, str(tmp_path), "collection", schema="n int").collect()}
+    assert len(got[0][0]["pts"]) == 5 and got[1] == got[0] and got[2] is None
+
+
+def test_layers_are_projected_and_systems_compared(spark, land):
+    flat = scan.reproject_layer(land.withMetadata("rings", {"srid": GDA94}), 3857)
+    assert scan.srid_of(flat) == 3857
+    box = flat.where("id = 1").select("bbox.*").first()
+    assert box["xmin"] == 0 and box["xmax"] == pytest.approx(111319.490793) and box["ymax"] == pytest.approx(111325.142866)
+    with pytest.raises(ValueError):
+        overlay.overlay_intersection(land.withMetadata("rings", {"srid": GDA94}), flat)
+    with pytest.raises(ValueError):
+        scan.reproject_layer(flat, "cea")
+
+
+def test_statistics_run_on_the_declared_inputs(spark):
+    """Without ids beyond those of the known inputs."""
+    square = "POLYGON ((150 -34, 151 -34, 151 -33, 150 -33, 150 -34))"
+    raw = [("F1", "Big", "2019-20 Wildfire", "2019-10-26", "2020-01-12", 12345678.5, square), (None, None, "2019-20 Wildfire", None, None, 0.00025, square)]
+    fires = fh.prepare_fires(spark.createDataFrame(raw, model.FIRES_SCHEMA), loaded=dt.date(2024, 1, 1))
+    lga_rows = spark.createDataFrame([(1, 10, "East", square)], "STE_CODE16 int, LGA_CODE_2019 int, LGA_NAME19 string, WKB string")
+    lga = fh.prepare_lga(lga_rows, encoding="wkt")
+    assert rows(stats.fire_count_per_lga(lga, fires)) == [("East", 10, 2)]
+    assert {r["FireNo"]: r["LGAS"] for r in stats.layer_overlap_blowout(lga, fires).collect()} == {"F1": 1, None: 1}
+    assert stats.lga_fire_stats(lga, fires, with_check=True).first()["BADPAIRS"] == 0
+    popups = {r["popup"] for r in layers.fire_season_map(fires, "2019-20 Wildfire").collect()}
+    assert popups == {"Fire name: Big <br>Burnt Area (ha): 12345678.5", "Fire name: None <br>Burnt Area (ha): 0.00025"}
+    far = square.replace("15", "14")
+    use = spark.createDataFrame([("crop", square), ("wood", "POLYGON ((150 -34, 150.5 -34, 150.5 -33, 150 -34))"), (None, far)], "Secondary string, geom_0 string")
+    some = fires.where("FireNo = 'F1'").withColumn("rings", F.col("rings"))
+    burnt = {(r["LANDUSETYPE"], r["FIRESEASON"]): r["BURNTPCT"] for r in stats.landuse_burnt(scan.layer_from(use, "geom_0", "wkt"), lga, some).collect()}
+    assert burnt == {("crop", "2019-20"): pytest.approx(100), ("wood", "2019-20"): pytest.approx(100)}
+    none = stats.landuse_burnt(scan.layer_from(use, "geom_0", "wkt"), lga, fires.where("false")).collect()
+    assert {(r["LANDUSETYPE"], r["FIRESEASON"], r["BURNTHA"]) for r in none} == {("crop", None, 0.0), ("wood", None, 0.0)}
 
 
 def test_tables_append_and_overwrite(spark, tmp_path):
