@@ -11,7 +11,8 @@ other. Shorter lines (bullets, braces, headings) repeat for good reasons and are
    (multi-match-aware selection: 5, 4 and 3 substrings for 2 edits and lengths that differ
    by 0, 1 and 2). Segments are listed under (length, number, segment); every text probes the
    lists of its own length and of those up to `edits` shorter.
-3. Candidates are verified by a banded bit-parallel edit distance: per number of edits one
+3. Candidates are verified, without their common beginning and end, by a banded bit-parallel edit
+   distance: per number of edits one
    word of bits, a bit per diagonal of the band, updated for all diagonals at once by
    shifts and logical operations.
 
@@ -27,11 +28,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from terraquilt.llm.common import materialized, spread_join, unused
+from terraquilt.llm.common import BROADCAST_KEYS, materialized, spread_join, unused
 
 EDITS, MIN_CHARS = 2, 20
 #: Listed texts of one segment that one task compares with its probes.
 LIST_ROWS = 2_000
+#: Hashes of 8 or 16 bytes that are broadcast; more of them are joined by shuffle.
+BROADCAST_IDS = 500_000
 
 
 def lines(docs: DataFrame) -> DataFrame:
@@ -49,52 +52,86 @@ def first_occurrences(found: DataFrame) -> DataFrame:
     return found.groupBy("h1", "h2").agg(F.min(at).alias("at"), F.count("*").alias("n"))
 
 
-def segments(length: Column, edits: int = EDITS) -> list[tuple[Column, Column]]:
-    """(start from 1, size) of the edits + 1 even segments; the last ones take the remainder."""
+def _segment(texts: DataFrame, places: list[tuple[int, int, int]], edits: int) -> DataFrame:
+    """key, h1: one row per text and place (less, i, shift): the hash of (length - less, i, the text's
+    substring where a text shorter by `less` has its segment i, moved by `shift`)."""
     parts = edits + 1
-    size, more = F.floor(length / parts), length % parts
-    out, start = [], F.lit(1)
-    for i in range(parts):
-        own = size + F.when(more >= parts - i, 1).otherwise(0)
-        out.append((start.cast("int"), own.cast("int")))
-        start = start + own
-    return out
+    rows = texts.select("h1", "line", F.length("line").alias("n"))
+    named = [F.struct(F.lit(x).alias("less"), F.lit(i).alias("i"), F.lit(y).alias("shift")) for x, i, y in places]
+    rows = rows.select("h1", "line", "n", F.explode(F.array(*named)).alias("p"))
+    rows = rows.select("h1", "line", "n", "p.i", "p.shift", (F.col("n") - F.col("p.less")).alias("length"))
+    rows = rows.withColumn("size", F.expr(f"int(length div {parts})"))  # even; the last ones take the remainder
+    longer = F.col("i") - parts + F.col("length") % parts
+    rows = rows.withColumn("at", F.col("i") * F.col("size") + F.greatest(longer, F.lit(0)) + F.col("shift"))
+    rows = rows.withColumn("size", F.col("size") + F.when(longer >= 0, 1).otherwise(0))
+    inside = (F.col("at") >= 0) & (F.col("at") + F.col("size") <= F.col("n")) & (F.col("length") >= MIN_CHARS)
+    key = F.xxhash64("length", "i", F.expr("substring(line, at + 1, size)"))
+    return rows.where(inside).select(key.alias("key"), "h1")
 
 
-def _key(length: Column, i: int, part: Column) -> Column:
-    return F.xxhash64(length.cast("int"), F.lit(i), part)
+def listed(texts: DataFrame, edits: int = EDITS) -> DataFrame:
+    """Keys under which each text is listed."""
+    return _segment(texts, [(0, i, 0) for i in range(edits + 1)], edits)
 
 
-def listed(line: Column, edits: int = EDITS) -> Column:
-    """Keys under which a text is listed."""
-    n = F.length(line)
-    return F.array(*(_key(n, i, F.substring(line, at, size)) for i, (at, size) in enumerate(segments(n, edits))))
+def probes(texts: DataFrame, edits: int = EDITS) -> DataFrame:
+    """Keys that each text looks up: those of lists of its own length and up to `edits` less."""
+    places = [
+        (less, i, shift)
+        for less in range(edits + 1)
+        for i in range(edits + 1)
+        for shift in range(max(-i, less - (edits - i)), min(i, less + (edits - i)) + 1)
+    ]
+    return _segment(texts, places, edits)
 
 
-def probes(line: Column, edits: int = EDITS) -> Column:
-    """Keys that a text looks up: those of lists of its own length and up to `edits` less."""
-    keys, n = [], F.length(line)
-    for less in range(edits + 1):
-        length = n - less
-        for i, (at, size) in enumerate(segments(length, edits)):
-            low, high = max(-i, less - (edits - i)), min(i, less + (edits - i))
-            for shift in range(low, high + 1):
-                inside = (at + shift >= 1) & (at + shift + size - 1 <= n)
-                keys.append(F.when(inside & (length >= MIN_CHARS), _key(length, i, F.substring(line, at + shift, size))))
-    return F.array_compact(F.array(*keys))
+def trimmed(a: Column, b: Column) -> tuple[Column, Column]:
+    """The two texts without what they begin and end with in common. An edit distance is that
+    of the rest."""
+    steps = F.array(*(F.lit(1 << k) for k in range(20, -1, -1)))
+
+    def common(x: Column, y: Column, most: Column) -> Column:
+        def step(n: Column, by: Column) -> Column:
+            same = F.call_function("substring", x, n + 1, by) == F.call_function("substring", y, n + 1, by)
+            return F.when((n + by <= most) & same, n + by).otherwise(n)
+
+        return F.aggregate(steps, F.lit(0), step)
+
+    def once(value: Column, use) -> Column:
+        """use(value), with the value worked out once rather than at each mention."""
+        return F.element_at(F.transform(F.array(value), use), 1)
+
+    least = F.least(F.length(a), F.length(b))
+
+    def rest(x: Column) -> Column:
+        def cut(ends: Column) -> Column:
+            return F.call_function("substring", x, ends["head"] + 1, F.length(x) - ends["head"] - ends["tail"])
+
+        def tail(head: Column) -> Column:
+            back = common(F.reverse(a), F.reverse(b), least - head)
+            return once(F.struct(head.alias("head"), back.alias("tail")), cut)
+
+        return once(common(a, b, least), tail)
+
+    return rest(a), rest(b)
 
 
 def within(a: Column, b: Column, edits: int = EDITS) -> Column:
     """Whether at most `edits` edits lead from a to b. Bit d of word e says that, at the
     current character of b, diagonal d - edits of the band can be reached with e edits."""
     width, mask = 2 * edits + 1, (1 << (2 * edits + 1)) - 1
-    left, right = F.split(a, ""), F.split(b, "")
 
-    def bit(j: Column, d: int) -> Column:
-        # j counts b's characters from 1; diagonal d compares a's character j + d - edits
-        at = j + (d - edits) - 1
-        same = F.get(left, at) == F.get(right, j - 1)
-        return F.when(F.coalesce(same, F.lit(False)), F.lit(1 << d)).otherwise(F.lit(0))
+    def matches(pair: Column) -> Column:
+        """For each character of b, the diagonals on which a's character equals it."""
+        def at(j: Column) -> Column:
+            out = None
+            for d in range(width):
+                same = F.coalesce(F.get(pair["a"], j + (d - edits)) == F.get(pair["b"], j), F.lit(False))
+                bit = F.when(same, F.lit(1 << d)).otherwise(F.lit(0))
+                out = bit if out is None else out.bitwiseOR(bit)
+            return out
+
+        return F.transform(F.sequence(F.lit(0), F.size(pair["b"]) - 1), at)
 
     def turn(acc: Column, match: Column) -> Column:
         out: list[Column] = []
@@ -108,45 +145,55 @@ def within(a: Column, b: Column, edits: int = EDITS) -> Column:
         return F.struct(*(w.alias(f"e{e}") for e, w in enumerate(out)))
 
     start = F.struct(*(F.lit(((1 << (e + 1)) - 1) << edits & mask).alias(f"e{e}") for e in range(edits + 1)))
-    matches = F.transform(F.sequence(F.lit(1), F.length(b)), lambda j: _matches(j, bit, width))
+    # The characters are split once: a lambda would split them again at each mention.
+    rows = F.transform(F.array(F.struct(F.split(a, "").alias("a"), F.split(b, "").alias("b"))), matches)
     end = F.call_function("shiftleft", F.lit(1), F.length(a) - F.length(b) + edits)
-    reached = F.aggregate(matches, start, turn, lambda acc: acc[f"e{edits}"].bitwiseAND(end) != 0)
-    return (F.abs(F.length(a) - F.length(b)) <= edits) & F.when(F.length(b) == 0, F.lit(True)).otherwise(reached)
-
-
-def _matches(j: Column, bit, width: int) -> Column:
-    out = bit(j, 0)
-    for d in range(1, width):
-        out = out.bitwiseOR(bit(j, d))
-    return out
+    reached = F.aggregate(F.element_at(rows, 1), start, turn, lambda acc: acc[f"e{edits}"].bitwiseAND(end) != 0)
+    near = F.abs(F.length(a) - F.length(b)) <= edits
+    return F.when(~near, F.lit(False)).when(F.length(b) == 0, F.lit(True)).otherwise(reached)
 
 
 def candidates(texts: DataFrame, edits: int = EDITS) -> DataFrame:
-    """Pairs (a, b) of text ids that share a segment where one may be. texts: id, line.
-    Not every pair of a list: only what the places allow, and each pair once."""
-    lists = materialized(texts.select(F.explode(F.array_distinct(listed(F.col("line"), edits))).alias("key"), "id"), "segments")
-    probing = texts.select(F.explode(F.array_distinct(probes(F.col("line"), edits))).alias("key"), F.col("id").alias("other"))
-    hot = lists.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > LIST_ROWS)
+    """Pairs (a, b) of hashes h1 whose texts share a segment where one may be. Not every pair
+    of a list: only what the places allow, and each pair once. Texts of equal h1 go together."""
+    hot = listed(texts, edits).groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > LIST_ROWS)
     hot = materialized(hot.select("key", F.ceil(F.col("n") / LIST_ROWS).alias("parts")), "hot-segments")
+    lists, probing = listed(texts, edits), probes(texts, edits).withColumnRenamed("h1", "other")
     if hot.isEmpty():
         pairs = lists.join(probing, "key")
     else:
-        dealt = lists.join(hot, "key", "left").withColumn("part", F.pmod(F.xxhash64("id"), F.coalesce("parts", F.lit(1).cast("long"))))
-        last = F.coalesce("parts", F.lit(1).cast("long")) - 1
-        visiting = probing.join(hot, "key", "left").withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), last)))
+        one = F.lit(1).cast("long")
+        dealt = lists.join(hot, "key", "left").withColumn("part", F.pmod(F.xxhash64("h1"), F.coalesce("parts", one)))
+        every = F.sequence(F.lit(0).cast("long"), F.coalesce("parts", one) - 1)
+        visiting = probing.join(hot, "key", "left").withColumn("part", F.explode(every))
         pairs = dealt.drop("parts").join(visiting.drop("parts"), ["key", "part"])
-    pairs = pairs.where(F.col("id") != F.col("other"))
-    return pairs.select(F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b")).distinct()
+    pairs = pairs.where(F.col("h1") != F.col("other"))
+    return pairs.select(F.least("h1", "other").alias("a"), F.greatest("h1", "other").alias("b")).distinct()
 
 
 def links(texts: DataFrame, edits: int = EDITS) -> DataFrame:
-    """Verified pairs (a, b) of text ids. texts: id, line."""
+    """Verified pairs (a, b) of text ids, struct(h1, h2). texts: h1, h2, line, a row per text."""
     pairs = materialized(candidates(texts, edits), "line-pairs")
-    one = lambda c: texts.select(F.col("id").alias(c), F.col("line").alias("l" + c))
+    wanted = materialized(pairs.select(F.col("a").alias("h1")).union(pairs.select("b")).distinct(), "paired-lines")
+    wanted = F.broadcast(wanted) if wanted.count() <= BROADCAST_IDS else wanted
+    paired = materialized(texts.join(wanted, "h1", "left_semi"), "paired-texts")
+    one = lambda c: paired.select(F.col("h1").alias(c), F.struct("h1", "h2").alias("id" + c), F.col("line").alias("l" + c))
     sizes = lambda c: pairs.groupBy(c).agg(F.count("*").alias("n"))
     both = spread_join(pairs, one("b"), "b", sizes("b"), F.xxhash64("a"))
     both = spread_join(both, one("a"), "a", sizes("a"), F.xxhash64("b"))
-    return both.where(within(F.col("la"), F.col("lb"), edits)).select("a", "b")
+    rest = trimmed(F.col("la"), F.col("lb"))
+    both = both.where(F.abs(F.length("la") - F.length("lb")) <= edits).select("ida", "idb", rest[0].alias("ra"), rest[1].alias("rb"))
+    return both.where(within(F.col("ra"), F.col("rb"), edits)).select(F.col("ida").alias("a"), F.col("idb").alias("b")).distinct()
+
+
+def distinct_texts(found: DataFrame, firsts: DataFrame) -> DataFrame:
+    """h1, h2, line: a row per distinct line. Most lines occur once and are taken as they
+    are, without a shuffle of text if the hashes of the others may be broadcast."""
+    often = firsts.where("n > 1").select("h1", "h2")
+    often = F.broadcast(often) if often.count() <= BROADCAST_IDS else often
+    single = found.join(often, ["h1", "h2"], "left_anti")
+    several = found.join(often, ["h1", "h2"], "left_semi").groupBy("h1", "h2").agg(F.min("line").alias("line"))
+    return single.select("h1", "h2", "line").union(materialized(several, "frequent-lines"))
 
 
 def line_classes(docs: DataFrame, edits: int = EDITS) -> DataFrame:
@@ -156,38 +203,38 @@ def line_classes(docs: DataFrame, edits: int = EDITS) -> DataFrame:
     earlier line equals it or is linked with it (even if that one goes, too)."""
     found = lines(docs)
     firsts = materialized(first_occurrences(found), "first-lines")
-    # One text per distinct line: its first row, met again by document and line, not by text
-    first = firsts.select(
-        F.col("at.doc_id").alias("d"), F.col("at.row_key").alias("row_key"), F.col("at.line_no").alias("line_no"), "h1", "h2"
-    )
-    placed = found.withColumn("d", F.coalesce("doc_id", F.lit(2**63 - 1)))
-    texts = placed.join(first, ["d", "row_key", "line_no", "h1", "h2"], "left_semi")
-    texts = texts.select("d", "row_key", "line_no", F.struct("h1", "h2").alias("id"), "line").dropDuplicates(["id"])
-    texts = materialized(texts.select("id", "line"), "line-texts")
-    pairs = materialized(links(texts, edits), "line-links")
-    names = firsts.select(F.struct("h1", "h2").alias("id"), "at", "n")
+    pairs = materialized(links(distinct_texts(found, firsts), edits), "line-links")
     near = pairs.union(pairs.select("b", "a")).toDF("id", "other")
+    linked = near.select("id").distinct()
+    names = firsts.select(F.struct("h1", "h2").alias("id"), "at", "n")
+    # Lines that occur once and are linked with none are their own class: no need to look them up
+    special = names.join(linked.withColumn("linked", F.lit(True)), "id", "left").where("n > 1 or linked")
+    special = materialized(special, "special-lines")
     sizes = near.groupBy("id").agg(F.count("*").alias("n"))
     earlier = spread_join(
-        near.select(F.col("id").alias("to"), F.col("other").alias("id")), names.select("id", "at"), "id", sizes, F.xxhash64("to")
+        near.select(F.col("id").alias("to"), F.col("other").alias("id")), special.select("id", "at"), "id", sizes, F.xxhash64("to")
     )
     earlier = earlier.groupBy(F.col("to").alias("id")).agg(F.min("at").alias("near"), F.count("*").alias("links"))
-    known = names.join(earlier, "id", "left")
-    known = known.select(
+    known = special.join(earlier, "id", "left").select(
         "id", "at", "n",
         F.coalesce("links", F.lit(0)).cast("long").alias("links"),
         F.coalesce(F.col("near") < F.col("at"), F.lit(False)).alias("late"),
     )
     known = materialized(known, "known-lines")
-    rows = placed.select("doc_id", "d", "row_key", "line_no", F.struct("h1", "h2").alias("id"))
-    rows = spread_join(rows, known.drop("n"), "id", known.select("id", "n"), F.xxhash64("d", "line_no"))
+    last = F.lit(2**63 - 1)
+    rows = found.select("doc_id", F.coalesce("doc_id", last).alias("d"), "row_key", "line_no", F.struct("h1", "h2").alias("id"))
+    if known.count() <= BROADCAST_KEYS:
+        rows = rows.join(F.broadcast(known.drop("n")), "id", "left")
+    else:
+        rows = spread_join(rows, known.drop("n"), "id", known.select("id", "n"), F.xxhash64("d", "line_no"), "left")
     here = (F.col("at.doc_id") == F.col("d")) & (F.col("at.row_key") == F.col("row_key")) & (F.col("at.line_no") == F.col("line_no"))
+    alone = F.col("at").isNull()
     return rows.select(
         "doc_id", "row_key", "line_no",
-        F.when(F.col("at.doc_id") < 2**63 - 1, F.col("at.doc_id")).alias("class_doc"),
-        F.col("at.line_no").alias("class_line"),
-        "links",
-        (here & ~F.col("late")).alias("kept"),
+        F.when(alone, F.col("doc_id")).when(F.col("at.doc_id") < last, F.col("at.doc_id")).alias("class_doc"),
+        F.when(alone, F.col("line_no")).otherwise(F.col("at.line_no")).alias("class_line"),
+        F.coalesce("links", F.lit(0).cast("long")).alias("links"),
+        F.when(alone, F.lit(True)).otherwise(here & ~F.col("late")).alias("kept"),
     )
 
 
