@@ -35,6 +35,10 @@ EDITS, MIN_CHARS = 2, 20
 LIST_ROWS = 2_000
 #: Hashes of 8 or 16 bytes that are broadcast; more of them are joined by shuffle.
 BROADCAST_IDS = 500_000
+#: Letters whose counts tell most texts apart; any would do.
+LETTERS = "etan i"
+#: Characters after which most candidates that share just a segment have failed.
+START = 24
 
 
 def lines(docs: DataFrame) -> DataFrame:
@@ -52,21 +56,39 @@ def first_occurrences(found: DataFrame) -> DataFrame:
     return found.groupBy("h1", "h2").agg(F.min(at).alias("at"), F.count("*").alias("n"))
 
 
+def letters(line: Column) -> Column:
+    """How often each of LETTERS occurs, modulo 256, a byte of a long each."""
+    out = F.lit(0).cast("long")
+    for i, letter in enumerate(LETTERS):
+        count = F.length(line) - F.length(F.replace(line, F.lit(letter), F.lit("")))
+        out = out.bitwiseOR(F.shiftleft((count % 256).cast("long"), 8 * i))
+    return out
+
+
+def letters_near(a: Column, b: Column, edits: int = EDITS) -> Column:
+    """False only for texts more than `edits` apart: an edit moves two counts by 1 at most."""
+    total = F.lit(0).cast("long")
+    for i in range(len(LETTERS)):
+        d = F.shiftright(a, 8 * i).bitwiseAND(F.lit(255)) - F.shiftright(b, 8 * i).bitwiseAND(F.lit(255))
+        total = total + F.least(F.pmod(d, F.lit(256)), F.pmod(-d, F.lit(256)))
+    return total <= 2 * edits
+
+
 def _segment(texts: DataFrame, places: list[tuple[int, int, int]], edits: int) -> DataFrame:
-    """key, h1: one row per text and place (less, i, shift): the hash of (length - less, i, the text's
+    """key, h1, letters: one row per text and place (less, i, shift): the hash of (length - less, i, the text's
     substring where a text shorter by `less` has its segment i, moved by `shift`)."""
     parts = edits + 1
-    rows = texts.select("h1", "line", F.length("line").alias("n"))
+    rows = texts.select("h1", "line", F.length("line").alias("n"), letters(F.col("line")).alias("letters"))
     named = [F.struct(F.lit(x).alias("less"), F.lit(i).alias("i"), F.lit(y).alias("shift")) for x, i, y in places]
-    rows = rows.select("h1", "line", "n", F.explode(F.array(*named)).alias("p"))
-    rows = rows.select("h1", "line", "n", "p.i", "p.shift", (F.col("n") - F.col("p.less")).alias("length"))
+    rows = rows.select("h1", "line", "n", "letters", F.explode(F.array(*named)).alias("p"))
+    rows = rows.select("h1", "line", "n", "letters", "p.i", "p.shift", (F.col("n") - F.col("p.less")).alias("length"))
     rows = rows.withColumn("size", F.expr(f"int(length div {parts})"))  # even; the last ones take the remainder
     longer = F.col("i") - parts + F.col("length") % parts
     rows = rows.withColumn("at", F.col("i") * F.col("size") + F.greatest(longer, F.lit(0)) + F.col("shift"))
     rows = rows.withColumn("size", F.col("size") + F.when(longer >= 0, 1).otherwise(0))
     inside = (F.col("at") >= 0) & (F.col("at") + F.col("size") <= F.col("n")) & (F.col("length") >= MIN_CHARS)
     key = F.xxhash64("length", "i", F.expr("substring(line, at + 1, size)"))
-    return rows.where(inside).select(key.alias("key"), "h1")
+    return rows.where(inside).select(key.alias("key"), "h1", "letters")
 
 
 def listed(texts: DataFrame, edits: int = EDITS) -> DataFrame:
@@ -116,9 +138,11 @@ def trimmed(a: Column, b: Column) -> tuple[Column, Column]:
     return rest(a), rest(b)
 
 
-def within(a: Column, b: Column, edits: int = EDITS) -> Column:
+def within(a: Column, b: Column, edits: int = EDITS, begin: int | None = None) -> Column:
     """Whether at most `edits` edits lead from a to b. Bit d of word e says that, at the
-    current character of b, diagonal d - edits of the band can be reached with e edits."""
+    current character of b, diagonal d - edits of the band can be reached with e edits.
+    With `begin` only so many characters of b are looked at, and false means that no
+    continuation can make it true."""
     width, mask = 2 * edits + 1, (1 << (2 * edits + 1)) - 1
 
     def matches(pair: Column) -> Column:
@@ -146,11 +170,14 @@ def within(a: Column, b: Column, edits: int = EDITS) -> Column:
 
     start = F.struct(*(F.lit(((1 << (e + 1)) - 1) << edits & mask).alias(f"e{e}") for e in range(edits + 1)))
     # The characters are split once: a lambda would split them again at each mention.
-    rows = F.transform(F.array(F.struct(F.split(a, "").alias("a"), F.split(b, "").alias("b"))), matches)
+    near, none = F.abs(F.length(a) - F.length(b)) <= edits, F.length(b) == 0
     end = F.call_function("shiftleft", F.lit(1), F.length(a) - F.length(b) + edits)
+    if begin is not None:
+        end = F.when(F.length(b) <= begin, end).otherwise(F.lit(mask))
+        a, b = F.substring(a, 1, begin + edits), F.substring(b, 1, begin)
+    rows = F.transform(F.array(F.struct(F.split(a, "").alias("a"), F.split(b, "").alias("b"))), matches)
     reached = F.aggregate(F.element_at(rows, 1), start, turn, lambda acc: acc[f"e{edits}"].bitwiseAND(end) != 0)
-    near = F.abs(F.length(a) - F.length(b)) <= edits
-    return F.when(~near, F.lit(False)).when(F.length(b) == 0, F.lit(True)).otherwise(reached)
+    return F.when(~near, F.lit(False)).when(none, F.lit(True)).otherwise(reached)
 
 
 def candidates(texts: DataFrame, edits: int = EDITS) -> DataFrame:
@@ -158,7 +185,8 @@ def candidates(texts: DataFrame, edits: int = EDITS) -> DataFrame:
     of a list: only what the places allow, and each pair once. Texts of equal h1 go together."""
     hot = listed(texts, edits).groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > LIST_ROWS)
     hot = materialized(hot.select("key", F.ceil(F.col("n") / LIST_ROWS).alias("parts")), "hot-segments")
-    lists, probing = listed(texts, edits), probes(texts, edits).withColumnRenamed("h1", "other")
+    lists = listed(texts, edits)
+    probing = probes(texts, edits).withColumnsRenamed({"h1": "other", "letters": "others"})
     if hot.isEmpty():
         pairs = lists.join(probing, "key")
     else:
@@ -167,7 +195,7 @@ def candidates(texts: DataFrame, edits: int = EDITS) -> DataFrame:
         every = F.sequence(F.lit(0).cast("long"), F.coalesce("parts", one) - 1)
         visiting = probing.join(hot, "key", "left").withColumn("part", F.explode(every))
         pairs = dealt.drop("parts").join(visiting.drop("parts"), ["key", "part"])
-    pairs = pairs.where(F.col("h1") != F.col("other"))
+    pairs = pairs.where((F.col("h1") != F.col("other")) & letters_near(F.col("letters"), F.col("others"), edits))
     return pairs.select(F.least("h1", "other").alias("a"), F.greatest("h1", "other").alias("b")).distinct()
 
 
@@ -183,6 +211,7 @@ def links(texts: DataFrame, edits: int = EDITS) -> DataFrame:
     both = spread_join(both, one("a"), "a", sizes("a"), F.xxhash64("b"))
     rest = trimmed(F.col("la"), F.col("lb"))
     both = both.where(F.abs(F.length("la") - F.length("lb")) <= edits).select("ida", "idb", rest[0].alias("ra"), rest[1].alias("rb"))
+    both = both.where(within(F.col("ra"), F.col("rb"), edits, START))
     return both.where(within(F.col("ra"), F.col("rb"), edits)).select(F.col("ida").alias("a"), F.col("idb").alias("b")).distinct()
 
 

@@ -77,6 +77,10 @@ def test_banded_distance(spark, edits):
     got = df.select("a", "b", line_dedup.within(F.col("a"), F.col("b"), edits).alias("w")).collect()
     for r in got:
         assert r["w"] == (brute.edit_distance(r["a"], r["b"]) <= edits), r
+    begun = df.where(line_dedup.within(F.col("a"), F.col("b"), edits)).where(~line_dedup.within(F.col("a"), F.col("b"), edits, 4))
+    far = df.where(line_dedup.within(F.col("a"), F.col("b"), edits))
+    far = far.where(~line_dedup.letters_near(line_dedup.letters(F.col("a")), line_dedup.letters(F.col("b")), edits))
+    assert begun.count() == 0 and far.count() == 0
 
 
 def test_line_classes(docs, corpus, monkeypatch):
