@@ -2,7 +2,9 @@
 
 Lines are what lies between line feeds. Two lines of MIN_CHARS characters or more are the
 same if at most `edits` insertions, deletions and substitutions lead from one to the
-other. Shorter lines (bullets, braces, headings) repeat for good reasons and are left alone.
+other. On shorter lines 2 edits mean little: with `short`, as the registered query and the pipeline
+ask, they are the same only if they are equal; without it they take no part. Lines of white space
+alone that are shorter than MIN_CHARS never do.
 
 1. Equal lines are one text, known by a 128-bit hash and by its first occurrence (least
    doc_id, then line number).
@@ -41,19 +43,21 @@ LETTERS = "etan i"
 START = 24
 
 
-def lines(docs: DataFrame) -> DataFrame:
-    """doc_id, row_key, line_no (from 0), line, and h1, h2 (its hash) of every line long enough."""
+def lines(docs: DataFrame, short: bool = False) -> DataFrame:
+    """doc_id, row_key, line_no (from 0), line, and h1, h2 (its hash) of every line long enough; with `short`
+    also of every other line that isn't blank."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("row_key"), text.alias("text"))
     out = keyed.select("doc_id", "row_key", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
-    out = out.where(F.length("line") >= MIN_CHARS)
+    enough = F.length("line") >= MIN_CHARS
+    out = out.where(enough | F.col("line").rlike(r"\S") if short else enough)
     return out.select("*", F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(1), "line").alias("h2"))
 
 
 def first_occurrences(found: DataFrame) -> DataFrame:
-    """h1, h2, at (doc_id, row_key, line_no of the first occurrence), n for each distinct line."""
+    """h1, h2, at (doc_id, row_key, line_no of the first occurrence), n, n_chars for each distinct line."""
     at = F.struct(F.coalesce("doc_id", F.lit(2**63 - 1)).alias("doc_id"), "row_key", "line_no")
-    return found.groupBy("h1", "h2").agg(F.min(at).alias("at"), F.count("*").alias("n"))
+    return found.groupBy("h1", "h2").agg(F.min(at).alias("at"), F.count("*").alias("n"), F.max(F.length("line")).alias("n_chars"))
 
 
 def letters(line: Column) -> Column:
@@ -225,14 +229,15 @@ def distinct_texts(found: DataFrame, firsts: DataFrame) -> DataFrame:
     return single.select("h1", "h2", "line").union(materialized(several, "frequent-lines"))
 
 
-def line_classes(docs: DataFrame, edits: int = EDITS) -> DataFrame:
-    """A row per line of MIN_CHARS or more: doc_id, row_key, line_no; class_doc and class_line,
+def line_classes(docs: DataFrame, edits: int = EDITS, short: bool = False) -> DataFrame:
+    """A row per line of MIN_CHARS or more, with `short` per line that isn't blank: doc_id, row_key, line_no; class_doc and class_line,
     the first occurrence of an equal line; links, how many other texts are within `edits`
     of it; and kept: whether it is the first of all equal and linked lines. A line goes if an
     earlier line equals it or is linked with it (even if that one goes, too)."""
-    found = lines(docs)
+    found = lines(docs, short)
     firsts = materialized(first_occurrences(found), "first-lines")
-    pairs = materialized(links(distinct_texts(found, firsts), edits), "line-links")
+    texts = distinct_texts(found.where(F.length("line") >= MIN_CHARS), firsts.where(F.col("n_chars") >= MIN_CHARS))
+    pairs = materialized(links(texts, edits), "line-links")
     near = pairs.union(pairs.select("b", "a")).toDF("id", "other")
     linked = near.select("id").distinct()
     names = firsts.select(F.struct("h1", "h2").alias("id"), "at", "n")
@@ -267,11 +272,11 @@ def line_classes(docs: DataFrame, edits: int = EDITS) -> DataFrame:
     )
 
 
-def drop_lines(docs: DataFrame, edits: int = EDITS) -> DataFrame:
+def drop_lines(docs: DataFrame, edits: int = EDITS, short: bool = False) -> DataFrame:
     """The documents without the lines that aren't kept, with their own columns. Documents of
-    which no line is left go too; those that had no text stay. n_chars, where there is such
+    which no line but blank ones is left go too; those that had no text stay. n_chars, where there is such
     a column, is counted anew."""
-    gone = line_classes(docs.select("doc_id", "text"), edits).where(~F.col("kept"))
+    gone = line_classes(docs.select("doc_id", "text"), edits, short).where(~F.col("kept"))
     d, key, drop = unused(docs, "d"), unused(docs, "row_key"), unused(docs, "drop_lines")
     gone = gone.groupBy(F.coalesce("doc_id", F.lit(2**63 - 1)).alias(d), F.col("row_key").alias(key)).agg(
         F.collect_set("line_no").alias(drop)  # at most the lines of one document
@@ -284,7 +289,7 @@ def drop_lines(docs: DataFrame, edits: int = EDITS) -> DataFrame:
     kept = F.filter(F.split(text, "\n"), lambda _, i: ~F.array_contains(drop, i))
     short = F.when(F.col(drop).isNull(), text).otherwise(F.array_join(kept, "\n"))
     out = joined.withColumn("text", short)
-    out = out.where(F.col(drop).isNull() | (F.length(F.trim("text")) > 0))
+    out = out.where(F.col(drop).isNull() | F.col("text").rlike(r"\S"))
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.when(F.col(drop).isNull(), F.col("n_chars")).otherwise(F.length("text")))
     return out.select(*docs.columns)

@@ -16,7 +16,7 @@ def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = line_dedup.line_classes(table(spark, sf_dir, "documents"))
+    found = line_dedup.line_classes(table(spark, sf_dir, "documents"), short=True)
     return found.select("doc_id", "line_no", "class_doc", "class_line", "links", "kept")
 
 

@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from terraquilt.llm import decontamination, line_dedup, near_dedup, packing, quality
+from terraquilt.llm import decontamination, line_dedup, near_dedup, packing, quality, queries
 from terraquilt.llm.words import shingle_hashes, word_hashes
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -107,6 +107,26 @@ def test_drop_lines(docs, corpus):
     assert None in rows
 
 
+def test_short_lines_repeat_exactly(spark, tmp_path):
+    """Equal short lines are one class and go, near ones don't, blank ones stay; by the query and the stage."""
+    base = "a line that is long enough to be joined by edits"
+    texts = ["Les.\n- one\n\nAnd ornd.", "Les.\n- two\nLes.", f"les.\n{base}", "And ornd.\n\n\nLes.", "", None, "\n\n", " \nx", f"{base}s\nx", "Les.", "x"]
+    rows = [(i, t, "en", "src0", None if t is None else len(t)) for i, t in enumerate(texts)]
+    spark.createDataFrame(rows, DOCS).write.parquet(str(tmp_path / "documents.parquet"))
+    found = [(i, n, x) for i, t in enumerate(texts) for n, x in enumerate((t or "").split("\n")) if x.strip()]
+    short = {x: min(y[:2] for y in found if y[2] == x) for *_, x in found if len(x) < line_dedup.MIN_CHARS}
+    want = brute.kept_lines(list(enumerate(texts)), line_dedup.EDITS, line_dedup.MIN_CHARS)
+    want |= {(i, n): (short[x], 0, short[x] == (i, n)) for i, n, x in found if x in short}
+    got = queries.op2_line_dedup(spark, str(tmp_path)).collect()
+    assert {(r["doc_id"], r["line_no"]): ((r["class_doc"], r["class_line"]), r["links"], r["kept"]) for r in got} == want
+    assert len(got) == len(want) == len(found)
+    left = corpus_pipeline.repeated_lines(spark, spark.createDataFrame(rows, DOCS), str(tmp_path)).collect()
+    assert {r["doc_id"]: r["text"] for r in left} == {
+        0: texts[0], 1: "- two", 2: texts[2], 4: "", 5: None, 6: "\n\n", 7: " \nx"
+    }
+    assert {r["doc_id"]: r["n_chars"] for r in left}[1] == 5
+
+
 def test_near_duplicates(docs, corpus, monkeypatch):
     found = near_dedup.near_duplicates(docs.withColumn("class_id", F.lit(9)))
     got = {r["doc_id"]: r["class_id"] for r in found.collect()}
