@@ -10,7 +10,8 @@ are k rows per query and block; a second selection per query merges them.
 A posting list that most rows of a block are on is kept as a plain array of weights, so
 that adding it is one contiguous pass; its zeros add nothing.
 
-Ties go to the smaller id. A vector with no components scores 0 with all. Terms that one
+Ties go to the smaller id. An id that occurs more than once gives each of its rows, as query and
+as candidate, like the registered SQL. A vector with no components scores 0 with all. Terms that one
 side lacks count as 0. Rows whose id is null take no part. Scores beyond 64 bits are
 worked out in Python's whole numbers and cut off at the largest long.
 """
@@ -132,7 +133,7 @@ def best(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
 
 def top_k(queries: DataFrame, candidates: DataFrame, k: int) -> DataFrame:
     """query_id, rank (from 1), id, score: the k best candidates of every query, but never
-    the row of its own id. Both sides as made by `sparse`."""
+    a row of its own id. Both sides as made by `sparse`."""
     spark = ready(queries.sparkSession)
     q = materialized(_packed(queries, QUERY_BLOCK), "query-blocks")
     c = materialized(_packed(candidates, CANDIDATE_BLOCK), "candidate-blocks")
@@ -154,9 +155,9 @@ def top_k(queries: DataFrame, candidates: DataFrame, k: int) -> DataFrame:
                 for i, own in enumerate(ids):
                     part = slice(bounds[i], bounds[i + 1])
                     s = postings.scores(terms[part], weights[part])
-                    # k + 1, so that k stay without the query's own row
-                    at = best(s, postings.ids, k + 1)
-                    at = at[postings.ids[at] != own][:k]
+                    # rows of the query's own id go before the selection: there may be any number of them
+                    rest = np.flatnonzero(postings.ids != own)
+                    at = rest[best(s[rest], postings.ids[rest], k)] if len(rest) < len(s) else best(s, postings.ids, k)
                     out.append((np.full(len(at), own), postings.ids[at], s[at]))
                 a, b, s = (np.concatenate(x) for x in zip(*out)) if out else (np.zeros(0, np.int64),) * 3
                 yield pd.DataFrame({"query_id": a, "id": b, "score": s.astype(np.int64)})

@@ -145,6 +145,19 @@ def test_top_k(spark, monkeypatch):
     assert topk.top_k(sparse, sparse.limit(0), 3).collect() == []
 
 
+def test_top_k_with_repeated_ids(spark, tmp_path):
+    """However many rows a query's own id has, no other candidate gives way to them."""
+    rows = [(0, [float(x), float(x)]) for x in (2, 4, 32)] + [(20, [0.5, -0.5])] * 22
+    rows += [(i, [1.0, 1 + i / 64]) for i in range(21, 51) if i % 20] + [(27, [1.0, 1.5])] * 2
+    path = str(tmp_path / "embeddings.parquet")
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>").coalesce(1).write.parquet(path)
+    got = queries.QUERIES["op4_exact_top_k"](spark, str(tmp_path)).select("query_id", "rank", "vec_id", "score").collect()
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW embeddings AS SELECT * FROM '{path}/*.parquet'")
+    want = con.execute(queries.ORACLE["op4_exact_top_k"]).fetchall()
+    assert sorted(map(tuple, got)) == sorted(want) and len(want) == 40
+
+
 # --- quality ----------------------------------------------------------------------------------
 
 
