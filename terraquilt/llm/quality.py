@@ -14,7 +14,7 @@ the driver (at most 2 * ROWS * PIECES * CHUNK bytes). Scoring covers whole texts
 Nulls: a null text is an empty text, which has no evidence either way and gets the
 score of a difference of 0. Labels that are null or other than 0 and 1 don't count. With fewer
 than `LEAST` rows of a class there is nothing to learn, and each score is the share of good
-labels (0.5 without labels). A doc_id labelled twice counts as good only if all its labels do.
+labels (0.5 without labels); keep_good then keeps every document. A doc_id labelled twice counts as good only if all its labels do.
 """
 
 from __future__ import annotations
@@ -180,8 +180,12 @@ def quality_scores(docs: DataFrame, labels: DataFrame, rows: int = ROWS) -> Data
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, rows: int = ROWS) -> DataFrame:
-    """The documents that aren't rejected, with their own columns."""
+    """The documents that aren't rejected, with their own columns. Where there was nothing to learn
+    from (fewer than LEAST rows of a class), none is."""
     from terraquilt.llm.common import unused
 
+    model = fit(docs, labels, rows)
+    if not model.good:
+        return docs
     name = unused(docs, "quality_score")
-    return score(docs, fit(docs, labels, rows), name).where(F.col(name) >= THRESHOLD).drop(name)
+    return score(docs, model, name).where(F.col(name) >= THRESHOLD).drop(name)

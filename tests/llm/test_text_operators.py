@@ -225,6 +225,16 @@ def test_stages_on_empty_tables(spark, tmp_path):
     assert decontamination.leaks(empty, bench).collect() == []
 
 
+def test_quality_keeps_all_without_labels(spark, docs, corpus, tmp_path):
+    """No labels, or too few of a class with a share of good ones under the threshold: nothing was learnt."""
+    few = [(i, int(i > 9), 0) for i in range(20)]
+    for n, rows in enumerate(([], few)):
+        path = tmp_path / str(n)
+        spark.createDataFrame(rows, "doc_id long, quality int, toxic int").write.parquet(str(path / "labels.parquet"))
+        left = corpus_pipeline.quality_filter(spark, docs, str(path))
+        assert left.dtypes == docs.dtypes and left.count() == len(corpus) + 1
+
+
 def test_stages_keep_columns(spark, docs, tmp_path):
     labels = [(i, int(i % 3 > 0), 0) for i in range(40)]
     spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
