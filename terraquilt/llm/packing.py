@@ -10,7 +10,9 @@ packing is worked out on those counts and then dealt out to the pieces.
    of at most two others is fixed for good where no other packing of it can be better:
    nothing fits beside it; a partner fills it to the brim; only one more fits
    and the longest that fits is taken; or no three more fit and that partner is as long as any two.
-   Each step fixes as many bins at once as the counts allow.
+   Each step fixes as many bins at once as the counts allow. Martello and Toth also fix the longest
+   with the best pair beside it where no triple beats that; this case isn't built: where a
+   pair or a triple may be better, the reduction ends and best fit takes the rest.
 3. What is left goes, longest first, into the open bin with the least room that
    still takes it (best fit), again many equal bins at a time.
 4. Pieces of a length are numbered and looked up in the plan.
