@@ -156,6 +156,13 @@ def test_samples_follow_similarity():
     assert abs((a == b).mean() - truth) < 0.06
 
 
+def test_fine_screen_spares_pairs_linked_by_tf():
+    """Samples follow TF-IDF, where a pair of THRESHOLD by TF weights may be lower."""
+    t = near_dedup.THRESHOLD
+    least = t / (t + (1 - t) * (1 + near_dedup.DAMPING))
+    assert near_dedup.FINE_SCREEN <= least - 5.9 * (least * (1 - least) / near_dedup.FINE) ** 0.5
+
+
 def test_frequent_shingles(spark, corpus):
     df = spark.createDataFrame([(t,) for _, t in corpus], "text string").repartition(3)
     keys, weights = near_dedup.frequencies(df, rare=0.1)
