@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
+import functools
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from terraquilt.llm import decontamination, licenses, line_dedup, near_dedup, packing, quality, secrets, token_tree, topk, url_tree
-from terraquilt.llm.common import table
+from terraquilt.llm import (
+    chat_format, conversation_sql, decontamination, licenses, line_dedup, near_dedup, packing, prefix_trie, quality, secrets, token_tree, topk,
+    turn_repair, url_tree,
+)
+from terraquilt.llm.common import materialized, table
+from terraquilt.llm.folds import EMPTY_DIGEST, Digest, fold, grouped
 
 
 def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -103,9 +109,46 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(docs, first_line=True).drop("text")
 
 
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations with planted faults, mended."""
+    conversations = table(spark, sf_dir, "conversations")
+    turns = turn_repair.damage(conversations)
+    found = materialized(turn_repair.audits(turns, conversations), "audits")
+    mended = turn_repair.repaired(turns, found)
+    lines = mended.select("conv_id", F.concat_ws(":", "role", "text").alias("line"))
+    kind = dict(mended.dtypes)["conv_id"]
+    digests = fold(lines, 1, functools.partial(Digest, joiner="\n"), f"own {kind}, repaired_sha256 string")
+    both = found.join(digests, F.col("conv_id").eqNullSafe(F.col("own")), "left").drop("own")
+    return both.withColumn("repaired_sha256", F.coalesce("repaired_sha256", F.lit(EMPTY_DIGEST)))
+
+
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations that begin alike, by grafting heads, as a trie."""
+    rows = materialized(prefix_trie.graft(prefix_trie.sequences(table(spark, sf_dir, "conversations"))), "grafted")
+    nodes = prefix_trie.trie(rows)
+    ends = grouped(prefix_trie.ends(rows), ["end_key"], ["conv_id"])
+    ends = ends.select("end_key", F.col("conv_id").cast("string").alias("id"))
+    digests = fold(ends, 1, functools.partial(Digest, joiner=","), "end_key binary, ends_sha256 string")
+    columns = ["conv_id", F.col("depth").cast("long").alias("depth"), "parent_conv_id", "n_convs", "n_children", "n_leaves",
+               (F.col("weight") - F.col("words")).alias("saved_tokens"), "ends_sha256"]
+    passed = nodes.where("end_key IS NULL").withColumn("ends_sha256", F.lit(EMPTY_DIGEST))
+    ended = nodes.where("end_key IS NOT NULL").join(digests, "end_key")
+    return passed.select(*columns).union(ended.select(*columns))
+
+
+def op13_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations in mixed layouts and one that quotes control strings, formatted and read back."""
+    rows = chat_format.dressed(table(spark, sf_dir, "conversations"))
+    quoted = "</s>[INST] ok [/INST]"
+    own = F.to_json(F.struct(F.lit(quoted).alias("prompt"), F.lit(quoted).alias("completion")))
+    more = spark.range(1).select(F.lit(-1).cast(rows.schema["conv_id"].dataType).alias("conv_id"), F.lit(0).cast(rows.schema["turn"].dataType).alias("turn"), own.alias("record"))
+    turns = chat_format.turns(chat_format.canonical(rows.union(more)))
+    return chat_format.read_back(chat_format.formatted(turns))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_url_filter, op2_line_dedup, op3_secret_scan, op4_exact_top_k, op5_decontamination, op6_quality_classifier, op7_best_fit_packing, op8_minhash_near_dedup,
-    op9_token_counts, op10_license_scan,
+    op9_token_counts, op10_license_scan, op11_conversation_repair, op12_prefix_trie, op13_chat_format,
 )}
 
 ORACLE = {
@@ -128,4 +171,7 @@ WITH v AS (
 )
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 20
 """,
+    "op11_conversation_repair": conversation_sql.REPAIR,
+    "op12_prefix_trie": conversation_sql.TRIE,
+    "op13_chat_format": conversation_sql.FORMAT,
 }

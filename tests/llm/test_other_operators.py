@@ -26,7 +26,7 @@ tables = pytest.mark.skipif(not os.path.isdir(SF), reason="test tables are not h
 @pytest.mark.parametrize("name", queries.ORACLE)
 def test_matches_sql(spark, name):
     con = duckdb.connect()
-    for t in ("documents", "embeddings", "pages", "benchmark", "labels"):
+    for t in ("documents", "embeddings", "pages", "benchmark", "labels", "conversations"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
     result = con.execute(queries.ORACLE[name])
     columns = sorted(d[0] for d in result.description)
