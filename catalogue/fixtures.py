@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from terraquilt.functions.geom import box, polygon, rectangle
+from terraquilt.functions.geom import box, line_path, paths_to_wkt, point_path, point_xy, polygon, rectangle, to_wkt
 from terraquilt.operators.prep import split_label
 from terraquilt.sources.scan import balanced, scan_parquet
 
@@ -220,13 +220,42 @@ def features(spark, sf_dir) -> DataFrame:
     )
 
 
-def place(spark, sf_dir) -> DataFrame:
-    """One L-shaped place: districts around (149, -35), drawn from the grid."""
-    corners = [(149, -35), (151, -35), (151, -34), (150, -34), (150, -32), (149, -32)]
-    ring = polygon([(F.lit(float(x)), F.lit(float(y))) for x, y in corners])
-    home = table(spark, sf_dir, "nation").where("n_nationkey = 0")
-    edge = [F.lit(v) for v in (149.0, -35.0, 151.0, -32.0)]
-    return home.select(F.col("n_name").alias("place"), ring.alias("rings"), box(*edge).alias("bbox"))
+def places(spark, sf_dir) -> DataFrame:
+    """An L-shaped place with a hole in every district's tile."""
+    df = table(spark, sf_dir, "nation").select(
+        F.col("n_nationkey").alias("place_id"), _num("148 + n_nationkey % 5").alias("x"), _num("-36 + n_nationkey div 5").alias("y")
+    )
+
+    def ring(corners: list, hole: bool) -> Column:
+        pts = [point_xy(F.col("x") + dx, F.col("y") + dy) for dx, dy in [*corners, corners[0]]]
+        return F.struct(F.lit(0).alias("part"), F.lit(hole).alias("hole"), F.array(*pts).alias("pts"))
+
+    outer = ring([(0, 0), (1, 0), (1, 0.25), (0.375, 0.25), (0.375, 1), (0, 1)], False)
+    hole = ring([(0.125, 0.5), (0.125, 0.75), (0.25, 0.75), (0.25, 0.5)], True)
+    edge = [F.col("x"), F.col("y"), F.col("x") + 1, F.col("y") + 1]
+    return df.select("place_id", F.array(outer, hole).alias("rings"), box(*edge).alias("bbox"))
+
+
+def mixed_features(spark, sf_dir) -> DataFrame:
+    """Tagged map features of all kinds as WKT: a point for every event, a bent line for every order, a
+    rectangle for every part."""
+    b = F.col("bbox")
+    events = features(spark, sf_dir)
+    spots = events.select(
+        F.lit("node").alias("element"), F.col("row_id").alias("osmid"), "tags", paths_to_wkt(point_path(F.col("x"), F.col("y"))).alias("geometry")
+    )
+    bent = line_path([(b["xmin"], b["ymin"]), (b["xmax"], b["ymin"]), (b["xmax"], b["ymax"])])
+    ways = fires_raw(spark, sf_dir).select(
+        F.lit("way").alias("element"), F.col("fire_id").alias("osmid"),
+        F.create_map(F.lit("amenity"), F.when(F.col("fire_id") % 3 == 0, "click").otherwise("road")).alias("tags"),
+        paths_to_wkt(bent).alias("geometry"),
+    )
+    areas = landuse(spark, sf_dir).select(
+        F.lit("relation").alias("element"), F.col("landuse_id").alias("osmid"),
+        F.create_map(F.lit("amenity"), F.when(F.col("landuse_id") % 2 == 0, "click").otherwise("view")).alias("tags"),
+        to_wkt(F.col("rings")).alias("geometry"),
+    )
+    return spots.unionByName(ways).unionByName(areas)
 
 
 def collections(spark, sf_dir) -> DataFrame:

@@ -88,6 +88,8 @@ CTES = {
     " ln(tan(radians(lat) / 2 + pi() / 4)) * 6378137.0::DOUBLE AS y_3857,"
     " (dense_rank() OVER (ORDER BY radio) - 1)::INTEGER AS radio_code"
     " FROM towers WHERE created >= TIMESTAMP '1998-01-01'",
+    "spots": "SELECT event_id AS row_id, event_type, (148 + ((37 * event_id) % 320) / 64.0 + 1 / 128.0)::DOUBLE AS x,"
+    " (-36 + ((53 * event_id) % 320) / 64.0 + 1 / 128.0)::DOUBLE AS y FROM events",
     "occurrences": "SELECT event_id AS row_id, (-36 + ((53 * event_id) % 320) / 64.0 + 1 / 128.0)::DOUBLE AS Latitude,"
     " (148 + ((37 * event_id) % 320) / 64.0 + 1 / 128.0)::DOUBLE AS Longitude,"
     ' event_type AS "Scientific Name - original", \'LGA \' || (user_id % 25) AS "Local Government Areas 2011",'
@@ -102,6 +104,9 @@ CTES = {
         "148 + ((29 * land_id) % 320) / 64.0", "-36 + ((41 * land_id) % 320) / 64.0",
         "0.25::DOUBLE", "0.25::DOUBLE",
     ),
+    "segments": "SELECT * FROM (VALUES (0, 0, 1, 0), (1, 0, 1, 0.25), (0.375, 0.25, 1, 0.25), (0.375, 0.25, 0.375, 1),"
+    " (0, 1, 0.375, 1), (0, 0, 0, 1), (0.125, 0.5, 0.125, 0.75), (0.125, 0.75, 0.25, 0.75), (0.25, 0.5, 0.25, 0.75),"
+    " (0.125, 0.5, 0.25, 0.5)) s(x0, y0, x1, y1)",
     "corners": "SELECT * FROM (VALUES (0, 0, 0), (1, 1, 0), (2, 1, 1), (3, 0, 1), (4, 0, 0)) c(pos, rx, ry)",
     "lga_fire_pairs": "SELECT l.*, f.* EXCLUDE (x0, y0, x1, y1), "
     + clipped("l", "f") + " AS ha FROM lga l JOIN fires f ON " + overlap("l", "f"),
@@ -141,9 +146,33 @@ LANDUSE_GROUPS = (
     "SELECT LGA_NAME19, LGA_CODE_2019, Secondary AS LANDUSETYPE, round(sum(ha), 2) AS AREAHA"
     " FROM lga_landuse WHERE Secondary IS NOT NULL GROUP BY 1, 2, 3"
 )
-IN_PLACE = (
-    "((x BETWEEN 149 AND 151 AND y BETWEEN -35 AND -34) OR (x BETWEEN 149 AND 150 AND y BETWEEN -35 AND -32))"
-)
+
+
+def in_places(x0: str, y0: str, x1: str, y1: str) -> str:
+    """Whether a closed rectangle, or a line or point in that form, meets the place of a tile `p`: one leg of its
+    L, or the other one but not only the open hole in it."""
+    return (
+        f"(({x1} >= p.x0 AND {x0} <= p.x0 + 1 AND {y1} >= p.y0 AND {y0} <= p.y0 + 0.25)"
+        f" OR ({x1} >= p.x0 AND {x0} <= p.x0 + 0.375 AND {y1} >= p.y0 AND {y0} <= p.y0 + 1 AND NOT ("
+        f"greatest({x0}, p.x0) > p.x0 + 0.125 AND least({x1}, p.x0 + 0.375) < p.x0 + 0.25"
+        f" AND greatest({y0}, p.y0) > p.y0 + 0.5 AND least({y1}, p.y0 + 1) < p.y0 + 0.75)))"
+    )
+
+
+#: The boundary of a tile's place as horizontal and vertical segments, and its tile cut into 1/32 cells.
+COVER = """
+SELECT place_id, cx, cy, bool_and(NOT border) AS inside FROM (
+  SELECT p.lga_id AS place_id, cx, cy, x0, y0,
+    EXISTS (SELECT 1 FROM segments s WHERE cx BETWEEN floor((p.x0 + s.x0) * 32) AND floor((p.x0 + s.x1) * 32)
+      AND cy BETWEEN floor((p.y0 + s.y0) * 32) AND floor((p.y0 + s.y1) * 32)) AS border
+  FROM lga p, (SELECT unnest(range(0, 33)) AS dx) a, (SELECT unnest(range(0, 33)) AS dy) b,
+    LATERAL (SELECT (floor(p.x0 * 32) + dx)::BIGINT AS cx, (floor(p.y0 * 32) + dy)::BIGINT AS cy) c
+) t WHERE border OR (
+  (cy + 0.5) / 32 - y0 BETWEEN 0 AND 1 AND (cx + 0.5) / 32 - x0 BETWEEN 0 AND 1
+  AND ((cy + 0.5) / 32 - y0 < 0.25 OR (cx + 0.5) / 32 - x0 < 0.375)
+  AND NOT ((cx + 0.5) / 32 - x0 BETWEEN 0.125 AND 0.25 AND (cy + 0.5) / 32 - y0 BETWEEN 0.5 AND 0.75))
+GROUP BY place_id, cx, cy
+"""
 VERTICES = (
     "SELECT {id}, 0 AS ring, 0 AS part, false AS hole, pos, CASE WHEN rx = 1 THEN x1 ELSE x0 END AS x,"
     " CASE WHEN ry = 1 THEN y1 ELSE y0 END AS y FROM {t} CROSS JOIN corners"
@@ -327,14 +356,23 @@ ORACLE = {
         "SELECT m.NAME_SHORT, m.TYPE, v.spend FROM managed_land m JOIN (SELECT l_suppkey, sum(l_quantity) AS spend"
         " FROM lineitem GROUP BY 1) v ON v.l_suppkey = m.land_id",
     ),
-    "osm_in_place": "SELECT row_id, x, y FROM (SELECT event_id AS row_id, event_type,"
-    " (148 + ((37 * event_id) % 320) / 64.0 + 1 / 128.0)::DOUBLE AS x,"
-    " (-36 + ((53 * event_id) % 320) / 64.0 + 1 / 128.0)::DOUBLE AS y FROM events) e"
-    f" WHERE event_type = 'click' AND {IN_PLACE}",
+    "polygon_cover": sql("lga segments", COVER),
+    "osm_in_place": sql(
+        "lga spots",
+        "SELECT DISTINCT row_id, x, y FROM spots s JOIN lga p ON " + in_places("x", "y", "x", "y") + " WHERE event_type = 'click'",
+    ),
     "osm_land_in_place": sql(
-        "managed_land",
-        "SELECT land_id, NAME_SHORT FROM managed_land WHERE (x1 >= 149 AND x0 <= 151 AND y1 >= -35 AND y0 <= -34)"
-        " OR (x1 >= 149 AND x0 <= 150 AND y1 >= -35 AND y0 <= -32)",
+        "lga managed_land",
+        "SELECT DISTINCT land_id, NAME_SHORT FROM managed_land m JOIN lga p ON " + in_places("m.x0", "m.y0", "m.x1", "m.y1"),
+    ),
+    "osm_mixed": sql(
+        "lga spots fires landuse",
+        "SELECT DISTINCT 'node' AS element, row_id AS osmid, 'point' AS kind FROM spots s JOIN lga p ON "
+        + in_places("x", "y", "x", "y") + " WHERE event_type = 'click'"
+        " UNION ALL SELECT DISTINCT 'way', fire_id, 'line' FROM fires f JOIN lga p ON (" + in_places("f.x0", "f.y0", "f.x1", "f.y0")
+        + " OR " + in_places("f.x1", "f.y0", "f.x1", "f.y1") + ") WHERE fire_id % 3 = 0"
+        " UNION ALL SELECT DISTINCT 'relation', landuse_id, 'polygon' FROM landuse u JOIN lga p ON "
+        + in_places("u.x0", "u.y0", "u.x1", "u.y1") + " WHERE landuse_id % 2 = 0",
     ),
     "feature_property": "SELECT s_suppkey AS doc_id, i AS pos, 'Unit ' || ((s_suppkey + i) % 7) AS MapUnitNa"
     " FROM supplier CROSS JOIN (VALUES (0), (1), (2)) v(i)",

@@ -13,7 +13,7 @@ from terraquilt.functions import geom
 from terraquilt.functions.codec import rings_from_wkb, simplify, to_wkb
 from terraquilt.functions.columns import label_popup
 from terraquilt.model import WEB_MERCATOR, WGS84
-from terraquilt.operators import explore, layers, overlay, prep, stats
+from terraquilt.operators import cover, explore, layers, overlay, prep, stats
 from terraquilt.operators.cells import with_cells
 from terraquilt.plans import fire_history as fh
 from terraquilt.plans import towers as tw
@@ -261,16 +261,30 @@ def choropleth_values(spark, sf):
     return layers.join_features_to_values(land, named, "land_id", "spend").drop("land_id")
 
 
+def polygon_cover(spark, sf):
+    """Cells of places that are neither convex nor whole, and whether they lie wholly inside."""
+    return cover.polygon_cover(fx.places(spark, sf), ["place_id"], 1 / 32)
+
+
 def osm_in_place(spark, sf):
-    found = scan.osm_features(fx.features(spark, sf), fx.place(spark, sf), "amenity", "click")
+    found = scan.osm_features(fx.features(spark, sf), fx.places(spark, sf), "amenity", "click", cell=FINE_CELL)
     return found.select("row_id", "x", "y")
 
 
 def osm_land_in_place(spark, sf):
-    inside = overlay.within_place(fx.managed_land(spark, sf), fx.place(spark, sf), "land_id")
+    inside = overlay.within_place(fx.managed_land(spark, sf), fx.places(spark, sf), "land_id", cell=FINE_CELL)
     return inside.select("land_id", "NAME_SHORT")
 
 
+def osm_mixed(spark, sf):
+    """Points, lines and polygons in one table, those with a tag in any place."""
+    shapes = scan.shapes_from(fx.mixed_features(spark, sf), "geometry", "wkt")
+    shapes = shapes.withColumn("osm", F.concat_ws("/", "element", F.col("osmid").cast("string")))
+    found = scan.osm_features(shapes, fx.places(spark, sf), "amenity", "click", row_id="osm", cell=FINE_CELL)
+    kinds = F.array_join(F.array_sort(F.array_distinct(F.col("paths.kind"))), ",")
+    return found.select("element", "osmid", kinds.alias("kind"))
+
+
 def feature_property(spark, sf):
     return prep.extract_property(fx.collections(spark, sf), "doc", "MapUnitNa")
 
@@ -377,7 +391,7 @@ QUERIES = {
         towers_prepared, towers_projected, network_codes, towers_enriched, towers_preview, towers_head,
         table_info, selected_rows, selection_count, table_page, distinct_lga, year_range,
         indicator_pairs, indicator_series, point_layer, points_reprojected, cell_cover,
-        choropleth_layer, choropleth_values, osm_in_place, osm_land_in_place, feature_property,
+        choropleth_layer, choropleth_values, polygon_cover, osm_in_place, osm_land_in_place, osm_mixed, feature_property,
         wkt_roundtrip, wkb_roundtrip, geojson_roundtrip, simplified_layer, fire_season_map,
         layer_center, sink_table, sink_external, sink_parquet, sink_csv, sink_geojson,
     )

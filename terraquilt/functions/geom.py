@@ -12,6 +12,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from terraquilt.model import (
+    PATHS,
     RINGS,
     DEFAULT_LON0,
     EARTH_RADIUS_M,
@@ -256,127 +257,167 @@ def snap(rings: Column, decimals: int = 9) -> Column:
     )
 
 
-def edges_of(shape: Column) -> Column:
-    """Edges of a packed shape: array<struct<k, x0, y0, x1, y1>>. The point after
-    the last one of a ring starts the next ring, so no edge leads to it."""
-    rings = shape[0].cast("int")
-
-    def number(k: Column) -> Column:
-        return F.get(shape, k.cast("int"))
-
-    sizes = F.transform(F.sequence(F.lit(1), rings), lambda i: number(2 * i - 1).cast("int"))
-    starts = F.transform(
-        F.sequence(F.lit(0), rings - 1),
-        lambda i: F.aggregate(F.slice(sizes, F.lit(1), i), F.lit(0), lambda a, n: a + n),
-    )
-    first = 1 + 2 * rings
-    points = ((F.size(shape) - first) / 2).cast("int")
-
-    def edge(k: Column) -> Column:
-        corner = {"x0": 0, "y0": 1, "x1": 2, "y1": 3}
-        return F.struct((k + 1).alias("k"), *[number(first + 2 * k + i).alias(n) for n, i in corner.items()])
-
-    every = F.transform(F.sequence(F.lit(0), points - 2), edge)
-    return F.filter(every, lambda e: ~F.array_contains(starts, e["k"]))
-
-
-def contains_point(edges: Column, x: Column, y: Column) -> Column:
-    """True when the point is inside the shape with these edges or on one."""
-    def step(acc: Column, e: Column) -> Column:
-        side = (e["x1"] - e["x0"]) * (y - e["y0"]) - (x - e["x0"]) * (e["y1"] - e["y0"])
-        on_edge = (
-            (side == 0)
-            & x.between(F.least(e["x0"], e["x1"]), F.greatest(e["x0"], e["x1"]))
-            & y.between(F.least(e["y0"], e["y1"]), F.greatest(e["y0"], e["y1"]))
-        )
-        # The ray to the right meets the edge when the point lies left of it.
-        hits = ((e["y0"] <= y) != (e["y1"] <= y)) & ((side > 0) == (e["y1"] > e["y0"]))
-        return F.struct((acc["odd"] != hits).alias("odd"), (acc["edge"] | on_edge).alias("edge"))
-
-    start = F.struct(F.lit(False).alias("odd"), F.lit(False).alias("edge"))
-    return F.aggregate(edges, start, step, lambda acc: acc["odd"] | acc["edge"])
-
-
 # --- nested coordinates <-> rings --------------------------------------------
 
-def rings_from_parts(parts: Column) -> Column:
-    """array<polygon<ring<[x, y]>>> to normalised rings."""
+def _numbered_rings(parts: Column) -> Column:
     def numbered(poly: Column, i: Column) -> Column:
         no = F.transform(poly, lambda ring, j: j)
         return F.arrays_zip(poly, F.array_repeat(i, F.size(poly)), no).cast(
             "array<struct<ring:array<array<double>>,part:int,no:int>>"
         )
 
-    return normalize(
-        F.transform(
-            F.flatten(F.transform(parts, numbered)),
-            lambda z: F.struct(
-                z["part"].alias("part"),
-                (z["no"] > 0).alias("hole"),
-                F.transform(z["ring"], lambda p: F.struct(p[0].alias("x"), p[1].alias("y"))).alias("pts"),
-            ),
-        )
+    return F.transform(
+        F.flatten(F.transform(parts, numbered)),
+        lambda z: F.struct(
+            z["part"].alias("part"),
+            (z["no"] > 0).alias("hole"),
+            F.transform(z["ring"], lambda p: F.struct(p[0].alias("x"), p[1].alias("y"))).alias("pts"),
+        ),
     )
 
 
-def _or_raise(rings: Column, good: Column, source: Column, lenient: bool) -> Column:
+def rings_from_parts(parts: Column) -> Column:
+    """array<polygon<ring<[x, y]>>> to normalised rings."""
+    return normalize(_numbered_rings(parts))
+
+
+def _or_raise(rings: Column, good: Column, source: Column, lenient: bool, kind=RINGS) -> Column:
     """rings where the text was good; elsewhere an error that names it, or no rings."""
     if lenient:
         return F.when(source.isNull(), F.lit(None)).when(good, rings).otherwise(F.array())
     said = F.concat(F.lit("not a geometry: "), F.substring(source.cast("string"), 1, 80))
-    failed = F.raise_error(said).cast(RINGS)
+    failed = F.raise_error(said).cast(kind)
     return F.when(source.isNull(), F.lit(None)).when(good, rings).otherwise(failed)
 
 
-_WKT_RINGS = r"\(\s*\([^()]*\)(?:\s*,\s*\([^()]*\))*\s*\)"  # the brackets of one polygon
-_OTHER_SHAPES = "^(POINT|LINESTRING|MULTIPOINT|MULTILINESTRING|LINEARRING)$"
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value) with the value computed once, however often the body names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+#: One shape of a collection. Possessive repeats: they neither backtrack nor recurse, so a shape may have any
+#: number of brackets.
+_WKT_SHAPE = (
+    r"(?:MULTI)?(?:POINT|LINESTRING|LINEARRING|POLYGON)\s*(?:ZM|Z|M)?\s*"
+    r"(?:EMPTY|\((?:[^()]++|\((?:[^()]++|\([^()]*+\))*+\))*+\))"
+)
+_WKT_HEAD = r"^[A-Z]+\s*(?:ZM|Z|M)?\s*(?=\(|EMPTY$)"
+
+
+def _wkt_shape(text: Column) -> Column:
+    """struct(kind, parts) of one shape's text: kind is point, line or polygon, and parts nested
+    coordinates of three levels, null where the text isn't right."""
+    def read(t: Column) -> Column:
+        name = F.regexp_replace(F.regexp_extract(t, "^[A-Z]+", 0), "(ZM|Z|M)$", "")
+        shape = F.regexp_replace(t, _WKT_HEAD, "")
+        nested = (
+            F.when(name == "POLYGON", F.concat(F.lit("("), shape, F.lit(")")))
+            .when(name == "MULTIPOLYGON", shape)
+            .when(name == "MULTILINESTRING", F.concat(F.lit("("), shape, F.lit(")")))
+            .when(name == "MULTIPOINT", F.concat(F.lit("((("), F.translate(shape, "()", ""), F.lit(")))")))
+            .when(name.isin("POINT", "LINESTRING", "LINEARRING"), F.concat(F.lit("(("), shape, F.lit("))")))
+        )
+        # "x y" pairs first, then the brackets that are left; a third and fourth
+        # coordinate are dropped.
+        number = r"([-+0-9.E]+)"
+        nested = F.regexp_replace(nested, number + r"\s+" + number + r"(?:\s+[-+0-9.E]+)*+", "[$1,$2]")
+        parts = F.from_json(F.translate(nested, "()", "[]"), _MULTI)
+        empty = t.rlike(r"(EMPTY|[A-Z ]\(\s*\))$") & name.rlike("^(MULTI)?(POINT|LINESTRING|LINEARRING|POLYGON)$")
+        kind = F.when(name.endswith("POINT"), "point").when(name.endswith("POLYGON"), "polygon").otherwise("line")
+        return F.struct(kind.alias("kind"), F.when(empty, F.array().cast(_MULTI)).otherwise(parts).alias("parts"))
+
+    return let(text, read)
+
+
+def _wkt_shapes(wkt: Column) -> Column:
+    """The shapes of a text, with or without Z, M and a leading SRID; those of a GEOMETRYCOLLECTION; null
+    where the text is none."""
+    def read(body: Column) -> Column:
+        even = F.length(F.replace(body, F.lit("("))) == F.length(F.replace(body, F.lit(")")))
+        members = F.transform(F.regexp_extract_all(body, F.lit(_WKT_SHAPE), F.lit(0)), _wkt_shape)
+        shapes = F.when(body.startswith("GEOMETRYCOLLECTION"), members).otherwise(F.array(_wkt_shape(body)))
+        return F.when(even & body.rlike(_WKT_HEAD), shapes)
+
+    return let(F.upper(F.trim(F.regexp_replace(wkt, r"(?i)^\s*SRID\s*=\s*\d+\s*;", ""))), read)
+
+
+def _whole(shapes: Column) -> Column:
+    """Whether every shape was understood, to its last point."""
+    def bad_point(p: Column) -> Column:
+        return p.isNull() | (F.size(p) < 2) | p[0].isNull() | p[1].isNull()
+
+    def bad(s: Column) -> Column:
+        return s["parts"].isNull() | F.exists(s["parts"], lambda poly: poly.isNull() | F.exists(poly, lambda ring: ring.isNull() | F.exists(ring, bad_point)))
+
+    return F.coalesce(~F.exists(shapes, bad), F.lit(False))
+
+
+def _rings(shapes: Column) -> Column:
+    polygons = F.filter(shapes, lambda s: s["kind"] == "polygon")
+    return rings_from_parts(F.filter(F.flatten(F.transform(polygons, lambda s: s["parts"])), lambda p: F.size(p) > 0))
+
+
+def _paths(shapes: Column) -> Column:
+    """All shapes as paths: struct(kind, part, hole, pts), polygons normalised like rings."""
+    def one(s: Column) -> Column:
+        parts = F.filter(s["parts"], lambda p: F.size(p) > 0)
+        rings = F.when(s["kind"] == "polygon", rings_from_parts(parts)).otherwise(_numbered_rings(parts))
+        return F.transform(
+            rings, lambda r: F.struct(s["kind"].alias("kind"), r["part"].alias("part"), r["hole"].alias("hole"), r["pts"].alias("pts"))
+        )
+
+    return F.flatten(F.transform(shapes, one))
 
 
 def rings_from_wkt(wkt: Column, lenient: bool = False) -> Column:
     """POLYGON, MULTIPOLYGON and what a GEOMETRYCOLLECTION has of them to rings, with or
     without Z, M and a leading SRID. Points and lines have no rings; empty shapes give an
     empty array, null gives null; other text raises, or gives an empty array if ``lenient``.
-    The text is rewritten to JSON, then parsed."""
-    body = F.upper(F.trim(F.regexp_replace(wkt, r"(?i)^\s*SRID\s*=\s*\d+\s*;", "")))
-    kind = F.regexp_extract(body, r"^([A-Z]+?)\s*(?:ZM|Z|M)?\s*(?:\(|EMPTY$)", 1)
-    shape = F.regexp_replace(body, r"^[A-Z]+?\s*(?:ZM|Z|M)?\s*(?=\(|EMPTY$)", "")
-    bare = F.regexp_replace(body, r"MULTI(POINT|LINESTRING)\s*(?:ZM|Z|M)?\s*\((?:[^()]|\([^()]*\))*\)", "")
-    inside = F.concat(F.lit("("), F.array_join(F.regexp_extract_all(bare, F.lit(_WKT_RINGS), F.lit(0)), ","), F.lit(")"))
-    text = F.when(kind == "POLYGON", F.concat(F.lit("("), shape, F.lit(")"))).when(kind == "MULTIPOLYGON", shape)
-    text = text.when(kind == "GEOMETRYCOLLECTION", inside)
-    # "x y" pairs first, then the brackets that are left; a third and fourth
-    # coordinate are dropped.
-    number = r"([-+0-9.E]+)"
-    text = F.regexp_replace(text, number + r"\s+" + number + r"(\s+[-+0-9.E]+)*", "[$1,$2]")
-    text = F.translate(text, "()", "[]")
-    empty = shape.isin("EMPTY", "()") | kind.rlike(_OTHER_SHAPES)
-    parts = F.from_json(F.when(~empty, text), _MULTI)
-    even = F.length(F.replace(body, F.lit("("), F.lit(""))) == F.length(F.replace(body, F.lit(")"), F.lit("")))
-    plain = ~F.exists(F.flatten(F.flatten(parts)), lambda p: p.isNull() | (F.size(p) < 2) | p[0].isNull() | p[1].isNull())
-    good = (kind != "") & even & (empty | F.coalesce(plain, F.lit(False)))
-    rings = F.when(empty, F.array().cast(RINGS)).otherwise(F.coalesce(rings_from_parts(parts), F.array()))
-    return _or_raise(rings, good, wkt, lenient)
+    The text is rewritten to JSON, then parsed once."""
+    return let(_wkt_shapes(wkt), lambda s: _or_raise(F.coalesce(_rings(s), F.array()), _whole(s), wkt, lenient))
+
+
+def paths_from_wkt(wkt: Column, lenient: bool = False) -> Column:
+    """Points, lines and polygons of any WKT as paths: array<struct<kind, part, hole, pts>>."""
+    return let(_wkt_shapes(wkt), lambda s: _or_raise(F.coalesce(_paths(s), F.array()), _whole(s), wkt, lenient, PATHS))
+
+
+def _geojson_shapes(geometry: Column) -> Column:
+    shape = "type:string,coordinates:string"
+
+    def one(m: Column) -> Column:
+        text, kind = m["coordinates"], m["type"]
+        line = F.array(F.array(F.from_json(text, "array<array<double>>")))
+        parts = (
+            F.when(kind == "Polygon", F.array(F.from_json(text, _POLY)))
+            .when(kind == "MultiPolygon", F.from_json(text, _MULTI))
+            .when(kind.isin("LineString", "MultiPoint"), line)
+            .when(kind == "MultiLineString", F.array(F.from_json(text, _POLY)))
+            .when(kind == "Point", F.array(F.array(F.array(F.from_json(text, "array<double>")))))
+        )
+        # An empty shape has no points that could be wrong.
+        known = kind.rlike("^(Multi)?(Point|LineString|Polygon)$")
+        parts = F.when(known & text.rlike(r"^\s*\[\s*\]\s*$"), F.array().cast(_MULTI)).otherwise(parts)
+        name = F.when(kind.endswith("Point"), "point").when(kind.endswith("Polygon"), "polygon").otherwise("line")
+        return F.struct(name.alias("kind"), parts.alias("parts"))
+
+    def read(parsed: Column) -> Column:
+        alone = F.array(F.struct(parsed["type"].alias("type"), parsed["coordinates"].alias("coordinates")))
+        members = F.when(parsed["type"] == "GeometryCollection", F.coalesce(parsed["geometries"], F.array())).otherwise(alone)
+        return F.when(parsed["type"].isNotNull(), F.transform(members, one))
+
+    return let(F.from_json(geometry, f"struct<{shape},geometries:array<struct<{shape}>>>"), read)
 
 
 def rings_from_geojson(geometry: Column, lenient: bool = False) -> Column:
     """GeoJSON geometry text (Polygon, MultiPolygon, or a GeometryCollection's) to rings. Points
     and lines have no rings; other text raises, or gives an empty array if ``lenient``."""
-    shape = "type:string,coordinates:string"
-    parsed = F.from_json(geometry, f"struct<{shape},geometries:array<struct<{shape}>>>")
-    one = F.array(F.struct(parsed["type"].alias("type"), parsed["coordinates"].alias("coordinates")))
-    members = F.when(parsed["type"] == "GeometryCollection", F.coalesce(parsed["geometries"], F.array())).otherwise(one)
-
-    def parts(m: Column) -> Column:
-        return (
-            F.when(m["type"] == "Polygon", F.array(F.from_json(m["coordinates"], _POLY)))
-            .when(m["type"] == "MultiPolygon", F.from_json(m["coordinates"], _MULTI))
-            .when(m["type"].isin("Point", "LineString", "MultiPoint", "MultiLineString"), F.array().cast(_MULTI))
-        )
+    return let(_geojson_shapes(geometry), lambda s: _or_raise(F.coalesce(_rings(s), F.array()), _whole(s), geometry, lenient))
+
 
-    found = F.transform(members, parts)
-    good = parsed["type"].isNotNull() & ~F.exists(found, lambda p: p.isNull() | F.exists(p, lambda x: x.isNull()))
-    polygons = F.filter(F.flatten(found), lambda p: F.size(p) > 0)
-    return _or_raise(F.coalesce(rings_from_parts(polygons), F.array()), good, geometry, lenient)
+def paths_from_geojson(geometry: Column, lenient: bool = False) -> Column:
+    """Points, lines and polygons of any GeoJSON geometry as paths."""
+    return let(_geojson_shapes(geometry), lambda s: _or_raise(F.coalesce(_paths(s), F.array()), _whole(s), geometry, lenient, PATHS))
 
 
 def _nested_text(rings: Column, pair: Callable, opening: str, closing: str, sep: str) -> Column:
@@ -427,3 +468,41 @@ def to_geojson(rings: Column) -> Column:
         .when(_is_single(rings), geometry("Polygon", body))
         .when(rings.isNotNull(), geometry("MultiPolygon", F.concat(F.lit("["), body, F.lit("]"))))
     )
+
+
+# --- paths: shapes of any kind ------------------------------------------------
+
+def as_paths(rings: Column) -> Column:
+    """Rings as paths of kind polygon."""
+    return F.transform(
+        rings, lambda r: F.struct(F.lit("polygon").alias("kind"), r["part"].alias("part"), r["hole"].alias("hole"), r["pts"].alias("pts"))
+    )
+
+
+def point_path(lon: Column, lat: Column) -> Column:
+    """A single point as paths."""
+    spot = F.array(point_xy(lon, lat))
+    return F.array(F.struct(F.lit("point").alias("kind"), F.lit(0).alias("part"), F.lit(False).alias("hole"), spot.alias("pts")))
+
+
+def line_path(corners: list[tuple[Column, Column]]) -> Column:
+    """A single line through ``corners`` as paths."""
+    pts = F.array(*[point_xy(x, y) for x, y in corners])
+    return F.array(F.struct(F.lit("line").alias("kind"), F.lit(0).alias("part"), F.lit(False).alias("hole"), pts.alias("pts")))
+
+
+def paths_to_wkt(paths: Column) -> Column:
+    """POINT, LINESTRING, POLYGON or MULTIPOLYGON, or a GEOMETRYCOLLECTION of several of them."""
+    def pair(p: Column) -> Column:
+        return F.concat(p["x"].cast("string"), F.lit(" "), p["y"].cast("string"))
+
+    def line(r: Column) -> Column:
+        return F.concat(F.lit("LINESTRING ("), F.array_join(F.transform(r["pts"], pair), ", "), F.lit(")"))
+
+    def of(kind: str) -> Column:
+        return F.filter(paths, lambda r: r["kind"] == kind)
+
+    spots = F.transform(F.flatten(F.transform(of("point"), lambda r: r["pts"])), lambda p: F.concat(F.lit("POINT ("), pair(p), F.lit(")")))
+    polygons = F.when(F.size(of("polygon")) > 0, F.array(to_wkt(of("polygon")))).otherwise(F.array())
+    each = F.concat(spots, F.transform(of("line"), line), polygons)
+    return let(each, lambda a: F.when(F.size(a) == 1, a[0]).otherwise(F.concat(F.lit("GEOMETRYCOLLECTION ("), F.array_join(a, ", "), F.lit(")"))))

@@ -22,6 +22,9 @@ RING = T.StructType(
     ]
 )
 RINGS = T.ArrayType(RING)
+#: Shapes of any kind: ``kind`` is point, line or polygon; a line has no holes and isn't closed, and each
+#: point of a point path is one by itself.
+PATHS = T.ArrayType(T.StructType([T.StructField("kind", T.StringType()), *RING.fields]))
 BBOX = T.StructType(
     [T.StructField(n, T.DoubleType()) for n in ("xmin", "ymin", "xmax", "ymax")]
 )

@@ -6,16 +6,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from terraquilt.functions.codec import clip
-from terraquilt.functions.geom import bbox_of, contains_point, edges_of, pack_shape
+from terraquilt.functions.geom import bbox_of, pack_shape
 from terraquilt.functions.kernel import TOLERANCE
 from terraquilt.model import GDA94, WGS84
-from terraquilt.operators.cells import cell_pairs, spread_hot
+from terraquilt.operators.cells import cell_pairs
+from terraquilt.operators.cover import meeting_pairs, points_within, shapes_within
 from terraquilt.operators.windows import (
     BROADCAST_BYTES,
     levels_for,
     measure,
     window_pairs,
-    window_rows,
 )
 
 DEFAULT_CELL = 0.5
@@ -97,69 +97,22 @@ def overlay_intersection(
     return out.withColumn("bbox", bbox_of(F.col("rings"))) if with_geometry else out
 
 
-def spatial_join(
-    left: DataFrame,
-    right: DataFrame,
-    predicate: str = "intersects",
-    cell: float = DEFAULT_CELL,
-    broadcast_left: bool | None = None,
-) -> DataFrame:
-    """Attributes of every pair of shapes that share at least a point."""
+def spatial_join(left: DataFrame, right: DataFrame, l_id: str, r_id: str, predicate: str = "intersects",
+                 cell: float = DEFAULT_CELL) -> DataFrame:
+    """Ids of every pair of shapes that share at least a point."""
     if predicate != "intersects":
         raise ValueError("only 'intersects' is supported")
-    pairs = overlay_intersection(left, right, False, False, cell, broadcast_left)
-    return pairs.drop("area_ha", "area_deg", "residual")
-
-
-def points_within_place(points: DataFrame, place: DataFrame, lon: str = "x", lat: str = "y",
-                        cell: float = DEFAULT_CELL, broadcast_left: bool | None = None) -> DataFrame:
-    """Semi-join: points inside or on the boundary of any polygon in ``place``.
-
-    A point falls in one cell, and place polygons are cut to cells, so each point
-    is tested against the few vertices near it.
-    """
-    shapes = place.select(pack_shape(F.col("rings")).alias("l_shape"), F.col("bbox").alias("l_bbox"))
-    area = measure(shapes, cell, 1, 1)
-    rows = window_rows(shapes, cell, 1, area.cut, 1).select(
-        "cx", "cy", "l_bbox", edges_of(F.col("l_shape")).alias("l_edges")
-    )
-    x, y = F.col(f"`{lon}`"), F.col(f"`{lat}`")
-    keys = ["cx", "cy"]
-    if broadcast_left is None:
-        broadcast_left = area.bytes <= BROADCAST_BYTES
-    if broadcast_left:
-        rows = F.broadcast(rows)
-        spots = points.withColumns({"p_cx": F.floor(x / cell), "p_cy": F.floor(y / cell)})
-    else:
-        spots = points.withColumns({"cx": F.floor(x / cell), "cy": F.floor(y / cell)})
-        # Only the points of a hot cell are split; a point must stay in one share
-        # for the semi-join to return it once.
-        rows, spots, keys = spread_hot(rows, spots, keys, split_left=False)
-        spots = spots.withColumnsRenamed({k: f"p_{k}" for k in keys})
-    box = F.col("l_bbox")
-    on = (
-        x.between(box["xmin"], box["xmax"])
-        & y.between(box["ymin"], box["ymax"])
-        & contains_point(F.col("l_edges"), x, y)
-    )
-    for k in keys:
-        on = (F.col(k) == F.col(f"p_{k}")) & on
-    return spots.join(rows, on, "left_semi").drop(*[f"p_{k}" for k in keys])
-
-
-def polygons_within_place(layer: DataFrame, place: DataFrame, row_id: str,
-                          cell: float = DEFAULT_CELL) -> DataFrame:
-    """Semi-join: shapes that meet any polygon in ``place``."""
-    hits = spatial_join(place.select("rings", "bbox"), layer.select(row_id, "rings", "bbox"), cell=cell)
-    return layer.join(hits.select(row_id).distinct(), row_id, "left_semi")
+    check_systems(left, right)
+    return meeting_pairs(left, right, l_id, r_id, cell)
 
 
 def within_place(df: DataFrame, place: DataFrame, row_id: str, lon: str = "x", lat: str = "y",
                  cell: float = DEFAULT_CELL) -> DataFrame:
-    """Keep the features of a point table or a polygon layer that lie in a place."""
-    if "rings" in df.columns:
-        return polygons_within_place(df, place, row_id, cell)
-    return points_within_place(df, place, lon, lat, cell)
+    """Keep the features of a point table, or of a layer of any shapes (``rings`` or ``paths``), that share a
+    point with a place."""
+    if "rings" in df.columns or "paths" in df.columns:
+        return shapes_within(df, place, row_id, cell)
+    return points_within(df, place, lon, lat, cell)
 
 
 def intersection_by(left: DataFrame, right: DataFrame, keys: list[str | Column], cell: float = DEFAULT_CELL) -> DataFrame:

@@ -12,6 +12,8 @@ from terraquilt.functions.codec import rings_from_wkb
 from terraquilt.functions.geom import (
     bbox_of,
     normalize,
+    paths_from_geojson,
+    paths_from_wkt,
     reproject_rings,
     rings_from_geojson,
     rings_from_wkt,
@@ -94,6 +96,13 @@ def layer_from(df: DataFrame, column: str, encoding: str, srid: int = GDA94,
     return as_layer(df, decode(F.col(f"`{column}`"), lenient), srid, decimals, (column,))
 
 
+def shapes_from(df: DataFrame, column: str, encoding: str, lenient: bool = False) -> DataFrame:
+    """A table with a WKT or GeoJSON column as a table of shapes of any kind: points, lines and polygons in
+    ``paths``, the text dropped."""
+    decode = {"wkt": paths_from_wkt, "geojson": paths_from_geojson}[encoding]
+    return df.withColumn("paths", decode(F.col(f"`{column}`"), lenient)).drop(column)
+
+
 def scan_layer(
     spark: SparkSession,
     path: str,
@@ -147,5 +156,6 @@ def osm_features(
     lat: str = "y",
     cell: float = 0.5,
 ) -> DataFrame:
-    """Tagged map features inside a place polygon."""
+    """Tagged map features that share a point with a place polygon: a point table, or with ``rings`` or
+    ``paths`` a table of polygons or of shapes of any kind."""
     return within_place(tagged(features, key, value), place, row_id, lon, lat, cell)

@@ -114,14 +114,6 @@ def test_layer_center(spark, shapes):
     assert got["lat0"] == pytest.approx((-33.5 * 1 + -33.625 * 0.375) / 1.375)
 
 
-def test_contains_point(spark, shapes):
-    points = [(0.5, 0.5, True), (2, 2, False), (1, 2, True), (4, 4, True), (4.1, 0, False), (0, 2, True), (2, 1, True)]
-    df = spark.createDataFrame([(float(x), float(y), w) for x, y, w in points], "x double, y double, want boolean")
-    shape = shapes.where("id = 0").select(geom.edges_of(geom.pack_shape(F.col("rings"))).alias("e"))
-    rows = df.join(shape, F.lit(True)).select("want", geom.contains_point(F.col("e"), F.col("x"), F.col("y")).alias("got"))
-    assert all(r["want"] == r["got"] for r in rows.collect())
-
-
 def test_simplify_keeps_tolerance_and_small_rings(spark):
     wavy = [(0.0, 0.0)] + [(i / 100, 0.0004 * (i % 2)) for i in range(1, 100)] + [(1.0, 0.0), (1.0, 1.0), (0.0, 1.0)]
     tiny = [(0.0, 0.0), (0.0005, 0.0), (0.0005, 0.0005)]

@@ -154,24 +154,6 @@ def test_same_names_get_suffixes(spark):
     assert {"Name_1", "NAME_2"} <= set(overlay.overlay_intersection(left, right).columns)
 
 
-@pytest.mark.parametrize("broadcast", [True, False])
-@pytest.mark.parametrize("cut", [400, 20])
-def test_points_in_places(spark, shapes, broadcast, cut, monkeypatch):
-    monkeypatch.setattr(windows, "CUT_NUMBERS", cut)
-    monkeypatch.setattr(cells, "HOT_MIN_ROWS", 40)
-    places = shapes[0]
-    rng = np.random.default_rng(5)
-    pts = [(i, float(x), float(y)) for i, (x, y) in enumerate(rng.uniform(-3, 3, (300, 2)))]
-    pts += [(300, 1.0, 1.0), (301, -1.0, 0.25), (302, None, 0.0), (303, 0.0, 0.0)]
-    probe = [None if x is None else [ring((x, y), (x + 1e-7, y), (x, y + 1e-7))] for _, x, y in pts]
-    want = {j for _, j in brute(places, probe)}
-    df = spark.createDataFrame(pts, "row_id int, x double, y double")
-    got = overlay.points_within_place(df, layer(spark, places, "a"), cell=0.5, broadcast_left=broadcast)
-    ids = [r["row_id"] for r in got.collect()]
-    assert sorted(ids) == sorted(want)
-    assert got.columns == df.columns
-
-
 def test_polygons_in_place(spark, shapes):
     place = [star(0, 0, [1.0] * 30)]
     got = overlay.within_place(layer(spark, shapes[1], "b"), layer(spark, place, "a"), "b")
