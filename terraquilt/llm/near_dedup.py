@@ -6,7 +6,7 @@
    a large group of near copies push its own shared shingles down and fall apart.
 2. Improved consistent weighted sampling: for every hash function the shingle of a text
    with the least a = c / (y * e^r), y the weight rounded down on the grid that r and beta
-   give. Random r, c and beta come from a table of 65,536 draws per function; ties
+   give. Random r, c and beta come from a table of 8,192 draws per function; ties
    fall to a second hash of the shingle. Two texts draw the same sample with the
    probability of their weighted Jaccard similarity.
 3. BANDS bands of ROWS samples: 20 of 5 miss a pair of similarity 0.8 with a chance of
@@ -14,8 +14,8 @@
 4. Members of a bucket are compared with the one that is in the most company over all its
    buckets (in a group of copies that is the original), then what the components so far
    leave apart in a bucket is compared too. Each pair is compared first by its 100 sampled
-   bytes (estimates under SCREEN are passed over), what is left apart also by FINE further samples
-   (FINE_SCREEN). Samples follow TF-IDF, by which a pair of 0.8 by TF alone may have
+   bytes (estimates under SCREEN are passed over), what is left apart also by four bits of FINE further samples
+   (FINE_SCREEN; one in sixteen is equal by chance). Samples follow TF-IDF, by which a pair of 0.8 by TF alone may have
    0.8 / (0.8 + 0.2 * (1 + DAMPING)) = 0.762: FINE_SCREEN is six deviations below that, SCREEN five, and the
    bands of step 3 miss such a pair with a chance of 0.003. What passes
    is compared exactly, by the weighted Jaccard similarity of the whole texts. A pair is linked if
@@ -29,9 +29,9 @@ less, so one that matters has RARE / 2 of all documents in the batches that name
 names, at most 2 * average length / RARE, are counted over all documents. That is exact, and
 what is broadcast has a bound.
 
-Nulls: a null or wordless text is in a class of its own. A null doc_id is left out.
-A doc_id that occurs twice is one document per row and each row gets the class
-of its own text.
+Nulls: a null or wordless text is in a class of its own. Rows are known by doc_id and a hash of their text, so a
+null or repeated doc_id is a document per text, and each gets the class of its own text; texts are fetched for
+comparison only where a pair names them.
 """
 
 from __future__ import annotations
@@ -52,11 +52,13 @@ from terraquilt.llm.words import SHINGLE_WORDS, chunks, mix, shingle_hashes, tex
 THRESHOLD, BANDS, ROWS = 0.8, 20, 5
 RARE, DAMPING = 0.02, 0.25
 SCREEN = 0.55
-#: Further samples of texts that buckets leave apart, from smaller tables.
-FINE, FINE_SCREEN, FINE_TABLE = 1000, 0.68, 1 << 12
+#: Further samples of texts that buckets leave apart, four bits of each, from smaller tables.
+FINE, FINE_SCREEN, FINE_TABLE = 2000, 0.72, 1 << 10
 #: Members of a bucket that one task compares with each other.
 BLOCK = 1000
-_TABLE = 1 << 16
+_TABLE = 1 << 13
+#: Shingles sampled at a time; a longer text is taken whole.
+PIECE = 1 << 15
 _U = np.uint64
 
 
@@ -91,36 +93,40 @@ class Sampler:
         self.beta = random.random(shape, np.float32)
         self.factors = random.integers(1, 2**63, count, dtype=np.uint64) * _U(2) + _U(1)
         self.usual = np.float32(np.log(1 + DAMPING))  # of a shingle that occurs once and isn't frequent
-        self.ready = []
-        for k in range(count):
-            a, t = self._least(k, slice(None), self.usual)
-            self.ready.append((a, t))
+        self.ready = np.stack([self._least(k, slice(None), self.usual) for k in range(count)])
 
-    def _least(self, k: int, at, log_weight):
+    def _least(self, k: int, at, log_weight) -> np.ndarray:
+        """The bits of log a, in order, above a hash of the weight's step."""
         r, c, beta = self.r[k][at], self.c[k][at], self.beta[k][at]
         t = np.floor(log_weight / r + beta)
-        log_a = c - r * (t - beta) - r
-        # floats below 0 order the other way round as bits, so shift all above 0
-        return np.exp(np.clip(log_a, -80, 80)).astype(np.float32).view(np.uint32), t.astype(np.int32).view(np.uint32)
+        bits = (c - r * (t - beta) - r).view(np.int32)
+        bits = bits ^ ((bits >> 31) & np.int32(0x7FFFFFFF))  # floats below 0 order the other way round
+        step = t.astype(np.int32).view(np.uint32) * np.uint32(0x9E3779B1)
+        return ((bits.astype(np.int64) + (1 << 31)).astype(_U) << _U(32)) | step
 
     def draw(self, h: np.ndarray, weights: np.ndarray, bounds: np.ndarray) -> np.ndarray:
         """One row per text with shingles, one column per hash function: bits of the
         least value, then of the shingle it belongs to."""
         full = np.flatnonzero(np.diff(bounds) > 0)
-        starts = bounds[:-1][full]
+        starts, ends = bounds[:-1][full], bounds[1:][full]
         logs = np.log(weights).astype(np.float32)
-        other = np.flatnonzero(np.abs(logs - self.usual) > 1e-6)
-        logs = logs[other]
         low = mix(h + _U(1)) >> _U(32)
         out = np.empty((len(full), len(self.factors)), np.uint64)
-        for k, factor in enumerate(self.factors):
-            at = ((h * factor) >> self.shift).astype(np.int64)
-            a, t = self.ready[k]
-            value, step = a[at].astype(np.uint64), t[at].astype(np.uint64)
-            if len(other):
-                value[other], step[other] = self._least(k, at[other], logs)
-            value = (value << _U(32)) | ((low + step * _U(0x9E3779B1)) & _U(0xFFFFFFFF))
-            out[:, k] = np.minimum.reduceat(value, starts)
+        first = 0
+        while first < len(full):  # some texts at a time, whose shingles stay in the processor's cache
+            last = max(first + 1, int(np.searchsorted(ends, starts[first] + PIECE, "right")))
+            part = slice(starts[first], ends[last - 1])
+            own, tail, begin = h[part], low[part], starts[first:last] - starts[first]
+            other = np.flatnonzero(np.abs(logs[part] - self.usual) > 1e-6)
+            rest, value = logs[part][other], np.empty(len(own), np.uint64)
+            for k, factor in enumerate(self.factors):
+                at = ((own * factor) >> self.shift).view(np.int64)
+                np.take(self.ready[k], at, out=value, mode="clip")
+                if len(other):
+                    value[other] = self._least(k, at[other], rest)
+                value ^= tail
+                out[first:last, k] = np.minimum.reduceat(value, begin)
+            first = last
         return out
 
 
@@ -188,7 +194,7 @@ def frequencies(docs: DataFrame, k: int = SHINGLE_WORDS, rare: float = RARE) ->
 
 # --- steps 2 and 3: samples, bands, copies ---------------------------------------------------
 
-_SIGNED = "doc_id long, k1 long, k2 long, bands array<long>, sketch binary"
+_SIGNED = "doc_id long, row_key long, k1 long, k2 long, bands array<long>, sketch binary"
 
 
 def signatures(docs: DataFrame, idf, k: int = SHINGLE_WORDS) -> DataFrame:
@@ -198,7 +204,7 @@ def signatures(docs: DataFrame, idf, k: int = SHINGLE_WORDS) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts, ids = text_column(batch["text"]), batch["doc_id"]
+            texts, ids, rows = text_column(batch["text"]), batch["doc_id"], batch["row_key"]
             for at, to in chunks(texts):
                 words, bounds = word_hashes(texts.slice(at, to - at))
                 full = np.flatnonzero(np.diff(bounds) > 0)
@@ -214,7 +220,8 @@ def signatures(docs: DataFrame, idf, k: int = SHINGLE_WORDS) -> DataFrame:
                 bands = mix((bands * turn).sum(2, dtype=np.uint64) + np.arange(BANDS, dtype=np.uint64))
                 sketch = np.ascontiguousarray((mix(drawn) >> _U(56)).astype(np.uint8))
                 yield pa.RecordBatch.from_arrays([
-                    ids.slice(at, to - at).take(pa.array(full)).cast(pa.int64()),
+                    ids.slice(at, to - at).take(pa.array(full)),
+                    rows.slice(at, to - at).take(pa.array(full)),
                     pa.array(keys[0].view(np.int64)),
                     pa.array(keys[1].view(np.int64)),
                     pa.ListArray.from_arrays(
@@ -222,31 +229,38 @@ def signatures(docs: DataFrame, idf, k: int = SHINGLE_WORDS) -> DataFrame:
                         pa.array(bands.reshape(-1).view(np.int64)),
                     ),
                     pa.array([row.tobytes() for row in sketch], pa.binary()),
-                ], names=["doc_id", "k1", "k2", "bands", "sketch"])
+                ], names=["doc_id", "row_key", "k1", "k2", "bands", "sketch"])
 
-    return docs.select("doc_id", "text").where("doc_id is not null").mapInArrow(run, _SIGNED)
+    return docs.select("doc_id", "row_key", "text").mapInArrow(run, _SIGNED)
 
 
-def fine_sketches(docs: DataFrame, idf, k: int = SHINGLE_WORDS) -> DataFrame:
-    """id and a byte for each of FINE samples, for documents with words. Narrow."""
-    bound = docs.sparkSession.sparkContext.broadcast(idf)
+def fine_sketches(texts: DataFrame, idf, k: int = SHINGLE_WORDS) -> DataFrame:
+    """id and four bits for each of FINE samples of texts (id, text) with words. Narrow."""
+    bound = texts.sparkSession.sparkContext.broadcast(idf)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = text_column(batch["text"])
-            for at, to in chunks(texts):
-                words, bounds = word_hashes(texts.slice(at, to - at))
+            found = text_column(batch["text"])
+            for at, to in chunks(found):
+                words, bounds = word_hashes(found.slice(at, to - at))
                 full = np.flatnonzero(np.diff(bounds) > 0)
                 if not len(full):
                     continue
                 h, weights, _, bounds = _weighted(*shingle_hashes(words, bounds, k), bound.value)
-                sketch = np.ascontiguousarray((mix(fine_sampler().draw(h, weights, bounds)) >> _U(56)).astype(np.uint8))
+                bits = (mix(fine_sampler().draw(h, weights, bounds)) >> _U(60)).astype(np.uint8)
+                sketch = np.ascontiguousarray(bits[:, ::2] << 4 | bits[:, 1::2])
                 yield pa.RecordBatch.from_arrays(
-                    [batch["doc_id"].slice(at, to - at).take(pa.array(full)), pa.array([x.tobytes() for x in sketch], pa.binary())],
+                    [batch["id"].slice(at, to - at).take(pa.array(full)), pa.array([x.tobytes() for x in sketch], pa.binary())],
                     names=["id", "fine"],
                 )
 
-    return docs.select("doc_id", "text").mapInArrow(run, "id long, fine binary")
+    return texts.select("id", "text").mapInArrow(run, "id long, fine binary")
+
+
+def alike(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Share of equal halves of bytes, row by row."""
+    other = x ^ y
+    return (((other & 15) == 0).sum(1) + ((other >> 4) == 0).sum(1)) / (2 * x.shape[1])
 
 
 # --- step 4: comparing pairs ------------------------------------------------------------------
@@ -263,9 +277,9 @@ def similarity(a, b) -> float:
     return best
 
 
-def verified(pairs: DataFrame, docs: DataFrame, idf, k: int = SHINGLE_WORDS) -> DataFrame:
-    """Of pairs (a, b) those whose whole texts reach the threshold, with their similarity."""
-    bound = docs.sparkSession.sparkContext.broadcast(idf)
+def verified(pairs: DataFrame, texts: DataFrame, idf, k: int = SHINGLE_WORDS) -> DataFrame:
+    """Of pairs (a, b) those whose whole texts (id, text) reach the threshold, with their similarity."""
+    bound = texts.sparkSession.sparkContext.broadcast(idf)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -281,10 +295,9 @@ def verified(pairs: DataFrame, docs: DataFrame, idf, k: int = SHINGLE_WORDS) ->
                     [part["a"], part["b"], pa.array(found[found >= THRESHOLD])], names=["a", "b", "similarity"]
                 )
 
-    text = docs.select("doc_id", "text")
-    with_b = pairs.join(text.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b")
+    with_b = pairs.join(texts.select(F.col("id").alias("b"), F.col("text").alias("text_b")), "b")
     with_a = spread_join(
-        with_b, text.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a",
+        with_b, texts.select(F.col("id").alias("a"), F.col("text").alias("text_a")), "a",
         pairs.groupBy("a").agg(F.count("*").alias("n")), F.xxhash64("b"),
     )
     out = with_a.select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long, similarity double")
@@ -333,7 +346,7 @@ def apart(members: DataFrame) -> DataFrame:
                     equal = (s[l][:, None, :] == s[right][None, :, :]).mean(2) >= SCREEN
                     x, y = np.nonzero(equal & (roots[l][:, None] != roots[right][None, :]))
                     x, y = l[x], right[y]
-                    near = [(fine[x[i : i + 4096]] == fine[y[i : i + 4096]]).mean(1) >= FINE_SCREEN for i in range(0, len(x), 4096)]
+                    near = [alike(fine[x[i : i + 4096]], fine[y[i : i + 4096]]) >= FINE_SCREEN for i in range(0, len(x), 4096)]
                     near = np.concatenate([*near, np.zeros(0, bool)])
                     out.append(np.sort(np.stack([ids[x[near]], ids[y[near]]], 1), axis=1))
             a = np.unique(np.concatenate(out), axis=0)
@@ -344,17 +357,50 @@ def apart(members: DataFrame) -> DataFrame:
 
 # --- all of it ---------------------------------------------------------------------------------
 
+#: Stands for no doc_id, so that such a row follows all others.
+LAST = 2**63 - 1
+#: What a text with words holds, see words.py.
+HAS_WORDS = r"[0-9A-Za-z]|[^\x00-\x7F]"
+#: Names of texts, of 24 bytes, that are broadcast; more of them are joined by shuffle.
+BROADCAST_IDS = 500_000
 
-def near_duplicates(docs: DataFrame, k: int = SHINGLE_WORDS) -> DataFrame:
-    """doc_id and class_id (the least doc_id of the class) for every document with an id."""
+
+def _rows(docs: DataFrame) -> DataFrame:
+    """doc_id, row_key (a hash that tells texts of one doc_id apart) and text."""
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("row_key"), text.alias("text"))
+
+
+def _copies(signed: DataFrame) -> DataFrame:
+    """A row per distinct word sequence: k1, k2, n (rows), its first row (doc_id, row_key) and id, a number of its own:
+    that doc_id, or where texts share it or it is null a hash below 0."""
+    place = F.struct(F.coalesce("doc_id", F.lit(LAST)).alias("d"), "row_key")
+    found = signed.groupBy("k1", "k2").agg(F.min(place).alias("first"), F.count("*").alias("n"))
+    hashed = F.xxhash64("k1", "k2").bitwiseOR(F.lit(-(2**63)))
+    same = W.partitionBy(F.when(F.col("first.d") < LAST, F.col("first.d")).otherwise(hashed)).orderBy("first.row_key", "k1", "k2")
+    own = (F.row_number().over(same) == 1) & (F.col("first.d") < LAST)
+    return found.select("k1", "k2", "n", "first.d", "first.row_key", F.when(own, F.col("first.d")).otherwise(hashed).alias("id"))
+
+
+def texts_of(docs: DataFrame, copies: DataFrame, ids: DataFrame) -> DataFrame:
+    """id and text of the texts named in `ids`. All other texts stay where they are, if the names may be broadcast."""
+    wanted = materialized(copies.join(ids.select("id").distinct(), "id").select("id", "d", "row_key"), "wanted")
+    wanted = F.broadcast(wanted) if wanted.count() <= BROADCAST_IDS else wanted
+    keyed = docs.select(F.coalesce("doc_id", F.lit(LAST)).alias("d"), "row_key", "text")
+    # Equal rows are one text.
+    return materialized(keyed.join(wanted, ["d", "row_key"]).select("id", "text").dropDuplicates(["id"]), "wanted-texts")
+
+
+def classes(docs: DataFrame, k: int = SHINGLE_WORDS) -> DataFrame:
+    """doc_id, row_key, root (a number that all rows of a class share) and class_id of every row with words."""
     ready(docs.sparkSession)
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    docs = _rows(docs).where(F.col("text").rlike(HAS_WORDS))
     idf = frequencies(docs, k)
     signed = materialized(signatures(docs, idf, k), "signatures")
-    copies = signed.groupBy("k1", "k2").agg(F.min("doc_id").alias("id"), F.count("*").alias("n"))
-    copies = materialized(copies, "texts")
-    texts = signed.join(copies.select("k1", "k2", F.col("id").alias("doc_id")), ["doc_id", "k1", "k2"])
-    texts = materialized(texts.select(F.col("doc_id").alias("id"), "bands", "sketch"), "distinct-texts")
+    copies = materialized(_copies(signed), "texts")
+    place = ["d", "row_key", "k1", "k2"]
+    known = signed.withColumn("d", F.coalesce("doc_id", F.lit(LAST))).join(copies.select("id", *place), place)
+    texts = materialized(known.dropDuplicates(place).select("id", "bands", "sketch"), "distinct-texts")
     sketches = texts.select("id", "sketch")
 
     members = texts.select(F.explode("bands").alias("key"), "id")
@@ -368,7 +414,8 @@ def near_duplicates(docs: DataFrame, k: int = SHINGLE_WORDS) -> DataFrame:
     led = spread_join(members, leaders.select("key", (-F.col("a.a")).alias("a")), "key", buckets, F.xxhash64("id"))
     pairs = led.where("a <> id").select(F.least("a", "id").alias("a"), F.greatest("a", "id").alias("b")).distinct()
     pairs = materialized(screened(pairs, sketches), "pairs")
-    links = materialized(verified(pairs, docs, idf, k), "star-links")
+    ends = pairs.select(F.col("a").alias("id")).union(pairs.select("b"))
+    links = materialized(verified(pairs, texts_of(docs, copies, ends), idf, k), "star-links")
     roots = materialized(components(links.select("a", "b")), "star-roots")
 
     rooted = members.join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
@@ -376,38 +423,55 @@ def near_duplicates(docs: DataFrame, k: int = SHINGLE_WORDS) -> DataFrame:
     mixed = rooted.groupBy("key").agg(F.min("root").alias("least"), F.max("root").alias("most")).where("least <> most")
     rest = spread_join(rooted, mixed.select("key"), "key", rooted.select("key", "n").distinct(), F.xxhash64("id"))
     rest = materialized(rest, "left-apart")
-    some = docs.join(rest.select(F.col("id").alias("doc_id")).distinct(), "doc_id", "left_semi")
-    fine = materialized(fine_sketches(some, idf, k), "fine-sketches").dropDuplicates(["id"])
+    some = texts_of(docs, copies, rest)
+    fine = materialized(fine_sketches(some, idf, k), "fine-sketches")
     rest = rest.join(sketches, "id").join(fine, "id").select("key", "id", "root", "sketch", "fine", "n")
     more = materialized(apart(rest).join(pairs, ["a", "b"], "left_anti"), "more-pairs")
     if not more.isEmpty():
-        more = materialized(verified(more, docs, idf, k), "more-links")
+        more = materialized(verified(more, some, idf, k), "more-links")
         joined = links.select("a", "b").union(more.select("a", "b"))
         roots = materialized(components(joined), "roots")
 
-    classes = spread_join(
-        signed.select("doc_id", "k1", "k2", F.struct("k1", "k2").alias("key")),
-        copies.select(F.struct("k1", "k2").alias("key"), "id"), "key",
-        copies.select(F.struct("k1", "k2").alias("key"), "n"), F.xxhash64("doc_id"),
-    )
-    classes = spread_join(
-        classes.select("doc_id", "id"), roots, "id", copies.select("id", "n"), F.xxhash64("doc_id"), how="left"
-    )
-    classes = classes.select("doc_id", F.coalesce("root", "id").alias("class_id"))
-    wordless = docs.where("doc_id is not null").select("doc_id").join(signed.select("doc_id"), "doc_id", "left_anti")
-    return classes.union(wordless.select("doc_id", F.col("doc_id").alias("class_id")))
+    # Classes of several texts are known by their least doc_id.
+    least = roots.join(copies.select("id", "d"), "id").groupBy("root").agg(F.min("d").alias("least"))
+    named = copies.join(roots.join(least, "root"), "id", "left")
+    label, root = F.coalesce("least", "d"), F.coalesce("root", "id")
+    named = named.select(F.struct("k1", "k2").alias("key"), "n", root.alias("root"), F.when(label < LAST, label).otherwise(root).alias("class_id"))
+    named = materialized(named, "text-classes")
+    rows = signed.select("doc_id", "row_key", F.struct("k1", "k2").alias("key"))
+    rows = spread_join(rows, named.drop("n"), "key", named.select("key", "n"), F.xxhash64("doc_id", "row_key"))
+    return rows.select("doc_id", "row_key", "root", "class_id")
+
+
+def near_duplicates(docs: DataFrame, k: int = SHINGLE_WORDS) -> DataFrame:
+    """doc_id, row_key (the hash of the text) and class_id for every row: the least doc_id of the class, or where none of its
+    rows has one a number below 0. A row without words is a class of its own, known by its doc_id or null.
+    Rows of equal doc_id and different texts are documents of their own."""
+    wordless = _rows(docs).where(~F.col("text").rlike(HAS_WORDS))
+    found = classes(docs, k).select("doc_id", "row_key", "class_id")
+    return found.union(wordless.select("doc_id", "row_key", F.col("doc_id").alias("class_id")))
 
 
 def drop_near_duplicates(docs: DataFrame, k: int = SHINGLE_WORDS) -> DataFrame:
-    """The documents without all but the least doc_id of each class. Of rows of equal
-    doc_id one stays, that of the least text; rows without doc_id stay."""
-    found = materialized(near_duplicates(docs, k), "classes")
-    gone = found.where("doc_id <> class_id").select("doc_id").distinct()
-    kept = docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
-    twice = found.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1")
+    """The documents without all but the first row of each class, that of the least doc_id (rows without one come last, and
+    those of one doc_id go by the hashes of their texts). Of rows equal in both, one stays. Documents without words stay, each of them."""
+    found = materialized(classes(docs, k).select(F.coalesce("doc_id", F.lit(LAST)).alias("d"), "row_key", "root"), "classes")
+    place = F.struct("d", "row_key")
+    firsts = found.groupBy("root").agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1")
+    firsts = materialized(firsts, "class-firsts")
+    gone = spread_join(found, firsts.select("root", "first"), "root", firsts.select("root", "n"), F.xxhash64("row_key"))
+    gone = materialized(gone.where(place != F.col("first")).select("d", "row_key").distinct(), "gone")
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    d, key = unused(docs, "d"), unused(docs, "row_key")
+    keyed = docs.withColumn(d, F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST))).withColumn(key, F.xxhash64(text))
+    gone = gone.toDF(d, key)
+    kept = keyed.join(F.broadcast(gone) if gone.count() <= BROADCAST_IDS else gone, [d, key], "left_anti")
+    twice = found.groupBy("d", "row_key").agg(F.count("*").alias("n")).where("n > 1").select("d", "row_key")
+    twice = materialized(twice, "twice").toDF(d, key)
     if twice.isEmpty():
-        return kept
-    n = unused(docs, "n")
-    order = W.partitionBy(F.coalesce("doc_id", F.xxhash64("text"))).orderBy("text")
-    numbered = kept.withColumn(n, F.when(F.col("doc_id").isNull(), 1).otherwise(F.row_number().over(order)))
-    return numbered.where(F.col(n) == 1).drop(n)
+        return kept.select(*docs.columns)
+    # Some row of those that are equal, the same one whenever it is chosen again.
+    named = [F.col(f"`{c}`") for c in docs.columns]
+    again = kept.join(twice, [d, key], "left_semi").groupBy(d, key)
+    again = again.agg(F.min_by(F.struct(*named), F.xxhash64(*named)).alias("row_")).select("row_.*")
+    return kept.join(twice, [d, key], "left_anti").select(*docs.columns).union(again)

@@ -130,6 +130,7 @@ def test_short_lines_repeat_exactly(spark, tmp_path):
 def test_near_duplicates(docs, corpus, monkeypatch):
     found = near_dedup.near_duplicates(docs.withColumn("class_id", F.lit(9)))
     got = {r["doc_id"]: r["class_id"] for r in found.collect()}
+    got.pop(None)  # a row without an id
     own = {i: brute.shingles(t) for i, t in corpus}
     pairs = {p: brute.jaccard(own[p[0]], own[p[1]]) for p in itertools.combinations(own, 2)}
     assert got.keys() == own.keys()
@@ -160,7 +161,12 @@ def test_fine_screen_spares_pairs_linked_by_tf():
     """Samples follow TF-IDF, where a pair of THRESHOLD by TF weights may be lower."""
     t = near_dedup.THRESHOLD
     least = t / (t + (1 - t) * (1 + near_dedup.DAMPING))
+    least = least + (1 - least) / 16  # four bits are equal by chance
     assert near_dedup.FINE_SCREEN <= least - 5.9 * (least * (1 - least) / near_dedup.FINE) ** 0.5
+    rng = np.random.default_rng(3)
+    x, y = (rng.integers(0, 256, (5, 400)).astype(np.uint8) for _ in "xy")
+    nibbles = lambda z: np.stack([z >> 4, z & 15], 2).reshape(5, -1)
+    assert np.allclose(near_dedup.alike(x, y), (nibbles(x) == nibbles(y)).mean(1))
 
 
 def test_frequent_shingles(spark, corpus):
@@ -174,11 +180,22 @@ def test_frequent_shingles(spark, corpus):
     assert ((weights >= 1) & (weights <= 1.25 + 1e-9)).all()
 
 
-def test_repeated_ids_keep_one_row(spark):
-    text = "some words that are here more than once in this small table"
-    df = spark.createDataFrame([(1, text, 5), (1, text, 5), (2, text, 6), (3, "else", 7), (None, text, 8)], "doc_id long, text string, n long")
-    got = sorted((r["doc_id"] or 0, r["n"]) for r in near_dedup.drop_near_duplicates(df).collect())
-    assert got == [(0, 8), (1, 5), (3, 7)]
+def test_repeated_and_null_ids(spark):
+    """Rows are documents by doc_id and text: none is lost, and copies go whatever their ids are."""
+    text, other = "some words that are here more than once in this small table", "quite other words, these are"
+    rows = [(1, text, 5, 0), (1, text, 5, 0), (2, text, 6, 0), (3, "else", 7, 0), (None, text, 8, 0), (1, other, 9, 0), (1, "  ", 1, 0), (1, "  ", 1, 0)]
+    rows += [(None, "words of no id", 2, 0), (None, "words of no id", 2, 0), (None, "more words of no id", 3, 0), (None, None, 4, 0), (4, other, 4, 0)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, n long, row_key long")
+    kept = near_dedup.drop_near_duplicates(df)
+    assert kept.columns == df.columns
+    got = sorted(tuple(r)[:3] for r in kept.na.fill({"doc_id": 0, "text": "null"}).collect())
+    assert got == [(0, "more words of no id", 3), (0, "null", 4), (0, "words of no id", 2), (1, "  ", 1), (1, "  ", 1), (1, other, 9), (1, text, 5), (3, "else", 7)]
+    found = near_dedup.near_duplicates(df).collect()
+    assert len(found) == len(rows)
+    by_id = sorted((r["doc_id"] or 0, r["class_id"] or 0) for r in found if (r["class_id"] or 0) >= 0)
+    assert by_id == [(0, 0), (0, 1), (1, 1), (1, 1), (1, 1), (1, 1), (1, 1), (2, 1), (3, 3), (4, 1)]
+    below = [r["class_id"] for r in found if (r["class_id"] or 0) < 0]
+    assert len(below) == 3 and len(set(below)) == 2
 
 
 def test_leaks(spark, docs, corpus, monkeypatch):
