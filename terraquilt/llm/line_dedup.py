@@ -37,8 +37,8 @@ EDITS, MIN_CHARS = 2, 20
 LIST_ROWS = 2_000
 #: Hashes of 8 or 16 bytes that are broadcast; more of them are joined by shuffle.
 BROADCAST_IDS = 500_000
-#: Letters whose counts tell most texts apart; any would do.
-LETTERS = "etan i"
+#: Sixteen letters whose counts tell most texts apart; any would do.
+LETTERS = "etan iorsldhcum."
 #: Characters after which most candidates that share just a segment have failed.
 START = 24
 
@@ -61,20 +61,20 @@ def first_occurrences(found: DataFrame) -> DataFrame:
 
 
 def letters(line: Column) -> Column:
-    """How often each of LETTERS occurs, modulo 256, a byte of a long each."""
+    """How often each of LETTERS occurs, modulo 16, four bits of a long each."""
     out = F.lit(0).cast("long")
     for i, letter in enumerate(LETTERS):
         count = F.length(line) - F.length(F.replace(line, F.lit(letter), F.lit("")))
-        out = out.bitwiseOR(F.shiftleft((count % 256).cast("long"), 8 * i))
+        out = out.bitwiseOR(F.shiftleft((count % 16).cast("long"), 4 * i))
     return out
 
 
 def letters_near(a: Column, b: Column, edits: int = EDITS) -> Column:
     """False only for texts more than `edits` apart: an edit moves two counts by 1 at most."""
-    total = F.lit(0).cast("long")
+    total, low = F.lit(0).cast("long"), F.lit(15)
     for i in range(len(LETTERS)):
-        d = F.shiftright(a, 8 * i).bitwiseAND(F.lit(255)) - F.shiftright(b, 8 * i).bitwiseAND(F.lit(255))
-        total = total + F.least(F.pmod(d, F.lit(256)), F.pmod(-d, F.lit(256)))
+        d = F.shiftright(a, 4 * i).bitwiseAND(low) - F.shiftright(b, 4 * i).bitwiseAND(low)
+        total = total + F.least(d.bitwiseAND(low), (-d).bitwiseAND(low))
     return total <= 2 * edits
 
 
@@ -82,7 +82,7 @@ def _segment(texts: DataFrame, places: list[tuple[int, int, int]], edits: int) -
     """key, h1, letters: one row per text and place (less, i, shift): the hash of (length - less, i, the text's
     substring where a text shorter by `less` has its segment i, moved by `shift`)."""
     parts = edits + 1
-    rows = texts.select("h1", "line", F.length("line").alias("n"), letters(F.col("line")).alias("letters"))
+    rows = texts.select("h1", "line", F.length("line").alias("n"), "letters")
     named = [F.struct(F.lit(x).alias("less"), F.lit(i).alias("i"), F.lit(y).alias("shift")) for x, i, y in places]
     rows = rows.select("h1", "line", "n", "letters", F.explode(F.array(*named)).alias("p"))
     rows = rows.select("h1", "line", "n", "letters", "p.i", "p.shift", (F.col("n") - F.col("p.less")).alias("length"))
@@ -204,7 +204,9 @@ def candidates(texts: DataFrame, edits: int = EDITS) -> DataFrame:
 
 
 def links(texts: DataFrame, edits: int = EDITS) -> DataFrame:
-    """Verified pairs (a, b) of text ids, struct(h1, h2). texts: h1, h2, line, a row per text."""
+    """Verified pairs (a, b) of text ids, struct(h1, h2). texts: h1, h2, line, a row per text. Written once, with
+    their letters: lists, their sizes, probes and the lines of pairs are read from there."""
+    texts = materialized(texts.select("h1", "h2", "line", letters(F.col("line")).alias("letters")), "line-texts")
     pairs = materialized(candidates(texts, edits), "line-pairs")
     wanted = materialized(pairs.select(F.col("a").alias("h1")).union(pairs.select("b")).distinct(), "paired-lines")
     wanted = F.broadcast(wanted) if wanted.count() <= BROADCAST_IDS else wanted
