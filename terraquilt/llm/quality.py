@@ -8,13 +8,14 @@ repeats itself shrinks under either) become a score by a logistic fit on labelle
 that the dictionaries haven't seen.
 
 Fitting takes a bounded sample of labelled rows: `ROWS` of each class, those with the
-least hash of doc_id, and of each `PIECES` chunks spread over its text. It happens on
-the driver (at most 2 * ROWS * PIECES * CHUNK bytes). Scoring covers whole texts.
+least hash of doc_id, and reads them whole, as scoring reads every text. Half of them, by another hash, train the
+dictionaries on the driver; the others are measured where they are.
 
 Nulls: a null text is an empty text, which has no evidence either way and gets the
 score of a difference of 0. Labels that are null or other than 0 and 1 don't count. With fewer
 than `LEAST` rows of a class there is nothing to learn, and each score is the share of good
-labels (0.5 without labels); keep_good then keeps every document. A doc_id labelled twice counts as good only if all its labels do.
+labels (0.5 without labels); keep_good then keeps every document. A doc_id labelled twice counts as good only if all
+its labels do; of several rows of a labelled doc_id the one whose text has the least hash is learnt from, and all are scored.
 """
 
 from __future__ import annotations
@@ -28,9 +29,9 @@ import zstandard as zstd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from terraquilt.llm.common import ready
+from terraquilt.llm.common import materialized, ready, unused
 
-ROWS, PIECES, CHUNK, LEAST = 2000, 4, 2048, 16
+ROWS, CHUNK, LEAST = 2000, 2048, 16
 DICTIONARY_BYTES, LEVEL = 112_640, 3
 THRESHOLD = 0.7
 
@@ -56,11 +57,6 @@ def pieces(data: bytes) -> list[bytes]:
     return [data[i : i + CHUNK] for i in range(0, len(data), CHUNK)]
 
 
-def spread(parts: list[bytes]) -> list[bytes]:
-    """PIECES chunks, evenly over the text."""
-    return parts if len(parts) <= PIECES else [parts[i * len(parts) // PIECES] for i in range(PIECES)]
-
-
 def _compressor(dictionary: bytes) -> zstd.ZstdCompressor:
     # Trained dictionaries carry a header, raw content doesn't; zstandard tells them apart.
     data = zstd.ZstdCompressionDict(dictionary)
@@ -111,38 +107,50 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
-def fit(docs: DataFrame, labels: DataFrame, rows: int = ROWS) -> Model:
-    """Learn from the labelled documents that aren't held out."""
+def labelled(docs: DataFrame, labels: DataFrame, rows: int = ROWS) -> tuple[DataFrame, float]:
+    """doc_id, quality, part (0 to learn dictionaries from, 1 to calibrate on) and text of at most `rows` labelled
+    documents of each class that aren't held out, and the share of good labels. Where rows share a
+    doc_id, the one whose text has the least hash counts."""
     labels = labels.where(F.col("doc_id").isNotNull() & F.col("quality").isin(0, 1))
-    labels = labels.groupBy("doc_id").agg(F.min("quality").alias("quality"))
+    labels = labels.groupBy("doc_id").agg(F.min("quality").cast("int").alias("quality"))
     labels = labels.where(~held_out(F.col("doc_id")))
     count = {r["quality"]: r["n"] for r in labels.groupBy("quality").agg(F.count("*").alias("n")).collect()}
     total = sum(count.values())
-    share = count.get(1, 0) / total if total else 0.5
     chosen = [
         labels.where(F.col("quality") == q).orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows) for q in (0, 1)
     ]
-    chosen = chosen[0].union(chosen[1])
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    found = docs.select(F.col("doc_id"), text.alias("text")).join(F.broadcast(chosen[0].union(chosen[1])), "doc_id")  # 2 * rows ids at most
+    found = found.groupBy("doc_id", "quality").agg(F.min_by("text", F.struct(F.xxhash64("text"), "text")).alias("text"))
+    found = found.withColumn("part", F.pmod(F.xxhash64(F.lit("part"), "doc_id"), F.lit(2)).cast("int"))
+    return found.where(F.col("text") != ""), count.get(1, 0) / total if total else 0.5
 
-    def cut(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            yield pd.DataFrame({
-                "doc_id": f["doc_id"],
-                "quality": f["quality"],
-                "parts": [spread(pieces((t or "").encode())) for t in f["text"]],
-            })
-
-    text = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")  # 2 * rows ids at most
-    sample = text.mapInPandas(cut, "doc_id long, quality int, parts array<binary>").toPandas()
-    sample = sample.sort_values("doc_id").drop_duplicates("doc_id")
-    by_class = {q: [list(p) for p in g["parts"] if len(p)] for q, g in sample.groupby("quality")}
-    if min(len(by_class.get(0, [])), len(by_class.get(1, []))) < LEAST:
+
+def fit(docs: DataFrame, labels: DataFrame, rows: int = ROWS) -> Model:
+    """Learn from the labelled documents that aren't held out, each read whole. The texts of one half of them, `rows`
+    at most over both classes, come to the driver for the dictionaries; of the other half two numbers each do."""
+    spark = ready(docs.sparkSession)
+    sample, share = labelled(docs, labels, rows)
+    sample = materialized(sample, "labelled-texts")
+    enough = {r["quality"]: r["n"] for r in sample.groupBy("quality").agg(F.count("*").alias("n")).collect()}
+    halves = sample.groupBy("quality", "part").count().count()
+    if min(enough.get(0, 0), enough.get(1, 0)) < LEAST or halves < 4:
         return Model(b"", b"", (), (), (), share)
-    train = {q: [c for parts in v[::2] for c in parts] for q, v in by_class.items()}
+    train: dict[int, list[bytes]] = {0: [], 1: []}
+    for r in sample.where("part = 0").orderBy("doc_id").select("quality", "text").toLocalIterator():
+        train[r["quality"]] += pieces(r["text"].encode())
     good, bad = _dictionary(train[1]), _dictionary(train[0])
-    sizer = Sizer(good, bad)
-    rest = [(sizer.features(parts), q) for q, v in by_class.items() for parts in v[1::2]]
-    x, y = np.array([f for f, _ in rest]), np.array([q for _, q in rest], float)
+    shared = spark.sparkContext.broadcast((good, bad))
+
+    def measure(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        sizer = Sizer(*shared.value)
+        for f in frames:
+            x = np.array([sizer.features(pieces(t.encode())) for t in f["text"]]).reshape(-1, 2)
+            yield pd.DataFrame({"doc_id": f["doc_id"], "quality": f["quality"], "a": x[:, 0], "b": x[:, 1]})
+
+    kind = dict(sample.dtypes)["doc_id"]
+    rest = sample.where("part = 1").mapInPandas(measure, f"doc_id {kind}, quality int, a double, b double").orderBy("doc_id").toPandas()
+    x, y = rest[["a", "b"]].to_numpy(float), rest["quality"].to_numpy(float)
     mean, scale = x.mean(0), x.std(0) + 1e-9
     # Weighted to the shares the classes have among all labels, so that scores are probabilities.
     weight = np.where(y == 1, share / y.mean(), (1 - share) / (1 - y.mean()))
@@ -182,8 +190,6 @@ def quality_scores(docs: DataFrame, labels: DataFrame, rows: int = ROWS) -> Data
 def keep_good(docs: DataFrame, labels: DataFrame, rows: int = ROWS) -> DataFrame:
     """The documents that aren't rejected, with their own columns. Where there was nothing to learn
     from (fewer than LEAST rows of a class), none is."""
-    from terraquilt.llm.common import unused
-
     model = fit(docs, labels, rows)
     if not model.good:
         return docs

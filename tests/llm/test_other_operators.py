@@ -175,6 +175,26 @@ def test_quality_on_held_out_rows(spark):
     assert [r["score"] for r in none] == [0.5]
 
 
+def test_fit_reads_whole_texts_in_a_defined_order(spark):
+    """Every labelled text is learnt from to its end; of rows that share a doc_id the same one counts, in any order."""
+    rng = random.Random(6)
+    word = {1: lambda: rng.choice(["river", "stone", "garden", "window"]), 0: lambda: rng.choice(["xq9", "zz7", "kk0", "qq4"])}
+    rows = [(i, " ".join(word[i % 2]() for _ in range(rng.randrange(20, 80)))) for i in range(200)]
+    rows += [(i, text + " other row") for i, text in rows[:50]] + [(400, "long " * 8_000 + "end"), (401, None), (402, "")]
+    labels = spark.createDataFrame([(i, i % 2) for i in [*range(200), 400, 401, 402]] + [(5, 1), (None, 1)], "doc_id long, quality int")
+    models = []
+    for seed in (1, 2):
+        rng.shuffle(rows)
+        docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(seed + 2)
+        sample, share = quality.labelled(docs, labels)
+        found = {r["doc_id"]: r["text"] for r in sample.collect()}
+        assert set(found) <= {r[0] for r in rows} and not {401, 402} & set(found) and 0.4 < share < 0.6
+        assert found.get(400, "long " * 8_000 + "end") == "long " * 8_000 + "end" and len(found) > 100
+        models.append((found, quality.fit(docs, labels)))
+    assert models[0] == models[1]
+    assert len(quality.quality_scores(docs, labels).collect()) == len(rows)
+
+
 # --- packing ----------------------------------------------------------------------------------
 
 
