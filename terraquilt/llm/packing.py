@@ -49,7 +49,7 @@ from terraquilt.llm.common import materialized, ready
 
 CAPACITY, END_ID = 2048, 0
 #: Cached words of a worker; a full cache is emptied.
-CACHE_WORDS = 400_000
+CACHE_WORDS = 100_000
 #: Pieces of one length and bucket that are numbered in one task.
 BUCKET_ROWS = 100_000
 

@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from terraquilt.llm.common import materialized, ready, spread_join, text_key
 
 LEAF, CONTEXT = 64, 3
-CACHE = 300_000
+CACHE = 100_000
 
 
 class Counter(dict):

@@ -15,7 +15,7 @@ import pyarrow.compute as pc
 
 SHINGLE_WORDS = 5
 #: Bytes of text hashed at once; batches are cut at document bounds.
-CHUNK_BYTES = 1 << 22
+CHUNK_BYTES = 1 << 20
 
 _M = np.uint64
 _IS_WORD = np.zeros(256, bool)
