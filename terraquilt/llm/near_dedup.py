@@ -53,7 +53,7 @@ THRESHOLD, BANDS, ROWS = 0.8, 20, 5
 RARE, DAMPING = 0.02, 0.25
 SCREEN = 0.55
 #: Further samples of texts that buckets leave apart, four bits of each, from smaller tables.
-FINE, FINE_SCREEN, FINE_TABLE = 2000, 0.72, 1 << 10
+FINE, FINE_SCREEN, FINE_TABLE = 4000, 0.737, 1 << 9
 #: Members of a bucket that one task compares with each other.
 BLOCK = 1000
 _TABLE = 1 << 13
