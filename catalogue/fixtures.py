@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from terraquilt.functions.geom import box, line_path, paths_to_wkt, point_path, point_xy, polygon, rectangle, to_wkt
+from terraquilt.operators.cells import with_cells
 from terraquilt.operators.prep import split_label
 from terraquilt.sources.scan import balanced, scan_parquet
 
@@ -81,12 +82,52 @@ def fires(spark, sf_dir) -> DataFrame:
     return split_label(fires_raw(spark, sf_dir))
 
 
+def tiles(spark, sf_dir) -> DataFrame:
+    """Square tiles that together hold every fire."""
+    df = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("tile_id"))
+    wide = F.lit(1.5)
+    return _rect_layer(df, _num("147 + 1.5D * (tile_id % 5)"), _num("-37 + 1.5D * (tile_id div 5)"), wide, wide)
+
+
 def triangles(spark, sf_dir) -> DataFrame:
-    """Lower left half of every fire rectangle that lies inside the district grid."""
+    """Lower left half of every fire rectangle."""
     b = F.col("bbox")
-    inside = (b["xmin"] >= 148) & (b["xmax"] <= 153) & (b["ymin"] >= -36) & (b["ymax"] <= -31)
     ring = polygon([(b["xmin"], b["ymin"]), (b["xmax"], b["ymin"]), (b["xmin"], b["ymax"])])
-    return fires_raw(spark, sf_dir).where(inside).select("fire_id", ring.alias("rings"), "bbox")
+    return fires_raw(spark, sf_dir).select("fire_id", ring.alias("rings"), "bbox")
+
+
+def bowties(spark, sf_dir) -> DataFrame:
+    """Every fire rectangle with two corners swapped: two lobes of a quarter each, on its left and right."""
+    b = F.col("bbox")
+    ring = polygon([(b["xmin"], b["ymin"]), (b["xmax"], b["ymax"]), (b["xmax"], b["ymin"]), (b["xmin"], b["ymax"])])
+    return fires_raw(spark, sf_dir).select("fire_id", ring.alias("rings"), "bbox")
+
+
+def dense_lga(spark, sf_dir) -> DataFrame:
+    """Districts with a vertex every 1/64 degree."""
+    b, steps = F.col("bbox"), F.sequence(F.lit(0), F.lit(63))
+
+    def side(x: str, y: str, dx: int, dy: int) -> Column:
+        return F.transform(steps, lambda i: point_xy(b[x] + dx * i / 64, b[y] + dy * i / 64))
+
+    sides = [side("xmin", "ymin", 1, 0), side("xmax", "ymin", 0, 1), side("xmax", "ymax", -1, 0), side("xmin", "ymax", 0, -1)]
+    pts = F.concat(*sides, F.array(point_xy(b["xmin"], b["ymin"])))
+    ring = F.struct(F.lit(0).alias("part"), F.lit(False).alias("hole"), pts.alias("pts"))
+    return lga(spark, sf_dir).withColumn("rings", F.array(ring))
+
+
+def crowded_fires(spark, sf_dir) -> DataFrame:
+    """All fires in one place, on sixteen spots."""
+    k = wide_table(spark, sf_dir, "orders", ["o_orderkey"]).select(F.col("o_orderkey").alias("fire_id"))
+    size = _num("(8 + fire_id % 5) / 64D")
+    return _rect_layer(k, _num("148.9375D + (fire_id % 4) / 64D"), _num("-35.0625D + (fire_id % 16 div 4) / 64D"), size, size)
+
+
+def season_squares(spark, sf_dir, cell: float) -> DataFrame:
+    """The squares of a grid that the fires of a season meet, each once."""
+    cells = with_cells(fires(spark, sf_dir).where("FireSeason IS NOT NULL").select("FireSeason", "bbox"), "bbox", cell)
+    cells = cells.select("FireSeason", "cx", "cy").distinct()
+    return _rect_layer(cells, F.col("cx") * cell, F.col("cy") * cell, F.lit(cell), F.lit(cell))
 
 
 def landuse(spark, sf_dir) -> DataFrame:

@@ -66,6 +66,13 @@ CTES = {
         "((1 + fire_id % 11) / 64.0)::DOUBLE",
     )
     + ") f",
+    "crowded": rect(
+        "SELECT o_orderkey AS fire_id FROM orders", "148.9375 + (fire_id % 4) / 64.0", "-35.0625 + (fire_id % 16 // 4) / 64.0",
+        "((8 + fire_id % 5) / 64.0)::DOUBLE", "((8 + fire_id % 5) / 64.0)::DOUBLE",
+    ),
+    "squares": "SELECT DISTINCT FireSeason, cx.c AS cx, cy.c AS cy FROM fires, unnest(range(floor(x0 * 16)::BIGINT,"
+    " floor(x1 * 16)::BIGINT + 1)) AS cx(c), unnest(range(floor(y0 * 16)::BIGINT, floor(y1 * 16)::BIGINT + 1)) AS cy(c)"
+    " WHERE FireSeason IS NOT NULL",
     "landuse": rect(
         "SELECT p_partkey AS landuse_id, CASE WHEN p_partkey % 71 <> 0 THEN p_type END AS Secondary FROM part",
         "147.75 + ((29 * landuse_id) % 320) / 64.0",
@@ -117,6 +124,7 @@ CTES = {
 NEEDS = {
     "lga_fire_pairs": ["lga", "fires"],
     "lga_landuse": ["lga", "landuse"],
+    "squares": ["fires"],
     "codes_numbered": ["codes"],
     "towers_prepared": ["towers"],
 }
@@ -186,15 +194,37 @@ TOWER_OUT = (
 
 
 def _transposed() -> str:
-    cols = ["radio", "mcc", "net", "lon", "lat"]
+    """The first three rows of towers_enriched on their side, all columns as text."""
+    cols = ["radio", "mcc", "net", "cell", "lon", "lat", "created", "updated", "x_3857", "y_3857", "radio_code"]
+    cols += ["code_mcc", "code_mnc", "Description", "Description_code"]
     pick = ", ".join(f"max(CASE WHEN r = {i} THEN v END) AS \"row_{i}\"" for i in (1, 2, 3))
-    rows = " UNION ALL ".join(f"SELECT '{c}' AS \"column\", r, {c}::VARCHAR AS v FROM few" for c in cols)
+    text = {"x_3857": "x_3857::DECIMAL(18,3)", "y_3857": "y_3857::DECIMAL(18,3)"}
+    rows = " UNION ALL ".join(f"SELECT '{c}' AS \"column\", r, {text.get(c, c)}::VARCHAR AS v FROM few" for c in cols)
     return (
-        "SELECT \"column\", " + pick + " FROM (" + rows.replace("FROM few", "FROM (SELECT *, row_number() OVER"
-        " (ORDER BY cell) AS r FROM towers_prepared ORDER BY cell LIMIT 3) few") + ") u GROUP BY 1"
+        f"SELECT \"column\", {pick} FROM (WITH few AS (SELECT *, row_number() OVER (ORDER BY cell, Description NULLS FIRST) AS r FROM ("
+        + ENRICHED + f") e ORDER BY r LIMIT 3) {rows}) u GROUP BY 1"
+    )
+
+
+def hectares_or_0(a: str, b: tuple[str, str, str, str]) -> str:
+    """Hectares of a rectangle table's row clipped to another rectangle, 0 where they don't meet."""
+    x0, y0, x1, y1 = (f"{f}({a}.{c}, {v})" for f, c, v in zip(("greatest", "greatest", "least", "least"), ("x0", "y0", "x1", "y1"), b))
+    return f"CASE WHEN {x0} < {x1} AND {y0} < {y1} THEN {hectares(x0, x1, y0, y1)} ELSE 0 END"
+
+
+def _place_hectares() -> str:
+    """A fire clipped to a tile's place: both legs of the L, less where they overlap and the hole."""
+    parts = [(1, (0, 0, 1, 0.25)), (1, (0, 0, 0.375, 1)), (-1, (0, 0, 0.375, 0.25)), (-1, (0.125, 0.5, 0.25, 0.75))]
+    return " + ".join(
+        f"{sign} * ({hectares_or_0('f', tuple(f'p.{c} + {v}' for c, v in zip(('x0', 'y0', 'x0', 'y0'), own)))})" for sign, own in parts
     )
 
 
+ENRICHED = (
+    f"SELECT {TOWER_OUT}, code_mcc, code_mnc, Description, Description_code FROM towers_prepared LEFT JOIN"
+    " (SELECT MCC AS code_mcc, MNC AS code_mnc, Description, Description_code FROM codes_numbered) c"
+    " ON mcc IS NOT DISTINCT FROM code_mcc AND net IS NOT DISTINCT FROM code_mnc"
+)
 ORACLE = {
     "lga_fire_stats": sql("lga_fire_pairs", FIRE_GROUPS.format("")),
     "lga_fire_stats_state": sql("lga_fire_pairs", FIRE_GROUPS.format("AND STE_CODE16 = 1")),
@@ -255,8 +285,51 @@ ORACLE = {
     ),
     "planar_conservation": sql(
         "fires",
-        "SELECT fire_id, round((x1 - x0) * (y1 - y0) / 2, 13) AS DEG2 FROM fires"
-        " WHERE x0 >= 148 AND x1 <= 153 AND y0 >= -36 AND y1 <= -31",
+        "SELECT fire_id, round((x1 - x0) * (y1 - y0) / 2, 13) AS DEG2 FROM fires",
+    ),
+    "overlay_bowtie": sql(
+        "fires",
+        "SELECT fire_id, round((x1 - x0) * (y1 - y0) / 2, 13) AS DEG2 FROM fires",
+    ),
+    "overlay_holes": sql(
+        "lga fires",
+        "SELECT place_id, count(*) AS PAIRS, round(sum(ha), 2) AS AREAHA FROM (SELECT p.lga_id AS place_id, "
+        + _place_hectares() + " AS ha FROM lga p JOIN fires f ON " + overlap("p", "f", True) + ") t WHERE ha > 1e-6 GROUP BY 1",
+    ),
+    "overlay_cut": sql("lga_fire_pairs", "SELECT lga_id, count(*) AS PAIRS, round(sum(ha), 2) AS AREAHA FROM lga_fire_pairs GROUP BY 1"),
+    "overlay_hot": sql(
+        "lga crowded",
+        "SELECT lga_id, count(*) AS PAIRS, round(sum(" + clipped("l", "f") + "), 2) AS AREAHA FROM lga l JOIN crowded f ON "
+        + overlap("l", "f") + " GROUP BY 1",
+    ),
+    "group_outline": sql(
+        "squares",
+        "SELECT FireSeason, round(count(*) / 256, 9) AS AREA, round((4 * count(*) - 2 * sum(beside)) / 16, 9) AS LENGTH FROM ("
+        "SELECT s.FireSeason, (SELECT count(*) FROM squares t WHERE t.FireSeason = s.FireSeason AND"
+        " ((t.cx = s.cx + 1 AND t.cy = s.cy) OR (t.cx = s.cx AND t.cy = s.cy + 1))) AS beside FROM squares s) u GROUP BY 1",
+    ),
+    "lga_projected": sql(
+        "lga corners",
+        f"SELECT lga_id, pos, round({A}::DOUBLE * radians(x - {DEFAULT_LON0}::DOUBLE), 3) AS x, round({A}::DOUBLE * " + q("y")
+        + " / 2, 3) AS y FROM (SELECT lga_id, pos, CASE WHEN rx = 1 THEN x1 ELSE x0 END AS x, CASE WHEN ry = 1 THEN y1 ELSE y0 END AS y"
+        " FROM lga CROSS JOIN corners) v",
+    ),
+    "towers_heavy": sql(
+        "towers codes",
+        "SELECT cell, t.mcc, t.net, Description FROM (SELECT cell, CASE WHEN cell % 2 = 0 THEN 500 ELSE mcc END AS mcc,"
+        " CASE WHEN cell % 2 = 0 THEN 0 ELSE net END AS net FROM towers) t LEFT JOIN codes c ON t.mcc = c.MCC AND t.net = c.MNC",
+    ),
+    "table_pages": sql(
+        OCC,
+        'SELECT row_id, Latitude, Longitude, "Scientific Name - original", "Local Government Areas 2011", r // 10 AS page FROM ('
+        'SELECT *, row_number() OVER (ORDER BY "Scientific Name - original", "Local Government Areas 2011" DESC, row_id) - 1 AS r,'
+        " (count(*) OVER () - 1) // 10 AS last FROM occurrences) t WHERE r // 10 IN (0, last // 2, last)",
+    ),
+    "positions": "SELECT row_number() OVER (ORDER BY event_id) - 1 AS row_id, event_id, user_id FROM events",
+    "sink_seasons": sql(
+        "fires",
+        "SELECT fire_id, FireSeason, FireType, round(CASE WHEN FireSeason = '1997-98' THEN 2 ELSE 1 END * AreaHa, 4) AS AreaHa"
+        " FROM fires WHERE FireSeason IS DISTINCT FROM '1997-98' OR fire_id % 2 = 0",
     ),
     "label_split": sql("fires", "SELECT fire_id, Label, FireSeason, FireType FROM fires"),
     "fires_filtered": sql(
@@ -280,11 +353,9 @@ ORACLE = {
     "network_codes": sql("codes_numbered", "SELECT MCC, MNC, Description, Description_code FROM codes_numbered"),
     "towers_enriched": sql(
         "towers_prepared codes_numbered",
-        f"SELECT {TOWER_OUT}, code_mcc, code_mnc, Description, Description_code FROM towers_prepared LEFT JOIN"
-        " (SELECT MCC AS code_mcc, MNC AS code_mnc, Description, Description_code FROM codes_numbered) c"
-        " ON mcc IS NOT DISTINCT FROM code_mcc AND net IS NOT DISTINCT FROM code_mnc",
+        ENRICHED,
     ),
-    "towers_preview": sql("towers_prepared", _transposed()),
+    "towers_preview": sql("towers_prepared codes_numbered", _transposed()),
     "towers_head": sql("towers", "SELECT radio, mcc, net, cell, lon, lat FROM towers ORDER BY cell LIMIT 5"),
     "table_info": sql(
         OCC,
@@ -403,4 +474,5 @@ ORACLE = {
     "sink_parquet": sql("towers_prepared", f"SELECT {TOWER_OUT} FROM towers_prepared"),
     "sink_csv": sql("managed_land", PLAIN_LAND),
     "sink_geojson": sql("managed_land", PLAIN_LAND),
+    "collection_layer": sql("managed_land", PLAIN_LAND),
 }

@@ -5,7 +5,7 @@ from __future__ import annotations
 import datetime as dt
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from catalogue import fixtures as fx
@@ -13,7 +13,7 @@ from terraquilt.functions import geom
 from terraquilt.functions.codec import rings_from_wkb, simplify, to_wkb
 from terraquilt.functions.columns import label_popup
 from terraquilt.model import WEB_MERCATOR, WGS84
-from terraquilt.operators import cover, explore, layers, overlay, prep, stats
+from terraquilt.operators import cover, explore, heavy, layers, outline, overlay, pages, prep, stats
 from terraquilt.operators.cells import with_cells
 from terraquilt.plans import fire_history as fh
 from terraquilt.plans import towers as tw
@@ -78,7 +78,7 @@ def season_type_area(spark, sf):
 
 
 def fire_count_per_lga(spark, sf):
-    return stats.fire_count_per_lga(fx.lga(spark, sf), fx.fires(spark, sf), CELL)
+    return stats.fire_count_per_lga(fx.lga(spark, sf), fx.fires(spark, sf), CELL, "fire_id")
 
 
 def area_blowout(spark, sf):
@@ -108,11 +108,49 @@ def clipped_fires(spark, sf):
 
 
 def planar_conservation(spark, sf):
-    lga = fx.lga(spark, sf).select("lga_id", "rings", "bbox")
-    pairs = overlay.overlay_intersection(lga, fx.triangles(spark, sf), cell=CELL)
+    tiles = fx.tiles(spark, sf).select("tile_id", "rings", "bbox")
+    pairs = overlay.overlay_intersection(tiles, fx.triangles(spark, sf), cell=CELL)
     return pairs.groupBy("fire_id").agg(F.round(F.sum("area_deg"), 13).alias("DEG2"))
 
 
+def overlay_bowtie(spark, sf):
+    """Shapes that cross themselves: both lobes count, whichever way they are drawn."""
+    tiles = fx.tiles(spark, sf).select("tile_id", "rings", "bbox")
+    pairs = overlay.overlay_intersection(tiles, fx.bowties(spark, sf), cell=CELL)
+    return pairs.groupBy("fire_id").agg(F.round(F.sum("area_deg"), 13).alias("DEG2"))
+
+
+def _clipped(left, right, key, **options):
+    pairs = overlay.overlay_intersection(left.select(key, "rings", "bbox"), right.select("fire_id", "rings", "bbox"), **options)
+    return rounded(pairs.groupBy(key).agg(F.count(F.lit(1)).alias("PAIRS"), F.sum("area_ha").alias("AREAHA")), AREAHA=2)
+
+
+def overlay_holes(spark, sf):
+    """Places that aren't convex and have holes."""
+    return _clipped(fx.places(spark, sf), fx.fires_raw(spark, sf), "place_id", cell=CELL)
+
+
+def overlay_cut(spark, sf):
+    """Districts of many points, cut to windows first."""
+    return _clipped(fx.dense_lga(spark, sf), fx.fires_raw(spark, sf), "lga_id", keep_geom_type=False, cell=CELL)
+
+
+def overlay_hot(spark, sf):
+    """All fires in one cell, both sides shuffled."""
+    return _clipped(fx.lga(spark, sf), fx.crowded_fires(spark, sf), "lga_id", keep_geom_type=False, cell=CELL, broadcast_left=False)
+
+
+def group_outline(spark, sf):
+    """Area and length of what the fires of a season cover, in squares whose shared sides cancel."""
+    edges = outline.group_outline(fx.season_squares(spark, sf, 1 / 16), ["FireSeason"])
+    return rounded(outline.outline_stats(edges, ["FireSeason"]).select("FireSeason", "AREA", "LENGTH"), AREA=9, LENGTH=9)
+
+
+def lga_projected(spark, sf):
+    layer = scan.reproject_layer(fx.lga(spark, sf), "cea")
+    return rounded(fx.points_of(layer, "lga_id").select("lga_id", "pos", "x", "y"), x=3, y=3)
+
+
 def label_split(spark, sf):
     return fx.fires(spark, sf).select("fire_id", "Label", "FireSeason", "FireType")
 
@@ -129,11 +167,9 @@ def fire_popups(spark, sf):
 
 
 def fires_by_union(spark, sf):
-    """The results of each fire type, whichever there are, one on top of the other."""
-    fires = fx.fires(spark, sf).select("fire_id", "FireType")
-    kinds = stats.distinct_values(fires, "FireType", "fire_id").where("value is not null").collect()
-    parts = [prep.filter_eq(fires, "FireType", r["value"]) for r in kinds]
-    return explore.union_all(parts).groupBy("FireType").agg(F.count(F.lit(1)).alias("n"))
+    """The results of each fire type, whichever there are: one grouping in place of a query for each."""
+    fires = fx.fires(spark, sf).where("FireType IS NOT NULL").select("FireType")
+    return fires.groupBy("FireType").agg(F.count(F.lit(1)).alias("n"))
 
 
 # --- towers -------------------------------------------------------------------
@@ -173,11 +209,27 @@ def towers_enriched(spark, sf):
 
 
 def towers_preview(spark, sf):
-    few = _towers(spark, sf).select("cell", "radio", "mcc", "net", "lon", "lat")
-    wide = explore.transpose_head(few, 3, "cell")
+    """The first rows of the enriched table, written and read again, on their side."""
+    path = scratch_path(spark, "enriched")
+    sink.write_parquet(towers_enriched(spark, sf), path)
+    kept = scan.scan_parquet(spark, path)
+    metres = {c: F.col(c).cast("decimal(18,3)") for c in ("x_3857", "y_3857")}
+    order = F.struct("cell", "Description").alias("place")
+    few = kept.withColumns(metres).select("*", order).orderBy("place").limit(3)
+    few = few.withColumn("row", F.row_number().over(Window.orderBy("place"))).drop("place")  # three rows
+    wide = explore.transpose_head(few, 3, "row")
     return wide.toDF("column", *[f"row_{i}" for i in range(1, len(wide.columns))])
 
 
+def towers_heavy(spark, sf):
+    """A lookup on keys of which one has half of all towers."""
+    half = F.col("cell") % 2 == 0
+    towers = fx.towers(spark, sf).withColumns({"mcc": F.when(half, 500).otherwise(F.col("mcc")), "net": F.when(half, 0).otherwise(F.col("net"))})
+    codes = tw.network_codes(fx.code_tables(spark, sf)).withColumnsRenamed({"MCC": "code_mcc", "MNC": "code_mnc"})
+    out = heavy.balanced_join(towers.select("cell", "mcc", "net"), codes, [("mcc", "code_mcc"), ("net", "code_mnc")])
+    return out.select("cell", "mcc", "net", "Description")
+
+
 def towers_head(spark, sf):
     cols = ["radio", "mcc", "net", "cell", "lon", "lat"]
     return explore.head(prep.project(fx.towers(spark, sf), cols), 5, "cell")
@@ -205,6 +257,25 @@ def table_page(spark, sf):
     return explore.page(prep.project(fx.occurrences(spark, sf), OCC_COLS), sort, 2, 10)
 
 
+def table_pages(spark, sf):
+    """The first, a middle and the last page of a sorted table that was indexed."""
+    path = scratch_path(spark, "pages")
+    sort = [F.col("`Scientific Name - original`"), F.col("`Local Government Areas 2011`").desc()]
+    rows = prep.project(fx.occurrences(spark, sf), OCC_COLS)
+    pages.write_page_index(rows, sort, path, range_rows=2_000)
+    last = (rows.count() - 1) // 10
+    found = [pages.read_page(spark, path, sort, n).withColumn("page", F.lit(n).cast("bigint")) for n in (0, last // 2, last)]
+    return explore.union_all(found)
+
+
+def positions(spark, sf):
+    """Rows of a table of many files by their place in it."""
+    path = scratch_path(spark, "files")
+    events = fx.table(spark, sf, "events").select("event_id", "user_id")
+    events.repartitionByRange(7, "event_id").sortWithinPartitions("event_id").write.parquet(path)
+    return pages.positions(spark, path)
+
+
 def distinct_lga(spark, sf):
     return stats.distinct_values(fx.occurrences(spark, sf), "Local Government Areas 2011")
 
@@ -355,6 +426,17 @@ def sink_table(spark, sf):
     return _back(scan.scan_table(spark, name))
 
 
+def sink_seasons(spark, sf):
+    """A table by season of which one season is loaded again, with other rows."""
+    name = f"fire_seasons_{uuid.uuid4().hex}"
+    fires = fx.fires(spark, sf).select("FireSeason", "fire_id", "FireType", "AreaHa")
+    sink.write_partitions(fires, name, ["FireSeason"], path=scratch_path(spark, "seasons"))
+    again = prep.filter_eq(fires, "FireSeason", "1997-98").where("fire_id % 2 = 0")
+    sink.write_partitions(again.withColumn("AreaHa", 2 * F.col("AreaHa")), name, ["FireSeason"])
+    out = scan.scan_table(spark, name).select("fire_id", "FireSeason", "FireType", "AreaHa")
+    return rounded(out, AreaHa=4)
+
+
 def sink_external(spark, sf):
     path = scratch_path(spark, "external")
     sink.write_external(_land(spark, sf), "parquet", {"path": path})
@@ -381,18 +463,26 @@ def sink_geojson(spark, sf):
     return _back(scan.scan_layer(spark, path, "geojson", schema=schema))
 
 
+def collection_layer(spark, sf):
+    """A layer written as one FeatureCollection and read again, in splits."""
+    path = scratch_path(spark, "collection")
+    sink.write_collection(_land(spark, sf), path)
+    schema = "land_id long, NAME_SHORT string, TYPE string"
+    return _back(scan.scan_layer(spark, path, "collection", schema=schema, parts=True))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         lga_fire_stats, lga_fire_stats_state, lga_fire_stats_polygon_only, lga_fire_stats_shuffled,
         lga_fire_grouped, intersection_by_lga, lga_landuse_stats, landuse_burnt, landuse_compare,
         season_type_area, fire_count_per_lga, area_blowout, landuse_area, polygon_area, clipped_fires,
-        planar_conservation, label_split, fires_filtered, fire_popups, fires_by_union,
-        towers_prepared, towers_projected, network_codes, towers_enriched, towers_preview, towers_head,
-        table_info, selected_rows, selection_count, table_page, distinct_lga, year_range,
+        planar_conservation, overlay_bowtie, overlay_holes, overlay_cut, overlay_hot, group_outline, lga_projected, label_split, fires_filtered, fire_popups, fires_by_union,
+        towers_prepared, towers_projected, network_codes, towers_enriched, towers_preview, towers_heavy, towers_head,
+        table_info, selected_rows, selection_count, table_page, table_pages, positions, distinct_lga, year_range,
         indicator_pairs, indicator_series, point_layer, points_reprojected, cell_cover,
         choropleth_layer, choropleth_values, polygon_cover, osm_in_place, osm_land_in_place, osm_mixed, feature_property,
         wkt_roundtrip, wkb_roundtrip, geojson_roundtrip, simplified_layer, fire_season_map,
-        layer_center, sink_table, sink_external, sink_parquet, sink_csv, sink_geojson,
+        layer_center, sink_table, sink_seasons, sink_external, sink_parquet, sink_csv, sink_geojson, collection_layer,
     )
 }

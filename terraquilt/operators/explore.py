@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
 from terraquilt.functions.columns import axis_scale, series_title
+from terraquilt.session import materialized
 
 #: Bytes of row ids and positions that are broadcast; ids may be text of any length.
 SELECTION_BYTES = 16 * 1024 * 1024
@@ -32,14 +33,14 @@ def selection_count(selection: DataFrame | None, like: DataFrame) -> DataFrame:
 
 def pair_indicators(df: DataFrame, x: str, y: str, year: int) -> DataFrame:
     """Two indicators of one year side by side, matched by country."""
-    def one(indicator: str) -> Column:
-        return F.collect_list(F.when(F.col("Indicator Name") == indicator, F.struct(F.col("Value").alias("v"))))
-
-    # One pass: both lists of a country's values of that year, which the measure names bound
     few = df.where((F.col("Year") == year) & F.col("Indicator Name").isin(x, y) & F.col("Country Name").isNotNull())
-    lists = few.groupBy("Country Name").agg(one(x).alias("x"), one(y).alias("y"))
-    each = lists.select("Country Name", F.explode("x").alias("x"), "y").select("Country Name", "x", F.explode("y").alias("y"))
-    return each.select("Country Name", F.col("x.v").alias("x"), F.col("y.v").alias("y"))
+    # Both sides come from one pass over the table: two indicators of one year are written and read twice.
+    few = materialized(few.select("Country Name", "Indicator Name", "Value"), "indicators")
+
+    def one(indicator: str, name: str) -> DataFrame:
+        return few.where(F.col("Indicator Name") == indicator).select("Country Name", F.col("Value").alias(name))
+
+    return one(x, "x").join(one(y, "y"), "Country Name")
 
 
 def time_series(df: DataFrame, entity: str, indicator: str, kind: str = "Linear") -> DataFrame:

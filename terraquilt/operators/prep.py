@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from terraquilt.functions import columns as C
+from terraquilt.operators.heavy import balanced_join
 from terraquilt.session import materialized
 
 DICTIONARY_ROWS = 100_000
@@ -104,10 +105,8 @@ def categorize(df: DataFrame, cols: list[str] | None = None, suffix: str = "_cod
         if small:
             out = out.join(F.broadcast(codes), F.col(f"`{col}`") == F.col("category_value"), "left")
         else:
-            # Nulls match nothing; apart, they don't meet in one task
-            known = out.where(F.col(f"`{col}`").isNotNull()).join(codes, F.col(f"`{col}`") == F.col("category_value"), "left")
-            null = out.where(F.col(f"`{col}`").isNull())
-            out = known.unionByName(null, allowMissingColumns=True)
+            # A value with much of the table is dealt over shares; so are nulls, which match nothing.
+            out = balanced_join(out, codes, [(col, "category_value")])
         out = out.withColumn(col + suffix, F.coalesce("category_code", F.lit(-1)))
         out = out.drop("category_value", "category_code")
     return out

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from terraquilt.functions.columns import coalesce_cols
 from terraquilt.functions.geom import to_web_mercator
 from terraquilt.operators import prep
+from terraquilt.operators.heavy import balanced_join
 from terraquilt.sources.scan import union_code_tables
 
 CUTOFF = "2003-01-01"
@@ -40,8 +41,9 @@ def enrich_left(towers: DataFrame, codes: DataFrame) -> DataFrame:
     Spark cannot write ``mcc`` next to ``MCC``."""
     codes = codes.withColumnsRenamed({"MCC": "code_mcc", "MNC": "code_mnc"})
     widths = [F.coalesce(F.octet_length(F.col(f"`{c}`").cast("string")), F.lit(0)) + 16 for c in codes.columns]
-    if (codes.agg(F.sum(sum(widths[1:], widths[0])).alias("bytes")).first()["bytes"] or 0) <= CODES_BYTES:
-        codes = F.broadcast(codes)
+    if (codes.agg(F.sum(sum(widths[1:], widths[0])).alias("bytes")).first()["bytes"] or 0) > CODES_BYTES:
+        return balanced_join(towers, codes, [("mcc", "code_mcc"), ("net", "code_mnc")])
+    codes = F.broadcast(codes)
     return towers.join(
         codes,
         F.col("mcc").eqNullSafe(F.col("code_mcc")) & F.col("net").eqNullSafe(F.col("code_mnc")),

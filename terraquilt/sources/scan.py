@@ -21,18 +21,19 @@ from terraquilt.functions.geom import (
 )
 from terraquilt.model import DEFAULT_LON0, GDA94, WGS84
 from terraquilt.operators.overlay import within_place
+from terraquilt.sources import collection
 
 
 def scan_table(spark: SparkSession, name: str) -> DataFrame:
     return spark.read.table(name)
 
 
-def scan_csv(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame:
-    """CSV with a header, text quoted where needed and quotes doubled, so that a text may
-    hold line breaks. Without a schema the types are inferred, which reads the file one
-    more time. Nothing between two separators is null; an empty text is quoted."""
+def scan_csv(spark: SparkSession, path: str, schema: str | None = None, line_breaks: bool = False) -> DataFrame:
+    """CSV with a header, text quoted where needed and quotes doubled. A file is read in as many splits as it is long. With
+    ``line_breaks`` a text may hold some, and then each file is one task's. Without a schema the types are
+    inferred, which reads the file one more time. Nothing between two separators is null; an empty text is quoted."""
     # nullValue is what the parser returns for nothing at all; an empty text must differ from it
-    reader = spark.read.options(header=True, multiLine=True, quote='"', escape='"', emptyValue="", nullValue="\x00")
+    reader = spark.read.options(header=True, multiLine=line_breaks, quote='"', escape='"', emptyValue="", nullValue="\x00")
     return (reader.schema(schema) if schema else reader.option("inferSchema", True)).csv(path)
 
 
@@ -112,9 +113,10 @@ def scan_layer(
     column: str = "geometry",
     decimals: int | None = None,
     lenient: bool = False,
+    parts: bool = False,
 ) -> DataFrame:
     """A vector layer from files: ``geojson`` (one feature per line) or ``collection`` (one
-    FeatureCollection per file; for both, ``schema`` declares the properties), ``wkb``
+    FeatureCollection per file, or with ``parts`` one that the files of a folder make; for both, ``schema`` declares the properties), ``wkb``
     (parquet) or ``wkt`` (CSV)."""
     if fmt in ("geojson", "collection"):
         if schema is None:
@@ -126,9 +128,7 @@ def scan_layer(
             lines = spark.read.text(path).where(F.length(F.trim("value")) > 0)
             found = lines.select(F.from_json("value", feature).alias("f"))
         else:
-            whole = T.StructType([T.StructField("features", T.ArrayType(feature))])
-            documents = spark.read.text(path, wholetext=True)
-            found = documents.select(F.explode(F.from_json("value", whole)["features"]).alias("f"))
+            found = collection.features(spark, path, parts).select(F.from_json("value", feature).alias("f"))
         table = found.select("f.properties.*", F.col("f.geometry").alias(column))
         return layer_from(table, column, "geojson", srid, decimals, lenient)
     if fmt == "wkb":

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from terraquilt.functions.geom import to_geojson, to_wkt
+from terraquilt.sources import collection
 
 
 def write_table(df: DataFrame, name: str, mode: str = "append", fmt: str = "parquet",
@@ -15,6 +16,26 @@ def write_table(df: DataFrame, name: str, mode: str = "append", fmt: str = "parq
     (writer.option("path", path) if path else writer).saveAsTable(name)
 
 
+def write_partitions(df: DataFrame, name: str, by: list[str], path: str | None = None, fmt: str = "parquet") -> None:
+    """Catalog table in partitions of some columns. Writing again replaces the partitions that df has rows of, and leaves the
+    others as they are, so a season that is loaded once more takes its own place."""
+    spark = df.sparkSession
+    rest = [c for c in df.columns if c not in by]
+    if spark.catalog.tableExists(name):
+        # Columns go by place: the table's own order.
+        columns = [F.col(f"`{c}`") for c in spark.read.table(name).columns]
+        setting = "spark.sql.sources.partitionOverwriteMode"
+        before = spark.conf.get(setting)
+        spark.conf.set(setting, "dynamic")  # a table's own write takes no such option
+        try:
+            df.select(*columns).write.insertInto(name, overwrite=True)
+        finally:
+            spark.conf.set(setting, before)
+        return
+    writer = df.select(*[F.col(f"`{c}`") for c in [*rest, *by]]).write.format(fmt).partitionBy(*by)
+    (writer.option("path", path) if path else writer).saveAsTable(name)
+
+
 def write_external(df: DataFrame, fmt: str, options: dict, table: str | None = None,
                    mode: str = "append") -> None:
     writer = df.write.format(fmt).options(**options)
@@ -51,6 +72,11 @@ def features(df: DataFrame) -> DataFrame:
     )
 
 
+def write_collection(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
+    """One FeatureCollection in UTF-8 text files, which put together in the order of their names are the document."""
+    collection.write(features(df), path, mode)
+
+
 def write_geojson(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
     """UTF-8 text files with one feature per line."""
     features(df).write.mode(mode).text(path)

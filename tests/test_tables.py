@@ -233,8 +233,11 @@ def test_layer_files(spark, land, tmp_path):
     odd = [(1, "line\nbreak, \"quoted\"", UNIT), (2, "", HOLED), (3, None, None), (4, "back\\slash", [])]
     wide = layer(spark, odd, "id int, `N A` string")
     sink.write_csv(wide, f"{tmp_path}/c")
-    back = scan.scan_layer(spark, f"{tmp_path}/c", "wkt", schema="id int, `N A` string, geometry string")
-    assert shapes_of(back) == shapes_of(wide)
+    back = scan.scan_csv(spark, f"{tmp_path}/c", "id int, `N A` string, geometry string", line_breaks=True)
+    assert shapes_of(scan.layer_from(back, "geometry", "wkt")) == shapes_of(wide)
+    sink.write_csv(wide.where("id > 1"), f"{tmp_path}/d")
+    back = scan.scan_layer(spark, f"{tmp_path}/d", "wkt", schema="id int, `N A` string, geometry string")
+    assert shapes_of(back) == shapes_of(wide.where("id > 1"))
 
 
 def test_collections_are_layers(spark, tmp_path):
