@@ -9,6 +9,7 @@ from terraquilt.functions.codec import clip
 from terraquilt.functions.geom import bbox_of, pack_shape
 from terraquilt.functions.kernel import TOLERANCE
 from terraquilt.model import GDA94, WGS84
+from terraquilt.operators.areas import pair_sums, plain_edges
 from terraquilt.operators.cells import cell_pairs
 from terraquilt.operators.cover import meeting_pairs, points_within, shapes_within
 from terraquilt.operators.windows import (
@@ -35,7 +36,7 @@ def check_systems(left: DataFrame, right: DataFrame) -> None:
         raise ValueError(f"the layers' coordinate systems differ: {named[0]} and {named[1]}")
 
 
-def _sides(left: DataFrame, right: DataFrame) -> tuple[DataFrame, DataFrame]:
+def _sides(left: DataFrame, right: DataFrame, edges: bool = False) -> tuple[DataFrame, DataFrame]:
     """Geometry packed and named l_*/r_*; attribute names that differ at most in
     case get the suffixes _1 and _2, since Spark cannot tell them apart."""
     shared = {c.lower() for c in _attributes(left)} & {c.lower() for c in _attributes(right)}
@@ -49,17 +50,18 @@ def _sides(left: DataFrame, right: DataFrame) -> tuple[DataFrame, DataFrame]:
                 ],
                 pack_shape(F.col("rings")).alias(f"{side}_shape"),
                 F.col("bbox").alias(f"{side}_bbox"),
+                *([plain_edges(F.col("rings")).alias(f"{side}_edges")] if edges else []),
             )
         )
     return out[0], out[1]
 
 
-def _pairs(left: DataFrame, right: DataFrame, cell: float, broadcast_left: bool | None) -> DataFrame:
+def _pairs(left: DataFrame, right: DataFrame, cell: float, broadcast_left: bool | None, edges: bool = False) -> DataFrame:
     """Candidate pairs. The left layer is the one that may be small: it is
     measured, and broadcast only if its windows fit. Otherwise, or when the caller
     knows that both sides are large, both are shuffled by cell."""
     check_systems(left, right)
-    l, r = _sides(left, right)
+    l, r = _sides(left, right, edges)
     if broadcast_left is not False:
         levels = levels_for(r, cell)
         district = measure(l, cell, levels)
@@ -97,6 +99,21 @@ def overlay_intersection(
     return out.withColumn("bbox", bbox_of(F.col("rings"))) if with_geometry else out
 
 
+def overlay_sums(
+    left: DataFrame,
+    right: DataFrame,
+    keys: list[str],
+    sums: tuple[str, ...] = (),
+    touching: bool | None = True,
+    cell: float = DEFAULT_CELL,
+    broadcast_left: bool | None = None,
+) -> DataFrame:
+    """What `overlay_intersection` gives, summed by keys: ``pairs``, ``area_ha``, ``area_deg`` and sums of further columns. Areas are
+    sums over edge rows (`areas`). touching: whether pairs that only touch count as pairs; None where neither their number
+    matters nor groups of them, which may then be there or not, with next to no area."""
+    return pair_sums(_pairs(left, right, cell, broadcast_left, True), keys, list(sums), touching)
+
+
 def spatial_join(left: DataFrame, right: DataFrame, l_id: str, r_id: str, predicate: str = "intersects",
                  cell: float = DEFAULT_CELL) -> DataFrame:
     """Ids of every pair of shapes that share at least a point."""
@@ -115,9 +132,7 @@ def within_place(df: DataFrame, place: DataFrame, row_id: str, lon: str = "x", l
     return points_within(df, place, lon, lat, cell)
 
 
-def intersection_by(left: DataFrame, right: DataFrame, keys: list[str | Column], cell: float = DEFAULT_CELL) -> DataFrame:
-    """Clipped area and number of pairs per group: overlay, then aggregate."""
-    pairs = overlay_intersection(left, right, keep_geom_type=False, cell=cell)
-    return pairs.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("PAIRS"), F.sum("area_ha").alias("AREAHA")
-    )
+def intersection_by(left: DataFrame, right: DataFrame, keys: list[str], cell: float = DEFAULT_CELL) -> DataFrame:
+    """Shared area and number of pairs per group."""
+    sums = overlay_sums(left, right, keys, cell=cell)
+    return sums.select(*keys, F.col("pairs").alias("PAIRS"), F.col("area_ha").alias("AREAHA"))

@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 
 from terraquilt.functions.codec import clip
 from terraquilt.functions.geom import bbox_of, pack_shape
+from terraquilt.operators.areas import plain_edges
 
 BROADCAST_BYTES = 128 * 1024 * 1024
 CUT_NUMBERS = 400  # packed length (about 200 points) from which cutting pays
@@ -69,6 +70,8 @@ def measure(left: DataFrame, cell: float, levels: int, span: int = 2) -> Distric
     shapes repeat in each window, cut ones hold each vertex at most span² times a
     level, twice that with the vertices the cuts add."""
     box, numbers = F.col("l_bbox"), F.size("l_shape").cast("bigint")
+    if "l_edges" in left.columns:
+        numbers = numbers + 6 * F.coalesce(F.size("l_edges"), F.lit(0))
 
     def count(level: Column) -> Column:
         size = _size(level, cell)
@@ -103,6 +106,8 @@ def _cut(rows: DataFrame, size: Column, span: int) -> DataFrame:
         "piece", clip(F.when(large, F.col("l_shape")), _window(F.col("cx"), F.col("cy"), size, span), True)
     )
     rows = rows.where(~large | (F.col("piece.area_deg") > 0)).withColumn("rings", F.col("piece.rings"))
+    if "l_edges" in rows.columns:
+        rows = rows.withColumn("l_edges", F.when(large, plain_edges(F.col("rings"))).otherwise(F.col("l_edges")))
     return rows.withColumns(
         {
             "l_bbox": F.when(large, bbox_of(F.col("rings"))).otherwise(F.col("l_bbox")),

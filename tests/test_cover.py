@@ -135,9 +135,9 @@ def test_cover_of_a_shape_with_a_hole(spark):
 # --- joins ----------------------------------------------------------------------------------------
 
 
-@pytest.mark.parametrize("small, hot, cell", [(True, 20_000, 0.5), (False, 5, 0.5), (False, 20_000, 3.0)])
+@pytest.mark.parametrize("small, hot, cell", [(True, 4_000_000, 0.5), (False, 5, 0.5), (False, 4_000_000, 3.0)])
 def test_pairs(spark, shapes, monkeypatch, small, hot, cell):
-    monkeypatch.setattr(cells, "HOT_MIN_ROWS", hot)
+    monkeypatch.setattr(cells, "HOT_PAIRS", hot)
     monkeypatch.setattr(cover, "BROADCAST_BYTES", cover.BROADCAST_BYTES if small else 0)
     left, right = shapes[::2], shapes[1::2]
     got = cover.meeting_pairs(table(spark, left, "a"), table(spark, right, "b"), "a", "b", cell).collect()
@@ -160,7 +160,7 @@ def test_shapes_in_places(spark, shapes, monkeypatch, small):
 
 @pytest.mark.parametrize("small", [True, False])
 def test_points_in_places(spark, shapes, monkeypatch, small):
-    monkeypatch.setattr(cells, "HOT_MIN_ROWS", 40)
+    monkeypatch.setattr(cells, "HOT_PAIRS", 40)
     rng = np.random.default_rng(5)
     pts = [(i, float(x), float(y)) for i, (x, y) in enumerate(rng.uniform(-3, 3, (300, 2)))]
     pts += [(300, 1.0, 1.0), (301, 0.125, 0.6), (302, None, 0.0), (303, 0.0, 0.0), (303, 0.0, 0.0)]

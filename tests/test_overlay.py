@@ -9,7 +9,7 @@ from shapes import clip, ring, row, square, star
 
 from terraquilt.functions import geom
 from terraquilt.model import RINGS
-from terraquilt.operators import cells, overlay, windows
+from terraquilt.operators import areas, cells, overlay, windows
 from terraquilt.operators.cells import cell_pairs, suggest_cell, with_cells
 
 R = RINGS.simpleString()
@@ -97,9 +97,9 @@ def test_too_large_to_broadcast_is_shuffled(spark, shapes, expected, monkeypatch
     assert found(out).keys() == expected.keys()
 
 
-@pytest.mark.parametrize("hot_rows, finest", [(3, 32), (3, 1), (40, 4)])
-def test_hot_cells_are_divided_and_nothing_is_lost(spark, shapes, expected, monkeypatch, hot_rows, finest):
-    monkeypatch.setattr(cells, "HOT_MIN_ROWS", hot_rows)
+@pytest.mark.parametrize("hot_pairs, finest", [(3, 32), (3, 1), (100, 4)])
+def test_hot_cells_are_divided_and_nothing_is_lost(spark, shapes, expected, monkeypatch, hot_pairs, finest):
+    monkeypatch.setattr(cells, "HOT_PAIRS", hot_pairs)
     monkeypatch.setattr(cells, "FINEST", finest)
     left, right = layer(spark, shapes[0], "a"), layer(spark, shapes[1], "b")
     got = found(overlay.overlay_intersection(left, right, False, cell=2.0, broadcast_left=False))
@@ -112,7 +112,7 @@ def boxes(spark, shapes, name, side):
 
 
 def test_copies_in_one_cell_spread_over_shares(spark, monkeypatch):
-    monkeypatch.setattr(cells, "HOT_MIN_ROWS", 50)
+    monkeypatch.setattr(cells, "HOT_PAIRS", 50)
     right = boxes(spark, [[square(0.1, 0.1, 0.2, 0.2)]] * 1000, "b", "r")
     left = boxes(spark, [[square(0, 0, 0.9, 0.9)]], "a", "l")
     lc, rc, keys = cells.spread_hot(with_cells(left, "l_bbox", 1.0), with_cells(right, "r_bbox", 1.0), ["cx", "cy"])
@@ -123,12 +123,14 @@ def test_copies_in_one_cell_spread_over_shares(spark, monkeypatch):
 
 
 def test_small_shapes_in_one_cell_get_a_finer_grid(spark, monkeypatch):
-    monkeypatch.setattr(cells, "HOT_MIN_ROWS", 50)
+    monkeypatch.setattr(cells, "HOT_PAIRS", 50)
     right = boxes(spark, [[square(i / 40, j / 40, i / 40 + 0.02, j / 40 + 0.02)] for i in range(38) for j in range(38)], "b", "r")
     left = boxes(spark, [[square(i / 10, 0.3, i / 10 + 0.04, 0.35)] for i in range(9)], "a", "l")
-    _, rc, keys = cells.refine(with_cells(left, "l_bbox", 1.0), with_cells(right, "r_bbox", 1.0), 1.0)
-    assert rc.agg(F.max("fine")).first()[0] == 32
-    assert rc.groupBy(*keys).count().agg(F.max("count")).first()[0] <= 9
+    lc, rc = with_cells(left, "l_bbox", 1.0), with_cells(right, "r_bbox", 1.0)
+    sizes = cells.histogram(cells._width(lc, "l"), cells._width(rc, "r"), ["cx", "cy"], F.avg("width"))
+    _, rc, keys = cells.refine(lc, rc, sizes, 1.0)
+    assert rc.agg(F.max("fine")).first()[0] == 16  # as wide as the wider side's shapes
+    assert rc.groupBy(*keys).count().agg(F.max("count")).first()[0] <= 16
 
 
 def test_polygon_only_drops_touching_pairs(spark):
@@ -178,6 +180,57 @@ def test_no_nested_loops_and_no_shuffle_of_the_large_side(spark, shapes):
     assert text.count("Exchange hashpartitioning") <= 1  # at most the district windows
 
 
+def test_shuffled_join_reads_each_side_twice(spark, shapes, tmp_path):
+    """Once to count boxes by cell, once to join."""
+    for name, some in (("a", shapes[0]), ("b", shapes[1])):
+        layer(spark, some, name).write.parquet(str(tmp_path / name))
+    left, right = (spark.read.parquet(str(tmp_path / n)) for n in "ab")
+    out = overlay.overlay_intersection(left, right, cell=1.0, broadcast_left=False)
+    text = plan(out)
+    assert text.count("FileScan parquet") == 2
+    assert "NestedLoop" not in text and "Cartesian" not in text
+
+
+@pytest.mark.parametrize("broadcast", [True, False])
+@pytest.mark.parametrize("touching", [True, False, None])
+def test_sums_match_pairs(spark, shapes, expected, broadcast, touching):
+    """Edge rows add up to what pairs have, also for shapes with holes, of many edges, empty, null and repeated."""
+    left, right = layer(spark, shapes[0], "a"), layer(spark, shapes[1], "b").withColumn("n", F.lit(2.5))
+    got = overlay.overlay_sums(left, right, ["a"], ("n",), touching, 1.0, broadcast).collect()
+    want = {}
+    for (i, _), area in expected.items():
+        if touching or area > 0:
+            own = want.setdefault(i, [0, 0.0])
+            own[0], own[1] = own[0] + 1, own[1] + area
+    got = {r["a"]: (r["pairs"], r["n"], r["area_deg"]) for r in got if touching is not None or r["area_deg"] > 1e-12}
+    assert got.keys() == want.keys()
+    for i, (pairs, n, area) in got.items():
+        assert area == pytest.approx(want[i][1], abs=1e-9)
+        if touching is not None:
+            assert (pairs, n) == (want[i][0], 2.5 * want[i][0])
+
+
+def test_sums_on_the_ground(spark, shapes):
+    left, right = layer(spark, shapes[0], "a"), layer(spark, shapes[1], "b")
+    pairs = overlay.overlay_intersection(left, right, False, cell=1.0).groupBy("a").agg(F.sum("area_ha").alias("ha")).collect()
+    sums = {r["a"]: r["area_ha"] for r in overlay.overlay_sums(left, right, ["a"], cell=1.0).collect()}
+    assert sums == pytest.approx({r["a"]: r["ha"] for r in pairs}, rel=1e-5, abs=1e-3)
+
+
+def test_plain_shapes(spark):
+    """Shapes that cross or touch themselves, turn back or have too many edges don't go the way of edge rows."""
+    good = [
+        [square(0, 0, 1, 1)], [ring((0, 0), (2, 0), (2, 2), (1, 0.5), (0, 2))], [square(0, 0, 4, 4), square(1, 1, 2, 2, hole=True)],
+        [square(0, 0, 1, 1), square(2, 2, 3, 3, part=1)], [ring((0, 0), (1, 0), (1, 0), (1, 1))],
+    ]
+    bad = [
+        [ring((0, 0), (1, 1), (1, 0), (0, 1))], [ring((0, 0), (1, 0), (2, 0), (1, 0), (1, 1))], [square(0, 0, 4, 4), square(0, 1, 2, 2, hole=True)],
+        [ring((0, 0), (2, 0), (1, 1), (2, 2), (0, 2), (1, 1))], [], None, star(0, 0, [1.0] * 40), [square(0, 0, 1, 1), square(1, 1, 2, 2, part=1)],
+    ]
+    rows = layer(spark, good + bad, "i").select("i", areas.plain_edges(F.col("rings")).isNotNull().alias("plain"))
+    assert {r["i"]: r["plain"] for r in rows.collect()} == {i: i < len(good) for i in range(len(good + bad))}
+
+
 def test_each_pair_is_clipped_once(spark, shapes):
     """A filter on the result must not make Spark run the function again."""
     left, right = layer(spark, shapes[0], "a"), layer(spark, shapes[1], "b")
