@@ -15,9 +15,10 @@
    buckets (in a group of copies that is the original), then what the components so far
    leave apart in a bucket is compared too. Each pair is compared first by its 100 sampled
    bytes (estimates under SCREEN are passed over), what is left apart also by four bits of FINE further samples
-   (FINE_SCREEN; one in sixteen is equal by chance). Samples follow TF-IDF, by which a pair of 0.8 by TF alone may have
-   0.8 / (0.8 + 0.2 * (1 + DAMPING)) = 0.762: FINE_SCREEN is six deviations below that, SCREEN five, and the
-   bands of step 3 miss such a pair with a chance of 0.003. What passes
+   (one in sixteen is equal by chance). Samples follow TF-IDF, by which a pair of 0.8 by TF alone may have
+   0.8 / (0.8 + 0.2 * (1 + DAMPING)) = 0.762: SCREEN is five deviations below that, and the
+   bands of step 3 miss such a pair with a chance of 0.003. The further samples' screen is six deviations below the least that the
+   sizes and weights of the two texts allow a linked pair (`least_alike`). What passes
    is compared exactly, by the weighted Jaccard similarity of the whole texts. A pair is linked if
    that reaches 0.8 with TF-IDF weights or with TF weights alone: in a small corpus any
    shared shingle is frequent, and that mustn't hide a near copy.
@@ -53,7 +54,7 @@ THRESHOLD, BANDS, ROWS = 0.8, 20, 5
 RARE, DAMPING = 0.02, 0.25
 SCREEN = 0.55
 #: Further samples of texts that buckets leave apart, four bits of each, from smaller tables.
-FINE, FINE_SCREEN, FINE_TABLE = 4000, 0.737, 1 << 9
+FINE, SPREAD, FINE_TABLE = 4000, 6.0, 1 << 9
 #: Members of a bucket that one task compares with each other.
 BLOCK = 1000
 _TABLE = 1 << 13
@@ -244,7 +245,7 @@ def signatures(docs: DataFrame, idf, k: int = SHINGLE_WORDS) -> DataFrame:
 
 
 def fine_sketches(texts: DataFrame, idf, k: int = SHINGLE_WORDS) -> DataFrame:
-    """id and four bits for each of FINE samples of texts (id, text) with words. Narrow."""
+    """id, four bits for each of FINE samples, size (shingles) and weight of texts (id, text) with words. Narrow."""
     bound = texts.sparkSession.sparkContext.broadcast(idf)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -255,15 +256,28 @@ def fine_sketches(texts: DataFrame, idf, k: int = SHINGLE_WORDS) -> DataFrame:
                 full = np.flatnonzero(np.diff(bounds) > 0)
                 if not len(full):
                     continue
-                h, weights, _, bounds = _weighted(*shingle_hashes(words, bounds, k), bound.value)
+                h, weights, counts, bounds = _weighted(*shingle_hashes(words, bounds, k), bound.value)
+                sums = [np.add.reduceat(x, bounds[:-1][full]) for x in (counts, weights)]
                 bits = fine_sampler().bits(h, weights, bounds)
                 sketch = np.ascontiguousarray(bits[:, ::2] << 4 | bits[:, 1::2])
                 yield pa.RecordBatch.from_arrays(
-                    [batch["id"].slice(at, to - at).take(pa.array(full)), pa.array([x.tobytes() for x in sketch], pa.binary())],
-                    names=["id", "fine"],
+                    [batch["id"].slice(at, to - at).take(pa.array(full)), pa.array([x.tobytes() for x in sketch], pa.binary()), *map(pa.array, sums)],
+                    names=["id", "fine", "size", "weight"],
                 )
 
-    return texts.select("id", "text").mapInArrow(run, "id long, fine binary")
+    return texts.select("id", "text").mapInArrow(run, "id long, fine binary, size double, weight double")
+
+
+def least_alike(size: np.ndarray, weight: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The least share of equal samples that a linked pair (a, b) has, but for chance of SPREAD deviations. A pair is linked by
+    TF-IDF or by TF. Shared shingles of weight 1 + DAMPING less some deficit can't have more of it than either text, so
+    what TF alone asks for bounds the similarity by TF-IDF, which the samples follow."""
+    deficit = (1 + DAMPING) * size - weight
+    shared = (1 + DAMPING) * THRESHOLD / (1 + THRESHOLD) * (size[a] + size[b]) - np.minimum(deficit[a], deficit[b])
+    by_tf = shared / (weight[a] + weight[b] - shared)
+    p = np.clip(np.minimum(by_tf, THRESHOLD), 0, 1)
+    equal = p + (1 - p) / 16  # four bits are equal by chance
+    return equal - SPREAD * np.sqrt(equal * (1 - equal) / FINE)
 
 
 def alike(x: np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -332,14 +346,15 @@ def screened(pairs: DataFrame, sketches: DataFrame) -> DataFrame:
 
 def apart(members: DataFrame) -> DataFrame:
     """Pairs (a, b) of equal key but different roots that pass both screens. members: key, id,
-    root, sketch, fine, n (rows of the key). Large keys are compared block by block."""
+    root, sketch, fine, size, weight, n (rows of the key). Large keys are compared block by block."""
     blocks = F.ceil(F.col("n") / BLOCK)
     own = F.pmod(F.xxhash64("id"), blocks)
     other = F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1))
-    rows = members.select("key", "id", "root", "sketch", "fine", own.alias("own"), other.alias("other"))
+    sides = ["id", "root", "sketch", "fine", "size", "weight"]
+    rows = members.select("key", *sides, own.alias("own"), other.alias("other"))
     rows = rows.select(
         "key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"),
-        F.struct("id", "root", "sketch", "fine", (F.col("own") <= F.col("other")).alias("left"), (F.col("own") >= F.col("other")).alias("right")).alias("m"),
+        F.struct(*sides, (F.col("own") <= F.col("other")).alias("left"), (F.col("own") >= F.col("other")).alias("right")).alias("m"),
     )
     groups = rows.groupBy("key", "i", "j").agg(F.collect_list("m").alias("m"))  # 2 * BLOCK at most
 
@@ -348,6 +363,7 @@ def apart(members: DataFrame) -> DataFrame:
             out = [np.zeros((0, 2), np.int64)]
             for m in f["m"]:
                 ids, roots = (np.array([x[c] for x in m], np.int64) for c in ("id", "root"))
+                size, weight = (np.array([x[c] for x in m], np.float64) for c in ("size", "weight"))
                 left, right = (np.flatnonzero([x[c] for x in m]) for c in ("left", "right"))
                 s, fine = (np.frombuffer(b"".join(x[c] for x in m), np.uint8).reshape(len(m), -1) for c in ("sketch", "fine"))
                 for at in range(0, len(left), 64):  # rows of the left side in turn, for memory
@@ -355,7 +371,8 @@ def apart(members: DataFrame) -> DataFrame:
                     equal = (s[l][:, None, :] == s[right][None, :, :]).mean(2) >= SCREEN
                     x, y = np.nonzero(equal & (roots[l][:, None] != roots[right][None, :]))
                     x, y = l[x], right[y]
-                    near = [alike(fine[x[i : i + 4096]], fine[y[i : i + 4096]]) >= FINE_SCREEN for i in range(0, len(x), 4096)]
+                    least = least_alike(size, weight, x, y)
+                    near = [alike(fine[x[i : i + 4096]], fine[y[i : i + 4096]]) >= least[i : i + 4096] for i in range(0, len(x), 4096)]
                     near = np.concatenate([*near, np.zeros(0, bool)])
                     out.append(np.sort(np.stack([ids[x[near]], ids[y[near]]], 1), axis=1))
             a = np.unique(np.concatenate(out), axis=0)
@@ -434,7 +451,7 @@ def classes(docs: DataFrame, k: int = SHINGLE_WORDS) -> DataFrame:
     rest = materialized(rest, "left-apart")
     some = texts_of(docs, copies, rest)
     fine = materialized(fine_sketches(some, idf, k), "fine-sketches")
-    rest = rest.join(sketches, "id").join(fine, "id").select("key", "id", "root", "sketch", "fine", "n")
+    rest = rest.join(sketches, "id").join(fine, "id").select("key", "id", "root", "sketch", "fine", "size", "weight", "n")
     more = materialized(apart(rest).join(pairs, ["a", "b"], "left_anti"), "more-pairs")
     if not more.isEmpty():
         more = materialized(verified(more, some, idf, k), "more-links")

@@ -157,13 +157,24 @@ def test_samples_follow_similarity():
     assert abs((a == b).mean() - truth) < 0.06
 
 
-def test_fine_screen_spares_pairs_linked_by_tf():
-    """Samples follow TF-IDF, where a pair of THRESHOLD by TF weights may be lower."""
-    t = near_dedup.THRESHOLD
-    least = t / (t + (1 - t) * (1 + near_dedup.DAMPING))
-    least = least + (1 - least) / 16  # four bits are equal by chance
-    assert near_dedup.FINE_SCREEN <= least - 5.9 * (least * (1 - least) / near_dedup.FINE) ** 0.5
-    rng = np.random.default_rng(3)
+def test_fine_screen_spares_linked_pairs():
+    """Samples follow TF-IDF, where a pair of THRESHOLD by TF weights may be lower: the screen lies below any linked pair."""
+    rng, close = np.random.default_rng(5), 0
+    for _ in range(3000):
+        shared, x, y = (rng.integers(0, n, rng.integers(1, 40)) for n in (4, 2, 2))
+        counts = [np.concatenate([shared, x, np.zeros(len(y))]), np.concatenate([shared, np.zeros(len(x)), y])]
+        idf = rng.uniform(1, 1 + near_dedup.DAMPING, len(counts[0])) if rng.random() < 0.5 else rng.choice([1, 1 + near_dedup.DAMPING], len(counts[0]))
+        weights = [c * idf for c in counts]
+        if min(w.sum() for w in weights) == 0:
+            continue
+        tf, tfidf = (np.minimum(*v).sum() / np.maximum(*v).sum() for v in (counts, weights))
+        size, weight = (np.array([v.sum() for v in w]) for w in (counts, weights))
+        least = near_dedup.least_alike(size, weight, np.array([0]), np.array([1]))[0]
+        if max(tf, tfidf) >= near_dedup.THRESHOLD:
+            equal = tfidf + (1 - tfidf) / 16
+            close += 1
+            assert least <= equal - 5.99 * (equal * (1 - equal) / near_dedup.FINE) ** 0.5
+    assert close > 100
     x, y = (rng.integers(0, 256, (5, 400)).astype(np.uint8) for _ in "xy")
     nibbles = lambda z: np.stack([z >> 4, z & 15], 2).reshape(5, -1)
     assert np.allclose(near_dedup.alike(x, y), (nibbles(x) == nibbles(y)).mean(1))
