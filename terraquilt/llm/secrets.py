@@ -114,15 +114,35 @@ def spans(text: Column, rule: Rule) -> Column:
         group,
         lambda s, g: F.struct(s["b"].alias("b"), s["w"].alias("w"), F.length(g).alias("g")),
     )
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int>>").alias("out"))
-
-    def step(acc: Column, s: Column) -> Column:
-        begin = acc["at"] + s["b"]
-        span = F.array(F.struct(begin.alias("start"), (begin + s["w"]).alias("end")))
-        out = F.when(s["g"] >= rule.least, F.concat(acc["out"], span)).otherwise(acc["out"])
-        return F.struct((begin + s["w"]).alias("at"), out.alias("out"))
-
-    return F.aggregate(steps, start, step, lambda acc: acc["out"])
+    def run(some: Column, begin: Column) -> Column:
+        start = F.struct(begin.alias("at"), F.array().cast("array<struct<start:int,end:int>>").alias("out"))
+
+        def step(acc: Column, s: Column) -> Column:
+            begin = acc["at"] + s["b"]
+            span = F.array(F.struct(begin.alias("start"), (begin + s["w"]).alias("end")))
+            out = F.when(s["g"] >= rule.least, F.concat(acc["out"], span)).otherwise(acc["out"])
+            return F.struct((begin + s["w"]).alias("at"), out.alias("out"))
+
+        return F.aggregate(some, start, step, lambda acc: acc["out"])
+
+    # An array is copied for each item it gets, so n matches are taken in blocks of the root of n, and the
+    # blocks' beginnings are added up first.
+    def blocks(all_: Column) -> Column:
+        size = F.ceil(F.sqrt(F.size(all_))).cast("int")
+        many = F.ceil(F.size(all_) / size).cast("int")
+        return F.transform(F.sequence(F.lit(0), many - 1), lambda k: F.slice(all_, k * size + 1, size))
+
+    def begins(some: Column) -> Column:
+        start = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out"))
+        length = lambda block: F.aggregate(block, F.lit(0), lambda n, s: n + s["b"] + s["w"])
+        step = lambda acc, block: F.struct((acc["at"] + length(block)).alias("at"), F.concat(acc["out"], F.array(acc["at"])).alias("out"))
+        return F.aggregate(some, start, step, lambda acc: acc["out"])
+
+    once = lambda value, use: F.element_at(F.transform(F.array(value), use), 1)
+    found = once(steps, lambda all_: F.when(
+        F.size(all_) > 0, once(blocks(all_), lambda some: F.flatten(F.zip_with(some, begins(some), run)))
+    ))
+    return F.coalesce(found, F.array().cast("array<struct<start:int,end:int>>"))
 
 
 def _joined(found: Column) -> Column:

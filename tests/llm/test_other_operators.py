@@ -158,6 +158,23 @@ def test_top_k_with_repeated_ids(spark, tmp_path):
     assert sorted(map(tuple, got)) == sorted(want) and len(want) == 40
 
 
+def test_many_secrets_in_one_text(spark):
+    """Spans take time in proportion to the matches, or nearly: 32,000 of them in a few seconds."""
+    import time
+
+    text = F.lit("secret=abcdef7 ")  # 14 characters and a space, joined by another
+    took = {}
+    for n in (1, 2, 10, 4_000, 32_000):
+        df = spark.range(1).select(F.array_join(F.array_repeat(text, n), "x").alias("text"))
+        begun = time.perf_counter()
+        found = df.select(secrets.spans(F.col("text"), secrets.BASE[0]).alias("s")).first()["s"]
+        took[n] = time.perf_counter() - begun
+        assert [(s["start"], s["end"]) for s in found] == [(16 * k, 16 * k + 14) for k in range(n)]
+    assert took[32_000] < 15
+    none = spark.createDataFrame([("",), ("nothing",)], "text string").select(secrets.spans(F.col("text"), secrets.BASE[0]).alias("s"))
+    assert [r["s"] for r in none.collect()] == [[], []]
+
+
 # --- quality ----------------------------------------------------------------------------------
 
 
