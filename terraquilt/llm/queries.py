@@ -18,7 +18,7 @@ from terraquilt.llm.folds import EMPTY_DIGEST, Digest, fold, grouped
 
 def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = url_tree.judge(table(spark, sf_dir, "pages").select("page_id", "url"))
-    return judged.select("page_id", "host", "path", "rule", "verdict", "template", F.round("purity", 6).alias("purity"))
+    return judged.select("page_id", "host", "path", "rule", "verdict", "template", F.round("purity", 6).alias("purity"), "evidence")
 
 
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -11,9 +11,11 @@ from, unless other labels are given. The tree judges the rest:
 3. Of the other branches, those with enough labels whose share of bad urls isn't
    significantly different from that of all their siblings together (two-proportion z-test)
    are merged into *.
-4. A template is rejected if its smoothed purity, (bad + STRENGTH * prior) / (labelled +
-   STRENGTH), reaches PURITY, where prior is the share of bad among all labels. Without
-   a labelled url of its own no template is rejected.
+4. A template is rejected if its smoothed purity reaches PURITY. Purity is smoothed down the tree: that of a node is
+   (bad + STRENGTH * purity of the node above) / (labelled + STRENGTH) over the urls below it, and above a host's
+   root stands the share of bad among all labels. So a template without labels is judged by the nearest
+   nodes above it that have some (`evidence`, their depth, 0 for the host's root), and has to reach INHERITED, as what
+   is around it must be bad nearly all through; on a host without any, none is rejected.
 
 Segments beyond LEVELS are one variable tail. Nulls: a null url, or one without ://, has an empty host
 and path and is judged by the template of those. A url that is labelled both ways counts
@@ -29,7 +31,7 @@ from terraquilt.llm.common import materialized, spread_join, unused
 
 LEVELS, CHILDREN, RARE = 12, 20, 0.05
 LABELS, Z = 10, 1.96
-STRENGTH, PURITY = 10.0, 0.5
+STRENGTH, PURITY, INHERITED = 10.0, 0.5, 0.8
 
 #: (verdict, host and path)
 RULES = (
@@ -76,7 +78,7 @@ def form(path: Column) -> Column:
 
 def templates(urls: DataFrame) -> tuple[DataFrame, DataFrame]:
     """From urls (host, form, bad: 1, 0 or null): which template each (host, form) is of, and for each
-    (host, template) its counts and purity."""
+    (host, template) its counts, purity, evidence and verdict."""
     count = (F.count("*").alias("n"), F.count("bad").alias("labelled"), F.coalesce(F.sum("bad"), F.lit(0)).alias("bad"))
     forms = urls.groupBy("host", "form").agg(*count)
     tree = materialized(forms.withColumn("template", F.lit("")), "forms")
@@ -115,18 +117,38 @@ def templates(urls: DataFrame) -> tuple[DataFrame, DataFrame]:
     judged = tree.groupBy("host", "template").agg(
         F.sum("n").alias("n"), F.sum("labelled").alias("labelled"), F.sum("bad").alias("bad")
     )
-    purity = (F.col("bad") + F.lit(STRENGTH * prior)) / (F.col("labelled") + F.lit(STRENGTH))
-    judged = judged.withColumn("purity", purity)
-    rejected = (F.col("labelled") > 0) & (F.col("purity") >= PURITY)
-    judged = judged.withColumn("verdict", F.when(rejected, "block").otherwise("allow"))
-    return tree.select("host", "form", "template", "n"), judged
+    return tree.select("host", "form", "template", "n"), _judged(judged, prior)
+
+
+def _judged(found: DataFrame, prior: float) -> DataFrame:
+    """found (host, template, n, labelled, bad) with purity, evidence and verdict."""
+    parts = F.split("template", "/")
+    names = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda d: F.array_join(F.slice(parts, 1, d), "/"))
+    found = materialized(found, "templates-found")
+    steps = found.select("host", "template", "labelled", "bad", F.posexplode(names).alias("depth", "node"))
+    key = F.struct("host", "node").alias("key")
+    nodes = steps.groupBy(key).agg(F.sum("labelled").alias("node_labelled"), F.sum("bad").alias("node_bad"), F.count("*").alias("n"))
+    nodes = materialized(nodes, "tree-nodes")
+    # A host's root is the node of all its templates.
+    chains = spread_join(steps.select("host", "template", "depth", key), nodes.drop("n"), "key", nodes.select("key", "n"), F.xxhash64("template"))
+    own = F.struct("depth", "node_labelled", "node_bad")
+    chains = chains.groupBy("host", "template").agg(F.sort_array(F.collect_list(own)).alias("chain"))  # LEVELS + 2 at most
+    strength = F.lit(STRENGTH)
+    purity = F.aggregate(
+        "chain", F.lit(float(prior)), lambda p, x: (x["node_bad"] + strength * p) / (x["node_labelled"] + strength)
+    )
+    evidence = F.array_max(F.transform(F.filter("chain", lambda x: x["node_labelled"] > 0), lambda x: x["depth"]))
+    judged = found.join(chains.select("host", "template", purity.alias("purity"), evidence.alias("evidence")), ["host", "template"])
+    least = F.when(F.col("labelled") > 0, PURITY).otherwise(INHERITED)
+    rejected = F.col("evidence").isNotNull() & (F.col("purity") >= least)
+    return judged.withColumn("verdict", F.when(rejected, "block").otherwise("allow"))
 
 
 def judge(pages: DataFrame, rules=RULES, bad: str | None = None) -> DataFrame:
-    """pages with host, path, rule, verdict, template and purity. bad: a column of labels (1
+    """pages with host, path, rule, verdict, template, purity and evidence. bad: a column of labels (1
     bad, 0 good, null none) to learn from instead of the rules' verdicts. Columns of pages with
     the names that are added are replaced."""
-    added = ["host", "path", "rule", "verdict", "template", "purity"]
+    added = ["host", "path", "rule", "verdict", "template", "purity", "evidence"]
     pages = pages.drop(*(c for c in added if c not in ("url", bad)))
     host, path = F.col("host"), F.col("path")
     parsed = pages.withColumns({"host": host_of(F.col("url")), "path": path_of(F.col("url"))})
@@ -136,7 +158,7 @@ def judge(pages: DataFrame, rules=RULES, bad: str | None = None) -> DataFrame:
     label = F.col(bad).cast("long") if bad else F.when(F.col(own) == "block", 1).when(F.col(own) == "allow", 0).cast("long")
     tree, judged = templates(parsed.select(f"{key}.host", f"{key}.form", label.alias("bad")))
     known = tree.join(judged.drop("n", "labelled", "bad"), ["host", "template"])
-    known = known.select(F.struct("host", "form").alias(key), "template", "purity", "verdict", "n")
+    known = known.select(F.struct("host", "form").alias(key), "template", "purity", "evidence", "verdict", "n")
     known = materialized(known, "templates")
     out = spread_join(parsed, known.drop("n"), key, known.select(key, "n"), F.xxhash64("path"))
     out = out.withColumn("verdict", F.coalesce(F.col(own), F.col("verdict")))

@@ -72,6 +72,42 @@ def test_rules_and_templates(spark):
     assert url_tree.judge(df.limit(0)).collect() == []
 
 
+def test_purity_is_smoothed_down_the_tree(spark):
+    """Against a plain version, with templates that have no label of their own."""
+    rng = random.Random(8)
+    urls = []
+    for host, share in (("bad.net", 0.95), ("good.net", 0.05), ("half.net", 0.5), ("new.net", None)):
+        for _ in range(150):
+            path = "/".join(rng.choice(["news", "shop", "en"]) for _ in range(rng.randrange(1, 4)))
+            label = None if share is None or rng.random() < 0.5 or path.startswith("en/") else int(rng.random() < share)
+            urls.append((f"http://{host}/{path}", label))
+    df = spark.createDataFrame([(i, u, b) for i, (u, b) in enumerate(urls)], "page_id long, url string, bad int")
+    got = {r["page_id"]: r for r in url_tree.judge(df, rules=(), bad="bad").collect()}
+    labels = [b for _, b in urls if b is not None]
+    prior, nodes = sum(labels) / len(labels), {}
+    for i, (_, b) in enumerate(urls):
+        parts = got[i]["template"].split("/")
+        for d in range(len(parts)):
+            own = nodes.setdefault((got[i]["host"], *parts[: d + 1]), [0, 0])
+            own[0] += b is not None
+            own[1] += b or 0
+    blocked = set()
+    for i in range(len(urls)):
+        host, parts = got[i]["host"], got[i]["template"].split("/")
+        purity, evidence = prior, None
+        for d in range(len(parts)):
+            labelled, bad = nodes[host, *parts[: d + 1]]
+            purity = (bad + url_tree.STRENGTH * purity) / (labelled + url_tree.STRENGTH)
+            evidence = d if labelled else evidence
+        assert got[i]["purity"] == pytest.approx(purity) and got[i]["evidence"] == evidence
+        own = sum(b is not None for j, (_, b) in enumerate(urls) if (got[j]["host"], got[j]["template"]) == (host, got[i]["template"]))
+        least = url_tree.PURITY if own else url_tree.INHERITED
+        assert got[i]["verdict"] == ("block" if evidence is not None and purity >= least else "allow")
+        if got[i]["verdict"] == "block" and urls[i][1] is None:
+            blocked.add(host)
+    assert "bad.net" in blocked and not {"good.net", "new.net"} & blocked
+
+
 # --- secrets ----------------------------------------------------------------------------------
 
 
