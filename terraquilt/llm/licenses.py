@@ -1,17 +1,18 @@
 """License scans (operator 10). DataFrame functions only.
 
-1. Headers: every line of a file is compared with license templates (notices and the
-   openings of licence texts) by the cosine of TF-IDF vectors over words. The space is that of
+1. Units: every line of a file, every block of lines between blank ones (a header that is hard-wrapped, in a comment or
+   not) and the whole text of a file named like a licence are compared with license templates (notices, openings
+   and whole licence texts) by the cosine of TF-IDF vectors over words. The space is that of
    the templates' words, whose document frequencies are counted over all files; any other
-   word of a line weighs OTHER.
-2. A line can only reach the threshold if it shares words with a template that carry
+   word of a unit weighs OTHER.
+2. A unit can only reach the threshold if it shares words with a template that carry
    THRESHOLD^2 of the template's squared length, so it holds one of the words that are left
    when the lightest ones, short of that, are taken away. Lines without such a word are passed
    over. That loses nothing.
-3. Equal lines are scored once.
-4. A file's own licence is that of its best line (ties: the first line, then the name).
+3. Equal units are scored once.
+4. A file's own licence is that of its best unit (ties: the lowest number, then the name).
    Licence files stand for their directory: files named like one, and those whose first
-   line is a notice if `first_line` is set.
+   line or block is a notice if `first_line` is set.
 5. Other files inherit from the nearest ancestor directory that has a licence file, by a join
    of directories with the paths above them.
 
@@ -42,6 +43,16 @@ TEMPLATES = (
                      "provided that the following conditions are met:"),
     ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."),
     ("CC-BY-NC-4.0", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."),
+    ("BSD-2-Clause", "Redistributions of source code must retain the above copyright notice, this list of conditions and the "
+                     "following disclaimer. Redistributions in binary form must reproduce the above copyright notice, this list of "
+                     "conditions and the following disclaimer in the documentation and/or other materials provided with the distribution."),
+    ("BSD-3-Clause", "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote "
+                     "products derived from this software without specific prior written permission."),
+    ("ISC", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby "
+            "granted, provided that the above copyright notice and this permission notice appear in all copies."),
+    ("LGPL-3.0", "This library is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser "
+                 "General Public License as published by the Free Software Foundation, either version 3 of the License, "
+                 "or (at your option) any later version."),
     ("GPL-3.0", "This work is licensed under the GNU General Public License, version 3."),
     ("GPL-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU "
                 "General Public License as published by the Free Software Foundation, either version 3 of the License, "
@@ -49,6 +60,15 @@ TEMPLATES = (
     ("MIT", "Released under the MIT License."),
     ("MIT", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and "
             "associated documentation files, to deal in the Software without restriction."),
+    ("MIT", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated "
+            'documentation files (the "Software"), to deal in the Software without restriction, including without limitation the '
+            "rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit "
+            "persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice "
+            "and this permission notice shall be included in all copies or substantial portions of the Software. THE SOFTWARE IS "
+            'PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF '
+            "MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT "
+            "HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, "
+            "ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."),
     ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
 )
 
@@ -111,6 +131,18 @@ def scored(lines: DataFrame, idf: dict[str, float], made, threshold: float = THR
     return out.select("line_id", F.col("best.license").alias("license"), (-F.col("best.s")).alias("similarity"))
 
 
+def units(text: Column, named: Column) -> Column:
+    """array of (no, text): each line with its number, each block of more than one line with its number among the blocks, and
+    where `named` the whole text, if it has more than one block, as number 0."""
+    lines = F.transform(F.split(text, "\\n"), lambda x, i: F.struct(i.alias("no"), x.alias("text")))
+    # A line without letters or digits parts blocks; marks of comments are no words.
+    parted = F.split(text, r"\n[^\p{L}\p{N}\n]*(?=\n)")
+    blocks = F.transform(parted, lambda x, i: F.struct(i.alias("no"), x.alias("text")))
+    blocks = F.filter(blocks, lambda b: F.contains(F.trim(b["text"]), F.lit("\n")))
+    whole = F.filter(F.array(F.struct(F.lit(0).alias("no"), text.alias("text"))), lambda _: named & (F.size(parted) > 1))
+    return F.concat(lines, blocks, whole)
+
+
 def ancestors(directory: Column) -> Column:
     """A directory's path and those above it, nearest first, down to the root ''."""
     parts = F.split(directory, "/")
@@ -132,12 +164,13 @@ def scan(files: DataFrame, templates=TEMPLATES, threshold: float = THRESHOLD, fi
         text_id: text_key(text),
         directory: F.when(F.contains(path, F.lit("/")), F.regexp_replace(path, "/[^/]*$", "")).when(path.isNotNull(), ""),
     })
+    stands = F.coalesce(F.element_at(F.split(path, "/"), -1).rlike(LICENSE_FILE), F.lit(False))
     pattern = "(?<![a-z0-9])(?:" + "|".join(needed(made, threshold)) + ")(?![a-z0-9])"
-    hit = tagged.select(text_id, text.alias("t")).where(F.lower("t").rlike(pattern))
-    headers = hit.select(F.col(text_id).alias("text_id"), F.posexplode(F.split("t", "\n")).alias("line_no", "line"))
+    hit = tagged.select(text_id, text.alias("t"), stands.alias("named")).where(F.lower("t").rlike(pattern))
+    headers = hit.select(F.col(text_id).alias("text_id"), F.explode(units(F.col("t"), F.col("named"))).alias("unit"))
+    headers = headers.select("text_id", F.col("unit.no").alias("line_no"), F.ltrim("unit.text").alias("line"))
     headers = headers.where(F.lower("line").rlike(pattern))
-    headers = headers.select("text_id", "line_no", F.ltrim("line").alias("line"), text_key(F.col("line")).alias("line_id"))
-    headers = materialized(headers, "headers")
+    headers = materialized(headers.withColumn("line_id", text_key(F.col("line"))), "headers")
     distinct = headers.groupBy("line_id").agg(F.min("line").alias("line"), F.count("*").alias("n"))
     distinct = materialized(distinct, "distinct-headers")
     found = materialized(scored(distinct.select("line_id", "line"), idf, made, threshold), "scored-headers")
@@ -150,7 +183,6 @@ def scan(files: DataFrame, templates=TEMPLATES, threshold: float = THRESHOLD, fi
     copies = tagged.join(own.select(text_id), text_id, "left_semi").groupBy(text_id).agg(F.count("*").alias("n"))
     rows = tagged.drop("text").select("path", text_id, directory)
     licensed = spread_join(rows, own, text_id, copies, F.xxhash64("path"))
-    stands = F.element_at(F.split("path", "/"), -1).rlike(LICENSE_FILE)
     used = F.when(stands, F.col("best"))
     used = F.coalesce(used, F.col("top")) if first_line else used
     standing = licensed.withColumn("used", used).where(F.col("used").isNotNull() & F.col(directory).isNotNull())

@@ -400,3 +400,29 @@ def test_licenses(spark):
         if max(sum(idf[w] * v.get(w, 0) for w in line) / size for _, v in made) >= licenses.THRESHOLD:
             assert wanted & set(line)
     assert licenses.scan(df.limit(0)).collect() == []
+
+
+def test_wrapped_notices_and_whole_licences(spark):
+    """Notices that are hard-wrapped, in comments or not, and whole licence texts, among prose."""
+    import textwrap
+
+    rng = random.Random(4)
+    prose = lambda n: " ".join(rng.choice(["river", "stone", "and", "the", "of", "window", "copy", "use"]) for _ in range(n))
+    rows, want = [], {}
+    for i, (name, notice) in enumerate(licenses.TEMPLATES * 3):
+        width, mark = rng.choice([30, 50, 72]), rng.choice(["", "# ", " * ", "// "])
+        wrapped = "\n".join(mark + line for line in textwrap.wrap(notice, width))
+        text = rng.choice([f"{wrapped}\n\n{prose(200)}", f"{prose(40)}\n\n{wrapped}\n\n{prose(40)}", f"{mark}\n{wrapped}\n{mark}\n\n{prose(9)}"])
+        rows.append((i, f"d{i}/a.py", text))
+        want[i] = name
+    rows += [(1000 + i, f"e{i}/a.py", "\n".join(prose(12) for _ in range(9))) for i in range(60)]
+    whole = next(t for n, t in licenses.TEMPLATES if n == "MIT" and len(t) > 600)
+    text = "The MIT License (MIT)\n\nCopyright (c) 2020 Someone\n\n" + "\n\n".join(textwrap.fill(p + ".", 70) for p in whole.split(". ")[:3])
+    rows += [(2000, "lib/LICENSE", text), (2001, "lib/src/x.py", prose(30)), (2002, "other/LICENSE", prose(50)), (2003, None, text)]
+    df = spark.createDataFrame(rows, "id long, path string, text string")
+    got = {r["id"]: r for r in licenses.scan(df).collect()}
+    assert len(got) == len(rows)
+    assert sum(got[i]["license"] == name for i, name in want.items()) >= 0.9 * len(want)
+    assert all(got[1000 + i]["license"] is None for i in range(60)) and got[2002]["license"] is None
+    assert (got[2000]["license"], got[2001]["license"], got[2001]["license_from"]) == ("MIT", "MIT", "lib/LICENSE")
+    assert got[2003]["license"] == "MIT"
