@@ -7,12 +7,13 @@ import struct
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from terraquilt.functions.kernel import TOLERANCE, intersect
-from terraquilt.functions.packed import from_rows, oriented, to_arrow, unpack
+from terraquilt.functions.packed import Shapes, from_rows, offsets, oriented, stack, to_arrow, unpack
 from terraquilt.functions.thin import simplified
 from terraquilt.model import RINGS
 
@@ -109,9 +110,62 @@ def _rows(rings: pa.Array) -> list:
     return out
 
 
+# Most blobs are a polygon of one ring in little-endian order: a header of 13 bytes, then the points.
+_HEAD, _POINT_BYTES = 13, 16
+_ONE_RING = np.frombuffer(struct.pack("<BII", 1, _WKB_POLYGON, 1), np.uint8)
+
+
+def _marked(size: int, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Which of so many bytes lie in runs that don't overlap."""
+    step = np.zeros(size + 1, np.int8)
+    np.add.at(step, begin, 1)
+    np.add.at(step, end, -1)
+    return np.cumsum(step[:-1], dtype=np.int8).astype(bool)
+
+
+def _one_ring_shapes(blobs: pa.Array) -> tuple[Shapes, np.ndarray]:
+    """The blobs that are polygons of one ring, read together from Arrow's buffers, and which rows they are."""
+    wide = blobs.cast(pa.large_binary())
+    at = np.frombuffer(wide.buffers()[1], np.int64)[wide.offset : wide.offset + len(wide) + 1]
+    data = np.frombuffer(wide.buffers()[2] or b"", np.uint8)
+    size = np.diff(at)
+    rows = np.flatnonzero((size > _HEAD) & ((size - _HEAD) % _POINT_BYTES == 0) & wide.is_valid().to_numpy(zero_copy_only=False))
+    head = data[at[rows][:, None] + np.arange(_HEAD)] if len(rows) else np.zeros((0, _HEAD), np.uint8)
+    points = np.ascontiguousarray(head[:, len(_ONE_RING) :]).view("<u4").reshape(-1)
+    rows = rows[(head[:, : len(_ONE_RING)] == _ONE_RING).all(1) & (points == (size[rows] - _HEAD) // _POINT_BYTES)]
+    xy = data[_marked(len(data), at[rows] + _HEAD, at[rows] + size[rows])].view("<f8").reshape(-1, 2)
+    none = np.zeros(len(rows), np.int32)
+    return Shapes(len(wide), rows, none, none.astype(bool), offsets((size[rows] - _HEAD) // _POINT_BYTES), xy[:, 0], xy[:, 1]), rows
+
+
 def _decoded(blobs: pa.Array, read) -> pa.Array:
-    shapes, null = from_rows([None if b is None else read(b) for b in blobs.to_pylist()])
-    return to_arrow(oriented(shapes), null)
+    simple, rows = _one_ring_shapes(blobs)
+    other = np.ones(len(blobs), bool)
+    other[rows] = False
+    null = blobs.is_null().to_numpy(zero_copy_only=False)
+    rest: list = [None] * len(blobs)
+    for i in np.flatnonzero(other & ~null):
+        rest[i] = read(blobs[int(i)].as_py())
+    return to_arrow(oriented(stack(simple, from_rows(rest)[0])), null)
+
+
+def _one_ring_blobs(s: Shapes) -> tuple[pa.Array, np.ndarray]:
+    """Blobs of the rows with one ring, the others null, and which rows have other numbers of rings."""
+    count = np.bincount(s.ring_row, minlength=s.rows)
+    ring = count[s.ring_row] == 1
+    row, points = s.ring_row[ring], s.sizes[ring]
+    size = np.zeros(s.rows, np.int64)
+    size[row] = _HEAD + _POINT_BYTES * points
+    at = offsets(size)
+    data = np.empty(at[-1], np.uint8)
+    data[at[row][:, None] + np.arange(len(_ONE_RING))] = _ONE_RING
+    data[at[row][:, None] + np.arange(len(_ONE_RING), _HEAD)] = points.astype("<u4").view(np.uint8).reshape(-1, 4)
+    own = np.repeat(ring, s.sizes)
+    xy = np.column_stack([s.x[own], s.y[own]]).astype("<f8")
+    data[_marked(len(data), at[row] + _HEAD, at[row] + size[row])] = np.ascontiguousarray(xy).view(np.uint8).reshape(-1)
+    valid = pa.py_buffer(np.packbits(count == 1, bitorder="little").tobytes())
+    blobs = pa.Array.from_buffers(pa.large_binary(), s.rows, [valid, pa.py_buffer(at.tobytes()), pa.py_buffer(data.tobytes())])
+    return blobs, np.flatnonzero(count != 1)
 
 
 @F.arrow_udf(RINGS)
@@ -126,7 +180,11 @@ def _wkb_to_rings_or_empty(blobs: pa.Array) -> pa.Array:
 
 @F.arrow_udf(T.BinaryType())
 def _rings_to_wkb(rings: pa.Array) -> pa.Array:
-    return pa.array([None if r is None else _write_wkb(r) for r in _rows(rings)], pa.binary())
+    blobs, other = _one_ring_blobs(unpack(rings))
+    rest: list = [None] * len(rings)
+    for i, shape in zip(other, _rows(rings.take(pa.array(other)))):
+        rest[i] = None if shape is None else _write_wkb(shape)
+    return pc.coalesce(blobs, pa.array(rest, pa.large_binary())).cast(pa.binary())
 
 
 def rings_from_wkb(wkb: Column, lenient: bool = False) -> Column:

@@ -1,7 +1,9 @@
 """Column geometry, codecs and simplification."""
 
 import math
+import struct
 
+import numpy as np
 import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
@@ -60,8 +62,6 @@ def test_wkt_spellings(spark):
 
 
 def test_wkb_variants(spark):
-    import struct
-
     pts = [(0.0, 0.0), (2.0, 0.0), (2.0, 1.0), (0.0, 0.0)]
     big = struct.pack(">BII", 0, 3, 1) + struct.pack(">I", 4) + b"".join(struct.pack(">dd", *p) for p in pts)
     srid = struct.pack("<BII", 1, 3 | 0x20000000, 4283) + struct.pack("<II", 1, 4) + b"".join(struct.pack("<dd", *p) for p in pts)
@@ -176,8 +176,6 @@ def test_unusual_text_is_read_and_bad_text_raises(spark):
 
 
 def test_unusual_binary_is_read_and_bad_binary_raises(spark):
-    import struct
-
     def polygon(order="<"):
         pts = [0.0, 0.0, 1.0, 0.0, 1.0, 1.0, 0.0, 0.0]
         return struct.pack(order + "BIII", order == "<", 3, 1, 4) + struct.pack(order + "8d", *pts)
@@ -193,3 +191,20 @@ def test_unusual_binary_is_read_and_bad_binary_raises(spark):
         with pytest.raises(Exception):
             one.select(rings_from_wkb(F.col("b"))).collect()
         assert one.select(rings_from_wkb(F.col("b"), lenient=True)).first()[0] == []
+
+
+def test_binary_of_one_ring_and_others_together(spark):
+    """Polygons of one ring are read and written together, others one by one, in any mixture and order."""
+    rng = np.random.default_rng(3)
+    one = [star(0, 0, rng.uniform(0.5, 1, n)) for n in (3, 4, 30, 200)]
+    other = [None, [], [ring((0, 0), (4, 0), (4, 4), (0, 4)), ring((1, 1), (1, 2), (2, 2), hole=True)], [*one[0], *[(1, False, xy + 9) for _, _, xy in one[1]]]]
+    shapes = [s for k in range(30) for s in (one[k % 4], other[k % 4], one[(k + 1) % 4])]
+    for some in (shapes, one, other, []):
+        data = [(i, row(s)) for i, s in enumerate(some)]
+        df = spark.createDataFrame(data, "i int, rings " + RINGS.simpleString()).withColumn("rings", geom.normalize(F.col("rings")))
+        blobs = df.select("i", "rings", to_wkb(F.col("rings")).alias("b"))
+        for r in blobs.withColumn("back", rings_from_wkb(F.col("b"))).collect():
+            assert r["back"] == r["rings"]
+            if r["rings"] and len(r["rings"]) == 1:
+                pts = [v for p in r["rings"][0]["pts"] for v in (p["x"], p["y"])]
+                assert bytes(r["b"]) == struct.pack(f"<BIII{len(pts)}d", 1, 3, 1, len(pts) // 2, *pts)
