@@ -345,12 +345,12 @@ def screened(pairs: DataFrame, sketches: DataFrame) -> DataFrame:
 
 
 def apart(members: DataFrame) -> DataFrame:
-    """Pairs (a, b) of equal key but different roots that pass both screens. members: key, id,
-    root, sketch, fine, size, weight, n (rows of the key). Large keys are compared block by block."""
+    """Pairs (a, b) of equal key but different roots that pass both screens, each found under the first key that both
+    have. members: key, id, root, bands, sketch, fine, size, weight, n (rows of the key). Large keys are compared block by block."""
     blocks = F.ceil(F.col("n") / BLOCK)
     own = F.pmod(F.xxhash64("id"), blocks)
     other = F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1))
-    sides = ["id", "root", "sketch", "fine", "size", "weight"]
+    sides = ["id", "root", "bands", "sketch", "fine", "size", "weight"]
     rows = members.select("key", *sides, own.alias("own"), other.alias("other"))
     rows = rows.select(
         "key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"),
@@ -361,9 +361,10 @@ def apart(members: DataFrame) -> DataFrame:
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
             out = [np.zeros((0, 2), np.int64)]
-            for m in f["m"]:
+            for key, m in zip(f["key"], f["m"]):
                 ids, roots = (np.array([x[c] for x in m], np.int64) for c in ("id", "root"))
                 size, weight = (np.array([x[c] for x in m], np.float64) for c in ("size", "weight"))
+                bands = np.array([x["bands"] for x in m], np.int64)
                 left, right = (np.flatnonzero([x[c] for x in m]) for c in ("left", "right"))
                 s, fine = (np.frombuffer(b"".join(x[c] for x in m), np.uint8).reshape(len(m), -1) for c in ("sketch", "fine"))
                 for at in range(0, len(left), 64):  # rows of the left side in turn, for memory
@@ -371,6 +372,9 @@ def apart(members: DataFrame) -> DataFrame:
                     equal = (s[l][:, None, :] == s[right][None, :, :]).mean(2) >= SCREEN
                     x, y = np.nonzero(equal & (roots[l][:, None] != roots[right][None, :]))
                     x, y = l[x], right[y]
+                    shared = bands[x] == bands[y]
+                    here = bands[x, shared.argmax(1)] == key
+                    x, y = x[here], y[here]
                     least = least_alike(size, weight, x, y)
                     near = [alike(fine[x[i : i + 4096]], fine[y[i : i + 4096]]) >= least[i : i + 4096] for i in range(0, len(x), 4096)]
                     near = np.concatenate([*near, np.zeros(0, bool)])
@@ -451,7 +455,7 @@ def classes(docs: DataFrame, k: int = SHINGLE_WORDS) -> DataFrame:
     rest = materialized(rest, "left-apart")
     some = texts_of(docs, copies, rest)
     fine = materialized(fine_sketches(some, idf, k), "fine-sketches")
-    rest = rest.join(sketches, "id").join(fine, "id").select("key", "id", "root", "sketch", "fine", "size", "weight", "n")
+    rest = rest.join(texts, "id").join(fine, "id").select("key", "id", "root", "bands", "sketch", "fine", "size", "weight", "n")
     more = materialized(apart(rest).join(pairs, ["a", "b"], "left_anti"), "more-pairs")
     if not more.isEmpty():
         more = materialized(verified(more, some, idf, k), "more-links")
