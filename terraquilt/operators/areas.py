@@ -146,14 +146,19 @@ def edge_pair_areas(pairs: DataFrame, keep: list[str]) -> DataFrame:
     return rows.select(*kept, "first_", (F.col("width_") * flat).alias("deg_"), (metres * ground / SQM_PER_HA).alias("ha_"))
 
 
-def pair_sums(pairs: DataFrame, keys: list[str], sums: list[str], touching: bool | None, tolerance: float = TOLERANCE) -> DataFrame:
+def pair_sums(pairs: DataFrame, keys: list[str], sums: list[str], touching: bool | None, tolerance: float = TOLERANCE, all_plain: bool = False) -> DataFrame:
     """keys, ``pairs`` (their number), ``area_ha``, ``area_deg`` and the sums of columns `sums` over pairs of shapes. touching:
     whether pairs that only touch count; None if neither the number nor groups of such pairs matter. pairs have
-    l_/r_ shape, edges and bbox."""
+    l_/r_ shape, edges and bbox. all_plain says that every pair's edges are there, so nothing goes through Python."""
     few = F.size("l_edges") * F.size("r_edges") <= EDGE_PAIRS
     own = pairs.withColumn("plain_", F.coalesce(few, F.lit(False)))
     other = ~F.col("plain_")
-    own = own.withColumn("clip_", clip(F.when(other, F.col("l_shape")), F.when(other, F.col("r_shape")), False, tolerance)).drop("l_shape", "r_shape")
+    if all_plain:
+        none = F.lit(None)
+        clipped = F.struct(none.cast("boolean").alias("hit"), none.cast("double").alias("area_ha"), none.cast("double").alias("area_deg"))
+    else:
+        clipped = clip(F.when(other, F.col("l_shape")), F.when(other, F.col("r_shape")), False, tolerance)
+    own = own.withColumn("clip_", clipped).drop("l_shape", "r_shape")
     hit = F.col("clip_.hit") if touching else F.col("clip_.area_deg") > 0
     if touching:
         own = own.where(F.when(other, hit).otherwise(edges_meet(F.col("l_edges"), F.col("r_edges"))))
