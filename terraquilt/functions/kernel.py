@@ -553,10 +553,10 @@ def intersect(left: pa.Array, right: pa.Array, with_geometry: bool, tol: float =
     ox, oy = np.maximum(xa0, xb0), np.maximum(ya0, yb0)
     ox, oy = np.where(np.isfinite(ox), ox, 0.0), np.where(np.isfinite(oy), oy, 0.0)
     full_a, full_b = (_valid(_edges(s, ox, oy), n, tol) for s in (sa, sb))
-    full_b = _joined(full_b, full_a, tol)
     # Only the part of a boundary near the other shape's box can matter; the box is that
     # of the shape before its vertices moved.
     a = full_a.take(_near_boxes(full_a, xb0 - ox, yb0 - oy, xb1 - ox, yb1 - oy, 4 * tol))
+    full_b = _joined(full_b, a, tol)
     b = full_b.take(_near_boxes(full_b, xa0 - ox, ya0 - oy, xa1 - ox, ya1 - oy, 4 * tol))
     (row, x0, y0, x1, y1), touched = _kept(a, b, full_a, full_b, n, tol)
 

@@ -6,6 +6,8 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from shapes import clip, ring, shoelace, square, star
 
+from terraquilt.functions import kernel
+
 UNIT = [square(0, 0, 1, 1)]
 RING4 = [square(0, 0, 4, 4), square(1, 1, 3, 3, hole=True)]
 TWO = [square(0, 0, 1, 1), square(3, 0, 4, 1, part=1)]
@@ -163,3 +165,13 @@ def test_many_pairs_at_once_match_one_at_a_time():
         assert alone["hit"] == row["hit"]
         assert alone["area_deg"] == pytest.approx(row["area_deg"], abs=1e-12)
         assert len(alone["rings"]) == len(row["rings"])
+
+
+def test_far_vertices_are_not_compared(monkeypatch):
+    """A pair's cost follows the boundary near the smaller shape, not all of a district's points."""
+    seen, joined = [], kernel._joined
+    monkeypatch.setattr(kernel, "_joined", lambda b, a, tol: seen.append(len(a.row)) or joined(b, a, tol))
+    district = star(0, 0, [10.0] * 2000)
+    got = clip([(district, [square(9.9, -0.01, 11, 0.01)])])[0]
+    assert 0 < max(seen) < 20
+    assert got["area_deg"] == pytest.approx(0.1 * 0.02, rel=1e-3)
