@@ -12,6 +12,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from terraquilt.functions.edges import meet, plain_edges
 from terraquilt.functions.kernel import TOLERANCE, intersect
 from terraquilt.functions.packed import Shapes, from_rows, offsets, oriented, stack, to_arrow, unpack
 from terraquilt.functions.thin import simplified
@@ -210,6 +211,26 @@ def simplify(rings: Column, tolerance: float = 0.001) -> Column:
     return run.asNondeterministic()(rings)
 
 
+# --- edges -------------------------------------------------------------------
+
+def edges_of(shape: Column, most: int) -> Column:
+    """The directed edges of a packed shape of at most `most` edges that doesn't cross or touch itself; null for others."""
+    @F.arrow_udf("array<struct<x0: double, y0: double, x1: double, y1: double>>")
+    def run(shapes: pa.Array) -> pa.Array:
+        return plain_edges(shapes, most)
+
+    return run.asNondeterministic()(shape)
+
+
+def edges_meet(left: Column, right: Column) -> Column:
+    """Whether two plain shapes, given by their edges, share a point."""
+    @F.arrow_udf("boolean")
+    def run(a: pa.Array, b: pa.Array) -> pa.Array:
+        return meet(a, b)
+
+    return run.asNondeterministic()(left, right)
+
+
 # --- overlay of a pair -------------------------------------------------------
 
 def clip(left: Column, right: Column, with_geometry: bool = False, tolerance: float = TOLERANCE) -> Column:

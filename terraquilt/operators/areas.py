@@ -16,8 +16,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from terraquilt.functions.codec import clip
-from terraquilt.functions.geom import cea_y
+from terraquilt.functions.codec import clip, edges_meet, edges_of
+from terraquilt.functions.geom import cea_y, pack_shape
 from terraquilt.functions.kernel import TOLERANCE
 from terraquilt.model import EARTH_RADIUS_M, SQM_PER_HA
 
@@ -28,87 +28,23 @@ SHAPE_EDGES, EDGE_PAIRS = 32, 1024
 # --- edges of a shape -----------------------------------------------------------------------------
 
 
-def _ring_edges(rings: Column) -> Column:
-    """For each ring its directed edges, array<struct<x0, y0, x1, y1>>."""
-    def of(r: Column) -> Column:
-        steps = F.transform(r["pts"], lambda q, i: F.struct(F.get(r["pts"], i - 1).alias("p"), q.alias("q")))
-        steps = F.filter(steps, lambda s: s["p"].isNotNull() & (s["p"] != s["q"]))
-        return F.transform(
-            steps, lambda s: F.struct(s["p"]["x"].alias("x0"), s["p"]["y"].alias("y0"), s["q"]["x"].alias("x1"), s["q"]["y"].alias("y1"))
-        )
-
-    return F.transform(rings, of)
-
-
-def _turn(e: Column, x: Column, y: Column) -> Column:
-    return F.signum((e["x1"] - e["x0"]) * (y - e["y0"]) - (x - e["x0"]) * (e["y1"] - e["y0"]))
-
-
-def _touch(e: Column, f: Column) -> Column:
-    """Whether two closed segments share a point."""
-    def over(a: str, b: str) -> Column:
-        return F.greatest(F.least(e[a], e[b]), F.least(f[a], f[b])) <= F.least(F.greatest(e[a], e[b]), F.greatest(f[a], f[b]))
-
-    return (
-        over("x0", "x1") & over("y0", "y1")
-        & (_turn(e, f["x0"], f["y0"]) * _turn(e, f["x1"], f["y1"]) <= 0)
-        & (_turn(f, e["x0"], e["y0"]) * _turn(f, e["x1"], e["y1"]) <= 0)
-    )
-
-
-def _tangled(rings: Column) -> Column:
-    """Whether edges that don't follow each other touch, or one turns back on the other."""
-    def numbered(r: Column, no: Column) -> Column:
-        return F.transform(r, lambda e, k: F.struct(e.alias("e"), no.alias("ring"), k.alias("k"), F.size(r).alias("n")))
-
-    flat = F.flatten(F.transform(rings, numbered))
-
-    def bad(a: Column, b: Column) -> Column:
-        follows = (a["ring"] == b["ring"]) & ((b["k"] == a["k"] + 1) | ((a["k"] == 0) & (b["k"] == b["n"] - 1)))
-        e, f = a["e"], b["e"]
-        back = (_turn(e, f["x0"], f["y0"]) == 0) & (_turn(e, f["x1"], f["y1"]) == 0) & (
-            (e["x1"] - e["x0"]) * (f["x1"] - f["x0"]) + (e["y1"] - e["y0"]) * (f["y1"] - f["y0"]) < 0
-        )
-        later = (b["ring"] > a["ring"]) | ((b["ring"] == a["ring"]) & (b["k"] > a["k"]))
-        return later & F.when(follows, back).otherwise(_touch(e, f))
-
-    return F.exists(flat, lambda a: F.exists(flat, lambda b: bad(a, b)))
-
-
-def plain_edges(rings: Column) -> Column:
+def plain_edges(rings: Column, upright: bool = True) -> Column:
     """The directed edges of a shape that doesn't cross or touch itself; null for others, for shapes of many
-    edges and for none."""
-    each = _ring_edges(rings)
-    flat = F.flatten(each)
-    return F.when(F.size(flat).between(3, SHAPE_EDGES) & ~_tangled(each), flat)
+    edges and for none. Without ``upright`` edges go that no area lies under."""
+    edges = edges_of(pack_shape(rings), SHAPE_EDGES)
+    return edges if upright else F.filter(edges, lambda e: e["x0"] != e["x1"])
 
 
 # --- pairs ----------------------------------------------------------------------------------------
 
 
-def _holds(edges: Column, x: Column, y: Column) -> Column:
-    """Even-odd test of a point that lies on no edge."""
-    def step(odd: Column, e: Column) -> Column:
-        side = (e["x1"] - e["x0"]) * (y - e["y0"]) - (x - e["x0"]) * (e["y1"] - e["y0"])
-        return odd != (((e["y0"] <= y) != (e["y1"] <= y)) & ((side > 0) == (e["y1"] > e["y0"])))
-
-    return F.aggregate(edges, F.lit(False), step)
-
-
-def edges_meet(l: Column, r: Column) -> Column:
-    """Whether two plain shapes share a point: edges touch, or one holds a ring of the other."""
-    return (
-        F.exists(l, lambda e: F.exists(r, lambda f: _touch(e, f)))
-        | F.exists(l, lambda e: _holds(r, e["x0"], e["y0"]))
-        | F.exists(r, lambda f: _holds(l, f["x0"], f["y0"]))
-    )
-
-
 def edge_pair_areas(pairs: DataFrame, keep: list[str]) -> DataFrame:
     """pairs with plain ``l_edges`` and ``r_edges`` (or null): columns `keep`, ``first_`` (once for each pair), and ``deg_`` and
     ``ha_``, which add up to the pair's shared area; both null where edges don't run over each other."""
-    kept = [F.col(f"`{c}`") for c in [*keep, "base_"]]
+    kept = [F.col(f"`{c}`") for c in [*keep, "base_", "ground_"]]
+    pairs = pairs.withColumn("ground_", cea_y(F.col("base_")))  # once a pair, not for each of its rows
     rows = pairs.select(*kept, "r_edges", F.posexplode_outer("l_edges").alias("i_", "e_"))
+    rows = rows.where("i_ IS NULL OR i_ = 0 OR e_.x0 <> e_.x1")  # nothing lies under an upright edge
     rows = rows.select(*kept, "i_", "e_", F.posexplode_outer("r_edges").alias("j_", "f_"))
     e, f = F.col("e_"), F.col("f_")
     left = lambda s: F.least(s["x0"], s["x1"])
@@ -136,12 +72,15 @@ def edge_pair_areas(pairs: DataFrame, keep: list[str]) -> DataFrame:
         t.alias("t_"), (F.col("e0_") + t * (F.col("e1_") - F.col("e0_"))).alias("yt_"),
     )
 
-    def under(y) -> Column:
-        ends, t = (y("y0_") + y("y1_")) / 2, F.col("t_")
-        return F.when(t.isNull(), ends).otherwise(((y("y0_") + y("yt_")) * t + (y("yt_") + y("y1_")) * (1 - t)) / 2)
+    # Projected in a step of its own: code that is too long for one method isn't compiled by the JVM.
+    heights = [(cea_y(F.col(f"{c}_")) - F.col("ground_")).alias(f"{c}_ground_") for c in ("y0", "yt", "y1")]
+    rows = rows.select(*kept, "first_", "width_", "t_", *[(F.col(f"{c}_") - F.col("base_")).alias(f"{c}_flat_") for c in ("y0", "yt", "y1")], *heights)
+
+    def under(kind: str) -> Column:
+        y0, yt, y1, t = *(F.col(f"{c}_{kind}_") for c in ("y0", "yt", "y1")), F.col("t_")
+        return F.when(t.isNull(), (y0 + y1) / 2).otherwise(((y0 + yt) * t + (yt + y1) * (1 - t)) / 2)
 
-    flat = under(lambda c: F.col(c) - F.col("base_"))
-    ground = under(lambda c: cea_y(F.col(c)) - cea_y(F.col("base_")))
+    flat, ground = under("flat"), under("ground")
     metres = F.radians(F.col("width_")) * EARTH_RADIUS_M
     return rows.select(*kept, "first_", (F.col("width_") * flat).alias("deg_"), (metres * ground / SQM_PER_HA).alias("ha_"))
 
@@ -161,7 +100,8 @@ def pair_sums(pairs: DataFrame, keys: list[str], sums: list[str], touching: bool
     own = own.withColumn("clip_", clipped).drop("l_shape", "r_shape")
     hit = F.col("clip_.hit") if touching else F.col("clip_.area_deg") > 0
     if touching:
-        own = own.where(F.when(other, hit).otherwise(edges_meet(F.col("l_edges"), F.col("r_edges"))))
+        of = lambda c: F.when(F.col("plain_"), F.col(c))
+        own = own.where(F.when(other, hit).otherwise(edges_meet(of("l_edges"), of("r_edges"))))
     else:
         own = own.where(F.col("plain_") | hit)
     box_l, box_r = F.col("l_bbox"), F.col("r_bbox")

@@ -36,7 +36,7 @@ def check_systems(left: DataFrame, right: DataFrame) -> None:
         raise ValueError(f"the layers' coordinate systems differ: {named[0]} and {named[1]}")
 
 
-def _sides(left: DataFrame, right: DataFrame, edges: bool = False) -> tuple[DataFrame, DataFrame]:
+def _sides(left: DataFrame, right: DataFrame, edges: bool = False, upright: bool = True) -> tuple[DataFrame, DataFrame]:
     """Geometry packed and named l_*/r_*; attribute names that differ at most in
     case get the suffixes _1 and _2, since Spark cannot tell them apart."""
     shared = {c.lower() for c in _attributes(left)} & {c.lower() for c in _attributes(right)}
@@ -50,18 +50,19 @@ def _sides(left: DataFrame, right: DataFrame, edges: bool = False) -> tuple[Data
                 ],
                 pack_shape(F.col("rings")).alias(f"{side}_shape"),
                 F.col("bbox").alias(f"{side}_bbox"),
-                *([plain_edges(F.col("rings")).alias(f"{side}_edges")] if edges else []),
+                *([plain_edges(F.col("rings"), upright).alias(f"{side}_edges")] if edges else []),
             )
         )
     return out[0], out[1]
 
 
-def _pairs(left: DataFrame, right: DataFrame, cell: float, broadcast_left: bool | None, edges: bool = False) -> DataFrame:
+def _pairs(left: DataFrame, right: DataFrame, cell: float, broadcast_left: bool | None, edges: bool = False,
+           upright: bool = True) -> DataFrame:
     """Candidate pairs. The left layer is the one that may be small: it is
     measured, and broadcast only if its windows fit. Otherwise, or when the caller
     knows that both sides are large, both are shuffled by cell."""
     check_systems(left, right)
-    l, r = _sides(left, right, edges)
+    l, r = _sides(left, right, edges, upright)
     if broadcast_left is not False:
         levels = levels_for(r, cell)
         district = measure(l, cell, levels)
@@ -113,7 +114,8 @@ def overlay_sums(
     matters nor groups of them, which may then be there or not, with next to no area."""
     # Shapes for which edge rows don't do are rare; one look at each layer spares the others the way through Python.
     plain = [df.where((F.size("rings") > 0) & plain_edges(F.col("rings")).isNull()).isEmpty() for df in (left, right)]
-    return pair_sums(_pairs(left, right, cell, broadcast_left, True), keys, list(sums), touching, all_plain=all(plain))
+    # Upright edges only matter to whether shapes touch.
+    return pair_sums(_pairs(left, right, cell, broadcast_left, True, bool(touching)), keys, list(sums), touching, all_plain=all(plain))
 
 
 def spatial_join(left: DataFrame, right: DataFrame, l_id: str, r_id: str, predicate: str = "intersects",

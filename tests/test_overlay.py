@@ -3,14 +3,16 @@
 import itertools
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
-from shapes import clip, ring, row, square, star
+from shapes import clip, packed, ring, row, square, star
 
-from terraquilt.functions import geom
+from terraquilt.functions import edges, geom
 from terraquilt.model import RINGS
 from terraquilt.operators import areas, cells, overlay, windows
 from terraquilt.operators.cells import cell_pairs, suggest_cell, with_cells
+from terraquilt.session import materialized
 
 R = RINGS.simpleString()
 
@@ -231,6 +233,28 @@ def test_plain_shapes(spark):
     assert {r["i"]: r["plain"] for r in rows.collect()} == {i: i < len(good) for i in range(len(good + bad))}
 
 
+def test_edge_tests_run_on_whole_batches(spark, shapes):
+    """No test of a shape's edges against each other, or of a pair's, runs as nested functions of arrays, row by row."""
+    left, right = (materialized(layer(spark, shapes[i], n), n) for i, n in enumerate("ab"))
+    for touching in (True, False, None):
+        text = plan(overlay.overlay_sums(left, right, ["a"], touching=touching, cell=1.0))
+        assert "exists(" not in text and "aggregate(" not in text
+
+
+def test_plain_shapes_that_meet():
+    """Edges that touch, a shape inside another, one in a hole, apart, and none."""
+    outer, hole = [square(0, 0, 4, 4)], [square(0, 0, 4, 4), square(1, 1, 3, 3, hole=True)]
+    cases = [
+        (outer, [square(4, 4, 5, 5)], True), (outer, [square(1, 1, 2, 2)], True), ([square(1, 1, 2, 2)], outer, True),
+        (hole, [square(1.5, 1.5, 2, 2)], False), ([square(1.5, 1.5, 2, 2)], hole, False), (hole, [square(1.5, 1.5, 3, 2)], True),
+        (outer, [square(9, 9, 10, 10)], False), (outer, [square(9, 9, 10, 10), square(1, 1, 2, 2, part=1)], True), (outer, None, False),
+    ]
+    sides = [pa.array([packed(c[i]) for c in cases], pa.list_(pa.float64())) for i in (0, 1)]
+    signed = [edges.plain_edges(side, 32) for side in sides]
+    assert edges.meet(*signed).to_pylist() == [c[2] for c in cases]
+    assert edges.meet(*[side.slice(0, 0) for side in signed]).to_pylist() == []
+
+
 def test_each_pair_is_clipped_once(spark, shapes):
     """A filter on the result must not make Spark run the function again."""
     left, right = layer(spark, shapes[0], "a"), layer(spark, shapes[1], "b")
