@@ -5,7 +5,7 @@ import json
 
 import pytest
 from pyspark.sql import functions as F
-from shapes import row, square
+from shapes import ring, row, square
 
 from terraquilt.functions import columns as C
 from terraquilt.functions import geom
@@ -160,6 +160,20 @@ def test_landuse(spark, lga, fires):
     assert both[20]["OTHERHA"] is None and both[20]["DIFFHA"] == both[20]["AREAHA"]
 
 
+def test_land_use_beside_a_fire_is_not_burnt(spark, lga, fires):
+    """Areas of pairs come from edge rows, pair by pair nothing is clipped; a class whose shapes only touch a fire never burnt."""
+    corners = [((0, 0), (0.3, 0.1), (0.2, 0.4)), ((0.3, 0.1), (0.6, 0.3), (0.2, 0.4))]
+    left, right = ([ring(*[(150.1 + x, -33.7 + y) for x, y in c])] for c in corners)
+    use = layer(spark, [(1, "Beside", left), (2, "Under", right)], "landuse_id int, Secondary string")
+    one = fires.limit(1).drop("rings", "bbox").withColumn("FireSeason", F.lit("2019-20"))
+    fire = layer(spark, [(1, right)], "i int").select("rings", "bbox")
+    out = stats.landuse_burnt(use, lga, one.crossJoin(fire))
+    got = {r["LANDUSETYPE"]: (r["FIRESEASON"], r["BURNTPCT"]) for r in out.collect()}
+    assert got["Beside"] == (None, 0.0)
+    assert got["Under"] == ("2019-20", pytest.approx(100, rel=1e-5))
+    assert "posexplode" in out._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_table_summaries(spark):
     df = spark.createDataFrame([(2, "b", None), (1, "a", 1.0), (3, None, None), (4, "a", 2.0)], "row_id long, `a b` string, v double")
     assert rows(stats.table_info(df)) == [("row_id", "bigint", 4), ("a b", "string", 3), ("v", "double", 2)]
