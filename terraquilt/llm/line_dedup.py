@@ -62,9 +62,11 @@ def first_occurrences(found: DataFrame) -> DataFrame:
 
 def letters(line: Column) -> Column:
     """How often each of LETTERS occurs, modulo 16, four bits of a long each."""
-    out = F.lit(0).cast("long")
+    out, rest = F.lit(0).cast("long"), line
     for i, letter in enumerate(LETTERS):
-        count = F.length(line) - F.length(F.replace(line, F.lit(letter), F.lit("")))
+        # Each is looked for in what the letters before it leave; they are of one byte, and bytes needn't be counted.
+        before, rest = rest, F.replace(rest, F.lit(letter), F.lit(""))
+        count = F.octet_length(before) - F.octet_length(rest)
         out = out.bitwiseOR(F.shiftleft((count % 16).cast("long"), 4 * i))
     return out
 

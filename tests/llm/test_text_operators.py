@@ -83,6 +83,16 @@ def test_banded_distance(spark, edits):
     assert begun.count() == 0 and far.count() == 0
 
 
+def test_letters_of_a_line(spark):
+    """Four bits a letter, modulo 16, whatever else the line holds; no letter's count reads the whole line again."""
+    texts = ["", "e", "é e\u20ac tt.", "a" * 17 + "n" * 16 + " ", "The quick brown fox jumped over the lazy dog. " * 9]
+    df = spark.createDataFrame([(t,) for t in texts], "line string").withColumn("got", line_dedup.letters(F.col("line")))
+    for r in df.collect():
+        want = sum((r["line"].count(c) % 16) << (4 * i) for i, c in enumerate(line_dedup.LETTERS))
+        assert r["got"] % 2**64 == want
+    assert " length(" not in str(df._jdf.queryExecution().analyzed().toString()).replace("octet_length(", "")
+
+
 def test_line_classes(docs, corpus, monkeypatch):
     monkeypatch.setattr(line_dedup, "LIST_ROWS", 3)  # so that hot segments are split
     got = line_dedup.line_classes(docs).where("doc_id is not null").collect()
