@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from terraquilt.llm.common import ready
+from terraquilt.llm.common import ready_for_text
 from terraquilt.llm.words import SHINGLE_WORDS, chunks, mix, shingle_hashes, text_column, word_hashes
 
 THRESHOLD = 0.8
@@ -169,7 +169,7 @@ def slices(benchmark: DataFrame) -> Iterator[Index]:
 def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """A row per document and item that it repeats: doc_id, item_id, the similarity of the best
     window, the word at which it starts (from 0), and how many windows match."""
-    spark = ready(docs.sparkSession)
+    spark = ready_for_text(docs.sparkSession)
     schema = "doc_id long, item_id long, start long, similarity double"
     found = spark.createDataFrame([], schema)
     for index in slices(benchmark):
@@ -198,7 +198,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 def drop_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The documents that repeat no item, with their own columns. Narrow."""
-    spark = ready(docs.sparkSession)
+    spark = ready_for_text(docs.sparkSession)
     for index in slices(benchmark):
         bound = spark.sparkContext.broadcast(index)
 

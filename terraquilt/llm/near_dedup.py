@@ -47,7 +47,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from terraquilt.llm.common import components, materialized, ready, spread_join, unused
+from terraquilt.llm.common import components, materialized, ready_for_text, spread_join, unused
 from terraquilt.llm.words import SHINGLE_WORDS, chunks, mix, shingle_hashes, text_column, word_hashes
 
 THRESHOLD, BANDS, ROWS = 0.8, 20, 5
@@ -182,7 +182,7 @@ def frequencies(docs: DataFrame, k: int = SHINGLE_WORDS, rare: float = RARE) ->
         for part, h, bounds in _batches(batches, k):
             yield from named_documents(part, h, bounds, named.value)
 
-    spark = ready(docs.sparkSession)
+    spark = ready_for_text(docs.sparkSession)
     text = docs.select("text")
     total = text.count()
     first = text.mapInArrow(own, "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
@@ -423,7 +423,7 @@ def texts_of(docs: DataFrame, copies: DataFrame, ids: DataFrame) -> DataFrame:
 
 def classes(docs: DataFrame, k: int = SHINGLE_WORDS) -> DataFrame:
     """doc_id, row_key, root (a number that all rows of a class share) and class_id of every row with words."""
-    ready(docs.sparkSession)
+    ready_for_text(docs.sparkSession)
     docs = _rows(docs).where(F.col("text").rlike(HAS_WORDS))
     idf = frequencies(docs, k)
     signed = materialized(signatures(docs, idf, k), "signatures")

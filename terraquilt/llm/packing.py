@@ -45,7 +45,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from terraquilt.llm.common import materialized, ready
+from terraquilt.llm.common import materialized, ready_for_text
 
 CAPACITY, END_ID = 2048, 0
 #: Cached words of a worker; a full cache is emptied.
@@ -124,7 +124,7 @@ def _byte_letters() -> dict[int, str]:
 
 def tokenize(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32 of every piece. Narrow."""
-    ready(docs.sparkSession)
+    ready_for_text(docs.sparkSession)
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         words = Words(tokenizer_path)

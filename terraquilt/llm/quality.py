@@ -29,7 +29,7 @@ import zstandard as zstd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from terraquilt.llm.common import materialized, ready, unused
+from terraquilt.llm.common import materialized, ready_for_text, unused
 
 ROWS, CHUNK, LEAST = 2000, 2048, 16
 DICTIONARY_BYTES, LEVEL = 112_640, 3
@@ -129,7 +129,7 @@ def labelled(docs: DataFrame, labels: DataFrame, rows: int = ROWS) -> tuple[Data
 def fit(docs: DataFrame, labels: DataFrame, rows: int = ROWS) -> Model:
     """Learn from the labelled documents that aren't held out, each read whole. The texts of one half of them, `rows`
     at most over both classes, come to the driver for the dictionaries; of the other half two numbers each do."""
-    spark = ready(docs.sparkSession)
+    spark = ready_for_text(docs.sparkSession)
     sample, share = labelled(docs, labels, rows)
     sample = materialized(sample, "labelled-texts")
     enough = {r["quality"]: r["n"] for r in sample.groupBy("quality").agg(F.count("*").alias("n")).collect()}
@@ -160,7 +160,7 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = ROWS) -> Model:
 
 def score(docs: DataFrame, model: Model, name: str = "score") -> DataFrame:
     """docs with a column of scores, 0 to 1, higher for good text. Narrow: no shuffle."""
-    ready(docs.sparkSession)
+    ready_for_text(docs.sparkSession)
 
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         sizer = Sizer(model.good, model.bad) if model.good else None

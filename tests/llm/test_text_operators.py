@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from terraquilt.llm import decontamination, line_dedup, near_dedup, packing, quality, queries
+from terraquilt.llm import common, decontamination, line_dedup, near_dedup, packing, quality, queries
 from terraquilt.llm.words import shingle_hashes, word_hashes
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -257,6 +257,36 @@ def test_leaks(spark, docs, corpus, monkeypatch):
     assert {r["doc_id"] for r in left.collect()} == {r["doc_id"] for r in mine.collect()} - gone
 
 
+def test_text_goes_to_python_in_bounded_batches(spark):
+    """Under 10,000 rows may be tens of megabytes; a size that the session names itself is kept."""
+    size = "spark.sql.execution.arrow.maxBytesPerBatch"
+    docs = spark.range(0, 200, 1, 1).select(F.col("id").alias("doc_id"), F.repeat(F.lit("x"), 200_000).alias("text"))
+
+    class Rows(quality.Model):
+        def score(self, features):
+            return np.full(len(features), float(len(features)))
+
+    def most():
+        scored = quality.score(docs, Rows(b"", b"", (), (), (), 0.5))
+        return scored.agg(F.count("*"), F.max("score")).first()
+
+    spark.conf.unset(size)
+    try:
+        rows, largest = most()
+        assert rows == 200 and largest * 200_000 < 5_000_000
+        spark.conf.set(size, "1m")
+        assert most()[1] <= 6 and spark.conf.get(size) == "1m"
+        bench = spark.createDataFrame([(1, "x y")], "item_id long, text string")
+        path = __import__("public_tokenizers").path("word_bpe_49k.json")
+        few = docs.limit(2)
+        for operator in (near_dedup.near_duplicates, lambda d: decontamination.drop_leaks(d, bench), lambda d: packing.tokenize(d, path)):
+            spark.conf.unset(size)
+            operator(few)
+            assert spark.conf.get(size) == common.TEXT_BATCH
+    finally:
+        spark.conf.unset(size)
+
+
 def test_stages_on_empty_tables(spark, tmp_path):
     spark.createDataFrame([], DOCS).write.parquet(str(tmp_path / "documents.parquet"))
     spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
