@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from terraquilt.llm.common import ready_for_text
+from terraquilt.llm.common import ready_for_text, tidy
 from terraquilt.llm.words import SHINGLE_WORDS, chunks, mix, shingle_hashes, text_column, word_hashes
 
 THRESHOLD = 0.8
@@ -175,6 +175,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     for index in slices(benchmark):
         bound = spark.sparkContext.broadcast(index)
 
+        @tidy
         def run(batches: Iterator[pa.RecordBatch], bound=bound) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 texts = text_column(batch["text"])
@@ -202,6 +203,7 @@ def drop_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     for index in slices(benchmark):
         bound = spark.sparkContext.broadcast(index)
 
+        @tidy
         def run(batches: Iterator[pa.RecordBatch], bound=bound) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 texts, keep = text_column(batch["text"]), np.ones(batch.num_rows, bool)

@@ -37,7 +37,6 @@ comparison only where a pair names them.
 
 from __future__ import annotations
 
-import functools
 from collections.abc import Iterator
 
 import numpy as np
@@ -47,7 +46,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from terraquilt.llm.common import components, materialized, ready_for_text, spread_join, unused
+from terraquilt.llm.common import components, kept, materialized, ready_for_text, spread_join, tidy, unused
 from terraquilt.llm.words import SHINGLE_WORDS, chunks, mix, shingle_hashes, text_column, word_hashes
 
 THRESHOLD, BANDS, ROWS = 0.8, 20, 5
@@ -140,13 +139,13 @@ class Sampler:
         return np.concatenate(parts)
 
 
-@functools.cache
+@kept
 def sampler() -> Sampler:
-    """One per Python worker: its tables take a second to draw."""
+    """One per task of a Python worker: its tables take a moment to draw, and other stages have no use for them."""
     return Sampler(BANDS * ROWS)
 
 
-@functools.cache
+@kept
 def fine_sampler() -> Sampler:
     return Sampler(FINE, 12, FINE_TABLE)
 
@@ -163,6 +162,7 @@ def _batches(batches: Iterator[pa.RecordBatch], k: int):
 def frequencies(docs: DataFrame, k: int = SHINGLE_WORDS, rare: float = RARE) -> tuple[np.ndarray, np.ndarray]:
     """Sorted hashes of the shingles in a share `rare` of all documents, and their damped weights."""
 
+    @tidy
     def own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, h, bounds in _batches(batches, k):
             keys, counts = np.unique(h, return_counts=True)
@@ -178,6 +178,7 @@ def frequencies(docs: DataFrame, k: int = SHINGLE_WORDS, rare: float = RARE) ->
         found, counts = np.unique(np.unique(owner * len(keys) + at[hit]) % len(keys), return_counts=True)
         yield pa.RecordBatch.from_pydict({"h": keys[found].view(np.int64), "n": counts.astype(np.int64)})
 
+    @tidy
     def of_names(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, h, bounds in _batches(batches, k):
             yield from named_documents(part, h, bounds, named.value)
@@ -212,6 +213,7 @@ def signatures(docs: DataFrame, idf, k: int = SHINGLE_WORDS) -> DataFrame:
     a byte for each sample. Narrow."""
     bound = docs.sparkSession.sparkContext.broadcast(idf)
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts, ids, rows = text_column(batch["text"]), batch["doc_id"], batch["row_key"]
@@ -248,6 +250,7 @@ def fine_sketches(texts: DataFrame, idf, k: int = SHINGLE_WORDS) -> DataFrame:
     """id, four bits for each of FINE samples, size (shingles) and weight of texts (id, text) with words. Narrow."""
     bound = texts.sparkSession.sparkContext.broadcast(idf)
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = text_column(batch["text"])
@@ -304,6 +307,7 @@ def verified(pairs: DataFrame, texts: DataFrame, idf, k: int = SHINGLE_WORDS) ->
     """Of pairs (a, b) those whose whole texts (id, text) reach the threshold, with their similarity."""
     bound = texts.sparkSession.sparkContext.broadcast(idf)
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             left, right = text_column(batch["text_a"]), text_column(batch["text_b"])
@@ -334,6 +338,7 @@ def screened(pairs: DataFrame, sketches: DataFrame) -> DataFrame:
         pairs.join(one("b"), "b"), one("a"), "a", pairs.groupBy("a").agg(F.count("*").alias("n")), F.xxhash64("b")
     )
 
+    @tidy
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
             if len(f):
@@ -358,6 +363,7 @@ def apart(members: DataFrame) -> DataFrame:
     )
     groups = rows.groupBy("key", "i", "j").agg(F.collect_list("m").alias("m"))  # 2 * BLOCK at most
 
+    @tidy
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
             out = [np.zeros((0, 2), np.int64)]

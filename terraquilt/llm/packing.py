@@ -45,7 +45,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from terraquilt.llm.common import materialized, ready_for_text
+from terraquilt.llm.common import materialized, ready_for_text, tidy
 
 CAPACITY, END_ID = 2048, 0
 #: Cached words of a worker; a full cache is emptied.
@@ -126,6 +126,7 @@ def tokenize(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY) ->
     """doc_id, piece, start, length, ids_crc32 of every piece. Narrow."""
     ready_for_text(docs.sparkSession)
 
+    @tidy
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         words = Words(tokenizer_path)
         end = array("I", [END_ID]).tobytes()
@@ -291,6 +292,7 @@ def pack(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY) -> Data
         {n: tuple(np.array(x, np.int64) for x in zip(*runs)) for n, runs in made.slots.items()}
     )
 
+    @tidy
     def place(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         slots = bound.value
         for f in frames:

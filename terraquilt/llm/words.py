@@ -13,6 +13,8 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
+from terraquilt.llm.common import kept
+
 SHINGLE_WORDS = 5
 #: Bytes of text hashed at once; batches are cut at document bounds.
 CHUNK_BYTES = 1 << 20
@@ -38,15 +40,18 @@ def powers(base: int, n: int) -> np.ndarray:
     return np.cumprod(out, dtype=np.uint64)
 
 
-_tables: dict[str, np.ndarray] = {}
+@kept
+def _tables() -> dict[str, np.ndarray]:
+    return {}
 
 
 def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers of an odd base and of its inverse modulo 2^64."""
-    if len(_tables.get("up", ())) < n:
+    tables = _tables()
+    if len(tables.get("up", ())) < n:
         size = max(n, CHUNK_BYTES)
-        _tables["up"], _tables["down"] = powers(_BASE, size), powers(pow(_BASE, -1, 1 << 64), size)
-    return _tables["up"], _tables["down"]
+        tables["up"], tables["down"] = powers(_BASE, size), powers(pow(_BASE, -1, 1 << 64), size)
+    return tables["up"], tables["down"]
 
 
 def text_column(values: pa.Array | pa.ChunkedArray) -> pa.Array:

@@ -14,7 +14,7 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from terraquilt.llm import licenses, packing, quality, queries, secrets, token_tree, topk, url_tree
+from terraquilt.llm import common, licenses, packing, quality, queries, secrets, token_tree, topk, url_tree
 
 SF = "/root/testdata/sf0.001"
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
@@ -248,6 +248,62 @@ def test_fit_reads_whole_texts_in_a_defined_order(spark):
     assert len(quality.quality_scores(docs, labels).collect()) == len(rows)
 
 
+def test_every_labelled_row_is_learnt_from(spark, monkeypatch):
+    """However many there are, and also where a class is trained on in shards, in two rounds, of rows in any order."""
+    monkeypatch.setattr(quality, "FAN", 3)
+    n = 6_000
+    word = F.element_at(F.array(*map(F.lit, ("river", "stone", "garden", "window", "harbour", "meadow"))), (F.rand(3) * 6 + 1).cast("int"))
+    noise = F.concat(F.lit("zq"), (F.rand(4) * 90).cast("int"))
+    docs = spark.range(0, n, 1, 4).select(
+        F.col("id").alias("doc_id"),
+        F.array_join(F.transform(F.sequence(F.lit(1), F.lit(12)), lambda i: F.when(F.col("id") % 2 == 1, F.concat(word, i % 3)).otherwise(F.concat(noise, i))), " ").alias("text"),
+    ).localCheckpoint()
+    labels = docs.select("doc_id", (F.col("doc_id") % 2).cast("int").alias("quality"))
+    sample, share = quality.labelled(docs, labels)
+    learnt = labels.where(~quality.held_out(F.col("doc_id"))).select("doc_id")
+    assert sample.select("doc_id").exceptAll(learnt).isEmpty() and sample.count() == learnt.count() > 2 * 2_000 and 0.45 < share < 0.55
+    models = []
+    for size in (None, 30_000, 30_000):
+        if size:
+            monkeypatch.setattr(quality, "SHARD_BYTES", size)
+        models.append(quality.fit(docs.repartition(3 + len(models)), labels))
+    assert sample.where("part = 0 AND quality = 1").agg(F.sum(F.octet_length("text"))).first()[0] > 3 * 30_000  # two rounds
+    assert models[1] == models[2] != models[0]
+    for model in models:
+        held = quality.score(docs.join(labels, "doc_id").where(quality.held_out(F.col("doc_id"))), model)
+        assert held.where((F.col("score") >= quality.THRESHOLD) != (F.col("quality") == 1)).count() < 0.02 * n / 4
+
+
+def test_logistic_fit_over_rows_in_place(spark):
+    """Sums over rows where they are lead to what all rows in one array lead to."""
+    rng = np.random.default_rng(8)
+    y = (rng.random(3_000) < 0.7).astype(float)
+    x = rng.normal(size=(3_000, 2)) * [0.1, 2] + np.outer(y, [0.05, 1])
+    rows = [(int(q), float(a), float(b)) for q, (a, b) in zip(y, x)]
+    features = spark.createDataFrame(rows, "quality int, a double, b double").repartition(5)
+    totals = quality._totals(features, lambda x, y: [*x.T, y, x[:, 0] ** 2 * 1e-3, np.full(len(x), 1e5)])
+    assert np.allclose(totals, [*x.sum(0), y.sum(), (x[:, 0] ** 2).sum() * 1e-3, 3e8], rtol=1e-9, atol=1e-9)
+    assert (totals == quality._totals(features.repartition(3), lambda x, y: [*x.T, y, x[:, 0] ** 2 * 1e-3, np.full(len(x), 1e5)])).all()
+    mean, scale, weights = x.mean(0), x.std(0), (1.5, 0.8)
+    w, a, ridge = np.zeros(3), np.column_stack([np.ones(len(x)), (x - mean) / scale]), np.array([1e-6, 0.05, 0.05])
+    for _ in range(100):  # plain Newton steps
+        p, c = 1 / (1 + np.exp(-(a @ w))), np.where(y == 1, weights[1], weights[0])
+        w -= np.linalg.solve((a * (c * p * (1 - p))[:, None]).T @ a + np.diag(ridge), a.T @ (c * (p - y)) + ridge * w)
+    assert np.allclose(quality._logistic(features, mean, scale, weights), w, atol=1e-5)
+
+
+def test_workers_give_freed_memory_back(monkeypatch):
+    """After a task's last batch, or where a task ends before it, and not in between."""
+    given = []
+    monkeypatch.setattr(common, "release", lambda: given.append(1))
+    run = common.tidy(lambda batches: (2 * b for b in batches))
+    assert list(run(iter([1, 2, 3]))) == [2, 4, 6] and len(given) == 1
+    some = run(iter([1, 2, 3]))
+    assert next(some) == 2 and len(given) == 1
+    some.close()
+    assert len(given) == 2
+
+
 # --- packing ----------------------------------------------------------------------------------
 
 
