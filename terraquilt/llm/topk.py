@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from terraquilt.llm.common import materialized, ready
+from terraquilt.llm.common import materialized, ready_for_text, tidy
 
 QUERY_BLOCK, CANDIDATE_BLOCK = 512, 4096
 _BLOCK = "block long, ids binary, bounds binary, terms binary, weights binary"
@@ -134,7 +134,7 @@ def best(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
 def top_k(queries: DataFrame, candidates: DataFrame, k: int) -> DataFrame:
     """query_id, rank (from 1), id, score: the k best candidates of every query, but never
     a row of its own id. Both sides as made by `sparse`."""
-    spark = ready(queries.sparkSession)
+    spark = ready_for_text(queries.sparkSession)  # a block, like a text, may have megabytes
     q = materialized(_packed(queries, QUERY_BLOCK), "query-blocks")
     c = materialized(_packed(candidates, CANDIDATE_BLOCK), "candidate-blocks")
     # Blocks of candidates are dealt over shares, and every block of queries visits every
@@ -144,12 +144,17 @@ def top_k(queries: DataFrame, candidates: DataFrame, k: int) -> DataFrame:
     c = c.select("*", F.pmod(F.xxhash64("block"), F.lit(shares)).alias("share"))
     q = q.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(shares - 1).cast("long"))).alias("share"))
     renamed = lambda d, p: d.select("share", *(F.col(x).alias(p + x) for x in d.columns if x != "share"))
-    pairs = renamed(q, "q_").join(renamed(c, "c_"), "share")
+    # Spark takes the copies of the query blocks for one of them: it would broadcast them by that size, from the driver.
+    # Merged, they are dealt out by share, and a block of candidates meets all blocks of queries in a row.
+    pairs = renamed(c, "c_").hint("merge").join(renamed(q, "q_"), "share")
 
+    @tidy
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        block = postings = None
         for f in frames:
             for row in f.itertuples():
-                postings = Postings(*_unpacked(row, "c_"))
+                if row.c_block != block:
+                    block, postings = row.c_block, Postings(*_unpacked(row, "c_"))
                 ids, bounds, terms, weights = _unpacked(row, "q_")
                 out = []
                 for i, own in enumerate(ids):

@@ -194,6 +194,23 @@ def test_top_k_with_repeated_ids(spark, tmp_path):
     assert sorted(map(tuple, got)) == sorted(want) and len(want) == 40
 
 
+def test_top_k_broadcasts_no_blocks(spark, monkeypatch):
+    """Copies of the query blocks, however small one of them is stored, aren't gathered on the driver."""
+    monkeypatch.setattr(topk, "CANDIDATE_BLOCK", 8)
+    monkeypatch.setattr(topk, "QUERY_BLOCK", 2)
+    rows = [(i, [float(i % 7), float(i % 5), 1.0]) for i in range(64)]
+    sparse = topk.sparse(spark.createDataFrame(rows, "vec_id long, embedding array<float>"), "vec_id", topk.quantized(F.col("embedding")))
+    found = topk.top_k(sparse.where("id % 4 = 0"), sparse, 5)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "BroadcastExchange" not in plan
+    scores = {(a, b): sum(64 * 64 * int(x) * int(y) for x, y in zip(u, v)) for a, u in rows for b, v in rows if a % 4 == 0 and a != b}
+    want = set()
+    for q in range(0, 64, 4):
+        best = sorted((-scores[q, i], i) for i in range(64) if i != q)[:5]
+        want |= {(q, n, i, -s) for n, (s, i) in enumerate(best, 1)}
+    assert {tuple(r) for r in found.collect()} == want
+
+
 def test_many_secrets_in_one_text(spark):
     """Spans take time in proportion to the matches, or nearly: 32,000 of them in a few seconds."""
     import time
